@@ -5,24 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, mixing, token_counts
+from tidemark.llm import chat_format, decontamination, exact_dedup, language, mixing, quality, simhash, substring_dedup, token_counts, toxicity
 from tidemark.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source to the same share of characters, one epoch in all."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "repeats", "copy", "shuffle_key", "text")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat_format.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
@@ -30,7 +54,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op2_mixing, op6_exact_dedup, op8_token_counts, op10_chat_format)
+    named = (
+        op1_toxicity, op2_mixing, op3_decontamination, op4_simhash, op5_quality,
+        op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_language, op10_chat_format,
+    )
     return {f.__name__: f for f in named}
 
 
