@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def queries() -> dict:
         op1_toxicity, op2_mixing, op3_decontamination, op4_simhash, op5_quality,
         op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_language, op10_chat_format,
     )
-    return {f.__name__: f for f in named}
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 ORACLE_MIXING = """

@@ -79,6 +79,9 @@ def _by_text(docs: DataFrame, clashing: DataFrame, id_col: str, text_col: str, k
 
 
 def keep_first_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The documents that stay, one for each text, with the columns of ``docs``; needs unique identifiers."""
+    """The documents that stay, one for each text, with the columns of ``docs``.
+
+    Identifiers must be unique; rows without one can't be named, and stay.
+    """
     dropped = exact_dedup(docs, keep=keep).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
