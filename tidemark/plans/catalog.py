@@ -1,18 +1,21 @@
-"""Registered queries over the test tables, each with the SQL that must give the same rows."""
+"""All registered queries, each with the DuckDB SQL that must give the same rows where SQL can express it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidemark.plans import retrieval
+
+PARTS = (retrieval,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey"))
+    return retrieval.dense_topk(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for part in PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
