@@ -133,7 +133,7 @@ def test_compact_windows_hold_every_run(n, high):
     rng = np.random.default_rng(n)
     for least in (1, 7, 46):
         values = rng.integers(0, high, n).astype(np.uint64)
-        found = substring_dedup.compact_windows(values, least)
+        found = zip(*(x.tolist() for x in substring_dedup.compact_windows(values, least)), strict=True)
         owner = {}
         for lo, c, hi in found:
             for i in range(lo, c + 1):
@@ -148,6 +148,15 @@ def test_compact_windows_hold_every_run(n, high):
             assert runs == [values[i : i + least].min() for i in range(n - least + 1)]
 
 
+def test_passage_keys_of_a_batch_equal_those_of_single_texts():
+    rng = random.Random(2)
+    texts = [None, "", *(" ".join(prose(rng, n)) for n in (10, 49, 50, 51, 300, 60)), "a " * 200]
+    batch = substring_dedup.passage_keys(texts)
+    alone = [substring_dedup.passage_keys([t])[0] for t in texts]
+    assert [x.tolist() for x in batch] == [x.tolist() for x in alone]
+    assert [len(x) > 0 for x in batch] == [False, False, False, False, True, True, True, True, True]
+
+
 def test_repeated_passages(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(prose(rng, 200, 10**6))) for i in range(60)]
