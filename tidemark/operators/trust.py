@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from tidemark.functions.stats import confidence
 from tidemark.functions.text import supersedes_key
 
-#: Rounds of successor walking; a chain of 2^n edges needs n.
+#: Rounds of successor walking at most; a chain of 2^n edges needs n.
 MAX_ROUNDS = 40
 #: Distinct edges up to which edge tables are broadcast to hits.
 BROADCAST_EDGES = 200_000
@@ -71,19 +71,20 @@ def successors(live: DataFrame) -> DataFrame:
     """(file, successor): the end of each file's chain of ``live`` (target, successor) edges.
 
     A file that names itself has none. A walk that meets a file again has no end, and gives the direct successor:
-    so for cycles, for chains into a cycle, and for chains that end in a file naming itself. Pointer doubling
-    needs as many rounds as the logarithm of the longest chain; every round is a written checkpoint if the
-    session has a checkpoint folder.
+    so for cycles, for chains into a cycle, and for chains that end in a file naming itself. Pointers double, so
+    there are as many rounds as the logarithm of the longest chain; every round is a checkpoint if the session
+    has a folder for it. A round in which no walk comes to its end shows that the rest run in circles: a longer
+    chain would hold a shorter one that ends.
     """
     step = live.where("target is not null and successor is not null").select(F.col("target").alias("file"), F.col("successor").alias("direct"))
-    walk = step.select("file", F.col("direct").alias("at"), F.lit(1).cast("long").alias("steps"))
-    total = step.count()
+    step = _cut(step)
+    walk = step.withColumnRenamed("direct", "at")
+    moving = None
     for _ in range(MAX_ROUNDS):
-        ahead = walk.select(F.col("file").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
-        walk = _cut(walk.join(ahead, "at", "left").select("file", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0).cast("long"))).alias("steps")))
-        moving = walk.join(step.select(F.col("file").alias("at")), "at", "left_semi")
-        # Who still has an edge ahead after more steps than there are edges walks in a cycle.
-        if moving.where(F.col("steps") <= total).isEmpty():
+        ahead = walk.select(F.col("file").alias("at"), F.col("at").alias("next"))
+        walk = _cut(walk.join(ahead, "at", "left").select("file", F.coalesce("next", "at").alias("at")))
+        before, moving = moving, walk.join(step.select(F.col("file").alias("at")), "at", "left_semi").count()
+        if moving in (0, before):
             break
     endless = walk.join(step.select(F.col("file").alias("at"), F.lit(True).alias("open")), "at", "left").select("file", "at", F.coalesce("open", F.lit(False)).alias("open"))
     both = step.join(endless, "file")

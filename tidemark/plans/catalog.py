@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import retrieval
+from tidemark.plans import retrieval, trust
 
-PARTS = (retrieval,)
+PARTS = (retrieval, trust)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
