@@ -5,8 +5,9 @@ distance: at step j the current word is written and the walk moves on if a rando
 of a few sampled places of the embedding are looked up for equal items; the number of tables follows from the
 target recall. What is found is verified by the exact edit distance of the item to the best passage there.
 
-Windows that lack too many words of all items can't be within the distance of any, and are not embedded: this
-is a bound, not a heuristic. Items are the broadcast side; they are read in blocks of a bounded size.
+Windows that lack too many words, or too many pairs of neighbouring words, of all items can't be within the
+distance of any, and are not embedded: these are bounds, not heuristics (an edit changes one word and two pairs;
+pairs are counted in the window and as many words after it as edits are allowed). Items are the broadcast side; they are read in blocks of a bounded size.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ TABLES = ceil(log(1 - RECALL) / log(1 - AGREEMENT**SAMPLED))
 WALKS = ceil(TABLES / TABLES_OF_WALK)
 #: Characters of items in one pass over the documents.
 BLOCK_CHARS = 8_000_000
-#: Windows embedded at once.
-CHUNK = 1 << 16
+#: Symbols of the embeddings made at once; bits of the table of word pairs, where a clash only lets a window through.
+CELLS, PAIR_BITS = 1 << 21, 24
 _words = re.compile(r"\w+").findall
 
 
@@ -51,6 +52,12 @@ def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def pair_slots(symbols: np.ndarray) -> np.ndarray:
+    """A place in the table of word pairs for each two neighbours."""
+    both = symbols[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbols[1:].astype(np.uint64)
+    return ((both * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
 class ItemIndex:
     """Tables of one block of items; made in each worker from (item_id, text) pairs."""
 
@@ -61,39 +68,47 @@ class ItemIndex:
         self.vocabulary = {w: k for k, w in enumerate(names, 1)}  # 0 is any other word
         self.items = [(i, np.array([self.vocabulary[w] for w in ws], dtype=np.int64)) for i, ws in split]
         self.counts = [Counter(s.tolist()) for _, s in self.items]
+        self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
+        for _, symbols in self.items:
+            self.pairs[pair_slots(symbols)] = True
         self.longest = max((len(s) for _, s in self.items), default=0)
         rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2**63, (WALKS, 3 * self.longest // 62 + 1, len(names) + 2), dtype=np.int64)
-        self.places = {}
-        self.tables: dict[int, list] = {}
-        by_length = defaultdict(list)
-        for k, (_, s) in enumerate(self.items):
-            by_length[len(s)].append(k)
-        for n, ks in sorted(by_length.items()):
-            self.places[n] = [[np.sort(rng.choice(2 * n, min(SAMPLED, 2 * n), replace=False)) for _ in range(TABLES_OF_WALK)] for _ in range(WALKS)]
-            symbols = np.stack([self.items[k][1] for k in ks])
-            keys = self.keys(symbols.reshape(-1), np.arange(len(ks)) * n, n)
-            self.tables[n] = []
-            for column in keys:
+        self.lengths = sorted({len(s) for _, s in self.items})
+        self.steps = 2 * self.longest
+        self.bits = rng.integers(0, 2**62, (WALKS, self.steps // 62 + 1, len(names) + 2), dtype=np.int64)
+        # Sampled places of each table, for every length: (tables, lengths, SAMPLED).
+        self.places = np.array([[[int(x * 2 * n) for x in np.sort(rng.random(SAMPLED))] for n in self.lengths] for _ in range(WALKS * TABLES_OF_WALK)], dtype=np.int64).reshape(WALKS * TABLES_OF_WALK, len(self.lengths), SAMPLED)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        if self.items:
+            sizes = np.array([len(s) for _, s in self.items])
+            starts = np.cumsum(sizes) - sizes
+            parts = range(0, len(sizes), self.chunk())
+            keys = [self.keys(np.concatenate([s for _, s in self.items]), starts[c : c + self.chunk()], sizes[c : c + self.chunk()]) for c in parts]
+            for column in map(np.concatenate, zip(*keys, strict=True)):
                 order = np.argsort(column, kind="stable")
-                self.tables[n].append((column[order], np.array(ks)[order]))
+                self.tables.append((column[order], order))
+
+    def chunk(self) -> int:
+        """Windows that are embedded at once: their embeddings are a table of CELLS symbols."""
+        return max(1, CELLS // max(1, self.steps))
 
-    def keys(self, symbols: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]:
+    def keys(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """One number for each window and table: a mix of the symbols at the sampled places of its embedding."""
-        out, end = [], len(self.vocabulary) + 1  # the symbol that follows a window
+        out, end, lanes = [], len(self.vocabulary) + 1, np.arange(len(starts))  # end: the symbol after a window
+        length = np.searchsorted(self.lengths, sizes)
+        last = starts + sizes - 1
+        walked = np.empty((self.steps, len(starts)), dtype=np.int32)
         for walk in range(WALKS):
-            wanted = {int(j) for places in self.places[n][walk] for j in places}
-            at, seen = np.zeros(len(starts), dtype=np.int64), {}
-            for j in range(max(wanted) + 1):
-                symbol = symbols[starts + np.minimum(at, n - 1)]
-                symbol[at >= n] = end
-                if j in wanted:
-                    seen[j] = symbol
+            at = starts.copy()
+            for j in range(self.steps):
+                symbol = symbols[np.minimum(at, last)]
+                symbol[at > last] = end
+                walked[j] = symbol
                 at += (self.bits[walk, j // 62][symbol] >> (j % 62)) & 1
-            for places in self.places[n][walk]:
-                mixed = np.zeros(len(starts), dtype=np.uint64)
-                for j in places:
-                    mixed = (mixed ^ seen[int(j)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            for t in range(walk * TABLES_OF_WALK, (walk + 1) * TABLES_OF_WALK):
+                mixed = sizes.astype(np.uint64)
+                for places in self.places[t].T:
+                    mixed = (mixed ^ walked[places[length], lanes].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     mixed ^= mixed >> np.uint64(29)
                 out.append(mixed)
         return out
@@ -110,24 +125,28 @@ class ItemIndex:
             at += len(ids) + pad
         symbols = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         known = np.concatenate([[0], np.cumsum(symbols > 0)])
+        linked = np.concatenate([[0], np.cumsum(self.pairs[pair_slots(symbols)] & (symbols[:-1] > 0) & (symbols[1:] > 0))]) if len(symbols) else known
         begins = np.array(begins, dtype=np.int64)
         candidates: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for n, tables in self.tables.items():
-            if len(symbols) < n:
-                continue
-            allowed = int(EDITS * n)
-            all_starts = np.flatnonzero(known[n:] - known[:-n] >= n - allowed)
-            for c in range(0, len(all_starts), CHUNK):
-                starts = all_starts[c : c + CHUNK]
-                for column, (sorted_keys, ks) in zip(self.keys(symbols, starts, n), tables, strict=True):
-                    low = np.searchsorted(sorted_keys, column, side="left")
-                    hit = np.flatnonzero((low < len(sorted_keys)) & (sorted_keys[np.minimum(low, len(sorted_keys) - 1)] == column))
-                    for h in hit:
-                        k = int(low[h])
-                        while k < len(sorted_keys) and sorted_keys[k] == column[h]:
-                            start = int(starts[h])
-                            candidates[int(np.searchsorted(begins, start, side="right")) - 1, int(ks[k])].append(start)
-                            k += 1
+        wanted_starts, wanted_sizes = [], []
+        for n in self.lengths:
+            if len(symbols) >= n:
+                allowed = int(EDITS * n)
+                enough = np.flatnonzero(known[n:] - known[:-n] >= n - allowed)
+                pairs = linked[np.minimum(enough + n - 1 + allowed, len(linked) - 1)] - linked[enough]
+                wanted_starts.append(enough[pairs >= n - 1 - 2 * allowed])
+                wanted_sizes.append(np.full(len(wanted_starts[-1]), n))
+        if not wanted_starts:
+            return []
+        all_starts, all_sizes = np.concatenate(wanted_starts), np.concatenate(wanted_sizes)
+        for c in range(0, len(all_starts), self.chunk()):
+            starts = all_starts[c : c + self.chunk()]
+            for column, (sorted_keys, ks) in zip(self.keys(symbols, starts, all_sizes[c : c + self.chunk()]), self.tables, strict=True):
+                low, high = np.searchsorted(sorted_keys, column, side="left"), np.searchsorted(sorted_keys, column, side="right")
+                hit = np.flatnonzero(high > low)
+                for start, text, lo, hi in zip(starts[hit].tolist(), (np.searchsorted(begins, starts[hit], side="right") - 1).tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
+                    for k in ks[lo:hi].tolist():
+                        candidates[text, k].append(start)
         out = []
         for (text, k), starts in sorted(candidates.items()):
             item, s = self.items[k]
