@@ -5,7 +5,7 @@ distance: at step j the current word is written and the walk moves on if a rando
 of a few sampled places of the embedding are looked up for equal items; the number of tables follows from the
 target recall. What is found is verified by the exact edit distance of the item to the best passage there.
 
-Windows that lack too many words, or too many pairs of neighbouring words, of all items can't be within the
+Windows that lack too many words of all items, or too many pairs of neighbouring words of the items of their length, can't be within the
 distance of any, and are not embedded: these are bounds, not heuristics (an edit changes one word and two pairs;
 pairs are counted in the window and as many words after it as edits are allowed). Items are the broadcast side; they are read in blocks of a bounded size.
 """
@@ -33,9 +33,9 @@ SAMPLED, TABLES_OF_WALK, AGREEMENT, RECALL = 3, 4, 0.5, 0.95
 TABLES = ceil(log(1 - RECALL) / log(1 - AGREEMENT**SAMPLED))
 WALKS = ceil(TABLES / TABLES_OF_WALK)
 #: Characters of items in one pass over the documents.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: Symbols of the embeddings made at once; bits of the table of word pairs, where a clash only lets a window through.
-CELLS, PAIR_BITS = 1 << 21, 24
+CELLS, PAIR_BITS = 1 << 21, 22
 _words = re.compile(r"\w+").findall
 
 
@@ -68,13 +68,18 @@ class ItemIndex:
         self.vocabulary = {w: k for k, w in enumerate(names, 1)}  # 0 is any other word
         self.items = [(i, np.array([self.vocabulary[w] for w in ws], dtype=np.int64)) for i, ws in split]
         self.counts = [Counter(s.tolist()) for _, s in self.items]
-        self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
-        for _, symbols in self.items:
-            self.pairs[pair_slots(symbols)] = True
         self.longest = max((len(s) for _, s in self.items), default=0)
         rng = np.random.default_rng(seed)
         self.lengths = sorted({len(s) for _, s in self.items})
         self.steps = 2 * self.longest
+        # Word pairs: a number for each place in use, and for each length the places of its items' pairs.
+        slots = [pair_slots(s) for _, s in self.items]
+        used = np.unique(np.concatenate(slots)) if slots else np.zeros(0, dtype=np.int64)
+        self.pair_number = np.zeros(1 << PAIR_BITS, dtype=np.int32)
+        self.pair_number[used] = np.arange(1, len(used) + 1)
+        self.pairs_of = {n: np.zeros(len(used) + 1, dtype=bool) for n in self.lengths}
+        for (_, s), own in zip(self.items, slots, strict=True):
+            self.pairs_of[len(s)][self.pair_number[own]] = True
         self.bits = rng.integers(0, 2**62, (WALKS, self.steps // 62 + 1, len(names) + 2), dtype=np.int64)
         # Sampled places of each table, for every length: (tables, lengths, SAMPLED).
         self.places = np.array([[[int(x * 2 * n) for x in np.sort(rng.random(SAMPLED))] for n in self.lengths] for _ in range(WALKS * TABLES_OF_WALK)], dtype=np.int64).reshape(WALKS * TABLES_OF_WALK, len(self.lengths), SAMPLED)
@@ -125,7 +130,7 @@ class ItemIndex:
             at += len(ids) + pad
         symbols = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         known = np.concatenate([[0], np.cumsum(symbols > 0)])
-        linked = np.concatenate([[0], np.cumsum(self.pairs[pair_slots(symbols)] & (symbols[:-1] > 0) & (symbols[1:] > 0))]) if len(symbols) else known
+        numbers = self.pair_number[pair_slots(symbols)]
         begins = np.array(begins, dtype=np.int64)
         candidates: dict[tuple[int, int], list[int]] = defaultdict(list)
         wanted_starts, wanted_sizes = [], []
@@ -133,6 +138,9 @@ class ItemIndex:
             if len(symbols) >= n:
                 allowed = int(EDITS * n)
                 enough = np.flatnonzero(known[n:] - known[:-n] >= n - allowed)
+                if not len(enough):
+                    continue
+                linked = np.concatenate([[0], np.cumsum(self.pairs_of[n][numbers])])
                 pairs = linked[np.minimum(enough + n - 1 + allowed, len(linked) - 1)] - linked[enough]
                 wanted_starts.append(enough[pairs >= n - 1 - 2 * allowed])
                 wanted_sizes.append(np.full(len(wanted_starts[-1]), n))
