@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import retrieval, trust
+from tidemark.plans import calibration, lifecycle, retrieval, trust
 
-PARTS = (retrieval, trust)
+PARTS = (retrieval, trust, calibration, lifecycle)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
