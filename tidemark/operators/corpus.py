@@ -129,7 +129,11 @@ def extract_claims(docs: DataFrame) -> DataFrame:
     """(file, kind, value) found by the patterns: supersession, valid_from, valid_until, status."""
     text = F.coalesce("text", F.lit(""))
     kinds = {"supersession": DIRECT_REFERENCE, "valid_from": VALID_FROM, "valid_until": VALID_UNTIL, "status": STATUS}
-    each = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, p in kinds.items()]
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    each = [found(k, p) for k, p in kinds.items()]
     return docs.select("file", F.explode(F.concat(*each)).alias("c")).select("file", "c.kind", "c.value").distinct()
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import calibration, lifecycle, retrieval, trust
+from tidemark.plans import calibration, corpus, evaluation, lifecycle, retrieval, trust
 
-PARTS = (retrieval, trust, calibration, lifecycle)
+PARTS = (retrieval, trust, calibration, lifecycle, corpus, evaluation)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
