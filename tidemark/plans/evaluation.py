@@ -83,8 +83,8 @@ def token_f1(spark, sf):
     return evaluation.token_f1(pairs).select("conv_id", F.round("f1", 6).alias("f1"))
 
 
-F1 = r"""WITH w AS (SELECT conv_id, turn, unnest(string_split_regex(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+')) AS t FROM conversations WHERE turn < 2),
- n AS (SELECT conv_id, turn, t, count(*) AS n FROM w WHERE t <> '' GROUP BY ALL), s AS (SELECT conv_id, sum(n) FILTER (turn = 0) AS g, sum(n) FILTER (turn = 1) AS p FROM n GROUP BY 1),
+F1 = r"""WITH w AS (SELECT conv_id, turn, unnest(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+')) AS t FROM conversations WHERE turn < 2),
+ n AS (SELECT conv_id, turn, t, count(*) AS n FROM w WHERE t NOT IN ('', 'a', 'an', 'the') GROUP BY ALL), s AS (SELECT conv_id, sum(n) FILTER (turn = 0) AS g, sum(n) FILTER (turn = 1) AS p FROM n GROUP BY 1),
  o AS (SELECT a.conv_id, sum(least(a.n, b.n)) AS x FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.t = b.t AND a.turn = 0 AND b.turn = 1 GROUP BY 1)
  SELECT c.conv_id, round(CASE WHEN coalesce(g, 0) = 0 OR coalesce(p, 0) = 0 THEN (coalesce(g, 0) = coalesce(p, 0))::INT::DOUBLE ELSE 2.0::DOUBLE * coalesce(x, 0) / (g + p) END, 6) AS f1 FROM (SELECT conv_id FROM conversations WHERE turn < 2 GROUP BY 1 HAVING count(DISTINCT turn) = 2) c LEFT JOIN s USING (conv_id) LEFT JOIN o USING (conv_id)"""
 

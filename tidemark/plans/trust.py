@@ -82,16 +82,17 @@ def _evaluated(spark, sf, known_as_of=None):
     return trust.evaluate(_hits(spark, sf), chain, trust.ambiguous_files(rows), now=NOW, threshold=THRESHOLD, known_as_of=known_as_of)
 
 
-COLUMNS = ["query_id", "file", "pos", "verdict", "superseded_by", F.round("confidence", 6).alias("confidence"), "final_pos"]
+def _shown(evaluated: DataFrame) -> DataFrame:
+    return evaluated.select("query_id", "file", "pos", "verdict", "superseded_by", F.round("confidence", 6).alias("confidence"), "final_pos")
 
 
 def verdicts(spark, sf):
     """Verdict, promotion and final order of every hit."""
-    return _evaluated(spark, sf).select(*COLUMNS)
+    return _shown(_evaluated(spark, sf))
 
 
 def verdicts_as_of(spark, sf):
-    return _evaluated(spark, sf, AS_OF).select(*COLUMNS)
+    return _shown(_evaluated(spark, sf, AS_OF))
 
 
 def abstentions(spark, sf):
