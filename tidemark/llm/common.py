@@ -53,6 +53,31 @@ def stored(df: DataFrame, sort: list[str] | None = None, bloom: str | None = Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter over keys: 2^25 bits are 4 MB, whatever the input; a filter that is full lets all rows through.
+FILTER_BITS = 1 << 25
+#: Bits in one row that bitmap_construct_agg returns.
+BITMAP_BITS = 32768
+
+
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """(bucket, bits): a bitmap of the keys' hashes, FILTER_BITS / 8 bytes at most."""
+    slots = keys.select(_slot(column).alias("slot"))
+    return slots.groupBy(F.expr(f"slot div {BITMAP_BITS}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(slot, {BITMAP_BITS}))").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in ``keys`` (bucket, bits), and a few others; what is not shuffled is not paid for."""
+    marked = rows.withColumn("_slot", _slot(column)).withColumn("_bucket", F.expr(f"_slot div {BITMAP_BITS}"))
+    found = marked.join(F.broadcast(keys.toDF("_bucket", "_bits")), "_bucket")
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast(pmod(_slot, {BITMAP_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr("shiftleft(1, cast(pmod(_slot, 8) as int))")
+    return found.where(byte.bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def fold(column: Column | str, modulus: int) -> Column:
     """crc32 of an identifier's text modulo ``modulus``; a null identifier gives null."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % F.lit(modulus)

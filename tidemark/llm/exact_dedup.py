@@ -11,12 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
-
-#: Bits of the bitmap over hit digests: 2^25 bits are 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
-#: Bits in one row that bitmap_construct_agg returns.
-BITMAP_BITS = 32768
+from tidemark.llm.common import key_filter, maybe_in, stored
 
 
 def sha256_digest(text: Column) -> Column:
@@ -35,19 +30,6 @@ def compact(runs: DataFrame, keep: str = "largest") -> DataFrame:
     return runs.groupBy("digest").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def _hit_filter(hits: DataFrame) -> DataFrame:
-    """(bucket, bits): a bitmap of the hits' hashes; FILTER_BITS / 8 bytes at most."""
-    slot = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    return hits.select(slot.alias("slot")).groupBy(F.expr("slot div %d" % BITMAP_BITS).alias("bucket")).agg(F.expr("bitmap_construct_agg(pmod(slot, %d))" % BITMAP_BITS).alias("bits"))
-
-
-def _maybe_hit(rows: DataFrame, hit_filter: DataFrame) -> DataFrame:
-    slot = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    marked = rows.withColumn("slot", slot).withColumn("bucket", F.expr("slot div %d" % BITMAP_BITS)).join(F.broadcast(hit_filter), "bucket")
-    byte = F.expr("conv(hex(substring(bits, cast(pmod(slot, %d) div 8 as int) + 1, 1)), 16, 10)" % BITMAP_BITS).cast("int")
-    return marked.where(F.expr("pmod(slot, 8)").isNotNull() & (F.shiftright(byte.bitwiseAND(F.lit(255)), 0).bitwiseAND(F.expr("cast(shiftleft(1, cast(pmod(slot, 8) as int)) as int)")) != 0)).drop("slot", "bucket", "bits")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", digest=sha256_digest) -> DataFrame:
     """One row for each input row: id_col, keep_id, group_size, kept, digest.
 
@@ -61,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = index.where("group_size > 1").select("digest")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("digest", digest(F.col("body")))
     # Equal bytes: the least and the greatest text of a digest are the same. Both are combined before the shuffle.
-    verified = _maybe_hit(texts, _hit_filter(hits)).groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    verified = maybe_in(texts, "digest", key_filter(hits, "digest")).groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     clashing = stored(verified.where("low <> high").select("digest"))
     result = runs.join(index, "digest", "left")
     if not clashing.isEmpty():
