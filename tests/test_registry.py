@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -27,7 +28,7 @@ def plain(value):
         return "null"
     if isinstance(value, (list, tuple)):
         return str([plain(v) for v in value])
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
+    if isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
         return f"{float(value):.6f}"
     return str(value)
 
@@ -38,7 +39,8 @@ def test_query_equals_its_oracle(spark, oracle, name):
     columns = sorted(df.columns)
     found = sorted(tuple(map(plain, r)) for r in df.select(columns).collect())
     sql = catalog.oracle_sql()[name]
-    wanted = oracle.execute(f"select {', '.join(columns)} from ({sql})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    wanted = oracle.execute(f"select {quoted} from ({sql})").fetchall()
     assert found == sorted(tuple(map(plain, r)) for r in wanted)
 
 
