@@ -120,6 +120,46 @@ def test_near_duplicates_against_all_pairs(spark):
     assert simhash.one_of_each_group(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_appended_cut_and_replaced_texts(spark):
+    rng = random.Random(31)
+    rows, want = [], set()
+    for i in range(240):
+        base = prose(rng, 200, 10**6)
+        extra = rng.randrange(36, 48)
+        other = [
+            base + prose(rng, extra, 10**6),
+            base[: 200 - rng.randrange(30, 38)],
+            base[:90] + prose(rng, rng.randrange(10, 17), 10**6) + base[106:],
+        ][i % 3]
+        texts = [" ".join(base), " ".join(other)]
+        x, y = map(shingle_set, texts)
+        assert 0.79 < len(x & y) / len(x | y) < 0.9
+        if len(x & y) / len(x | y) >= 0.8:
+            want |= {i * 2, i * 2 + 1}
+        rows += [(i * 2 + k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got <= want and len(want) > 300
+    assert len(got) >= 0.96 * len(want)
+
+
+def test_bucket_pairs_against_all_pairs():
+    rng = np.random.default_rng(5)
+    bases = rng.integers(0, 2**32, 40, dtype=np.uint64)
+    values = np.repeat(bases, 5)
+    for _ in range(3):
+        values ^= np.where(rng.random(200) < 0.5, np.uint64(1) << rng.integers(0, 32, 200).astype(np.uint64), np.uint64(0))
+    ids = rng.permutation(200).astype(np.int64)
+    want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(200) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 2}
+    for head_bits in (0, 2, 3):
+        got = set()
+        for head in range(1 << head_bits):
+            near = np.bitwise_count((values >> np.uint64(32 - head_bits)) ^ np.uint64(head)) <= 1
+            rep, other, still = simhash.bucket_pairs(ids[near], values[near], ids[near], head, head_bits, 0, 10**3)
+            assert not len(still)
+            got |= set(zip(rep.tolist(), other.tolist(), strict=True))
+        assert got == want
+
+
 def test_verified_pairs_split_a_hot_representative(spark, monkeypatch):
     monkeypatch.setattr(passages, "CHUNK", 8)
     texts = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "id long, text string")
