@@ -142,6 +142,34 @@ def test_near_duplicates_of_appended_cut_and_replaced_texts(spark):
     assert len(got) >= 0.96 * len(want)
 
 
+def test_near_duplicates_go_on_after_the_least_id_fails(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(30):  # a template: the least ids are under 0.8 to all others, the last two are alike
+        base = prose(rng, 200, 10**6)
+        fill = lambda n: " ".join(base[:100] + prose(rng, n, 10**6) + base[100 + n :])  # noqa: E731,B023
+        rows += [(i * 10 + k, fill(24)) for k in range(4)]
+        full = fill(24)
+        rows += [(i * 10 + 8, full), (i * 10 + 9, full + " " + " ".join(prose(rng, 4, 10**6)))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i * 10 + k: i * 10 + 8 for i in range(30) for k in (8, 9)}
+
+
+def test_rounds_of_bucket_pairs_end_with_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "POINTS", 64)
+    ids, values = np.arange(30, dtype=np.int64), np.full(30, 7, dtype=np.uint64)
+    labels = np.where(ids < 4, 0, ids)
+    got, lo, hi = set(), 0, 1
+    while True:
+        rep, other, still = simhash.bucket_pairs(ids, values, labels, 0, 0, lo, hi)
+        got |= set(zip(rep.tolist(), other.tolist(), strict=True))
+        if not len(still):
+            break
+        assert set(still.tolist()) == set(range(30))
+        lo, hi = hi, hi * simhash.RANKS
+    assert got == {(a, b) for b in range(30) for a in range(b) if labels[a] != labels[b]}
+
+
 def test_bucket_pairs_against_all_pairs():
     rng = np.random.default_rng(5)
     bases = rng.integers(0, 2**32, 40, dtype=np.uint64)

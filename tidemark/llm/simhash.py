@@ -9,6 +9,7 @@ no link is lost: every pair within the radius shares a point.
 ``near_duplicates`` is the form for similar texts that lie further apart in bits. A wide fingerprint has many
 segments, and each of them enumerates its ball of radius 1; texts whose segments meet at a point are candidates
 for the least identifier there, complete distances prune them, and the exact similarity of word shingles decides.
+Members that are not in one component then are matched with the next least ones, until no candidates are left.
 """
 
 from __future__ import annotations
@@ -102,6 +103,8 @@ SEGMENTS, SEGMENT_BITS = 40, 32
 WIDE_DISTANCE = 0.3
 #: Rows of a segment that a group of ``segment_pairs`` should have, and points that it sorts at once.
 GROUP_ROWS, POINTS = 1 << 17, 1 << 23
+#: So many times as many members of a point are representatives when a round ends as when it begins.
+RANKS = 8
 #: Rows packed for ``segment_pairs`` at once.
 PACK = 1 << 14
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(SEGMENTS * SEGMENT_BITS // 64)], dtype=np.uint64)
@@ -139,6 +142,8 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, head:
             here = (points & np.uint64(parts - 1)) == part
             some.append((points[here] << np.uint64(32)) | rows[here])
         keys = np.concatenate(some)
+        if not len(keys):
+            continue
         keys.sort()
         point = keys >> np.uint64(32)
         same = point[1:] == point[:-1]
@@ -225,7 +230,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """(doc_id, component_id) of the documents that have a near copy: shingle sets of that similarity or more.
 
     component_id is the smallest doc_id of the group. Identifiers must be unique; rows without one are left out.
-    Texts without a word are not compared with anything.
+    Texts without a word are not compared with anything. Members of a point are matched with its least id first; in
+    the rounds after that those of points with more than one component go on with the next least ids, so in the end
+    every two members of a point have been compared or are in one component.
     """
     ready_workers(docs.sparkSession)
 
@@ -246,14 +253,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     )
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = stored(some.select("id", wide("text").alias("wide"), F.col("id").alias("label")))
-    reps = rows.select(F.col("id").alias("rep"), F.col("wide").alias("rep_wide"))
+    wides, reps = rows.select("id", "wide"), rows.select(F.col("id").alias("rep"), F.col("wide").alias("rep_wide"))
     head_bits = max(2, (rows.count() // GROUP_ROWS).bit_length())
-    at = stored(segment_pairs(rows, head_bits, 0, 1))
-    met = at.where("not more").select("rep", "id").distinct()
-    close = met.join(rows, "id").join(reps, "rep").where(apart <= WIDE_DISTANCE * SEGMENTS * SEGMENT_BITS).select("rep", "id")
-    links = verified_pairs(stored(close), some, prepare, compare, []).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    groups = connected_components(links)
-    return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    none = docs.sparkSession.createDataFrame([], "rep long, id long")
+    compared, links, groups, lo, hi = none, none, None, 0, 1
+    while True:
+        found = stored(segment_pairs(rows, head_bits, lo, hi))
+        met = stored(found.where("not more").select("rep", "id").distinct().join(compared, ["rep", "id"], "left_anti"))
+        compared = compared.union(met)
+        if groups is None or not met.isEmpty():
+            close = met.join(wides, "id").join(reps, "rep").where(apart <= WIDE_DISTANCE * SEGMENTS * SEGMENT_BITS).select("rep", "id")
+            links = links.union(stored(verified_pairs(stored(close), some, prepare, compare, [])))
+            groups = connected_components(links.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+        left = found.where("more").select("id").distinct()
+        if left.isEmpty():
+            return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+        labels = groups.select(F.col("node").alias("id"), "component")
+        rows = stored(rows.select("id", "wide").join(left, "id", "left_semi").join(labels, "id", "left").select("id", "wide", F.coalesce("component", "id").alias("label")))
+        lo, hi = hi, hi * RANKS
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
