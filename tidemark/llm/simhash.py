@@ -1,8 +1,8 @@
-"""SimHash fingerprints, linked by multi-index hashing.
+"""SimHash fingerprints, linked where their Hamming balls meet.
 
 Two fingerprints at distance 2 or less meet at a point that is within distance 1 of both. Each fingerprint
-therefore enumerates the balls of radius 1 in its two segments of 32 bits (65 points in all) into one table keyed
-by the point; members of a point are linked to its least one after their complete distance is verified. A point
+therefore enumerates its ball of radius 1 over all 64 bits (65 points in all) into one table keyed by the whole
+point, not by segments as multi-index hashing would; members of a point are linked to its least one after their complete distance is verified. A point
 has 65 members at most, whatever the data, so no bucket and no set of pairs grows with a group of near copies, and
 no link is lost: every pair within the radius shares a point.
 
