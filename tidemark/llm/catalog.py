@@ -72,15 +72,17 @@ WITH RECURSIVE mass AS (
   SELECT source, rate AS m, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
   UNION ALL
   SELECT source, m, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM cdf WHERE k + 1 <= ceil(m + 12 * sqrt(m) + 20)
+), keyed AS (
+  SELECT doc_id, source, text, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key, row_number() OVER () AS nr FROM documents
 ), drawn AS (
-  SELECT doc_id, source, text,
-         ('0x' || left(md5('mix-1|draw|0|' || doc_id), 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM documents
+  SELECT *, ('0x' || left(md5('mix-1|draw|0|' || key), 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM keyed
+), counts AS (
+  SELECT d.nr, count(c.k)::BIGINT AS repeats
+  FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u GROUP BY d.nr
 ), counted AS (
-  SELECT d.doc_id, any_value(d.source) AS source, any_value(d.text) AS text, count(c.k)::BIGINT AS repeats
-  FROM drawn d JOIN cdf c ON c.source = d.source AND c.c <= d.u GROUP BY d.doc_id
+  SELECT doc_id, source, text, key, repeats FROM keyed JOIN counts USING (nr)
 )
-SELECT doc_id, source, repeats, copy, md5('mix-1|order|' || copy || '|' || doc_id) AS shuffle_key, text
+SELECT doc_id, source, repeats, copy, md5('mix-1|order|' || copy || '|' || key) AS shuffle_key, text
 FROM (SELECT *, unnest(range(repeats)) AS copy FROM counted)
 """
 
@@ -100,8 +102,8 @@ WITH turns AS (
 ), parts AS (
   SELECT conv_id, perspective, pos // 64 AS segment, pos, role = perspective AS own,
          CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
-              ELSE '<|user:' || role || '|>' END AS head,
-         text || '<|end|>' AS body
+              ELSE '<|user:' || replace(role, '|', '\\|') || '|>' END AS head,
+         regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') || '<|end|>' AS body
   FROM turns JOIN speakers USING (conv_id)
 ), placed AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY pos

@@ -43,13 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, sort: list[str] | None = None, bloom: str | None = None, ndv: int = 100_000) -> DataFrame:
+def stored(df: DataFrame, sort: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     path = shared_dir(df.sparkSession)
-    writer = (df.sortWithinPartitions(*sort) if sort else df).write
-    if bloom:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option(f"parquet.bloom.filter.expected.ndv#{bloom}", str(ndv))
-    writer.parquet(path)
+    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,23 +56,59 @@ FILTER_BITS = 1 << 25
 BITMAP_BITS = 32768
 
 
-def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+#: Keys up to which ``without`` broadcasts them: 16 MB.
+BROADCAST_KEYS = 1_000_000
+#: Tasks that the rows of a hot key are dealt to.
+SALTS = 64
 
 
-def key_filter(keys: DataFrame, column: str) -> DataFrame:
+def _slot(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def key_filter(keys: DataFrame, key: Column | str) -> DataFrame:
     """(bucket, bits): a bitmap of the keys' hashes, FILTER_BITS / 8 bytes at most."""
-    slots = keys.select(_slot(column).alias("slot"))
+    slots = keys.select(_slot(key).alias("slot"))
     return slots.groupBy(F.expr(f"slot div {BITMAP_BITS}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(slot, {BITMAP_BITS}))").alias("bits"))
 
 
-def maybe_in(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows whose key is in ``keys`` (bucket, bits), and a few others; what is not shuffled is not paid for."""
-    marked = rows.withColumn("_slot", _slot(column)).withColumn("_bucket", F.expr(f"_slot div {BITMAP_BITS}"))
-    found = marked.join(F.broadcast(keys.toDF("_bucket", "_bits")), "_bucket")
-    byte = F.expr(f"cast(conv(hex(substring(_bits, cast(pmod(_slot, {BITMAP_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = F.expr("shiftleft(1, cast(pmod(_slot, 8) as int))")
-    return found.where(byte.bitwiseAND(bit) != 0).select(*rows.columns)
+def marked(rows: DataFrame, key: Column | str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` and a boolean ``name``: false if the key is certainly not among ``keys`` (a key_filter)."""
+    packed = rows.select(F.struct("*").alias("row"), _slot(key).alias("slot")).withColumn("bucket", F.expr(f"slot div {BITMAP_BITS}"))
+    byte = F.expr(f"cast(conv(hex(substring(bits, cast(pmod(slot, {BITMAP_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr("shiftleft(1, cast(pmod(slot, 8) as int))")
+    return packed.join(F.broadcast(keys), "bucket", "left").select("row.*", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False)).alias(name))
+
+
+def maybe_in(rows: DataFrame, key: Column | str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in ``keys`` (a key_filter), and a few others; what is not shuffled is not paid for."""
+    return marked(rows, key, keys, "_maybe").where("_maybe").drop("_maybe")
+
+
+def split_join(rows: DataFrame, index: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """``rows`` joined with ``index``, which has a row a key, on ``key``. Rows of the keys in ``hot`` are dealt to
+    SALTS tasks by a hash of the column ``by``; the index rows of these keys are repeated for them."""
+    hot = stored(hot)
+    if hot.isEmpty():
+        return rows.join(index, key)
+    keys = stored(key_filter(hot, key))
+    salted = marked(rows, key, keys, "_hot").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(marked(index, key, keys, "_hot").withColumn("_salt", F.explode(salts)).drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
+def without(rows: DataFrame, dropped: DataFrame, column: str) -> DataFrame:
+    """``rows`` but for those whose ``column`` is in ``dropped``; a null stays. Only rows in doubt are shuffled.
+
+    ``rows`` is read twice where there are over BROADCAST_KEYS keys, so it should be a stored table.
+    """
+    dropped = stored(dropped.select(F.col(column).alias("_key")).where("_key is not null").distinct())
+    keyed = rows.select(F.struct("*").alias("_row"), F.col(column).alias("_key"))
+    if dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return keyed.join(F.broadcast(dropped), "_key", "left_anti").select("_row.*")
+    doubtful = marked(keyed, "_key", key_filter(dropped, "_key"), "_maybe")
+    kept = doubtful.where("_maybe").join(dropped, "_key", "left_anti").select("_row.*")
+    return doubtful.where("not _maybe").select("_row.*").union(kept)
 
 
 def fold(column: Column | str, modulus: int) -> Column:

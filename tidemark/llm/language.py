@@ -7,7 +7,6 @@ fixed length, all of them are read, and the windows' probabilities are averaged
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +19,16 @@ from tidemark.llm.common import fold, hashed_unit, ready_workers
 
 #: Bytes of a window, filter widths, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-#: Documents that are learned from, about, windows of each, and passes over them.
-TRAIN_ROWS, TRAIN_WINDOWS, EPOCHS, RATE = 3_000, 3, 6, 0.25
+#: Documents that are learned from, about (whole texts, gathered by the driver), and passes over their windows.
+TRAIN_ROWS, EPOCHS, RATE = 2_000, 4, 0.25
 #: Windows that are convolved at once.
 CHUNK = 1024
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of a category L*; numerals such as ½ and Ⅷ aren't."""
+    return any(map(str.isalpha, text))
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -121,19 +124,18 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteNet:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
     total = known.select("lang").count()
     sample = known.where(hashed_unit(F.lit("lang"), F.col("doc_id").cast("string")) < min(1.0, train_rows / max(1, total)))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring("text", (i * F.length("text") / TRAIN_WINDOWS + 1).cast("int"), F.lit(WINDOW)))
-    rows = sample.select("doc_id", "lang", pieces.alias("pieces")).toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.select("doc_id", "lang", "text").toPandas().sort_values("doc_id", kind="stable")
     classes = sorted(rows.lang.unique().tolist())
     at = {c: i for i, c in enumerate(classes)}
-    picked = [(piece.encode("utf-8", "surrogatepass")[:WINDOW], at[lang]) for lang, ps in zip(rows.lang, rows.pieces, strict=True) for piece in set(ps) if piece and _letter(piece)]
-    cut = np.concatenate([windows(b) for b, _ in picked]) if picked else np.zeros((0, WINDOW), dtype=np.uint8)
-    return fit(cut, np.array([c for _, c in picked], dtype=np.int64), classes or [UNKNOWN])
+    cuts = [(windows(t.encode("utf-8", "surrogatepass")), at[lang]) for lang, t in zip(rows.lang, rows.text, strict=True) if has_letter(t)]
+    cut = np.concatenate([w for w, _ in cuts]) if cuts else np.zeros((0, WINDOW), dtype=np.uint8)
+    return fit(cut, np.repeat([c for _, c in cuts], [len(w) for w, _ in cuts]).astype(np.int64), classes or [UNKNOWN])
 
 
 def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row.
 
-    A text that is null or has no letter is ``und`` with score 0. Repeated identifiers are read each; held_out is
+    A text that is null or has no letter (category L*) is ``und`` with score 0; long texts are read whole, in windows. Repeated identifiers are read each; held_out is
     false for a null identifier. Other columns are not read.
     """
     ready_workers(docs.sparkSession)
@@ -144,7 +146,7 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
         for texts in batches:
             names, scores = [], []
             for text in texts:
-                if text is None or not _letter(text):
+                if text is None or not has_letter(text):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue

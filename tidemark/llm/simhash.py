@@ -1,10 +1,15 @@
-"""SimHash fingerprints, linked where their Hamming balls meet.
+"""SimHash fingerprints, linked by multi-index hashing.
 
-Two fingerprints at distance 2 or less meet at a point that is within distance 1 of both. Each fingerprint
-therefore enumerates its ball of radius 1 over all 64 bits (65 points in all) into one table keyed by the whole
-point, not by segments as multi-index hashing would; members of a point are linked to its least one after their complete distance is verified. A point
-has 65 members at most, whatever the data, so no bucket and no set of pairs grows with a group of near copies, and
-no link is lost: every pair within the radius shares a point.
+A fingerprint is cut into two segments of 32 bits, with a table of fingerprints by value for each. Two fingerprints
+that differ in RADIUS = 2 bits or fewer agree in one of the segments but for one bit at most. So each fingerprint
+enumerates the ball of radius 1 around its value within each segment, fetches the fingerprints that the table holds
+there, and the complete distance of each is verified. Of two values one bit apart only the one with the bit set
+looks the other up; that finds the pair once and halves the probes.
+
+A segment value that many fingerprints share (large groups of near copies make such) is split by the value of the
+other segment: the table's fingerprints stand at every point of the ball around it, and probes ask for one point or
+for the ball, as their distance so far leaves one bit or two. A split place holds 65 fingerprints at most and an unsplit one
+HOT * 33, so no set of pairs grows with a group, and no link is lost.
 
 ``near_duplicates`` is the form for similar texts that lie further apart in bits. A wide fingerprint has many
 segments, and each of them enumerates its ball of radius 1; texts whose segments meet at a point are candidates
@@ -23,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import ready_workers, stored
+from tidemark.llm.common import key_filter, marked, ready_workers, stored, without
 from tidemark.llm.components import connected_components
-from tidemark.llm.passages import verified_pairs
+from tidemark.llm.passages import dealt, verified_pairs
 
-#: Bits in which linked fingerprints may differ: twice the radius of the balls that are enumerated.
+#: Bits in which linked fingerprints may differ.
 RADIUS = 2
 #: Shingles whose bits are counted at once; a long text needs no more memory than that.
 BLOCK = 1 << 15
@@ -68,14 +73,40 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", simhash("text").alias("fp"))
 
 
+#: Fingerprints with one segment value from which the value is split by the other segment.
+HOT = 32
+_cleared = "transform(filter(sequence(0, 31), i -> shiftright(value, i) & 1 = 1), i -> value ^ shiftleft(1L, i))"
+_ball = "concat(array(other), transform(sequence(0, 31), i -> other ^ shiftleft(1L, i)))"
+
+
+def segment_places(distinct: DataFrame) -> DataFrame:
+    """(segment, value, second, fp, own): where each fingerprint stands in the segments' tables (own) and where it
+    looks for others. second is null, or a point of the other segment where the value is hot."""
+    halves = ("shiftrightunsigned(fp, 32)", "fp & 4294967295L")
+    cut = ", ".join(f"struct({k} as segment, {halves[k]} as value, {halves[1 - k]} as other)" for k in (0, 1))
+    held = distinct.select("fp", F.explode(F.expr(f"array({cut})")).alias("s")).select("fp", "s.*")
+    looked = F.expr(f"concat(array(struct(value, true as own)), transform({_cleared}, v -> struct(v as value, false as own)))")
+    places = held.select("fp", "segment", "other", F.explode(looked).alias("at")).select("fp", "segment", "other", "at.*")
+    crowded = held.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = stored(crowded.select("segment", F.explode(F.expr(f"concat(array(value), {_cleared})")).alias("value")).distinct())
+    if hot.isEmpty():
+        return places.select("segment", "value", F.lit(None).cast("long").alias("second"), "fp", "own")
+    # A bitmap of the hot values decides: a value that only shares its bit is split too, in table and probes alike.
+    place = F.struct("segment", "value")
+    split = marked(places, place, key_filter(hot, place), "hot")
+    points = F.expr(f"if(not hot, array(cast(null as bigint)), if(own, {_ball}, array(other)))")
+    return split.select("segment", "value", F.explode(points).alias("second"), "fp", "own")
+
+
 def hamming_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp``: a connected set of links for each set of
-    fingerprints that steps of RADIUS bits connect."""
-    flip = lambda first: f"transform(sequence({first}, {first + 31}), i -> fp ^ shiftleft(1L, i))"
-    points = distinct.select("fp", F.explode(F.expr(f"concat(array(fp), {flip(0)}, {flip(32)})")).alias("point"))
-    met = points.groupBy("point").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-    return pairs.where((F.col("a") != F.col("b")) & (F.expr("bit_count(a ^ b)") <= RADIUS)).distinct()
+    """All links (a, b), a < b, between the distinct fingerprints ``fp`` that differ in RADIUS bits or fewer."""
+    met = segment_places(distinct).groupBy("segment", "value", "second").agg(
+        F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("held"), F.collect_list(F.when(~F.col("own"), F.col("fp"))).alias("probes")
+    )
+    met = met.where((F.size("held") > 0) & (F.size("held") + F.size("probes") > 1))
+    pairs = met.select(F.explode("held").alias("x"), F.concat("held", "probes").alias("others")).select("x", F.explode("others").alias("y"))
+    near = pairs.where((F.col("x") != F.col("y")) & (F.expr("bit_count(x ^ y)") <= RADIUS))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -262,7 +293,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         met = stored(found.where("not more").select("rep", "id").distinct().join(compared, ["rep", "id"], "left_anti"))
         compared = compared.union(met)
         if groups is None or not met.isEmpty():
-            close = met.join(wides, "id").join(reps, "rep").where(apart <= WIDE_DISTANCE * SEGMENTS * SEGMENT_BITS).select("rep", "id")
+            chunked = dealt(met)
+            heads = chunked.select("rep", "chunk").distinct().join(reps, "rep")
+            close = chunked.join(wides, "id").join(heads, ["rep", "chunk"]).where(apart <= WIDE_DISTANCE * SEGMENTS * SEGMENT_BITS).select("rep", "id")
             links = links.union(stored(verified_pairs(stored(close), some, prepare, compare, [])))
             groups = connected_components(links.select(F.col("rep").alias("a"), F.col("id").alias("b")))
         left = found.where("more").select("id").distinct()
@@ -276,5 +309,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each group of ``near_duplicates`` the one with the smallest doc_id, and all
     documents without a near copy, with the columns of ``docs``."""
-    dropped = near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    return without(docs, near_duplicates(docs).where("component_id <> doc_id").select("doc_id"), "doc_id")

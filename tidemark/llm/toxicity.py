@@ -242,12 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     return ToxicityModel(lexicon, trees, knots, values)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; null texts are scored as empty.
-
-    Repeated identifiers are scored each; held_out is false for a null identifier. Other columns are not read.
-    """
-    ready_workers(docs.sparkSession)
+def _scorer(model: ToxicityModel):
+    """A pandas UDF from text to score."""
 
     @F.pandas_udf("double")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -255,7 +251,16 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for texts in batches:
             yield pd.Series(model.scores(np.array([features(t, codes) for t in texts]).reshape(len(texts), FEATURES)))
 
-    scored = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), toxic("text").alias("score"))
+    return toxic
+
+
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row; null texts are scored as empty, long ones whole.
+
+    Repeated identifiers are scored each; held_out is false for a null identifier. Other columns are not read.
+    """
+    ready_workers(docs.sparkSession)
+    scored = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), _scorer(model)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -265,15 +270,7 @@ def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted toxic, with the columns of ``docs``; identifiers must be unique."""
+    """The documents that are not predicted toxic, with the columns of ``docs``."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
     ready_workers(spark)
-
-    @F.pandas_udf("double")
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codes = WordCodes(model.lexicon)
-        for texts in batches:
-            yield pd.Series(model.scores(np.array([features(t, codes) for t in texts]).reshape(len(texts), FEATURES)))
-
-    return docs.where(toxic("text") < 0.5)
+    return docs.where(_scorer(model)("text") < 0.5)
