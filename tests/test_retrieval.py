@@ -17,6 +17,12 @@ def docs(spark):
     return spark.createDataFrame(list(TEXTS.items()), "id long, text string")
 
 
+@pytest.fixture
+def index(docs, tmp_path):
+    retrieval.write_index(docs, str(tmp_path / "index"))
+    return retrieval.read_index(docs.sparkSession, str(tmp_path / "index"))
+
+
 @pytest.fixture
 def asked(spark):
     return spark.createDataFrame(list(ASKED.items()), "query_id long, text string")
@@ -37,7 +43,7 @@ def got(df):
     return dict(out)
 
 
-def test_bm25_is_the_formula(docs, asked):
+def test_bm25_is_the_formula(index, asked):
     n, average = len(TEXTS), sum(len(words(t)) for t in TEXTS.values()) / len(TEXTS)
     df = Counter(w for t in TEXTS.values() for w in set(words(t)))
     expected = defaultdict(dict)
@@ -47,16 +53,16 @@ def test_bm25_is_the_formula(docs, asked):
             s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(words(t)) / average)) for w in words(text) if tf[w])
             if s:
                 expected[q][i] = round(s, 6)
-    found = retrieval.bm25_topk(docs, asked, 10)
+    found = retrieval.bm25_topk(index, asked, 10)
     assert got(found) == ranked(expected)
     assert all(abs(r.score - expected[r.query_id][r.id]) < 2e-6 for r in found.collect())
 
 
-def test_more_distinct_words_rank_higher_and_numbers_boost(docs, asked):
-    plain = got(retrieval.lexical_topk(docs, asked, 10, boost=0.0))
+def test_more_distinct_words_rank_higher_and_numbers_boost(index, asked):
+    plain = got(retrieval.lexical_topk(index, asked, 10, boost=0.0))
     assert plain[10][0] in (1, 2) and set(plain[10]) == {1, 2, 6}
-    boosted = {(r.query_id, r.id): r.score for r in retrieval.lexical_topk(docs, asked, 10).collect()}
-    without = {(r.query_id, r.id): r.score for r in retrieval.lexical_topk(docs, asked, 10, boost=0.0).collect()}
+    boosted = {(r.query_id, r.id): r.score for r in retrieval.lexical_topk(index, asked, 10).collect()}
+    without = {(r.query_id, r.id): r.score for r in retrieval.lexical_topk(index, asked, 10, boost=0.0).collect()}
     assert round(boosted[11, 6] - without[11, 6], 6) == 0.25
     assert boosted[10, 1] == without[10, 1]
 
@@ -75,13 +81,14 @@ def test_many_query_blocks_give_what_one_gives(spark, monkeypatch):
     queries = corpus.where("id % 7 = 0").withColumnRenamed("id", "query_id")
     whole = got(retrieval.dense_topk(corpus, queries, 4))
     monkeypatch.setattr(retrieval, "BLOCK", 2)
+    monkeypatch.setattr(retrieval, "PASS_BLOCKS", 2)
     assert got(retrieval.dense_topk(corpus, queries, 4)) == whole
 
 
-def test_terms_too_many_to_broadcast_give_the_same(docs, asked, monkeypatch):
-    small = got(retrieval.bm25_topk(docs, asked, 10))
-    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 1)
-    assert got(retrieval.bm25_topk(docs, asked, 10)) == small
+def test_terms_too_many_to_broadcast_give_the_same(index, asked, monkeypatch):
+    few = got(retrieval.bm25_topk(index, asked, 10))
+    monkeypatch.setattr(retrieval.small, "__defaults__", (1,))
+    assert got(retrieval.bm25_topk(index, asked, 10)) == few
 
 
 LEG = "query_id long, id long, rank long"

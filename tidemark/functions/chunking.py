@@ -7,7 +7,6 @@ with some characters repeated at the head of the next piece. Code is cut where a
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,28 +25,23 @@ def overlap_used(most: int, overlap: int) -> int:
 
 
 def cut_long(block: str, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
-    """Pieces of ``most`` characters at most, cut at blanks where one is near enough."""
+    """Pieces of ``most`` characters at most; one pattern says where a piece ends.
+
+    A piece is the longest run that a blank follows, if it has the least length, and else ``most`` characters.
+    The next piece begins behind the first blank of the last characters that may be repeated, if that blank isn't
+    nearer to the piece's own begin than the least length.
+    """
     if most < 1:
         raise ValueError("most must be 1 or more")
-    blanks = [m.start() for m in _blank.finditer(block)]
-    repeat, least = overlap_used(most, overlap), most // LEAST_PART
-    pieces, start = [], 0
-    while len(block) - start > most:
-        limit = start + most
-        before = bisect_left(blanks, limit) - 1
-        cut = blanks[before] if before >= 0 else -1
-        if cut <= start or cut - start < least:
-            cut = limit
-        pieces.append(block[start:cut])
-        following = cut
-        if repeat:
-            # The first blank that repeats no more than ``repeat`` characters.
-            i = bisect_left(blanks, max(start + 1, cut - repeat))
-            if i < len(blanks) and blanks[i] < cut and blanks[i] - start >= least:
-                following = blanks[i] + 1
-        start = following
-    pieces.append(block[start:])
-    return [p.strip() for p in pieces if p.strip()]
+    least, repeat = most // LEAST_PART, overlap_used(most, overlap)
+    piece = re.compile(rf"(?s:.{{{max(1, least)},{most - 1}}}(?=[ \n])|.{{{most}}})" if most > 1 else r"(?s:.)")
+    found, begin = [], 0
+    while begin + most < len(block):
+        end = piece.match(block, begin).end()
+        found.append(block[begin:end])
+        shared = _blank.search(block, max(begin + 1, end - repeat), end) if repeat else None
+        begin = shared.end() if shared and shared.start() >= begin + least else end
+    return [text for text in map(str.strip, [*found, block[begin:]]) if text]
 
 
 def pack(blocks: list[str], most: int) -> list[str]:

@@ -10,9 +10,15 @@ TOKEN = "[a-z0-9]+"
 NUMERIC_TERM = r"(?<![\w.])[+-]?\d+(?:[.,]\d+)?%?(?![\w.])"
 NUMBER = r"(?:(?<![\w.%])[-+])?\d+(?:[.,]\d+)*%?"
 CLOSURE_MARKER = r"(?i)\b(superseded by|supersedes|replaced by|replaces|deprecated|obsolete)\b"
-RELATIONAL_QUERY = r"(?i)\b(why|how|when|before|after|compare|versus|difference|changed|instead)\b"
+RELATIONAL_QUERY = (
+    r"(?i)\b(?:why|how|when|before|after|compare|comparison|difference|changed|change|"
+    r"decision|decided|status|result|outcome|outcomes|happened|led|caused|consequence|following|"
+    r"subsequent|entity|entities|each|per)\b"
+    r"|\b(?:this|that|it|they|them)\b"
+)
 SPEAKER_TAG = r"^\|[^|]*\|:\s*"
 LEAST_SKELETON = 12
+CODE = (r"(?s)```.*?```", r"(?s)~~~.*?~~~", r"(?is)<pre\b.*?</pre>", r"(?is)<code\b.*?</code>", r"`[^`\n]+`")
 
 
 def tokens(text: Column) -> Column:
@@ -26,6 +32,33 @@ def numeric_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("."))))
 
 
+def relational(query: Column) -> Column:
+    """Whether a query asks how things relate: only such queries are expanded."""
+    return F.coalesce(query, F.lit("")).rlike(RELATIONAL_QUERY)
+
+
+def without_code(text: Column) -> Column:
+    """A text with fenced blocks, <pre> and <code> elements and inline code spans as blanks."""
+    for pattern in CODE:
+        text = F.regexp_replace(text, pattern, " ")
+    return text
+
+
+def code_density(text: Column) -> Column:
+    """Share of a text's words that stand in code; null without a word."""
+    words = lambda t: F.size(F.regexp_extract_all(t, F.lit(r"\w+"), F.lit(0)))
+    text = F.coalesce(text, F.lit(""))
+    return (words(text) - words(without_code(text))) / F.nullif(words(text), F.lit(0))
+
+
+def safe_reference(name: Column, most: int = 120) -> Column:
+    """A name from the corpus as quoted data: one line, no control or format characters, no quotes, bounded."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]", ""), '"', "'"), r"[\s\p{Z}]+", " ")
+    plain = F.trim(plain)
+    short = F.when(F.char_length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("…"))).otherwise(plain)
+    return F.when(name.isNull() | (plain == ""), "unknown").otherwise(F.concat(F.lit('"'), short, F.lit('"')))
+
+
 def supersedes_key(value: Column) -> Column:
     """What a reference and a file name are matched by: no brackets, no folder, no ``.md``."""
     bare = F.regexp_replace(F.trim(value), r"^(?:\[\s*)+(.*?)(?:\s*\])+$", "$1")

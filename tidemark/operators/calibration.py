@@ -11,20 +11,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.stats import auc_interval, certified, floor3
+from tidemark.sources.shared import stored
 
 ANSWERABLE_Q, UNANSWERABLE_Q = 0.05, 0.95
+#: Rows up to which running sums are left to one window.
+ONE_TASK = 200_000
 
 
-def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Adds n (rows of the group) and at (0-based place in ascending order, ties by nothing further).
+def running_totals(df: DataFrame, by: list[str], value: str, columns: dict[str, str]) -> DataFrame:
+    """Adds, for each new column of ``columns``, the sum of its source over the group's rows with a lesser ``value``.
 
-    Places come from counts of equal values: a running sum over distinct values, so a group's rows needn't meet
-    in one task; rows that tie share the place range [at, at + times).
+    ``df`` has one row a group and value. A group over ONE_TASK rows in all is cut into ranges of values: each range
+    sums its own rows and adds what the ranges before it hold, so no task orders a whole group.
     """
+    sums = lambda window: {new: F.coalesce(F.sum(old).over(window), F.lit(0)) for new, old in columns.items()}
+    if df.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return df.withColumns(sums(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)))
+    parts = stored(df.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    held = parts.groupBy(*by, "_part").agg(*[F.sum(old).alias(f"_{new}") for new, old in columns.items()])
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = held.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"), *[F.coalesce(F.sum(f"_{new}").over(earlier), F.lit(0)).alias(f"_{new}") for new in columns])
+    same = F.col("_part") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = parts.withColumns(sums(W.partitionBy(*by, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)))
+    joined = inside.join(starts, same)
+    return joined.withColumns({new: F.col(new) + F.col(f"_{new}") for new in columns}).select(*df.columns, *columns)
+
+
+def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, times, at, n): rows of the group with that value, with lesser ones, and in all."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
-    group = W.partitionBy(*by)
-    before = group.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return counts.withColumn("at", F.coalesce(F.sum("times").over(before), F.lit(0))).withColumn("n", F.sum("times").over(group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    placed = running_totals(counts, by, value, {"at": "times"})
+    if not by:
+        return placed.join(F.broadcast(counts.agg(F.sum("times").alias("n"))))  # one row
+    totals = counts.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.sum("times").alias("n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    return placed.join(totals, same).drop(*[f"_t_{c}" for c in by])
 
 
 def quantile_by_index(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
@@ -42,8 +67,7 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, q: float, name: str)
 def auc(samples: DataFrame) -> DataFrame:
     """(n_pos, n_neg, auc): chance that a positive outscores a negative, ties a half; null if a class is empty."""
     by_score = samples.groupBy("score").agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("m"))
-    before = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)  # over distinct scores only
-    wins = by_score.withColumn("lower", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    wins = running_totals(by_score, [], "score", {"lower": "m"})
     sums = wins.agg(F.sum("p").alias("n_pos"), F.sum("m").alias("n_neg"), F.sum(F.col("p") * (F.col("lower") + 0.5 * F.col("m"))).alias("won"))
     both = F.col("n_pos") * F.col("n_neg")
     return sums.select(F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.coalesce("n_neg", F.lit(0)).alias("n_neg"), F.when(both > 0, F.col("won") / both).alias("auc"))
@@ -93,30 +117,27 @@ def leave_one_out(samples: DataFrame) -> DataFrame:
     """(false_abstain, false_confirm): each sample judged at the threshold fitted without it.
 
     Without the i-th smallest value the quantile's place shifts by one at most, so every fold's threshold is one
-    of two values of its class: no fold is refitted.
+    of two values of its class: no fold is refitted. Samples with one score are judged together: those up to the
+    place at one threshold, those after it at the other.
     """
-    place = {True: ANSWERABLE_Q, False: UNANSWERABLE_Q}
-    order = W.partitionBy("label").orderBy("score")
-    placed = samples.withColumn("i", F.row_number().over(order).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("label")))
-
-    def value(label: bool, at: Column, name: str) -> DataFrame:
-        rows = placed.where(F.col("label") == label)
-        return rows.where(F.col("i") == at).agg(F.max("score").alias(name))
-
-    def bounds(label: bool) -> DataFrame:
-        q = place[label]
-        whole, less = F.least(F.col("n") - 1, F.floor(q * F.col("n"))), F.least(F.col("n") - 2, F.floor(q * (F.col("n") - 1)))
-        p = "p" if label else "m"
-        return value(label, whole, f"{p}_all").join(value(label, less, f"{p}_here")).join(value(label, less + 1, f"{p}_next")).join(placed.where(F.col("label") == label).agg(F.max(less).alias(f"{p}_at")))
-
-    judged = placed.join(F.broadcast(bounds(True).join(bounds(False))))  # one row
-    own = lambda p: F.when(F.col("i") <= F.col(f"{p}_at"), F.col(f"{p}_next")).otherwise(F.col(f"{p}_here"))
+    q = F.when(F.col("label"), ANSWERABLE_Q).otherwise(UNANSWERABLE_Q)
+    placed = stored(ranked(samples.select("label", "score"), ["label"], "score")).withColumn("less", F.least(F.col("n") - 2, F.floor(q * (F.col("n") - 1))))
+    holds = lambda at: F.max(F.when((F.col("at") <= at) & (at < F.col("at") + F.col("times")), F.col("score")))
+    whole = F.least(F.col("n") - 1, F.floor(q * F.col("n")))
+    bounds = placed.groupBy("label").agg(holds(whole).alias("all"), holds(F.col("less")).alias("here"), holds(F.col("less") + 1).alias("next"))
+    one = lambda label, p: bounds.where(F.col("label") == label).agg(*[F.max(c).alias(f"{p}_{c}") for c in ("all", "here", "next")])
+    judged = placed.join(F.broadcast(one(True, "p"))).join(F.broadcast(one(False, "m")))  # one row each
     alone = F.col("n") == 1
-    cut = F.when(F.col("label"), threshold_of(F.when(~alone, own("p")), F.col("m_all"))).otherwise(threshold_of(F.col("p_all"), F.when(~alone, own("m"))))
-    return judged.withColumn("cut", cut).agg(
-        F.avg(F.when(F.col("label"), (F.col("score") < F.col("cut")).cast("double"))).alias("false_abstain"),
-        F.avg(F.when(~F.col("label"), (F.col("score") >= F.col("cut")).cast("double"))).alias("false_confirm"),
-    )
+
+    def wrong(own: str) -> Column:
+        p, m = F.when(~alone, F.col(f"p_{own}")), F.when(~alone, F.col(f"m_{own}"))
+        cut = F.when(F.col("label"), threshold_of(p, F.col("m_all"))).otherwise(threshold_of(F.col("p_all"), m))
+        return F.when(F.col("label"), F.col("score") < cut).otherwise(F.col("score") >= cut).cast("double")
+
+    before = F.greatest(F.lit(0), F.least(F.col("times"), F.col("less") + 1 - F.col("at")))
+    errors = before * wrong("next") + (F.col("times") - before) * wrong("here")
+    rate = lambda label: F.sum(F.when(label, errors)) / F.sum(F.when(label, F.col("times")))
+    return judged.agg(rate(F.col("label")).alias("false_abstain"), rate(~F.col("label")).alias("false_confirm"))
 
 
 def drift_verdict(delta: Column, is_certified: Column, probed: Column, probe_failed: Column) -> Column:

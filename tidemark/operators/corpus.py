@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.text import CLOSURE_MARKER, LEAST_SKELETON, NUMBER, skeleton, supersedes_key, version_of
 from tidemark.operators.trust import resolve_references
+from tidemark.sources.shared import stored
+
+#: Days that windows are compared in: 2^LEVELS from 1970 on; earlier and later ones count as the first and the last.
+LEVELS = 17
 
 #: Patterns of the rules.
 DIRECT_REFERENCE = r"(?i)\b(?:replaces|supersedes|deprecates|updates|revises)\s+`?([\w./\-\[\]]+)`?"
@@ -69,31 +73,40 @@ def ordering_proposals(docs: DataFrame, authored: DataFrame | None = None) -> Da
     return _proposal(_without_authored(pairs, authored, "file", "newer"), "temporal_ordering", "file", "newer")
 
 
-def overlapping_pairs(windows: DataFrame, days: int = 30) -> DataFrame:
-    """Pairs (subject, left, right) of one subject whose [valid_from, valid_until] meet; nulls are open ends.
+def dyadic_blocks(first: Column, last: Column) -> Column:
+    """The fewest blocks (level, block) of 2^level days that make up the days [first, last]: two a level at most."""
+    odd = lambda x: x % 2 == 1
+
+    def step(s, level):
+        low, high = s["low"], s["high"]
+        block = lambda at: F.array(F.struct(level.alias("level"), at.alias("block")))
+        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        more = F.concat(F.when((low < high) & odd(low), block(low)).otherwise(none), F.when((low < high) & odd(high), block(high - 1)).otherwise(none))
+        return F.struct(F.floor((low + 1) / 2).alias("low"), F.floor(high / 2).alias("high"), F.concat(s["found"], more).alias("found"))
+
+    begin = F.struct(first.alias("low"), (last + 1).alias("high"), F.array().cast("array<struct<level:int,block:bigint>>").alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), begin, step, lambda s: s["found"])
+
 
-    An interval join by buckets: closed windows are listed in the buckets of ``days`` that they touch, and a pair
-    is taken in the bucket where the later one starts, so each pair appears once. Windows with an open end are
-    joined by subject alone, as all later ones meet them.
+def overlapping_pairs(windows: DataFrame) -> DataFrame:
+    """Pairs (subject, left, right) of one subject and opposite polarity whose [valid_from, valid_until] meet.
+
+    Of two windows that meet, the one that starts later starts inside the other. Windows are cut into dyadic blocks
+    of days and starts are looked up in the blocks around them, so this is a join by equality; a pair is found in
+    one block only. Nulls are open ends, and no other case.
     """
-    w = windows.select("subject", "file", "polarity", "valid_from", "valid_until")
-    width = days * 86400
-    closed = w.where("valid_from is not null and valid_until is not null and valid_from <= valid_until")
-    spread = closed.withColumn("b0", F.floor(F.unix_timestamp("valid_from") / width)).withColumn("b1", F.floor(F.unix_timestamp("valid_until") / width))
-    a = spread.withColumn("bucket", F.explode(F.sequence("b0", "b1")))
-    left = a.select("subject", "bucket", *[F.col(c).alias(f"l_{c}") for c in ("file", "polarity", "valid_from", "valid_until", "b0")])
-    right = a.select("subject", "bucket", *[F.col(c).alias(f"r_{c}") for c in ("file", "polarity", "valid_from", "valid_until", "b0")])
-    meet = (F.greatest("l_valid_from", "r_valid_from") <= F.least("l_valid_until", "r_valid_until")) & (F.col("bucket") == F.greatest("l_b0", "r_b0"))
-    opposed = (F.col("l_polarity") != 0) & (F.col("l_polarity") + F.col("r_polarity") == 0)
-    inner = left.join(right, ["subject", "bucket"]).where((F.col("l_file") < F.col("r_file")) & opposed & meet).select("subject", "l_file", "r_file")
-    opened = w.where("valid_from is null or valid_until is null")
-    o = opened.select("subject", *[F.col(c).alias(f"o_{c}") for c in ("file", "polarity", "valid_from", "valid_until")])
-    every = w.select("subject", *[F.col(c).alias(f"e_{c}") for c in ("file", "polarity", "valid_from", "valid_until")])
-    touch = F.coalesce(F.col("o_valid_from") <= F.col("e_valid_until"), F.lit(True)) & F.coalesce(F.col("e_valid_from") <= F.col("o_valid_until"), F.lit(True))
-    proper = F.coalesce(F.col("e_valid_from") <= F.col("e_valid_until"), F.lit(True))
-    outer = o.join(every, "subject").where((F.col("o_file") != F.col("e_file")) & (F.col("o_polarity") != 0) & (F.col("o_polarity") + F.col("e_polarity") == 0) & touch & proper)
-    ends = outer.select("subject", F.least("o_file", "e_file").alias("l_file"), F.greatest("o_file", "e_file").alias("r_file")).distinct()
-    return inner.unionByName(ends).select("subject", F.col("l_file").alias("left"), F.col("r_file").alias("right"))
+    w = windows.where("polarity <> 0 and coalesce(valid_from <= valid_until, true)").select("subject", "file", "polarity", "valid_from", "valid_until")
+    day = lambda c, absent: F.greatest(F.lit(0), F.least(F.lit((1 << LEVELS) - 1), F.coalesce(F.floor(F.unix_timestamp(c) / 86400), F.lit(absent))))
+    placed = w.withColumn("first", day("valid_from", 0)).withColumn("last", day("valid_until", (1 << LEVELS) - 1)).withColumn("nr", F.monotonically_increasing_id())
+    placed = stored(placed)
+    blocks = placed.withColumn("at", F.explode(dyadic_blocks(F.col("first"), F.col("last"))))
+    around = placed.select("subject", "file", F.col("polarity").alias("other"), "valid_from", "nr", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("first"), k).alias("block")))).alias("at"))
+    a = blocks.select("subject", F.col("polarity").alias("p"), "at.*", F.col("file").alias("a_file"), F.col("valid_from").alias("a_from"), F.col("valid_until").alias("a_until"), F.col("nr").alias("a_nr"))
+    b = around.select("subject", (-F.col("other")).alias("p"), "at.*", F.col("file").alias("b_file"), F.col("valid_from").alias("b_from"), F.col("nr").alias("b_nr"))
+    begin = lambda c: F.coalesce(F.col(c), F.lit("0001-01-01").cast("timestamp"))
+    later = (begin("b_from") > begin("a_from")) | ((begin("b_from") == begin("a_from")) & (F.col("b_nr") > F.col("a_nr")))
+    met = a.join(b, ["subject", "p", "level", "block"]).where(later & F.coalesce(F.col("b_from") <= F.col("a_until"), F.lit(True)) & (F.col("a_file") != F.col("b_file")))
+    return met.select("subject", F.least("a_file", "b_file").alias("left"), F.greatest("a_file", "b_file").alias("right"))
 
 
 def polarity(text: Column) -> Column:
@@ -189,28 +202,29 @@ def lint(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def cycles(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(file): the least member of each cycle of ``edges`` (target, successor).
+def cycles(edges: DataFrame) -> DataFrame:
+    """(file): the least member of each cycle of ``edges`` (target, successor), where a file names one target.
 
-    Nodes without an edge in or out are trimmed until none is left; what stays are cycles and the paths between
-    them, and the nodes that reach themselves are found by doubling the reached pairs of this small rest.
+    Pointers double: after k rounds a file points to the 2^k-th file of its walk, or has ended. The files pointed to
+    get fewer each round until they are the members of cycles, each of which then takes the least of its cycle in
+    as many rounds again. A file with several targets keeps the greatest.
     """
-    left = edges.distinct()
+    step = stored(edges.groupBy(F.col("successor").alias("x")).agg(F.max("target").alias("y")))
+    walk, before = step, None
     while True:
-        size = left.count()
-        trimmed = left.join(left.select(F.col("target").alias("successor")).distinct(), "successor", "left_semi").join(left.select(F.col("successor").alias("target")).distinct(), "target", "left_semi").select("target", "successor")
-        left = trimmed.cache()
-        if left.count() == size:
-            break
-    reach = left
-    for _ in range(rounds):
-        size = reach.count()
-        more = reach.join(reach.select(F.col("target").alias("successor"), F.col("successor").alias("next")), "successor").select("target", F.col("next").alias("successor"))
-        reach = reach.unionByName(more).distinct().cache()
-        if reach.count() == size:
+        alive, images = walk.count(), walk.select("y").distinct().count()
+        if (alive, images) == before:
             break
-    back = reach.select(F.col("successor").alias("target"), F.col("target").alias("successor"))
-    return reach.join(back, ["target", "successor"], "left_semi").groupBy("target").agg(F.min("successor").alias("file")).select("file").distinct()
+        before = (alive, images)
+        walk = stored(walk.join(walk.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")))
+    members = walk.select(F.col("y").alias("x")).distinct()
+    least = stored(step.join(members, "x", "left_semi").select("x", "y", F.least("x", "y").alias("low")))
+    while True:
+        ahead = least.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("low").alias("far"))
+        after = stored(least.join(ahead, "y").select("x", F.col("z").alias("y"), F.least("low", "far").alias("low"), F.col("low").alias("was")))
+        least = after.drop("was")
+        if after.where("low <> was").isEmpty():
+            return least.select(F.col("low").alias("file")).distinct()
 
 
 def graph_diagnostics(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.stats import exact_two_sided, wilson
 from tidemark.functions.text import answer_words, tokens
+from tidemark.operators.calibration import running_totals
+from tidemark.operators.retrieval import small
 
 
 def ranking_metrics(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -45,11 +47,10 @@ def rates(flags: DataFrame, by: list[str], flag: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties at their mean; ranks come from a running count over distinct values."""
+    """Ranks from 1, ties at their mean; from running counts over distinct values, in ranges where they are many."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_t"))
-    before = W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.select(value, (F.coalesce(F.sum("_t").over(before), F.lit(0)) + (F.col("_t") + 1) / 2).alias(name))
-    return df.join(ranked, value)
+    ranks = running_totals(counts, [], value, {"_lower": "_t"}).select(value, (F.col("_lower") + (F.col("_t") + 1) / 2).alias(name))
+    return df.join(ranks, value)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -81,20 +82,23 @@ def token_f1(pairs: DataFrame) -> DataFrame:
     return held.withColumn("f1", f1).drop("_p", "_g")
 
 
-def vocabulary_overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def vocabulary_overlap(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, n_terms, known): distinct words of a query and those that occur anywhere in the corpus."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    seen = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").distinct().withColumn("_in", F.lit(1))
+    terms = query_words(queries)
+    seen = postings.select("term").join(small(terms.select("term").distinct()), "term", "left_semi").distinct().withColumn("_in", F.lit(1))
     return terms.join(seen, "term", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"), F.count("_in").alias("known"))
 
 
-def rare_term_support(docs: DataFrame, queries: DataFrame, most_share: float) -> DataFrame:
+def rare_term_support(postings: DataFrame, n_docs: int, queries: DataFrame, most_share: float) -> DataFrame:
     """(query_id, id, n): rare query words (in at most that share of documents) that a document holds."""
-    n = docs.count()
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    found = docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    rare = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most_share * n).select("term")
-    return found.join(rare, "term").join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    terms = query_words(queries)
+    found = postings.select("id", "term").join(small(terms.select("term").distinct()), "term", "left_semi")
+    rare = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most_share * n_docs).select("term")
+    return found.join(small(rare), "term").join(small(terms), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def query_words(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
 def arms_differ(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -8,19 +8,24 @@ fall to the smallest id whatever the order of summation.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.text import numeric_terms, tokens
+from tidemark.sources.shared import stored
 
 ROUND = 9
-#: Query vectors in one pass over the corpus; terms of queries up to which they are broadcast.
-BLOCK, BROADCAST_TERMS = 2048, 200_000
+#: Query vectors in a block and blocks in one pass over the corpus; terms of queries up to which they are broadcast.
+BLOCK, PASS_BLOCKS, BROADCAST_TERMS = 2048, 8, 200_000
+#: Folders of the postings, and tasks that write one of them.
+TERM_BUCKETS, TERM_SPLITS = 32, 4
 RRF_K, CANDIDATES, RETURNED = 60, 20, 5
 BM25_K1, BM25_B = 1.5, 0.75
 
@@ -31,89 +36,157 @@ def top_k(scored: DataFrame, k: int, *, by: tuple = ("query_id",), tie: str = "i
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _block_scores(block: list, k: int):
-    ids = [r.query_id for r in block]
-    queries = np.array([r.vector for r in block], dtype=np.float64).reshape(len(block), -1)
-    size = np.linalg.norm(queries, axis=1)
-    queries = queries / np.where(size > 0, size, np.nan)[:, None]
+def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``most`` rows; else the join is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if its files give fewer (one row group is one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _unit_rows(vectors: list) -> np.ndarray:
+    rows = np.stack(vectors).astype(np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
+def _block_scores(sent, k: int):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[b.vector.notna()]
             if not len(b):
                 continue
-            rows = np.stack(b.vector.to_numpy()).astype(np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                found = np.round(queries @ (rows / np.linalg.norm(rows, axis=1)[:, None]).T, ROUND)
-            found[np.isnan(found)] = -np.inf
-            # What is under the k-th best of this batch can't be among the k best of all; ties are kept.
-            bar = np.partition(found, -k, axis=1)[:, -k] if len(b) > k else np.full(len(ids), -np.inf)
-            q, at = np.nonzero((found >= bar[:, None]) & np.isfinite(found))
-            yield pd.DataFrame({"query_id": [ids[i] for i in q], "id": b.id.to_numpy()[at], "score": found[q, at]})
+            rows = _unit_rows(b.vector.tolist())
+            for ids, queries in sent.value:
+                found = np.round(queries @ rows.T, ROUND)
+                found[np.isnan(found)] = -np.inf
+                # What is under the k-th best of this batch can't be among the k best of all; ties are kept.
+                bar = np.partition(found, -k, axis=1)[:, -k] if len(b) > k else np.full(len(ids), -np.inf)
+                q, at = np.nonzero((found >= bar[:, None]) & np.isfinite(found))
+                yield pd.DataFrame({"query_id": ids[q], "id": b.id.to_numpy()[at], "score": found[q, at]})
 
     return score
 
 
+def _query_passes(queries: DataFrame, make) -> Iterator:
+    """Passes over the corpus: broadcasts of PASS_BLOCKS blocks of BLOCK queries; the driver holds one pass."""
+    rows = queries.where("vector is not null").orderBy("query_id").toLocalIterator()
+    while block := list(islice(rows, BLOCK * PASS_BLOCKS)):
+        parts = [block[at : at + BLOCK] for at in range(0, len(block), BLOCK)]
+        yield queries.sparkSession.sparkContext.broadcast([(np.array([r.query_id for r in p], dtype=np.int64), make([r.vector for r in p])) for p in parts])
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """Exact cosine top-k. ``corpus`` is (id, vector), ``queries`` (query_id, vector), identifiers long.
 
-    Zero and null vectors are never found. Each task multiplies a batch with a block of query vectors and passes
-    on its k best, so what is shuffled is k rows a query and batch.
+    Zero and null vectors are never found. Each task multiplies a batch with blocks of query vectors and passes on
+    its k best, so what is shuffled is k rows a query and batch. The corpus is read once for each pass of queries.
     """
-    rows = queries.where("vector is not null").orderBy("query_id").toLocalIterator()
-    blocks: list[list] = [[]]
-    for r in rows:
-        if len(blocks[-1]) == BLOCK:
-            blocks.append([])
-        blocks[-1].append(r)
-    schema = "query_id long, id long, score double"
-    parts = [corpus.select("id", "vector").mapInPandas(_block_scores(b, k), schema) for b in blocks if b]
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], schema + ", rank long")
-    return top_k(reduce(DataFrame.unionByName, parts), k)
+    schema, best = "query_id long, id long, score double", None
+    for sent in _query_passes(queries, _unit_rows):
+        part = top_k(corpus.select("id", "vector").mapInPandas(_block_scores(sent, k), schema), k)
+        best = part if best is None else stored(best).unionByName(stored(part))
+    return corpus.sparkSession.createDataFrame([], schema + ", rank long") if best is None else best
+
+
+def max_sim_by_group(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(grp, score): late interaction of the query vectors with each group's vectors (grp, vector): for each query
+    vector its best dot product in the group, summed. Batches give their maxima, so no group is gathered."""
+    schema, best = "grp long, query_id long, best double", None
+
+    def scores(sent):
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b = b[b.vector.notna() & b.grp.notna()]
+                for grp, part in b.groupby("grp"):
+                    rows = np.stack(part.vector.tolist()).astype(np.float64)
+                    for ids, q in sent.value:
+                        yield pd.DataFrame({"grp": int(grp), "query_id": ids, "best": (q @ rows.T).max(axis=1)})
+
+        return score
+
+    for sent in _query_passes(queries, lambda vs: np.stack(vs).astype(np.float64)):
+        part = corpus.select("grp", "vector").mapInPandas(scores(sent), schema)
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        return corpus.sparkSession.createDataFrame([], "grp long, score double")
+    return best.groupBy("grp", "query_id").agg(F.max("best").alias("best")).groupBy("grp").agg(F.sum("best").alias("score"))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(id, n_tokens, term, tf) of ``docs`` (id, text)."""
+    words = docs.select("id", tokens(F.col("text")).alias("words")).select("id", F.size("words").alias("n_tokens"), F.explode("words").alias("term"))
+    return words.groupBy("id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def _small(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+@dataclass(frozen=True)
+class TextIndex:
+    """Stored postings in folders by term, one row of corpus figures, and the numbers in texts."""
 
+    terms: DataFrame
+    stats: DataFrame
+    numbers: DataFrame
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(id, n_tokens, term, tf); only of ``terms`` if given, which keeps all other words out of the shuffle."""
-    words = docs.select("id", tokens(F.col("text")).alias("words")).select("id", F.size("words").alias("n_tokens"), F.explode("words").alias("term"))
-    if terms is not None:
-        words = words.join(_small(terms.select("term").distinct()), "term", "left_semi")
-    return words.groupBy("id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """Postings of the wanted terms (term): only the folders of their buckets are read."""
+        buckets = [r[0] for r in wanted.select(term_bucket(F.col("term"))).distinct().collect()]  # TERM_BUCKETS at most
+        return self.terms.where(F.col("bucket").isin(buckets)).join(small(wanted.select("term").distinct()), "term", "left_semi")
+
+
+def write_index(docs: DataFrame, folder: str) -> None:
+    """Index ``docs`` (id, text) for the text legs. Rows of a term are dealt to tasks by id, so common words spread."""
+    made = postings(docs).withColumn("bucket", term_bucket(F.col("term")))
+    dealt = made.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(TERM_SPLITS)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
+    sizes = docs.select(F.size(tokens(F.col("text"))).alias("n"))
+    sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl")).write.parquet(f"{folder}/stats")
+    docs.select("id", F.explode(numeric_terms(F.col("text"))).alias("number")).write.parquet(f"{folder}/numbers")
+
+
+def read_index(spark: SparkSession, folder: str) -> TextIndex:
+    return TextIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("terms", "stats", "numbers")))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """Okapi BM25 over ``docs`` (id, text) for ``queries`` (query_id, text); repeated query words count each."""
+def _query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+
+
+def bm25_topk(index: TextIndex, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """Okapi BM25 for ``queries`` (query_id, text); repeated query words count each."""
     wanted = _query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    found = postings(docs, wanted)
-    stats = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl"))
+    found = index.of(wanted)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    weighted = wanted.join(df, "term").crossJoin(F.broadcast(index.stats))  # stats is one row
     idf = F.ln(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1.0 - BM25_B + BM25_B * (F.col("n_tokens") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * (F.col("tf") * (BM25_K1 + 1.0)) / (F.col("tf") + BM25_K1 * norm)
     weights = weighted.select("query_id", "term", "times", "avgdl", idf.alias("idf"))
-    scored = found.join(_small(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = found.join(small(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, k)
 
 
-def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, boost: float = 0.25) -> DataFrame:
-    """OR semantics: distinct query words found, plus their saturated frequency, plus ``boost`` if a number of
-    the query occurs in the text. More words always rank higher. A query without a word finds nothing."""
+def lexical_scores(index: TextIndex, queries: DataFrame, boost: float = 0.25) -> DataFrame:
+    """(query_id, id, score): distinct query words found, plus their saturated frequency, plus ``boost`` if a number
+    of the query occurs in the text. More words always rank higher. A query without a word finds nothing."""
     wanted = _query_terms(queries).distinct()
-    hits = postings(docs, wanted).join(_small(wanted), "term")
-    ranked = hits.groupBy("query_id", "id").agg((F.count(F.lit(1)) + F.sum(F.col("tf") / (F.col("tf") + 1.0)) / 1000.0).alias("base"))
+    hits = index.of(wanted).join(small(wanted), "term")
+    base = hits.groupBy("query_id", "id").agg((F.count(F.lit(1)) + F.sum(F.col("tf") / (F.col("tf") + 1.0)) / 1000.0).alias("base"))
     numbers = queries.select("query_id", F.explode(numeric_terms(F.col("text"))).alias("number")).distinct()
-    having = docs.select("id", F.explode(numeric_terms(F.col("text"))).alias("number")).join(_small(numbers), "number").select("query_id", "id").distinct()
-    scored = ranked.join(having.withColumn("boosted", F.lit(boost)), ["query_id", "id"], "left")
-    return top_k(scored.select("query_id", "id", F.round(F.col("base") + F.coalesce("boosted", F.lit(0.0)), ROUND).alias("score")), k)
+    having = index.numbers.join(small(numbers), "number").select("query_id", "id").distinct().withColumn("boosted", F.lit(boost))
+    scored = base.join(having, ["query_id", "id"], "left")
+    return scored.select("query_id", "id", F.round(F.col("base") + F.coalesce("boosted", F.lit(0.0)), ROUND).alias("score"))
+
+
+def lexical_topk(index: TextIndex, queries: DataFrame, k: int = CANDIDATES, boost: float = 0.25) -> DataFrame:
+    """The best of ``lexical_scores``: OR semantics."""
+    return top_k(lexical_scores(index, queries, boost), k)
 
 
 def prune_weights(weights: Column, k: int) -> Column:
@@ -124,7 +197,7 @@ def prune_weights(weights: Column, k: int) -> Column:
 
 def sparse_topk(index: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """Inner product of sparse vectors as postings (id, term, weight) and (query_id, term, weight); only > 0."""
-    terms = _small(queries.withColumnRenamed("weight", "query_weight"))
+    terms = small(queries.withColumnRenamed("weight", "query_weight"))
     scored = index.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score"))
     return top_k(scored.where("score > 0"), k)
 
@@ -147,7 +220,7 @@ def rerank_by_overlap(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> D
     """Reorder hits by the share of query words in the text; scores stay as they are."""
     words = docs.select("id", F.array_distinct(tokens(F.col("text"))).alias("words"))
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("asked"))
-    scored = hits.join(words, "id").join(F.broadcast(asked), "query_id").withColumn("overlap", F.round(F.size(F.array_intersect("asked", "words")) / F.greatest(F.size("asked"), F.lit(1)), 9))
+    scored = hits.join(words, "id").join(small(asked), "query_id").withColumn("overlap", F.round(F.size(F.array_intersect("asked", "words")) / F.greatest(F.size("asked"), F.lit(1)), 9))
     order = W.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")
     return scored.select("query_id", "id", "score", "overlap", F.row_number().over(order).cast("long").alias("rank"))
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.stats import confidence
-from tidemark.functions.text import supersedes_key
+from tidemark.functions.text import safe_reference, supersedes_key
+from tidemark.sources.shared import stored
 
 #: Rounds of successor walking at most; a chain of 2^n edges needs n.
 MAX_ROUNDS = 40
@@ -72,17 +73,16 @@ def successors(live: DataFrame) -> DataFrame:
 
     A file that names itself has none. A walk that meets a file again has no end, and gives the direct successor:
     so for cycles, for chains into a cycle, and for chains that end in a file naming itself. Pointers double, so
-    there are as many rounds as the logarithm of the longest chain; every round is a checkpoint if the session
-    has a folder for it. A round in which no walk comes to its end shows that the rest run in circles: a longer
+    there are as many rounds as the logarithm of the longest chain; every round is a stored table. A round in which no walk comes to its end shows that the rest run in circles: a longer
     chain would hold a shorter one that ends.
     """
     step = live.where("target is not null and successor is not null").select(F.col("target").alias("file"), F.col("successor").alias("direct"))
-    step = _cut(step)
+    step = stored(step)
     walk = step.withColumnRenamed("direct", "at")
     moving = None
     for _ in range(MAX_ROUNDS):
         ahead = walk.select(F.col("file").alias("at"), F.col("at").alias("next"))
-        walk = _cut(walk.join(ahead, "at", "left").select("file", F.coalesce("next", "at").alias("at")))
+        walk = stored(walk.join(ahead, "at", "left").select("file", F.coalesce("next", "at").alias("at")))
         before, moving = moving, walk.join(step.select(F.col("file").alias("at")), "at", "left_semi").count()
         if moving in (0, before):
             break
@@ -91,16 +91,6 @@ def successors(live: DataFrame) -> DataFrame:
     return both.where("file <> direct").select("file", F.when(F.col("open"), F.col("direct")).otherwise(F.col("at")).alias("successor"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def validity(valid_from: Column, valid_until: Column) -> tuple[Column, Column, Column]:
     """(start, end, malformed) of date strings; the end is the last microsecond of its day, inclusive."""
     parse = lambda c: F.when(c.rlike(DATE), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))

@@ -19,13 +19,13 @@ SELECT 'n/topic' || CAST(event_id % 400 AS STRING) || CASE WHEN event_id % 5 = 0
 FROM {events}
 """
 DOCS = f"""WITH raw AS ({NOTES}) SELECT CASE WHEN i % 3 = 0 THEN 'doc' || CAST(i % 300 AS STRING) || '_v' || CAST(i % 5 + CASE WHEN i > 5000 THEN 5 ELSE 0 END AS STRING) || CASE WHEN i % 2 = 0 THEN '.md' ELSE '.txt' END ELSE 'n' || CAST(i AS STRING) || '.md' END AS file,
- i, u, text, ts AS valid_from, CASE WHEN i % 4 = 0 THEN NULL ELSE ts + INTERVAL '10' DAY END AS valid_until, 'subject' || CAST(u % 60 AS STRING) AS subject, CASE WHEN i % 5 = 0 THEN NULL ELSE 'e' || CAST(u AS STRING) END AS entity FROM raw"""
+ i, u, text, ts AS valid_from, CASE WHEN i % 4 = 0 THEN NULL ELSE ts + INTERVAL '10' DAY END AS valid_until, 'subject' || CAST(u AS STRING) || '-' || CAST(i % 20 AS STRING) AS subject, CASE WHEN i % 5 = 0 THEN NULL ELSE 'e' || CAST(u AS STRING) END AS entity FROM raw"""
 BASE = f"docs AS ({DOCS.format(events='events')})"
-LINTED = """SELECT CASE WHEN event_id % 50 = 0 THEN 'dup/' ELSE 'a/' END || 'm' || CAST(event_id % 900 AS STRING) || CASE WHEN event_id % 9 = 0 THEN '_v' || CAST(event_id % 4 AS STRING) ELSE '' END || '.md' AS file,
- CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 13 = 1 THEN '[[gone' || CAST(event_id AS STRING) || ']]' WHEN event_id % 17 = 2 THEN 'm' || CAST(event_id % 900 AS STRING) WHEN event_id % 11 = 3 THEN 'm' || CAST((event_id + 1) % 900 AS STRING) || '.md'
-  WHEN event_id % 11 = 4 THEN 'm' || CAST((event_id - 1) % 900 AS STRING) ELSE NULL END AS supersedes,
+LINTED = """SELECT CASE WHEN event_id % 50 = 9 THEN 'dup/m' || CAST(event_id - 1 AS STRING) ELSE 'a/m' || CAST(event_id AS STRING) END || CASE WHEN event_id % 9 = 0 THEN '_v' || CAST(event_id % 4 AS STRING) ELSE '' END || '.md' AS file,
+ CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 13 = 1 THEN '[[gone' || CAST(event_id AS STRING) || ']]' WHEN event_id % 17 = 2 THEN 'm' || CAST(event_id AS STRING) WHEN event_id % 11 = 3 THEN 'm' || CAST(event_id + 1 AS STRING) || '.md'
+  WHEN event_id % 11 = 4 THEN 'm' || CAST(event_id - 1 AS STRING) WHEN event_id % 23 IN (5, 6) THEN 'x/m' || CAST(event_id + 1 AS STRING) WHEN event_id % 23 = 7 THEN 'm' || CAST(event_id - 2 AS STRING) WHEN event_id % 50 = 11 THEN 'm' || CAST(event_id - 3 AS STRING) ELSE NULL END AS supersedes,
  CASE WHEN event_id % 8 = 0 THEN 'This was replaced by another.' WHEN event_id % 8 = 1 THEN '```' || chr(10) || 'deprecated' || chr(10) || '```' || chr(10) || 'fine' ELSE 'plain' END AS text,
- CASE WHEN event_id % 31 = 0 THEN '2024-02-30' ELSE '2024-02-03' END AS valid_from, CASE WHEN event_id % 10 = 0 THEN '2024-09-01' ELSE NULL END AS valid_until FROM {events} WHERE event_id < 3000"""
+ CASE WHEN event_id % 31 = 0 THEN '2024-02-30' ELSE '2024-02-03' END AS valid_from, CASE WHEN event_id % 10 = 0 THEN '2024-09-01' ELSE NULL END AS valid_until FROM {events}"""
 
 
 def _docs(spark, sf):
@@ -45,15 +45,15 @@ def reference_proposals(spark, sf):
 
 
 def subject_proposals(spark, sf):
-    return corpus.subject_proposals(_docs(spark, sf).where("i % 3 <> 0"))
+    return corpus.subject_proposals(_docs(spark, sf))
 
 
 def ordering_proposals(spark, sf):
-    return corpus.ordering_proposals(_docs(spark, sf).where("i % 3 <> 0"))
+    return corpus.ordering_proposals(_docs(spark, sf))
 
 
 def contradiction_proposals(spark, sf):
-    return corpus.contradiction_proposals(_docs(spark, sf).where("i % 3 <> 0 and i % 9 < 4"))
+    return corpus.contradiction_proposals(_docs(spark, sf))
 
 
 def extracted_claims(spark, sf):
@@ -61,7 +61,7 @@ def extracted_claims(spark, sf):
 
 
 def judged_claims(spark, sf):
-    docs = _docs(spark, sf).where("i % 3 <> 0").select("file", "text")
+    docs = _docs(spark, sf).groupBy("file").agg(F.max("text").alias("text"))
     claims = corpus.extract_claims(docs).join(docs, "file").withColumn("quote", F.when(F.length("value") % 5 == 0, "made up").otherwise(F.substring("text", 3, 12))).drop("text")
     return corpus.judge_claims(claims, docs).select("file", "kind", "value", "reason")
 
@@ -130,16 +130,16 @@ LSTEM = f"x AS ({LINTED.format(events='events')}), st AS (SELECT DISTINCT file,
 ORACLES = {
     "version_proposals": f"WITH {BASE}, v AS (SELECT DISTINCT file, {VBASE.format('file')} AS base, {VNUM.format('file')} AS n FROM docs WHERE {VERSION.format('file')}), p AS (SELECT *, lead(file) OVER w AS newer, lead(n) OVER w AS nn FROM v WINDOW w AS (PARTITION BY base ORDER BY n, file)) SELECT {_prop('explicit_version_naming', 'file', 'newer')} FROM p WHERE n < nn",
     "reference_proposals": f"WITH {BASE}, names AS (SELECT {KEY.format('file')} AS key, max(file) AS target FROM docs GROUP BY 1), said AS (SELECT DISTINCT file, unnest(regexp_extract_all(text, '{DIRECT}', 1)) AS s FROM docs) SELECT DISTINCT {_prop('direct_textual_reference', 'target', 'file')} FROM said JOIN names ON key = {KEY.format(chr(114) + 'trim(s, ' + chr(39) + '.,;:)' + chr(39) + ')')} WHERE target <> file",
-    "subject_proposals": f"WITH {BASE}, p AS (SELECT *, lead(file) OVER w AS newer, lead(valid_from) OVER w AS nf FROM docs WHERE i % 3 <> 0 WINDOW w AS (PARTITION BY subject ORDER BY valid_from NULLS LAST, file)) SELECT {_prop('repeated_decision_subject', 'file', 'newer')} FROM p WHERE newer IS NOT NULL AND newer <> file AND (valid_from IS NOT NULL OR nf IS NOT NULL)",
-    "ordering_proposals": f"WITH {BASE}, p AS (SELECT *, lead(file) OVER w AS newer, lead(valid_from) OVER w AS nf FROM docs WHERE i % 3 <> 0 AND entity IS NOT NULL WINDOW w AS (PARTITION BY entity ORDER BY valid_from NULLS LAST, file)) SELECT {_prop('temporal_ordering', 'file', 'newer')} FROM p WHERE valid_from < nf AND newer <> file",
-    "contradiction_proposals": rf"WITH {BASE}, d AS (SELECT *, regexp_matches(text, '(?i)\b(enabled|active|valid|approved|ship|on)\b') AS pos, regexp_matches(text, '(?i)\b(disabled|inactive|invalid|rejected|blocked|off)\b') AS neg FROM docs WHERE i % 3 <> 0 AND i % 9 < 4), w AS (SELECT *, CASE WHEN pos AND NOT neg THEN 1 WHEN neg AND NOT pos THEN -1 ELSE 0 END AS p FROM d) "
+    "subject_proposals": f"WITH {BASE}, p AS (SELECT *, lead(file) OVER w AS newer, lead(valid_from) OVER w AS nf FROM docs WINDOW w AS (PARTITION BY subject ORDER BY valid_from NULLS LAST, file)) SELECT {_prop('repeated_decision_subject', 'file', 'newer')} FROM p WHERE newer IS NOT NULL AND newer <> file AND (valid_from IS NOT NULL OR nf IS NOT NULL)",
+    "ordering_proposals": f"WITH {BASE}, p AS (SELECT *, lead(file) OVER w AS newer, lead(valid_from) OVER w AS nf FROM docs WHERE entity IS NOT NULL WINDOW w AS (PARTITION BY entity ORDER BY valid_from NULLS LAST, file)) SELECT {_prop('temporal_ordering', 'file', 'newer')} FROM p WHERE valid_from < nf AND newer <> file",
+    "contradiction_proposals": rf"WITH {BASE}, d AS (SELECT *, regexp_matches(text, '(?i)\b(enabled|active|valid|approved|ship|on)\b') AS pos, regexp_matches(text, '(?i)\b(disabled|inactive|invalid|rejected|blocked|off)\b') AS neg FROM docs), w AS (SELECT *, CASE WHEN pos AND NOT neg THEN 1 WHEN neg AND NOT pos THEN -1 ELSE 0 END AS p FROM d) "
     + f"SELECT {_prop('contradictory_validity_windows', 'a.file', 'b.file', 'contradicts')} FROM w a JOIN w b ON a.subject = b.subject AND a.file < b.file AND a.p <> 0 AND a.p + b.p = 0 AND greatest(a.valid_from, b.valid_from) <= least(coalesce(a.valid_until, 'infinity'::TIMESTAMP), coalesce(b.valid_until, 'infinity'::TIMESTAMP))",
     "extracted_claims": rf"""WITH {BASE} SELECT DISTINCT file, kind, v AS value FROM (
         SELECT file, 'supersession' AS kind, unnest(regexp_extract_all(text, '{DIRECT}', 1)) AS v FROM docs
         UNION ALL SELECT file, 'valid_from', unnest(regexp_extract_all(text, '(?i)\b(?:valid[ _]from|effective(?:\s+from)?)\b[^\n]{{0,40}}?(\d{{4}}-\d{{2}}-\d{{2}})', 1)) FROM docs
         UNION ALL SELECT file, 'valid_until', unnest(regexp_extract_all(text, '(?i)\b(?:valid[ _]until|expires?(?:\s+on)?)\b[^\n]{{0,40}}?(\d{{4}}-\d{{2}}-\d{{2}})', 1)) FROM docs
         UNION ALL SELECT file, 'status', unnest(regexp_extract_all(text, '(?i)\bstatus\s*[:=]\s*([A-Za-z]+)', 1)) FROM docs)""",
-    "judged_claims": rf"""WITH {BASE}, d AS (SELECT file, text FROM docs WHERE i % 3 <> 0), c AS (<CLAIMS>), q AS (SELECT c.*, d.text, CASE WHEN length(value) % 5 = 0 THEN 'made up' ELSE substring(d.text, 3, 12) END AS quote,
+    "judged_claims": rf"""WITH {BASE}, d AS (SELECT file, max(text) AS text FROM docs GROUP BY 1), c AS (<CLAIMS>), q AS (SELECT c.*, d.text, CASE WHEN length(value) % 5 = 0 THEN 'made up' ELSE substring(d.text, 3, 12) END AS quote,
         CASE WHEN kind = 'supersession' THEN {KEY.format("rtrim(value, '.,;:)')")} END AS k FROM c JOIN d USING (file)), names AS (SELECT {KEY.format('file')} AS k, count(*) AS n, min(file) AS only_file FROM d GROUP BY 1)
         SELECT file, kind, value, CASE WHEN NOT contains(text, quote) THEN 'quote_not_verbatim' WHEN kind = 'supersession' AND coalesce(n, 0) <> 1 THEN 'target_not_in_corpus' WHEN kind = 'supersession' AND only_file = file THEN 'self_reference'
           WHEN kind LIKE 'valid%' AND try_cast(value AS DATE) IS NULL THEN 'not_a_date' WHEN kind = 'status' AND lower(value) NOT IN {corpus.STATUSES} THEN 'unknown_status' ELSE 'accepted' END AS reason FROM q LEFT JOIN names USING (k)""",

@@ -120,10 +120,11 @@ def json_metadata(spark, sf):
 
 
 def digest_manifest(spark, sf):
-    """One digest of a corpus: of the sorted addresses and digests, by bucket, then of the buckets."""
-    rows = _sql(spark, sf, OLD).withColumn("bucket", F.substring(F.md5("uri"), 1, 2))
-    inner = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "uri", "sha256"))), ";"), 256).alias("digest"))
-    return inner.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda s: s["digest"]), ""), 256).alias("corpus_digest"))
+    """One digest of a corpus whatever the order: of the sums of its entries' digests, in two lanes, and their number."""
+    entry = F.md5(F.concat_ws("=", "uri", "sha256"))
+    lane = lambda at: F.sum(F.conv(F.substring(entry, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    sums = _sql(spark, sf, OLD).agg(F.count(F.lit(1)).cast("string").alias("n"), lane(1).alias("a"), lane(17).alias("b"))
+    return sums.select(F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("corpus_digest"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -163,5 +164,5 @@ ORACLES = {k: _o(v) for k, v in {
     "corpus_freshness": "SELECT max(indexed_at) AS newest, coalesce(max(indexed_at) < <NOW> - INTERVAL 2 DAY, true) AS stale FROM <CHUNKS>",
     "tenant_chunk_counts": "SELECT id % 7 AS tenant_id, count(*) AS n, count(*) FILTER (first_indexed IS NULL) AS undated, max(indexed_at) AS newest FROM <CHUNKS> GROUP BY 1",
     "json_metadata": "SELECT (props::JSON->>'$.k')::BIGINT AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1",
-    "digest_manifest": "WITH b AS (SELECT left(md5(uri), 2) AS bucket, sha256(string_agg(uri || '=' || sha256, ';' ORDER BY uri || '=' || sha256)) AS digest FROM <OLD> GROUP BY 1) SELECT sha256(string_agg(digest, '' ORDER BY bucket)) AS corpus_digest FROM b",
+    "digest_manifest": "WITH e AS (SELECT md5(uri || '=' || sha256) AS d FROM <OLD>) SELECT sha256(count(*)::VARCHAR || ':' || sum(('0x' || d[1:15])::HUGEINT)::VARCHAR || ':' || sum(('0x' || d[17:31])::HUGEINT)::VARCHAR) AS corpus_digest FROM e",
 }.items()}

@@ -6,17 +6,38 @@ divisible by 50. All rows of the corpus are searched.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import evaluation, retrieval
 from tidemark.sources import tables
+from tidemark.sources.shared import shared_dir
 
 
 def _docs(spark, sf):
-    return tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.spread(tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+#: Folders of indexes that this session has written, by table and its files' times and sizes.
+_INDEXES: dict[tuple, str] = {}
+
+
+def text_index(spark, sf) -> retrieval.TextIndex:
+    """The index of documents: written once a session, and again when a file of the table has changed."""
+    path = f"{sf}/documents.parquet"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    stamp = files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first()
+    key = (spark.sparkContext.applicationId, path, *stamp)
+    if key not in _INDEXES:
+        folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        retrieval.write_index(_docs(spark, sf), folder)
+        _INDEXES[key] = folder
+    return retrieval.read_index(spark, _INDEXES[key])
 
 
 def _asked(spark, sf):
@@ -80,16 +101,26 @@ lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 def bm25_topk(spark, sf):
-    return retrieval.bm25_topk(_docs(spark, sf), _asked(spark, sf), 10).select("query_id", "id", "score", "rank")
+    return retrieval.bm25_topk(text_index(spark, sf), _asked(spark, sf), 10).select("query_id", "id", "score", "rank")
 
 
 def lexical_topk(spark, sf):
-    return retrieval.lexical_topk(_docs(spark, sf), _asked(spark, sf), 10, boost=0.0).select("query_id", "id", "score", "rank")
+    return retrieval.lexical_topk(text_index(spark, sf), _asked(spark, sf), 10, boost=0.0).select("query_id", "id", "score", "rank")
+
+
+def lexical_topk_boosted(spark, sf):
+    """Conversation turns with a number ask for documents: a shared number lifts a document."""
+    return retrieval.lexical_topk(text_index(spark, sf), _numbered(spark, sf), 10).select("query_id", "id", "score", "rank")
+
+
+def _numbered(spark, sf):
+    """Every benchmark item with a number of its own in front."""
+    return _asked(spark, sf).select("query_id", F.concat(((F.col("query_id") * 7) % 100).cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _legs(spark, sf):
-    docs, asked = _docs(spark, sf), _asked(spark, sf)
-    return [retrieval.bm25_topk(docs, asked, 20), retrieval.lexical_topk(docs, asked, 20, boost=0.0)]
+    index, asked = text_index(spark, sf), _asked(spark, sf)
+    return [retrieval.bm25_topk(index, asked, 20), retrieval.lexical_topk(index, asked, 20, boost=0.0)]
 
 
 def rrf_fused(spark, sf):
@@ -120,12 +151,12 @@ def _legs_sql(a: str, b: str, wa: float, wb: float) -> str:
 
 
 def hashing_embed(spark, sf):
-    return V.hashed_buckets(tables.table(spark, sf, "documents"), "doc_id")
+    return V.hashed_buckets(_docs(spark, sf), "id").withColumnRenamed("id", "doc_id")
 
 
 def hashed_cosine(spark, sf):
     """Benchmark items against documents by hashed 64-dimension vectors."""
-    docs = V.hashed_vectors(tables.table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("id"), F.col("embedding").alias("vector"))
+    docs = V.hashed_vectors(_docs(spark, sf), "id").select("id", F.col("embedding").alias("vector"))
     asked = V.hashed_vectors(tables.table(spark, sf, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.dense_topk(docs, asked, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -141,13 +172,22 @@ SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query
 """
 
 
+def _sidecar(rows, key="id"):
+    """Weights ln(1 + tf) of postings, the 200 heaviest terms of each text."""
+    weighed = rows.select(key, "term", F.round(F.ln(1.0 + F.col("tf")), 9).alias("weight"))
+    order = W.partitionBy(key).orderBy(F.desc("weight"), "term")
+    return weighed.withColumn("_n", F.row_number().over(order)).where("_n <= 200").drop("_n")
+
+
+def sparse_sidecar(spark, sf):
+    """The sparse sidecar of documents: (id, term, weight); a text without a term has no row."""
+    return _sidecar(text_index(spark, sf).terms)
+
+
 def learned_sparse_topk(spark, sf):
     """Weights are ln(1 + tf), each document pruned to its 200 heaviest terms."""
-    weigh = lambda df: retrieval.postings(df).select("id", "term", F.round(F.ln(1.0 + F.col("tf")), 9).alias("weight"))
-    docs = weigh(_docs(spark, sf)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))
-    index = docs.select("id", F.explode(retrieval.prune_weights(F.col("w"), 200)).alias("e")).select("id", "e.term", "e.weight")
-    asked = weigh(_asked(spark, sf).withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
-    return retrieval.sparse_topk(index, asked, 10).select("query_id", "id", "score", "rank")
+    asked = retrieval.postings(_asked(spark, sf).withColumnRenamed("query_id", "id")).select(F.col("id").alias("query_id"), "term", F.round(F.ln(1.0 + F.col("tf")), 9).alias("weight"))
+    return retrieval.sparse_topk(_sidecar(text_index(spark, sf).terms), asked, 10).select("query_id", "id", "score", "rank")
 
 
 SPARSE = f"""
@@ -162,7 +202,7 @@ SELECT query_id, id, x AS score, row_number() OVER (PARTITION BY query_id ORDER
 
 def rerank_overlap(spark, sf):
     docs, asked = _docs(spark, sf), _asked(spark, sf)
-    return retrieval.rerank_by_overlap(retrieval.bm25_topk(docs, asked, 10), docs, asked).select("query_id", "id", "score", F.round("overlap", 6).alias("overlap"), "rank")
+    return retrieval.rerank_by_overlap(retrieval.bm25_topk(text_index(spark, sf), asked, 10), docs, asked).select("query_id", "id", "score", F.round("overlap", 6).alias("overlap"), "rank")
 
 
 def gap_warnings(spark, sf):
@@ -226,20 +266,19 @@ def sparse_arms_differ(spark, sf):
 
 
 def max_sim_pairs(spark, sf):
-    """Late interaction of the vectors of label 0 and each other label's, four vectors a side."""
-    rows = tables.table(spark, sf, "embeddings").groupBy("label").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]), 1, 4).alias("vs"))
-    q = rows.where("label = 0").select(F.col("vs").alias("q"))
-    return rows.join(F.broadcast(q)).select("label", F.round(V.max_sim(F.col("q"), F.col("vs")), 4).alias("score"))  # q is one row
+    """Late interaction of the query vectors with all vectors of each label."""
+    rows = _vectors(spark, sf).select(F.col("label").cast("long").alias("grp"), "vector")
+    return retrieval.max_sim_by_group(rows, _vector_queries(spark, sf)).select(F.col("grp").alias("label"), F.round("score", 4).alias("score"))
 
 
 MAXSIM = """
-WITH r AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 4)
 SELECT label, round(sum(best), 4) AS score FROM (
-  SELECT d.label, q.vec_id, max(list_inner_product(q.e, d.e)) AS best FROM r q, r d WHERE q.label = 0 GROUP BY ALL) GROUP BY label
+  SELECT d.label::BIGINT AS label, q.vec_id, max(list_inner_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[])) AS best
+  FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0 GROUP BY ALL) GROUP BY label
 """
 
 QUERIES = {f.__name__: f for f in (
-    dense_topk, dense_topk_batch, dense_topk_filtered, bm25_topk, lexical_topk, rrf_fused, rrf_weighted, rrf_nested, hashing_embed, hashed_cosine,
+    dense_topk, dense_topk_batch, dense_topk_filtered, bm25_topk, lexical_topk, lexical_topk_boosted, sparse_sidecar, rrf_fused, rrf_weighted, rrf_nested, hashing_embed, hashed_cosine,
     learned_sparse_topk, rerank_overlap, gap_warnings, neighbour_expansion, interleaved_evidence, history_queries, sparse_arms_differ, max_sim_pairs,
 )}
 ORACLES = {
@@ -248,6 +287,16 @@ ORACLES = {
     "dense_topk_filtered": DENSE.format(where="q.vec_id % 50 = 0 AND c.label = 3", columns="query_id,", k=5),
     "bm25_topk": f"WITH {TEXT} z AS (SELECT 1) SELECT query_id, id, score, rank FROM bm25 WHERE rank <= 10",
     "lexical_topk": f"WITH {TEXT} {LEX} SELECT query_id, id, score, rank FROM lex WHERE rank <= 10",
+    "lexical_topk_boosted": rf"""WITH asked AS (SELECT item_id AS query_id, ((item_id * 7) % 100)::VARCHAR || ' ' || coalesce(text, '') AS text FROM benchmark),
+        docs AS (SELECT doc_id AS id, {TOKENS.format('text')} AS words, text FROM documents), qterms AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS term FROM asked),
+        post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(words) AS term FROM docs) WHERE term IN (SELECT term FROM qterms) GROUP BY ALL),
+        base AS (SELECT query_id, id, count(*) + sum(tf / (tf + 1.0)) / 1000.0 AS base FROM post JOIN qterms USING (term) GROUP BY ALL),
+        dn AS (SELECT DISTINCT id, replace(unnest(regexp_extract_all(' ' || regexp_replace(text, '(\s)', '\1\1', 'g') || ' ', '[^\w.]([+-]?\d+(?:[.,]\d+)?%?)[^\w.]', 1)), ',', '.') AS number FROM docs),
+        qn AS (SELECT DISTINCT query_id, replace(unnest(regexp_extract_all(' ' || regexp_replace(text, '(\s)', '\1\1', 'g') || ' ', '[^\w.]([+-]?\d+(?:[.,]\d+)?%?)[^\w.]', 1)), ',', '.') AS number FROM asked),
+        b AS (SELECT DISTINCT query_id, id FROM dn JOIN qn USING (number)), s AS (SELECT query_id, id, round(base + CASE WHEN b.id IS NULL THEN 0 ELSE 0.25 END, 9) AS score FROM base LEFT JOIN b USING (query_id, id))
+        SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10""",
+    "sparse_sidecar": f"""SELECT id, term, round(ln(1.0 + count(*)), 9) AS weight FROM (SELECT doc_id AS id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY id, term
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= 200""",
     "rrf_fused": f"WITH {TEXT} {LEX} " + FUSE.format(legs=_legs_sql("bm25", "lex", 1, 1), k=10),
     "rrf_weighted": f"WITH {TEXT} {LEX} " + FUSE.format(legs=_legs_sql("bm25", "lex", 2, 0.5), k=10),
     "rrf_nested": f"WITH {TEXT} {LEX}, inner_fused AS (" + FUSE.format(legs=_legs_sql("bm25", "lex", 1, 1), k=20) + ") " + FUSE.format(legs=_legs_sql("inner_fused", "lex", 1, 1), k=10),

@@ -40,10 +40,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str, key: str = "question_id") -> DataFrame:
-    """Rows of a JSON-lines ledger without damaged lines; of a repeated key the last line in text order counts."""
-    lines = spark.read.text(path)
+    """(key, line): rows of a JSON-lines ledger without damaged lines; of a repeated key the last line written counts.
+
+    A line's place is its file, the split of the file and its number in the task that reads the split in order.
+    """
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("nr")).alias("place"))
     parsed = lines.withColumn("k", F.get_json_object("value", f"$.{key}")).where("k is not null")
-    return parsed.groupBy(F.col("k").alias(key)).agg(F.max("value").alias("line"))
+    return parsed.groupBy(F.col("k").alias(key)).agg(F.max_by("value", "place").alias("line"))
 
 
 def unfinished(questions: DataFrame, ledger: DataFrame, key: str = "question_id") -> DataFrame:
