@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import calibration, corpus, evaluation, lifecycle, retrieval, trust
+from tidemark.plans import calibration, corpus, evaluation, lifecycle, retrieval, search, trust
 
-PARTS = (retrieval, trust, calibration, lifecycle, corpus, evaluation)
+PARTS = (retrieval, trust, search, calibration, lifecycle, corpus, evaluation)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.dense_topk(spark, sf_dir)
+    return search.trusted_search(spark, sf_dir)
 
 
 def queries() -> dict:
