@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import calibration, corpus, evaluation, lifecycle, retrieval, search, trust
+from tidemark.plans import calibration, corpus, evaluation, governance, lifecycle, retrieval, search, trust
 
-PARTS = (retrieval, trust, search, calibration, lifecycle, corpus, evaluation)
+PARTS = (retrieval, trust, search, calibration, governance, lifecycle, corpus, evaluation)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
