@@ -13,10 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import NUMERIC_TERM
+
 MOST, OVERLAP = 800, 80
 #: A piece is at least this part of ``most``, an overlap at most that part.
 LEAST_PART, OVERLAP_PART = 8, 4
 _blank = re.compile(r"[ \n]")
+_number = re.compile(NUMERIC_TERM)
 _definition = re.compile(r"(?:async def|def|class) |@")
 
 
@@ -88,3 +91,48 @@ def chunk(docs: DataFrame, id_col: str, text_col: str = "text", kind: str = "pro
     cut = (lambda t: prose_chunks(t, most, overlap)) if kind == "prose" else (lambda t: code_chunks(t, most))
     pieces = docs.select(F.col(id_col), F.posexplode(_column(cut, F.col(text_col))).alias("ord", "text"))
     return pieces.select(id_col, "ord", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("ord").cast("string"))).alias("chunk_id"), "text")
+
+
+def table_pieces(block: str | None, most: int = MOST) -> list[tuple[str, int, int, list[str]]]:
+    """(text, first row, last row, numbers) of a table block: rows in groups under the block's heading and header.
+
+    A group that is over ``most`` even alone is cut, each piece under the header if that leaves room. A block
+    without two table lines is one piece, whole; rows count from 0, and are -1 where there are none.
+    """
+    lines = [line.strip() for line in (block or "").splitlines() if line.strip()]
+    table = [line for line in lines if line.startswith("|")]
+    if len(table) < 2:
+        return [(piece, -1, -1, []) for piece in (prose_chunks(block, most, 0))]
+    head = "\n\n".join([line for line in lines if not line.startswith("|")] + ["\n".join(table[:2])])
+    rows = table[2:]
+    if not rows:
+        return [(head, -1, -1, [])]
+    sizes = [len(r) + 1 for r in rows]
+    groups, size = [[0]], len(head) + sizes[0]
+    for i in range(1, len(rows)):
+        if size + sizes[i] > most:
+            groups.append([])
+            size = len(head)
+        groups[-1].append(i)
+        size += sizes[i]
+    out = []
+    for group in groups:
+        body = "\n".join(rows[i] for i in group)
+        numbers = list(dict.fromkeys(x.replace(",", ".") for i in group for cell in rows[i].strip("|").split("|") for x in _number.findall(cell)))
+        room = most - len(head) - 1
+        pieces = [body] if len(body) <= room else cut_long(body, room, 0) if room > 0 else None
+        texts = [head + "\n" + p for p in pieces] if pieces else cut_long(head + "\n" + body, most, 0)
+        out += [(t, group[0], group[-1], numbers) for t in texts]
+    return out
+
+
+def table_chunk(docs: DataFrame, id_col: str, text_col: str = "text", most: int = MOST) -> DataFrame:
+    """(id_col, ord, row_start, row_end, numbers, text) of documents that are table blocks."""
+
+    @F.pandas_udf("array<struct<text string, row_start int, row_end int, numbers array<string>>>")
+    def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[{"text": t, "row_start": a, "row_end": b, "numbers": n} for t, a, b, n in table_pieces(text, most)] for text in texts])
+
+    pieces = docs.select(F.col(id_col), F.posexplode(chunks(F.col(text_col))).alias("ord", "c"))
+    return pieces.select(id_col, "ord", "c.row_start", "c.row_end", "c.numbers", "c.text")

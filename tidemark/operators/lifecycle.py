@@ -6,6 +6,8 @@ are (id, source, text, indexed_at, first_indexed, ...); ``now`` is an argument.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -137,6 +139,11 @@ def matching_sources(chunks: DataFrame, identifiers: DataFrame) -> DataFrame:
     return by_source.union(by_file).distinct()
 
 
+def known_sources(stores: list[DataFrame]) -> DataFrame:
+    """(source): sources that any of the stores holds, each once."""
+    return reduce(DataFrame.union, [s.select("source").distinct() for s in stores]).distinct()
+
+
 def freshness(chunks: DataFrame, now: str, max_age_days: int = 2) -> DataFrame:
     """(newest, stale): stale if older than the limit, or if there is nothing."""
     clock = F.lit(now).cast("timestamp")
