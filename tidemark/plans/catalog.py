@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import calibration, corpus, evaluation, governance, lifecycle, retrieval, search, structure, trust
+from tidemark.plans import arms, calibration, corpus, evaluation, governance, lifecycle, retrieval, search, structure, trust
 
-PARTS = (retrieval, trust, search, calibration, governance, lifecycle, structure, corpus, evaluation)
+PARTS = (retrieval, trust, search, calibration, governance, lifecycle, structure, corpus, evaluation, arms)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
