@@ -19,7 +19,7 @@ SELECT 'n/topic' || CAST(event_id % 400 AS STRING) || CASE WHEN event_id % 5 = 0
 FROM {events}
 """
 DOCS = f"""WITH raw AS ({NOTES}) SELECT CASE WHEN i % 3 = 0 THEN 'doc' || CAST(i % 300 AS STRING) || '_v' || CAST(i % 5 + CASE WHEN i > 5000 THEN 5 ELSE 0 END AS STRING) || CASE WHEN i % 2 = 0 THEN '.md' ELSE '.txt' END ELSE 'n' || CAST(i AS STRING) || '.md' END AS file,
- i, u, text, ts AS valid_from, CASE WHEN i % 4 = 0 THEN NULL ELSE ts + INTERVAL '10' DAY END AS valid_until, 'subject' || CAST(u AS STRING) || '-' || CAST(i % 20 AS STRING) AS subject, CASE WHEN i % 5 = 0 THEN NULL ELSE 'e' || CAST(u AS STRING) END AS entity FROM raw"""
+ i, u, text, ts AS valid_from, CASE WHEN i % 4 = 0 THEN NULL ELSE ts + INTERVAL '10' DAY END AS valid_until, 'subject' || CAST(u AS STRING) AS subject, CASE WHEN i % 5 = 0 THEN NULL ELSE 'e' || CAST(u AS STRING) END AS entity FROM raw"""
 BASE = f"docs AS ({DOCS.format(events='events')})"
 LINTED = """SELECT CASE WHEN event_id % 50 = 9 THEN 'dup/m' || CAST(event_id - 1 AS STRING) ELSE 'a/m' || CAST(event_id AS STRING) END || CASE WHEN event_id % 9 = 0 THEN '_v' || CAST(event_id % 4 AS STRING) ELSE '' END || '.md' AS file,
  CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 13 = 1 THEN '[[gone' || CAST(event_id AS STRING) || ']]' WHEN event_id % 17 = 2 THEN 'm' || CAST(event_id AS STRING) WHEN event_id % 11 = 3 THEN 'm' || CAST(event_id + 1 AS STRING) || '.md'

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import supersedes_key
 from tidemark.operators import retrieval, trust
 from tidemark.sources import tables
+from tidemark.sources.shared import stored
 
 NOW, AS_OF, THRESHOLD = "2024-06-01 00:00:00", "2024-03-01 00:00:00", 0.5
 
@@ -41,9 +42,9 @@ def memos(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(MEMOS, events=tables.table(spark, sf, "events"))
 
 
-def _hits(spark, sf) -> DataFrame:
+def _hits(rows: DataFrame) -> DataFrame:
     """Each user is a query; every third memo of the user is a hit, best score first."""
-    rows = memos(spark, sf).where("id % 3 = 0").groupBy("file").agg(*[F.min(c).alias(c) for c in ("id", "user_id", "first_indexed", "indexed_at", "valid_from", "valid_until", "score")])
+    rows = rows.where("id % 3 = 0").groupBy("file").agg(*[F.min(c).alias(c) for c in ("id", "user_id", "first_indexed", "indexed_at", "valid_from", "valid_until", "score")])
     found = rows.withColumnRenamed("user_id", "query_id")
     return retrieval.top_k(found, 10**9, tie="file").withColumnRenamed("rank", "pos")
 
@@ -77,9 +78,9 @@ def as_of_successors(spark, sf):
 
 
 def _evaluated(spark, sf, known_as_of=None):
-    rows = memos(spark, sf)
+    rows = stored(memos(spark, sf))  # read by hits, edges and stems
     chain = trust.successors(trust.edges(rows, known_as_of))
-    return trust.evaluate(_hits(spark, sf), chain, trust.ambiguous_files(rows), now=NOW, threshold=THRESHOLD, known_as_of=known_as_of)
+    return trust.evaluate(_hits(rows), chain, trust.ambiguous_files(rows), now=NOW, threshold=THRESHOLD, known_as_of=known_as_of)
 
 
 def _shown(evaluated: DataFrame) -> DataFrame:
@@ -106,9 +107,10 @@ def validity_windows(spark, sf):
 
 
 def successor_expansion(spark, sf):
-    chain = trust.successors(trust.edges(memos(spark, sf)))
-    hits = _hits(spark, sf).where("pos <= 5")
-    scored = memos(spark, sf).select(F.col("user_id").alias("query_id"), "file", "id", "score").distinct()
+    rows = stored(memos(spark, sf))
+    chain = trust.successors(trust.edges(rows))
+    hits = _hits(rows).where("pos <= 5")
+    scored = rows.select(F.col("user_id").alias("query_id"), "file", "id", "score").distinct()
     return trust.expand_successors(hits, chain, scored, 2, 3).select("query_id", "file", "id", "score", "nth")
 
 
