@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir
+
 #: Rows of text that a Python worker holds at once; texts can be over 100 kB.
 BATCH_ROWS = 512
 
@@ -30,22 +31,12 @@ def ready_workers(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+def stored(df: DataFrame, sort: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the session's shared folder and read it back, which cuts its lineage.
 
-    Only where the setting is absent (one machine, as in tests) is a local temporary folder taken.
+    ``tidemark.sources.shared.clear`` deletes the folder when no result is read any more.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.gettempdir()}/tidemark-shared"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, sort: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
-    path = shared_dir(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
