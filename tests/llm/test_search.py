@@ -161,7 +161,7 @@ def test_rounds_of_bucket_pairs_end_with_all_pairs(monkeypatch):
     labels = np.where(ids < 4, 0, ids)
     got, lo, hi = set(), 0, 1
     while True:
-        rep, other, still = simhash.bucket_pairs(ids, values, labels, 0, 0, lo, hi)
+        rep, other, still = simhash.bucket_pairs(ids, values, labels, np.zeros((30, 4), dtype=np.uint32), 0, 0, lo, hi)
         got |= set(zip(rep.tolist(), other.tolist(), strict=True))
         if not len(still):
             break
@@ -182,7 +182,7 @@ def test_bucket_pairs_against_all_pairs():
         got = set()
         for head in range(1 << head_bits):
             near = np.bitwise_count((values >> np.uint64(32 - head_bits)) ^ np.uint64(head)) <= 1
-            rep, other, still = simhash.bucket_pairs(ids[near], values[near], ids[near], head, head_bits, 0, 10**3)
+            rep, other, still = simhash.bucket_pairs(ids[near], values[near], ids[near], np.zeros((near.sum(), 4), dtype=np.uint32), head, head_bits, 0, 10**3)
             assert not len(still)
             got |= set(zip(rep.tolist(), other.tolist(), strict=True))
         assert got == want

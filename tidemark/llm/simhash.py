@@ -130,6 +130,9 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 #: similarity 0.8 have a cosine of 0.89 or more, however the edits lie, so 0.15 of the bits differ (0.19 for texts
 #: of a few shingles). Two bits or fewer differ in one of 40 segments of 32 with 0.99 (0.85 for those).
 SEGMENTS, SEGMENT_BITS = 40, 32
+#: Segments after the own one whose bits go with a row, and the share of them in which candidates differ at most: 4
+#: standard deviations over 0.15, and as many under a half.
+CHECK_SEGMENTS, CHECK_DISTANCE = 4, 0.32
 #: Share of differing bits up to which candidates are kept for the exact comparison; unrelated texts have a half.
 WIDE_DISTANCE = 0.3
 #: Rows of a segment that a group of ``segment_pairs`` should have, and points that it sorts at once.
@@ -154,14 +157,15 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, head: int, head_bits: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks: np.ndarray, head: int, head_bits: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (rep, id) of one group, and the ids of buckets that have pairs left.
 
     Each value enumerates its ball of radius 1 as far as the points begin with the head_bits of ``head``. The
     members of a point, ordered by id, with a rank from lo to hi are matched with all later members of another label.
+    Pairs that differ in over CHECK_DISTANCE of their ``checks``, bits of the next segments, are left out.
     """
     order = np.argsort(ids, kind="stable")
-    ids, values, labels = ids[order], values[order], labels[order]
+    ids, values, labels, checks = ids[order], values[order], labels[order], checks[order]
     tail, n = SEGMENT_BITS - head_bits, len(ids)
     low, row = values & np.uint64((1 << tail) - 1), np.arange(n, dtype=np.uint64)
     own = (values >> np.uint64(tail)) == head
@@ -191,7 +195,10 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, head:
             if not len(left):
                 break
             a, b = member[start[left] + k], member[left]
-            pairs.append(np.unique((a * n + b)[labels[a] != labels[b]]))
+            other = labels[a] != labels[b]
+            a, b = a[other], b[other]
+            near = np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1) <= CHECK_DISTANCE * 32 * CHECK_SEGMENTS
+            pairs.append(np.unique((a * n + b)[near]))
         late = np.flatnonzero(rank >= hi)
         late = late[labels[member[late]] != labels[member[start[late] + hi]]]
         still[member[np.isin(start, start[late])]] = True
@@ -199,9 +206,9 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, head:
     return ids[found // max(1, n)], ids[found % max(1, n)], ids[still]
 
 
-def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int) -> DataFrame:
+def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool = False) -> DataFrame:
     """(rep, id, more) of ``rows`` (id, wide, label): the pairs of ``bucket_pairs`` in all segments; where more is
-    true, an id whose bucket has pairs left.
+    true, an id whose bucket has pairs left. With ``star`` only the least rep of each id in a group is returned.
 
     A group is a segment and the first head_bits of its points; rows come packed, so a group is a few arrays.
     """
@@ -213,11 +220,12 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int) -> DataFram
             wide = np.frombuffer(b"".join(b.wide), dtype="<u4").reshape(-1, SEGMENTS)
             for s in range(SEGMENTS):
                 values, made = np.ascontiguousarray(wide[:, s]), []
+                after = np.ascontiguousarray(wide[:, [(s + 1 + k) % SEGMENTS for k in range(CHECK_SEGMENTS)]])
                 for head in range(1 << head_bits):
                     near = np.bitwise_count((values >> np.uint32(tail)) ^ np.uint32(head)) <= 1
                     if near.any():
-                        made.append((s << head_bits | head, ids[near].tobytes(), values[near].tobytes(), labels[near].tobytes()))
-                yield pd.DataFrame(made, columns=["grp", "ids", "vals", "labels"])
+                        made.append((s << head_bits | head, ids[near].tobytes(), values[near].tobytes(), labels[near].tobytes(), after[near].tobytes()))
+                yield pd.DataFrame(made, columns=["grp", "ids", "vals", "labels", "checks"])
 
         kept, size = [], 0
         for b in batches:
@@ -230,8 +238,13 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int) -> DataFram
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(grp: int, parts: list[tuple]) -> pd.DataFrame:
-            ids, vals, labels = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<i8", "<u4", "<i8"), strict=True))
-            rep, other, still = bucket_pairs(ids, vals.astype(np.uint64), labels, grp & ((1 << head_bits) - 1), head_bits, lo, hi)
+            ids, vals, labels, checks = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<i8", "<u4", "<i8", "<u4"), strict=True))
+            rep, other, still = bucket_pairs(ids, vals.astype(np.uint64), labels, checks.reshape(-1, CHECK_SEGMENTS), grp & ((1 << head_bits) - 1), head_bits, lo, hi)
+            if star:
+                order = np.lexsort((rep, other))
+                rep, other, still = rep[order], other[order], still[:0]
+                first = np.r_[True, other[1:] != other[:-1]][: len(other)]
+                rep, other = rep[first], other[first]
             return pd.DataFrame({"rep": np.r_[rep, still], "id": np.r_[other, still], "more": np.r_[np.zeros(len(rep), dtype=bool), np.ones(len(still), dtype=bool)]})
 
         current, parts = None, []
@@ -245,7 +258,7 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int) -> DataFram
         if parts:
             yield out(current, parts)
 
-    groups = rows.select("id", "wide", "label").mapInPandas(packed, "grp int, ids binary, vals binary, labels binary")
+    groups = rows.select("id", "wide", "label").mapInPandas(packed, "grp int, ids binary, vals binary, labels binary, checks binary")
     return groups.repartition(SEGMENTS << head_bits, "grp").sortWithinPartitions("grp").mapInPandas(match, "rep long, id long, more boolean")
 
 
@@ -286,23 +299,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     rows = stored(some.select("id", wide("text").alias("wide"), F.col("id").alias("label")))
     wides, reps = rows.select("id", "wide"), rows.select(F.col("id").alias("rep"), F.col("wide").alias("rep_wide"))
     head_bits = max(2, (rows.count() // GROUP_ROWS).bit_length())
-    none = docs.sparkSession.createDataFrame([], "rep long, id long")
-    compared, links, groups, lo, hi = none, none, None, 0, 1
+
+    def verified(met: DataFrame) -> DataFrame:
+        chunked = dealt(met)
+        heads = chunked.select("rep", "chunk").distinct().join(reps, "rep")
+        close = chunked.join(wides, "id").join(heads, ["rep", "chunk"]).where(apart <= WIDE_DISTANCE * SEGMENTS * SEGMENT_BITS).select("rep", "id")
+        return stored(verified_pairs(stored(close), some, prepare, compare, []))
+
+    def labelled(of: DataFrame) -> DataFrame:
+        names = groups.select(F.col("node").alias("id"), "component")
+        return stored(of.select("id", "wide").join(names, "id", "left").select("id", "wide", F.coalesce("component", "id").alias("label")))
+
+    # First every text with the least id at any of its points: large groups of copies are in one component then.
+    compared = stored(segment_pairs(rows, head_bits, 0, 1, star=True).groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id"))
+    links = verified(compared)
+    groups = connected_components(links.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    rows, lo, hi = labelled(rows), 0, 1
     while True:
         found = stored(segment_pairs(rows, head_bits, lo, hi))
         met = stored(found.where("not more").select("rep", "id").distinct().join(compared, ["rep", "id"], "left_anti"))
-        compared = compared.union(met)
-        if groups is None or not met.isEmpty():
-            chunked = dealt(met)
-            heads = chunked.select("rep", "chunk").distinct().join(reps, "rep")
-            close = chunked.join(wides, "id").join(heads, ["rep", "chunk"]).where(apart <= WIDE_DISTANCE * SEGMENTS * SEGMENT_BITS).select("rep", "id")
-            links = links.union(stored(verified_pairs(stored(close), some, prepare, compare, [])))
+        if not met.isEmpty():
+            compared, links = compared.union(met), links.union(verified(met))
             groups = connected_components(links.select(F.col("rep").alias("a"), F.col("id").alias("b")))
         left = found.where("more").select("id").distinct()
         if left.isEmpty():
             return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-        labels = groups.select(F.col("node").alias("id"), "component")
-        rows = stored(rows.select("id", "wide").join(left, "id", "left_semi").join(labels, "id", "left").select("id", "wide", F.coalesce("component", "id").alias("label")))
+        rows = labelled(rows.join(left, "id", "left_semi"))
         lo, hi = hi, hi * RANKS
 
 
