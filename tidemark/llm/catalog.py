@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, exact_dedup, language, mixing, quality, simhash, substring_dedup, token_counts, toxicity
+from tidemark.llm import chat_format, chat_repair, decontamination, exact_dedup, language, mixing, quality, simhash, substring_dedup, token_counts, toxicity
 from tidemark.llm.common import table
 
 
@@ -54,10 +54,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", spans)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.report(chat_repair.repair(chat_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
     named = (
         op1_toxicity, op2_mixing, op3_decontamination, op4_simhash, op5_quality,
         op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_language, op10_chat_format,
+        op11_conversation_repair,
     )
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
@@ -118,5 +123,57 @@ FROM placed GROUP BY ALL
 """
 
 
+#: A cost and an audit for each state; the audits' letters say which turns the repaired lines come from.
+ORACLE_REPAIR = r"""
+WITH RECURSIVE named AS (
+  SELECT *, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)) AS bytes FROM conversations
+), fated AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(bytes, lambda b: [b::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+             lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295::BIGINT) % 20 AS fate
+  FROM named
+), hurt AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, substr(role, 1, 1) AS i
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM hurt)
+), faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+         lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair
+  FROM placed
+), dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, {'c': 0, 'a': '', 'r': ''} AS b0, {'c': 1000000, 'a': '', 'r': ''} AS b1, {'c': 1000000, 'a': '', 'r': ''} AS b2, {'c': 1000000, 'a': '', 'r': ''} AS b3
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, pos,
+         {'c': b0.c + 4, 'a': b0.a || 'D', 'r': b0.r},
+         list_min([{'c': b1.c + 4, 'a': b1.a || 'D', 'r': b1.r}, {'c': b0.c + t + CASE i WHEN 's' THEN 0 ELSE n END, 'a': b0.a || 'K', 'r': b0.r || line}]),
+         list_min([{'c': b2.c + 4, 'a': b2.a || 'D', 'r': b2.r}] || list_transform([b0, b1, x3], lambda x: {'c': x.c + t + CASE i WHEN 'u' THEN 0 ELSE 3 END, 'a': x.a || CASE i WHEN 'u' THEN 'K' ELSE 'R' END, 'r': x.r || CASE i WHEN 'u' THEN line ELSE as_user END})),
+         list_min([{'c': b3.c + 4, 'a': b3.a || 'D', 'r': b3.r}, {'c': x2.c + t + CASE i WHEN 'a' THEN 0 ELSE 3 END, 'a': x2.a || CASE i WHEN 'a' THEN 'K' ELSE 'R' END, 'r': x2.r || CASE i WHEN 'a' THEN line ELSE as_assistant END}])
+  FROM (
+    SELECT f.conv_id, f.pos, b0, b1, b2, b3, i, CASE WHEN fault IN (1, 2) THEN 1000000 WHEN fault = 3 THEN 3 ELSE 0 END AS t, 1000000 AS n,
+           role || ':' || text || chr(10) AS line, 'user:' || text || chr(10) AS as_user, 'assistant:' || text || chr(10) AS as_assistant,
+           list_min([b2, {'c': b0.c + 3, 'a': b0.a || 'I', 'r': b0.r || u}, {'c': b1.c + 3, 'a': b1.a || 'I', 'r': b1.r || u}, {'c': b3.c + 3, 'a': b3.a || 'I', 'r': b3.r || u}]) AS x2,
+           list_min([b3, {'c': b2.c + 3, 'a': b2.a || 'I', 'r': b2.r || a}, {'c': b0.c + 6, 'a': b0.a || 'II', 'r': b0.r || u || a}, {'c': b1.c + 6, 'a': b1.a || 'II', 'r': b1.r || u || a}]) AS x3
+    FROM dp JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.pos = dp.pos + 1, (SELECT 'user:' || chr(10) AS u, 'assistant:' || chr(10) AS a)
+  )
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+), ends AS (
+  SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+         list_min([b0, b3, {'c': b2.c + 3, 'a': b2.a || 'I', 'r': b2.r || 'assistant:' || chr(10)}, {'c': b1.c + 6, 'a': b1.a || 'II', 'r': b1.r || 'user:' || chr(10) || 'assistant:' || chr(10)}]) AS best
+  FROM dp d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id WHERE d.pos = coalesce(c.n, 0)
+)
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.c::BIGINT AS cost, best.a AS audit,
+       sha256(CASE best.r WHEN '' THEN '' ELSE left(best.r, length(best.r) - 1) END) AS repaired_sha256
+FROM ends
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": ORACLE_MIXING, "op6_exact_dedup": ORACLE_EXACT, "op10_chat_format": ORACLE_CHAT}
+    return {"op2_mixing": ORACLE_MIXING, "op6_exact_dedup": ORACLE_EXACT, "op10_chat_format": ORACLE_CHAT, "op11_conversation_repair": ORACLE_REPAIR}
