@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, chat_repair, decontamination, exact_dedup, language, mixing, quality, simhash, substring_dedup, token_counts, toxicity
+from tidemark.llm import chat_format, chat_repair, decontamination, exact_dedup, language, mixing, quality, secret_scan, simhash, substring_dedup, token_counts, toxicity
 from tidemark.llm.common import table
 
 
@@ -58,11 +58,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.report(chat_repair.repair(chat_repair.damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.secrets(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     named = (
         op1_toxicity, op2_mixing, op3_decontamination, op4_simhash, op5_quality,
         op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_language, op10_chat_format,
-        op11_conversation_repair,
+        op11_conversation_repair, op12_secret_scan,
     )
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
@@ -175,5 +179,30 @@ FROM ends
 """
 
 
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_HITS = """
+SELECT nr, {no} AS no, '{kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}', 0)) AS hit, unnest(regexp_extract_all(text, '{pattern}', {group})) AS tested,
+       unnest(string_split_regex(text, '{pattern}')[:-2]) AS gap, unnest(range(len(regexp_extract_all(text, '{pattern}', 0)))) AS nth, {least} AS least
+FROM docs WHERE regexp_matches(text, '{pattern}')
+"""
+ORACLE_SECRETS = (
+    "WITH docs AS (SELECT row_number() OVER () AS nr, doc_id, coalesce(text, '') AS text FROM documents), hits AS ("
+    + " UNION ALL ".join(
+        _HITS.format(no=no, kind=kind, pattern=pattern, group=group, least=least)
+        for no, (kind, pattern, group, least) in enumerate([("assign", _ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)])
+    )
+    + """), spans AS (
+  SELECT nr, no, kind, sum(length(gap) + length(hit)) OVER (PARTITION BY nr, no ORDER BY nth) AS stop, length(hit) AS size, length(tested) >= least AS long FROM hits
+), texts AS (
+  SELECT nr, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+         string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, no) AS spans
+  FROM spans WHERE long GROUP BY nr
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(spans, '') AS spans, sha256(coalesce(spans, '')) AS base_sha256
+FROM docs LEFT JOIN texts USING (nr)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": ORACLE_MIXING, "op6_exact_dedup": ORACLE_EXACT, "op10_chat_format": ORACLE_CHAT, "op11_conversation_repair": ORACLE_REPAIR}
+    return {"op2_mixing": ORACLE_MIXING, "op6_exact_dedup": ORACLE_EXACT, "op10_chat_format": ORACLE_CHAT, "op11_conversation_repair": ORACLE_REPAIR, "op12_secret_scan": ORACLE_SECRETS}
