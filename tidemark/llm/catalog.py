@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, chat_repair, decontamination, exact_dedup, language, mixing, quality, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from tidemark.llm import chat_format, chat_repair, decontamination, exact_dedup, language, mixing, quality, ranked_search, secret_scan, simhash, substring_dedup, token_counts, toxicity
 from tidemark.llm.common import table
 
 
@@ -62,11 +62,15 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.secrets(table(spark, sf_dir, "documents")))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(ranked_search.ranked_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     named = (
         op1_toxicity, op2_mixing, op3_decontamination, op4_simhash, op5_quality,
         op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_language, op10_chat_format,
-        op11_conversation_repair, op12_secret_scan,
+        op11_conversation_repair, op12_secret_scan, op13_ranked_search,
     )
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
@@ -204,5 +208,24 @@ FROM docs LEFT JOIN texts USING (nr)
 )
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_RANKED = f"""
+WITH docs AS (SELECT row_number() OVER () AS nr, doc_id, {_WORDS} AS words FROM documents),
+stats AS (SELECT count(*) FILTER (len(words) > 0) AS n, sum(len(words))::BIGINT AS l FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+post AS (
+  SELECT nr, doc_id, len(words) AS size, term, count(*) AS tf FROM (SELECT nr, doc_id, words, unnest(words) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+),
+weights AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM post, stats GROUP BY term, n),
+scored AS (
+  SELECT item_id, nr, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * n) // l))))::BIGINT AS score
+  FROM asked JOIN post USING (term) JOIN weights USING (term), stats GROUP BY item_id, nr, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": ORACLE_MIXING, "op6_exact_dedup": ORACLE_EXACT, "op10_chat_format": ORACLE_CHAT, "op11_conversation_repair": ORACLE_REPAIR, "op12_secret_scan": ORACLE_SECRETS}
+    return {"op2_mixing": ORACLE_MIXING, "op6_exact_dedup": ORACLE_EXACT, "op10_chat_format": ORACLE_CHAT, "op11_conversation_repair": ORACLE_REPAIR, "op12_secret_scan": ORACLE_SECRETS, "op13_ranked_search": ORACLE_RANKED}
