@@ -3,8 +3,8 @@
 Documents are indexed where they are read: a task cuts them into shards of a bounded size and writes, for each term of
 a shard, its postings (document, impact) by document. A posting's impact is its score without the term's weight, so
 the weights can be asked for later. Postings are cut into blocks of varying length by dynamic programming: of all
-ways to cut a list, the one that makes the sum of the bound errors (block maximum less impact) and of BLOCK_COST for
-each block least.
+ways to cut a list, the one that makes the sum of the bound errors (block maximum less impact, for all documents in the
+block's range) and of BLOCK_COST for each block least.
 
 A search meets a shard's lists of the asked terms in one task. The weighted maxima of the blocks that stand over a
 document bound its score; where blocks begin and end, the bound changes. Only the stretches of documents whose bound
@@ -32,13 +32,13 @@ from tidemark.llm.common import ready_workers, stored
 #: Characters and documents of a shard.
 SHARD_CHARS, SHARD_DOCS = 1 << 24, 1 << 15
 #: Most postings of a block; what a block costs, in units of impact; postings cut by one run of the program.
-MOST_BLOCK, BLOCK_COST, PIECE = 64, 1 << 18, 1024
+MOST_BLOCK, BLOCK_COST, PIECE = 64, 1 << 20, 1024
 #: Lists whose pieces are cut together, rows of the index written together.
 TOGETHER, ROWS = 4096, 8192
 #: Words of items in one pass over the index, which go to all tasks.
 PASS_WORDS = 1 << 18
 #: Documents that are scored before the threshold is looked at again: at first, and so many times as many after that.
-FIRST_DOCS, GROWTH = 512, 64
+FIRST_DOCS, GROWTH = 256, 8
 #: Fixed values of the score.
 K = 50
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -55,28 +55,32 @@ def impacts(tf: np.ndarray, size: np.ndarray, n_docs: int, n_terms: int) -> np.n
     return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
 
-def block_ends(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def block_ends(values: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether each of ``values`` ends a block; the lists lie one after the other, and none is longer than PIECE.
 
-    The program runs over all lists in step. For each length of the last block it holds the best cost of what comes
-    before and the block's maximum; from one value to the next both move on by one length.
+    A block bounds every document from its first to its last, those between its postings too, so its part of the
+    error is its maximum times that range. The program runs over all lists in step. For each length of the last block
+    it holds the best cost of what comes before, the block's maximum and its first document; from one value to the
+    next they move on by one length.
     """
+    docs = docs.astype(np.int64)
     ends, last = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=np.int64)
-    lengths = np.arange(1, MOST_BLOCK + 1)
     order = np.argsort(-sizes, kind="stable")
     for at in range(0, len(order), TOGETHER):
         some = order[at : at + TOGETHER]
         begin, size = starts[some], sizes[some]
         before = np.full((len(some), MOST_BLOCK), np.int64(1) << 60)
         before[:, 0] = 0
-        top = np.zeros((len(some), MOST_BLOCK), dtype=np.int64)
+        top, first = np.zeros((len(some), MOST_BLOCK), dtype=np.int64), np.zeros((len(some), MOST_BLOCK), dtype=np.int64)
         for i in range(size[0] if len(size) else 0):
             n = np.searchsorted(-size, -i, side="left")  # lists that are longer than i
-            here, before, top = begin[:n] + i, before[:n], top[:n]
+            here, before, top, first = begin[:n] + i, before[:n], top[:n], first[:n]
             top[:, 1:] = top[:, :-1]
             top[:, 0] = 0
             np.maximum(top, values[here][:, None], out=top)
-            cost = before + top * lengths
+            first[:, 1:] = first[:, :-1]
+            first[:, 0] = docs[here]
+            cost = before + top * (docs[here][:, None] + 1 - first)
             best = cost.argmin(axis=1)
             last[here] = best + 1
             before[:, 1:] = before[:, :-1]
@@ -113,7 +117,7 @@ def _shard_rows(shard: int, ids: list, texts: list[list[bytes]], n_docs: int, n_
     start = np.concatenate([[0], np.cumsum(df)])
     pieces = np.repeat(start[:-1], -(-df // PIECE)) + PIECE * _within(-(-df // PIECE))
     size = np.minimum(np.repeat(start[1:], -(-df // PIECE)) - pieces, PIECE)
-    ends = np.flatnonzero(block_ends(value, pieces, size))
+    ends = np.flatnonzero(block_ends(value, docs, pieces, size))
     tops = np.maximum.reduceat(value, np.concatenate([[0], ends[:-1] + 1])).astype(np.int32)
     cut = np.searchsorted(ends, start)
     value = value.astype(np.int32)
