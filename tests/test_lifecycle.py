@@ -99,6 +99,13 @@ def test_claim_drift_needs_a_changed_number(spark):
     assert rows(corpus.claim_drift(revs), "rev", "old_line", "new_line") == [(1, "The limit is 40 MB now", "The limit is 50 MB now")]
 
 
+def test_claim_drift_is_one_number_of_a_line(spark):
+    old = "gpt3 scored 88 points\n2. The first step is this\nThe share is 5,5% of it\nissue #281 took 4 days\n2. It took 3 days in all"
+    new = "gpt4 scored 91 points\n3. The first step is this\nThe share is 6% of it\nissue 281 took # days\n2. It took 4 days in all"
+    got = corpus.claim_drift(spark.createDataFrame([("a", 1, old), ("a", 2, new)], "path string, rev long, text string")).collect()
+    assert {(r.old_line, r.new_line) for r in got} == {("The share is 5,5% of it", "The share is 6% of it"), ("2. It took 3 days in all", "2. It took 4 days in all")}
+
+
 def test_lint_reports_each_rule(spark):
     made = [
         ("a.md", "x", "a", None, None), ("b.md", "x", "nowhere", None, None), ("c.md", "x", None, "2024-99-01", None), ("n_v1.md", "x", None, None, None), ("n_v2.md", "x", None, None, None),

@@ -1,6 +1,7 @@
 """Retrieval legs against plain Python, and the rules of fusion and expansion."""
 
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -129,3 +130,15 @@ def test_interleaving_takes_documents_in_turns(spark):
     hits = spark.createDataFrame([(1, "a", o, o) for o in range(4)] + [(1, "b", 9, 7), (1, "c", 1, 8)], "query_id long, file string, ord long, rank long")
     rows = retrieval.interleave(hits, 3, 2).orderBy("position").collect()
     assert [(r.file, r.ord) for r in rows] == [("a", 0), ("a", 1), ("b", 9)]
+
+
+def test_index_is_written_again_after_clear(spark):
+    from tidemark.plans import retrieval as plans
+    from tidemark.sources import shared
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    first = plans.bm25_topk(spark, sf).collect()
+    shared.clear(spark)
+    assert plans.bm25_topk(spark, sf).collect() == first

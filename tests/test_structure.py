@@ -85,14 +85,15 @@ def test_table_rows_stay_under_their_header():
 HIT = "query_id long, id long, file string, text string, score double, confidence double, final_pos long"
 
 
-def test_slots_take_one_hit_each_and_none_if_one_is_open(spark):
+def test_slots_take_one_hit_each_and_name_open_ones(spark):
     hits = [(1, 10, "a", "limit and cache", 0.9, 0.9, 1), (1, 11, "b", "cache cache size", 0.8, 0.8, 2), (1, 12, "c", "owner is Ann", 0.7, 0.7, 3), (2, 10, "a", "limit", 0.9, 0.9, 1)]
     df = spark.createDataFrame(hits, HIT)
     slots = {"what": (["cache"], 1), "who": (["owner", "ann"], 2)}
     for mode in ("greedy", "beam"):
-        got = {(r.query_id, r.id) for r in search.slot_evidence(df, slots, mode=mode).collect()}
-        assert got == {(1, 10), (1, 12)}
-    assert search.slot_evidence(df, slots, documents=1).count() == 0
+        got = {(r.query_id, r.id, r.missing) for r in search.slot_evidence(df, slots, mode=mode).collect()}
+        assert got == {(1, 10, ""), (1, 12, "")} | ({(2, None, "what,who")} if mode == "greedy" else set())
+    got = {(r.query_id, r.position, r.id, r.missing) for r in search.slot_evidence(df, slots, documents=1).collect()}
+    assert got == {(1, 1, 10, "who"), (2, None, None, "what,who")}
 
 
 def test_beam_equals_all_subsets_when_it_is_wide(spark):
@@ -155,11 +156,31 @@ def test_reviews_step_in_turn(spark):
     assert got == {"p": ("promoted", True), "q": ("proposed", False), "s": ("rejected", False), "t": ("proposed", False)}
 
 
-def test_packing_cuts_at_the_fold(spark, monkeypatch):
-    monkeypatch.setattr(structure, "FOLD", 5)
-    rows = spark.createDataFrame([("g", i, s) for i, s in enumerate([4, 4, 9, 1, 1, 1, 1, 12])], "g string, o long, s long")
-    got = [(r.o, r.cut, r.batch) for r in structure.packed(rows, "g", "o", "s", 10, joint=2).orderBy("o").collect()]
-    assert got == [(0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 0, 2), (4, 0, 2), (5, 1, 0), (6, 1, 0), (7, 1, 1)]
+@pytest.mark.parametrize("fold", [1, 5, 4096])
+def test_packing_equals_a_loop_beyond_the_fold(spark, monkeypatch, fold):
+    monkeypatch.setattr(structure, "FOLD", fold)
+    rng = random.Random(fold)
+    rows = [("g", i, s) for i, s in enumerate([4, 4, 9, 1, 1, 1, 1, 12])] + [("h", i, rng.choice([0, 1, 3, 5, 9, 11, None])) for i in range(700)] + [(None, i, 3) for i in range(9)]
+    want = []
+    for g in ("g", "h", None):
+        used, batch = 11, -1
+        for _, o, s in (r for r in rows if r[0] == g):
+            fits = used + 2 + (s or 0) <= 10
+            used, batch = (used + 2 + (s or 0), batch) if fits else (s or 0, batch + 1)
+            want.append((g, o, batch))
+    df = spark.createDataFrame(rows, "g string, o long, s long").repartition(3)
+    assert sorted(map(tuple, structure.packed(df, "g", "o", "s", 10, joint=2).collect()), key=str) == sorted(want, key=str)
+
+
+def test_packing_numbers_batches_over_many_segments(spark):
+    rows = spark.range(5000).selectExpr("'g' as g", "id as o", "100L as s")
+    got = [r.batch for r in structure.packed(rows, "g", "o", "s", 300).orderBy("o").collect()]
+    assert got == [i // 3 for i in range(5000)]
+
+
+def test_cycles_through_files_with_several_targets(spark):
+    edges = [("a", "b"), ("b", "a"), ("z", "b"), ("y", "z"), ("m", "k"), ("k", "n"), ("n", "m"), ("c", "n"), ("c", "d"), ("d", "c"), ("q", "q"), ("p", "q"), (None, "x"), ("a", "b")]
+    assert {r.file for r in corpus.cycles(spark.createDataFrame(edges, "target string, successor string")).collect()} == {"a", "k", "c", "q"}
 
 
 def test_recency_takes_the_newest_confident_hit(spark):

@@ -24,6 +24,7 @@ POSITIVE = r"(?i)\b(enabled|active|valid|approved|ship|on)\b"
 NEGATIVE = r"(?i)\b(disabled|inactive|invalid|rejected|blocked|off)\b"
 VALID_FROM = r"(?i)\b(?:valid[ _]from|effective(?:\s+from)?)\b[^\n]{0,40}?(\d{4}-\d{2}-\d{2})"
 VALID_UNTIL = r"(?i)\b(?:valid[ _]until|expires?(?:\s+on)?)\b[^\n]{0,40}?(\d{4}-\d{2}-\d{2})"
+LIST_MARKER = r"^\d+[.)]\s"
 STATUS = r"(?i)\bstatus\s*[:=]\s*([A-Za-z]+)"
 CONFIDENCE = {"explicit_version_naming": 0.86, "direct_textual_reference": 0.9, "repeated_decision_subject": 0.72, "contradictory_validity_windows": 0.78, "temporal_ordering": 0.64}
 STATUSES = ("active", "deprecated", "obsolete", "superseded", "draft", "final", "approved", "rejected")
@@ -129,13 +130,20 @@ def claim_lines(revisions: DataFrame) -> DataFrame:
 
 
 def claim_drift(revisions: DataFrame) -> DataFrame:
-    """Claims restated with other numbers in the next revision of a path: (path, rev, next_rev, old_line, new_line)."""
+    """Claims restated in the next revision of a path with one other number: (path, rev, next_rev, old_line, new_line).
+
+    Both lines have as many numbers, and exactly one of them differs: two differences mean two subjects. An item of a
+    list that only has another number in front isn't one.
+    """
     order = W.partitionBy("path").orderBy("rev")
     steps = revisions.select("path", "rev").distinct().withColumn("next_rev", F.lead("rev").over(order)).where("next_rev is not null")
-    claims = claim_lines(revisions)
-    new = claims.select("path", F.col("rev").alias("next_rev"), "skeleton", F.col("line").alias("new_line"))
+    claims = claim_lines(revisions).withColumn("numbers", F.regexp_extract_all("line", F.lit(NUMBER), F.lit(0)))
+    new = claims.select("path", F.col("rev").alias("next_rev"), "skeleton", F.col("line").alias("new_line"), F.col("numbers").alias("new_numbers"))
     joined = claims.withColumnRenamed("line", "old_line").join(steps, ["path", "rev"]).join(new, ["path", "next_rev", "skeleton"])
-    return joined.where("old_line <> new_line").select("path", "rev", "next_rev", "old_line", "new_line")
+    changed = F.filter(F.transform(F.arrays_zip("numbers", "new_numbers"), lambda n, i: F.when(n["numbers"] != n["new_numbers"], i)), lambda i: i.isNotNull())
+    renumbered = (F.get(F.col("changed"), F.lit(0)) == 0) & F.col("old_line").rlike(LIST_MARKER) & F.col("new_line").rlike(LIST_MARKER)
+    one = joined.where(F.size("numbers") == F.size("new_numbers")).withColumn("changed", changed).where((F.size("changed") == 1) & ~renumbered)
+    return one.select("path", "rev", "next_rev", "old_line", "new_line")
 
 
 def extract_claims(docs: DataFrame) -> DataFrame:
@@ -202,29 +210,37 @@ def lint(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def _least_reached(edges: DataFrame) -> DataFrame:
+    """(node, low): the least node that can be reached along ``edges`` (a, b), the node itself included. A label is
+    a node that is reached, so its own label is too: labels jump, and chains take few rounds."""
+    labels = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("low")))
+    while True:
+        seen = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("seen"))
+        lower = labels.join(seen, "node", "left").select("node", F.col("low").alias("was"), F.least("low", "seen").alias("mid"))
+        after = stored(lower.join(labels.select(F.col("node").alias("mid"), F.col("low").alias("next")), "mid").select("node", "was", F.least("mid", "next").alias("low")))
+        labels = after.select("node", "low")
+        if after.where("was <> low").isEmpty():
+            return labels
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(file): the least member of each cycle of ``edges`` (target, successor), where a file names one target.
+    """(file): the least file of each set of files that lead to one another along ``edges`` (target, successor).
 
-    Pointers double: after k rounds a file points to the 2^k-th file of its walk, or has ended. The files pointed to
-    get fewer each round until they are the members of cycles, each of which then takes the least of its cycle in
-    as many rounds again. A file with several targets keeps the greatest.
+    A file may name several targets. Files on one cycle reach the same files and are reached by the same, so an edge
+    between files whose least reached, or least reaching, files differ is on no cycle and goes. Files for which both
+    are the same one form a cycle with it. What is left is looked at again, until no edge is.
     """
-    step = stored(edges.groupBy(F.col("successor").alias("x")).agg(F.max("target").alias("y")))
-    walk, before = step, None
-    while True:
-        alive, images = walk.count(), walk.select("y").distinct().count()
-        if (alive, images) == before:
-            break
-        before = (alive, images)
-        walk = stored(walk.join(walk.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")))
-    members = walk.select(F.col("y").alias("x")).distinct()
-    least = stored(step.join(members, "x", "left_semi").select("x", "y", F.least("x", "y").alias("low")))
-    while True:
-        ahead = least.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("low").alias("far"))
-        after = stored(least.join(ahead, "y").select("x", F.col("z").alias("y"), F.least("low", "far").alias("low"), F.col("low").alias("was")))
-        least = after.drop("was")
-        if after.where("low <> was").isEmpty():
-            return least.select(F.col("low").alias("file")).distinct()
+    left = stored(edges.select(F.col("target").alias("a"), F.col("successor").alias("b")).where("a is not null and b is not null").distinct())
+    found = stored(left.where("a = b").select(F.col("a").alias("file")))
+    left = stored(left.where("a <> b"))
+    while not left.isEmpty():
+        ahead, behind = _least_reached(left), _least_reached(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = ahead.join(behind.withColumnRenamed("low", "back"), "node")
+        one, two = (both.select(F.col("node").alias(c), F.struct("low", "back").alias(f"{c}_on")) for c in "ab")
+        same = stored(left.join(one, "a").join(two, "b").where("a_on = b_on").select("a", "b", "a_on.low", "a_on.back"))
+        found = stored(found.union(same.where("low = back").select("low")).distinct())
+        left = stored(same.where("low <> back").select("a", "b"))
+    return found
 
 
 def graph_diagnostics(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,51 +124,69 @@ def slot_matches(text: str, terms: list[str]) -> int:
     return sum(re.search(rf"(?<!\w){re.escape(t.strip().casefold())}(?!\w)", text.casefold()) is not None for t in terms)
 
 
+#: What a bundle of hits is worth.
+SLOT_WORTH, DOCUMENT_WORTH, COSINE_SHARE, IDLE_COST, PLACE_COST, TOO_MANY = 100.0, 0.25, 0.1, 3.0, 0.0001, -1_000_000.0
+
+
+def best_bundle(covers: np.ndarray, documents: np.ndarray, quality: np.ndarray, items: int, most_documents: int, beam: int) -> np.ndarray:
+    """The places of the best bundle of ``items`` hits or fewer; ``covers`` says which slots a hit covers.
+
+    All bundles of a level are rows of a few arrays: which hits, slots and documents are in them, and what counts for
+    and against them. A hit doubles the rows that have room, and the ``beam`` best stay.
+    """
+    taken, slots, docs = (np.zeros((1, n), dtype=bool) for n in (len(covers), covers.shape[1], len(covers)))
+    sums = np.zeros((1, 3))  # quality, hits that cover nothing, places
+    for i in range(len(covers)):
+        room = taken.sum(axis=1) < items
+        more = [x[room].copy() for x in (taken, slots, docs, sums)]
+        more[0][:, i] = True
+        more[1] |= covers[i]
+        more[2][:, documents[i]] = True
+        more[3] += (quality[i], not covers[i].any(), i)
+        taken, slots, docs, sums = (np.concatenate(x) for x in zip((taken, slots, docs, sums), more, strict=True))
+        spread = docs.sum(axis=1)
+        worth = SLOT_WORTH * slots.sum(axis=1) + sums[:, 0] + DOCUMENT_WORTH * spread - IDLE_COST * sums[:, 1] - PLACE_COST * sums[:, 2]
+        best = np.argsort(-np.where(spread > most_documents, TOO_MANY, worth), kind="stable")[:beam]
+        taken, slots, docs, sums = (x[best] for x in (taken, slots, docs, sums))
+    return np.flatnonzero(taken[0]) if slots[0].all() else np.zeros(0, dtype=np.int64)
+
+
 def slot_evidence(hits: DataFrame, slots: dict[str, tuple[list[str], int]], items: int = ITEMS, documents: int = DOCUMENTS, mode: str = "greedy", beam: int = BEAM) -> DataFrame:
-    """(query_id, position, id): hits that cover answer slots, {name: (terms, least matches)}; none if one is open.
+    """(query_id, position, id, missing): hits that cover answer slots, {name: (terms, least matches)}.
 
     greedy takes for each slot the hit with the most matches, confidence and cosine of a document that is taken or
-    still fits; beam keeps the best ``beam`` subsets by coverage, quality and diversity. ``hits`` (query_id, id, file,
-    text, score, confidence, final_pos) are the ok hits of a query: a group is bounded by the pool size.
+    still fits; slots for which there is none are named in ``missing``, with commas, and a query without any hit has
+    one row with nulls. beam keeps the best ``beam`` subsets by coverage, quality and diversity, and returns none if
+    a slot is open. ``hits`` (query_id, id, file, text, score, confidence, final_pos) are the ok hits of a query: a
+    group is bounded by the pool size.
     """
     wanted = list(slots.values())
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("final_pos", ignore_index=True)
-        counts = [[slot_matches(t or "", terms) for terms, _ in wanted] for t in pdf.text]
-        covers = [[c >= least for c, (_, least) in zip(row, wanted, strict=True)] for row in counts]
-        taken = greedy(pdf, counts, covers) if mode == "greedy" else widest(pdf, covers)
-        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "position": range(1, len(taken) + 1), "id": pdf.id.iloc[taken].to_numpy()})
-
-    def greedy(pdf, counts, covers) -> list[int]:
-        taken, used = [], set()
-        for s in range(len(wanted)):
-            rows = sorted((i for i in range(len(pdf)) if covers[i][s]), key=lambda i: (-counts[i][s], -pdf.confidence[i], -pdf.score[i], i))
-            best = next((i for i in rows if pdf.file[i] in used or len(used) < documents), None)
-            if best is None:
-                return []
-            used.add(pdf.file[best])
-            if best not in taken:
-                taken.append(best)
-        return taken
-
-    def widest(pdf, covers) -> list[int]:
-        def worth(state: tuple) -> float:
-            files = {pdf.file[i] for i in state}
-            if len(files) > documents:
-                return -1e6
-            covered = sum(any(covers[i][s] for i in state) for s in range(len(wanted)))
-            idle = sum(not any(covers[i]) for i in state)
-            quality = sum(pdf.confidence[i] + 0.1 * pdf.score[i] for i in state)
-            return 100.0 * covered + quality + 0.25 * len(files) - 3.0 * idle - 0.0001 * sum(state)
-
-        states: list[tuple] = [()]
-        for i in range(min(len(pdf), 4 * items)):
-            states = sorted([*states, *((*s, i) for s in states if len(s) < items)], key=worth, reverse=True)[:beam]
-        best = max(states, key=worth)
-        return list(best) if all(any(covers[i][s] for i in best) for s in range(len(wanted))) else []
-
-    return hits.groupBy("query_id").applyInPandas(pick, "query_id long, position long, id long")
+        counts = np.array([[slot_matches(t or "", terms) for terms, _ in wanted] for t in pdf.text]).reshape(len(pdf), len(wanted))
+        covers = counts >= np.array([least for _, least in wanted])
+        files = pd.factorize(pdf.file)[0]
+        if mode == "greedy":
+            taken, missing = greedy(pdf, counts, covers, files)
+        else:
+            n = min(len(pdf), 4 * items)
+            quality = (pdf.confidence + COSINE_SHARE * pdf.score).to_numpy()
+            taken, missing = best_bundle(covers[:n], files[:n], quality[:n], items, documents, beam).tolist(), []
+        rows = [(pdf.query_id.iloc[0], n + 1, pdf.id[i]) for n, i in enumerate(taken)] or [(pdf.query_id.iloc[0], None, None)] * bool(missing)
+        return pd.DataFrame(rows, columns=["query_id", "position", "id"]).astype({"position": "Int64", "id": "Int64"}).assign(missing=",".join(missing))
+
+    def greedy(pdf, counts, covers, files) -> tuple[list[int], list[str]]:
+        taken, used, missing = [], set(), []
+        for s, name in enumerate(slots):
+            rows = pd.DataFrame({"n": -counts[:, s], "confidence": -pdf.confidence, "score": -pdf.score})[covers[:, s]].sort_values(["n", "confidence", "score"], kind="stable").index
+            fitting = [i for i in rows if files[i] in used or len(used) < documents][:1]
+            missing += [] if fitting else [name]
+            used.update(files[fitting].tolist())
+            taken += [i for i in fitting if i not in taken]
+        return taken, missing
+
+    return hits.groupBy("query_id").applyInPandas(pick, "query_id long, position long, id long, missing string")
 
 
 def adaptive_depth(pool: DataFrame, queries: DataFrame, base: int, expanded: int, feature: str, threshold: float) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,6 +14,7 @@ from tidemark.functions.text import supersedes_key
 from tidemark.functions.vectors import dot
 from tidemark.operators.retrieval import small
 from tidemark.operators.trust import resolve_references
+from tidemark.sources.shared import stored
 
 #: Characters of a neighbour, of a shortened section, and the rungs of the ladder from rich to poor.
 NEIGHBOR_CHARS, SHORT_SECTION = 200, 60
@@ -55,28 +60,81 @@ def contexts(chunks: DataFrame, budget: int) -> DataFrame:
     return placed.withColumn("chosen", choice).select("file", "ord", "chosen.rung", "chosen.passage")
 
 
-def packed(rows: DataFrame, by: str, order: str, size: str, most: int, joint: int = 0) -> DataFrame:
-    """(by, order, cut, batch): rows packed in order into batches of ``most`` in all; ``joint`` is paid between two rows.
+#: Rows of a segment of ``packed``.
+FOLD = 4096
 
-    A row over ``most`` has a batch of its own. The fold keeps two numbers a group, over sizes only. Groups are cut
-    every FOLD rows, so none grows with the data; a cut begins a batch.
-    """
-    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order)) - 1).withColumn("_cut", F.expr(f"_n div {FOLD}"))
-    lists = numbered.groupBy(by, "_cut").agg(F.array_sort(F.collect_list(F.struct("_n", F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).alias("batch"), F.array().cast("array<int>").alias("out"))
 
-    def step(s, r):
-        fits = (s["batch"] >= 0) & (s["used"] + joint + r["s"] <= most)
-        batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
-        return F.struct(F.when(fits, s["used"] + joint + r["s"]).otherwise(r["s"]).alias("used"), batch.alias("batch"), F.concat(s["out"], F.array(batch)).alias("out"))
+def _pack_starts(ahead: np.ndarray, sizes: np.ndarray, most: int, used: int) -> np.ndarray:
+    """Where batches begin among rows of these sizes, ``used`` being in the batch that is open before them. ``ahead``
+    are the running sums of the sizes with what is paid between rows."""
+    starts, at = [], int(np.searchsorted(ahead, most - used, side="right"))
+    while at < len(sizes):
+        starts.append(at)
+        at = max(at + 1, int(np.searchsorted(ahead, most - sizes[at] + ahead[at], side="right")))
+    return np.array(starts, dtype=np.int64)
 
-    batches = lists.withColumn("b", F.aggregate("rows", start, step, lambda s: s["out"]))
-    pairs = batches.select(by, "_cut", F.explode(F.transform("rows", lambda r, i: F.struct(r["o"].alias("o"), F.get(F.col("b"), i).alias("b")))).alias("p"))
-    return pairs.select(by, F.col("p.o").alias(order), F.col("_cut").alias("cut"), F.col("p.b").alias("batch"))
 
+def _pack_map(ahead: np.ndarray, sizes: np.ndarray, most: int) -> tuple[list, list, list]:
+    """What a segment makes of the batch that is open before it: (top, fill, more). The first row that doesn't fit
+    decides what follows; rows after which the same follows are one entry, with the greatest running sum."""
+    n = len(sizes)
+    follows = np.maximum(np.arange(1, n + 1), np.searchsorted(ahead, most - sizes + ahead, side="right"))
+    fill, more = sizes + ahead[-1] - ahead, np.ones(n, dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        if follows[i] < n:
+            fill[i], more[i] = fill[follows[i]], more[follows[i]] + 1
+    last = np.r_[(fill[1:] != fill[:-1]) | (more[1:] != more[:-1]), True]
+    return ahead[last].tolist(), fill[last].tolist(), more[last].tolist()
 
-#: Rows that one fold of ``packed`` goes over.
-FOLD = 4096
+
+def packed(rows: DataFrame, by: str, order: str, size: str, most: int, joint: int = 0) -> DataFrame:
+    """(by, order, batch): rows packed in order into batches of ``most`` in all; ``joint`` is paid between two rows.
+
+    A row over ``most`` has a batch of its own; a null size is 0. Rows are sorted by ranges and cut into segments of
+    FOLD rows, each of which is turned into a small map from the open batch before it to the one behind it. Only these
+    maps are chained, group by group; then every segment is packed behind what the chain has left open for it.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, order)}
+    ranged = rows.select(F.col(by).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("s")).repartitionByRange("g", "o")
+    ranged = ranged.sortWithinPartitions("g", "o").withColumn("part", F.spark_partition_id())
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, seq = [], 0
+
+        def segment() -> pd.DataFrame:
+            sizes = np.array([r.s for r in held], dtype=np.int64)
+            top, fill, more = _pack_map(np.cumsum(sizes + joint), sizes, most)
+            row = {"g": held[0].g, "part": held[0].part, "seq": seq, "o": [r.o for r in held], "s": sizes, "top": top, "fill": fill, "more": more}
+            return pd.DataFrame([row]).astype({"g": object})
+
+        for b in batches:
+            for r in b.astype({"g": object}).itertuples(index=False):
+                if held and (len(held) >= FOLD or (r.g != held[0].g and not (pd.isna(r.g) and pd.isna(held[0].g)))):
+                    yield segment()
+                    held, seq = [], seq + 1
+                held.append(r)
+        if held:
+            yield segment()
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, batch, out = most + 1, -1, []  # the first row opens a batch
+        for r in pdf.sort_values(["part", "seq"]).itertuples(index=False):
+            out.append((r.part, r.seq, used, batch))
+            at = int(np.searchsorted(r.top, most - used, side="right"))
+            used, batch = (int(r.fill[at]), batch + int(r.more[at])) if at < len(r.top) else (used + int(r.top[-1]), batch)
+        return pd.DataFrame(out, columns=["part", "seq", "used", "open"])
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                sizes = np.asarray(r.s, dtype=np.int64)
+                starts = _pack_starts(np.cumsum(sizes + joint), sizes, most, r.used)
+                batch = r.open + np.searchsorted(starts, np.arange(len(sizes)), side="right")
+                yield pd.DataFrame({by: pd.Series([r.g] * len(sizes), dtype=object), order: pd.Series(list(r.o), dtype=object), "batch": batch})
+
+    segments = stored(ranged.mapInPandas(cut, f"g {kinds[by]}, part int, seq long, o array<{kinds[order]}>, s array<long>, top array<long>, fill array<long>, more array<long>"))
+    opened = segments.select("g", "part", "seq", "top", "fill", "more").groupBy("g").applyInPandas(chain, "part int, seq long, used long, open long")
+    return segments.select("g", "part", "seq", "o", "s").join(opened, ["part", "seq"]).mapInPandas(numbered, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, batch long")
 
 
 def kind_of(file: Column) -> Column:

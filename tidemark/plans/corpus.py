@@ -155,7 +155,11 @@ ORACLES = {
         UNION SELECT 'duplicate_entity_candidate', file FROM st JOIN cnt USING (stem) WHERE n > 1 UNION SELECT 'unresolved_reference', file FROM r WHERE n IS NULL UNION SELECT 'ambiguous_reference', file FROM r WHERE n > 1
         UNION SELECT 'conflicting_authored_claim', only_file FROM g GROUP BY only_file HAVING count(DISTINCT file) > 1""",
     "claim_skeletons": f"WITH {LINES} SELECT * FROM claims",
-    "claim_drift": f"WITH {LINES}, s AS (SELECT path, rev, lead(rev) OVER (PARTITION BY path ORDER BY rev) AS next_rev FROM (SELECT DISTINCT path, rev FROM rev)) SELECT a.path, a.rev, s.next_rev, a.line AS old_line, b.line AS new_line FROM claims a JOIN s ON s.path = a.path AND s.rev = a.rev JOIN claims b ON b.path = a.path AND b.rev = s.next_rev AND b.skeleton = a.skeleton WHERE a.line <> b.line",
+    "claim_drift": rf"""WITH {LINES}, s AS (SELECT path, rev, lead(rev) OVER (PARTITION BY path ORDER BY rev) AS next_rev FROM (SELECT DISTINCT path, rev FROM rev)),
+        p AS (SELECT a.path, a.rev, s.next_rev, a.line AS old_line, b.line AS new_line, regexp_extract_all(a.line, '{NUMBER}') AS x, regexp_extract_all(b.line, '{NUMBER}') AS y
+          FROM claims a JOIN s ON s.path = a.path AND s.rev = a.rev JOIN claims b ON b.path = a.path AND b.rev = s.next_rev AND b.skeleton = a.skeleton),
+        c AS (SELECT *, list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i]) AS changed FROM p WHERE len(x) = len(y))
+        SELECT path, rev, next_rev, old_line, new_line FROM c WHERE len(changed) = 1 AND NOT (changed[1] = 1 AND regexp_matches(old_line, '^\d+[.)]\s') AND regexp_matches(new_line, '^\d+[.)]\s'))""",
     "skeleton_digests": rf"SELECT conv_id, turn, md5(trim(regexp_replace(trim(text), '{NUMBER}', '#', 'g'))) AS digest FROM conversations",
     "numeric_terms": rf"WITH r AS ({REVISIONS.format(conversations='conversations')}), t AS (SELECT path, rev, [replace(v, ',', '.') FOR v IN regexp_extract_all(' ' || replace(text, chr(10), '  '), '[^\w.]([+-]?\d+(?:[.,]\d+)?%?)', 1)] AS ts FROM r) SELECT path, rev, (SELECT string_agg(v, '|' ORDER BY i) FROM (SELECT v, min(i) AS i FROM (SELECT unnest(ts) AS v, generate_subscripts(ts, 1) AS i) GROUP BY v)) AS terms FROM t",
 }

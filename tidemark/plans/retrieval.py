@@ -6,8 +6,6 @@ divisible by 50. All rows of the corpus are searched.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,28 +14,23 @@ from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import evaluation, retrieval
 from tidemark.sources import tables
-from tidemark.sources.shared import shared_dir
+from tidemark.sources.shared import named
 
 
 def _docs(spark, sf):
     return retrieval.spread(tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-#: Folders of indexes that this session has written, by table and its files' times and sizes.
-_INDEXES: dict[tuple, str] = {}
+def _stamp(spark, path: str) -> tuple:
+    """Number, size and last change of a table's files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first())
 
 
 def text_index(spark, sf) -> retrieval.TextIndex:
     """The index of documents: written once a session, and again when a file of the table has changed."""
     path = f"{sf}/documents.parquet"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
-    stamp = files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first()
-    key = (spark.sparkContext.applicationId, path, *stamp)
-    if key not in _INDEXES:
-        folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-        retrieval.write_index(_docs(spark, sf), folder)
-        _INDEXES[key] = folder
-    return retrieval.read_index(spark, _INDEXES[key])
+    return retrieval.read_index(spark, named(spark, ("text", path, *_stamp(spark, path)), lambda folder: retrieval.write_index(_docs(spark, sf), folder)))
 
 
 def _asked(spark, sf):

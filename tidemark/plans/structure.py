@@ -12,7 +12,7 @@ from tidemark.plans.corpus import LINTED, _docs, _linted
 from tidemark.plans.lifecycle import GENERATIONS, NEW, OLD, _o, _sql
 from tidemark.plans.retrieval import _vector_queries, _vectors
 from tidemark.plans.trust import BASE, memos
-from tidemark.sources import files, synthetic, tables
+from tidemark.sources import files, tables
 
 
 def document_chunks(spark, sf):
@@ -69,10 +69,6 @@ def verified_objects(spark, sf):
     return files.verified_objects(have, manifest)
 
 
-def synthetic_corpus(spark, sf):
-    return synthetic.corpus(spark, 50, 40, 30, 100)
-
-
 def pinned_chunks(spark, sf):
     """Chunks of the active generation of each tenant: the pointer is read once, rows are filtered by both."""
     pointers = _sql(spark, sf, GENERATIONS).where("state = 'active'").groupBy("tenant_id").agg(F.max("generation_id").alias("generation_id"))
@@ -96,7 +92,7 @@ def contextual_passages(spark, sf):
 
 def packed_batches(spark, sf):
     """Turns of a conversation packed in order into batches of 300 characters."""
-    return structure.packed(_turns(spark, sf).withColumn("size", F.length("text")), "file", "ord", "size", 300).select("file", "ord", F.col("batch").cast("long").alias("batch"))
+    return structure.packed(_turns(spark, sf).withColumn("size", F.length("text")), "file", "ord", "size", 300)
 
 
 def graph_edges(spark, sf):
@@ -151,7 +147,7 @@ def code_densities(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    document_chunks, code_chunks, table_chunks, page_texts, dispatched_pages, markdown_table, conversation_memos, frontmatter_fields, manifest_objects, verified_objects, synthetic_corpus,
+    document_chunks, code_chunks, table_chunks, page_texts, dispatched_pages, markdown_table, conversation_memos, frontmatter_fields, manifest_objects, verified_objects,
     pinned_chunks, live_or_legacy_sources, contextual_passages, packed_batches, graph_edges, near_duplicate_pairs, unlinked_decisions, validity_ranges, proposal_scores, coerced_proposals,
     cited_answers, session_times, code_densities,
 )}
@@ -167,10 +163,6 @@ ORACLES = {k: _o(v) for k, v in {
     "frontmatter_fields": "WITH n AS (SELECT event_id AS id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS has, event_type FROM events) SELECT id, CASE WHEN has THEN CASE WHEN id % 3 = 0 THEN 'e' || id ELSE 'x/e' || id || '.md' END END AS supersedes, CASE WHEN has THEN '2024-01-0' || (1 + id % 9) END AS valid_from, NULL::VARCHAR AS valid_until, md5(CASE WHEN has THEN 'body ' || event_type ELSE t.text END) AS body_md5 FROM n JOIN (" + NOTES.replace("{events}", "events").replace('"e', '"e') + ") t USING (id)",
     "manifest_objects": "SELECT uri, sha256 FROM <OLD>",
     "verified_objects": "SELECT 'd/' || doc_id AS uri, CASE WHEN doc_id % 50 = 7 THEN 'missing' WHEN doc_id % 60 = 1 THEN 'size' WHEN doc_id % 70 = 3 THEN 'digest' ELSE 'ok' END AS status FROM documents",
-    "synthetic_corpus": """WITH r AS (SELECT i, ('0x' || md5(i || '-1234')[1:8])::BIGINT % 9000 + 1000 AS n FROM range(100) t(i))
-        SELECT 'facts/s' || i || '.md' AS file, NULL::VARCHAR AS supersedes, NULL::VARCHAR AS valid_until, 'The limit of service s' || i || ' is ' || n || '.' AS text FROM r WHERE i < 50
-        UNION ALL SELECT 'pairs/p' || i || '_v1.md', NULL, NULL, 'Policy p' || i || ' allows ' || n FROM r WHERE i < 40 UNION ALL SELECT 'pairs/p' || i || '_v2.md', 'p' || i || '_v1.md', NULL, 'Policy p' || i || ' allows ' || (n + 1) FROM r WHERE i < 40
-        UNION ALL SELECT 'expired/x' || i || '.md', NULL, '2024-05-02', 'Offer x' || i || ' costs ' || n FROM r WHERE i < 30 UNION ALL SELECT 'filler/notes_' || i || '.md', NULL, NULL, 'note ' || md5(i || '-1234') FROM r""",
     "pinned_chunks": "WITH p AS (SELECT tenant_id, max(generation_id) AS generation_id FROM <GENS> WHERE state = 'active' GROUP BY 1) SELECT tenant_id, generation_id, l_linenumber AS chunk FROM lineitem JOIN p ON generation_id = l_orderkey",
     "live_or_legacy_sources": "SELECT source FROM <OLD> UNION SELECT source FROM <NEW>",
     "contextual_passages": f"""WITH t AS (SELECT conv_id AS file, turn AS ord, coalesce(text, '') AS text, 'conversation ' || conv_id AS title, {LINE.format("role || ' > part of a long section name, ' || role")} AS section FROM conversations),

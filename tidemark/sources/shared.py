@@ -25,7 +25,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that sessions have written under a name, by the session's folder and the name.
+_NAMED: dict[tuple, str] = {}
+
+
+def named(spark: SparkSession, name: tuple, write) -> str:
+    """The folder that ``write(folder)`` has filled under this name in this session; written if it isn't there."""
+    key = (shared_dir(spark), *name)
+    if key not in _NAMED:
+        folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        write(folder)
+        _NAMED[key] = folder
+    return _NAMED[key]
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete all that this session has stored; call it when no result is read any more."""
+    """Delete all that this session has stored, and forget its names; call it when no result is read any more."""
+    for key in [k for k in _NAMED if k[0] == shared_dir(spark)]:
+        del _NAMED[key]
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
