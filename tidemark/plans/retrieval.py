@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
-from tidemark.operators import evaluation, retrieval
+from tidemark.operators import evaluation, retrieval, vector_index
 from tidemark.sources import tables
 from tidemark.sources.shared import named
 
@@ -59,6 +59,28 @@ def dense_topk_filtered(spark, sf):
     return retrieval.dense_topk(_vectors(spark, sf).where("label = 3"), _vector_queries(spark, sf), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _vector_index(spark, sf):
+    path = f"{sf}/embeddings.parquet"
+    folder = named(spark, ("vectors", path, *_stamp(spark, path)), lambda f: vector_index.write_vector_index(_vectors(spark, sf), f))
+    return vector_index.read_vector_index(spark, folder)
+
+
+def indexed_topk_exact(spark, sf):
+    """The rows of dense_topk_batch from the stored cells; cells that can't hold any of them are not read."""
+    found = vector_index.indexed_topk(_vector_index(spark, sf), _vector_queries(spark, sf), 5, exact=True)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def indexed_recall(spark, sf):
+    """Whether the nearest cells alone hold 0.95 of the ten nearest vectors of all queries, and read fewer vectors."""
+    index, asked = _vector_index(spark, sf), _vector_queries(spark, sf)
+    best = retrieval.dense_topk(_vectors(spark, sf), asked, 10).select("query_id", "id")
+    found = vector_index.indexed_topk(index, asked, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    recall = best.join(found, ["query_id", "id"], "left").agg(F.count(F.lit(1)).alias("n_neighbours"), (F.count("hit") >= 0.95 * F.count(F.lit(1))).alias("recall_reached"))
+    read = vector_index.cells_read(index, asked).agg(F.sum("n_vectors").alias("n"), F.count(F.lit(1)).alias("q")).crossJoin(index.cells.agg(F.count(F.lit(1)).alias("all")))
+    return recall.crossJoin(read.select((F.col("n") < F.col("q") * F.col("all")).alias("reads_less")))  # one row each
+
+
 DENSE = """
 WITH pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s
@@ -271,12 +293,14 @@ SELECT label, round(sum(best), 4) AS score FROM (
 """
 
 QUERIES = {f.__name__: f for f in (
-    dense_topk, dense_topk_batch, dense_topk_filtered, bm25_topk, lexical_topk, lexical_topk_boosted, sparse_sidecar, rrf_fused, rrf_weighted, rrf_nested, hashing_embed, hashed_cosine,
+    dense_topk, dense_topk_batch, dense_topk_filtered, indexed_topk_exact, indexed_recall, bm25_topk, lexical_topk, lexical_topk_boosted, sparse_sidecar, rrf_fused, rrf_weighted, rrf_nested, hashing_embed, hashed_cosine,
     learned_sparse_topk, rerank_overlap, gap_warnings, neighbour_expansion, interleaved_evidence, history_queries, sparse_arms_differ, max_sim_pairs,
 )}
 ORACLES = {
     "dense_topk": DENSE.format(where="q.vec_id = 0", columns="", k=10),
     "dense_topk_batch": DENSE.format(where="q.vec_id % 50 = 0", columns="query_id,", k=5),
+    "indexed_topk_exact": DENSE.format(where="q.vec_id % 50 = 0", columns="query_id,", k=5),
+    "indexed_recall": "SELECT sum(least(10, (SELECT count(*) FROM embeddings)))::BIGINT AS n_neighbours, true AS recall_reached, true AS reads_less FROM embeddings WHERE vec_id % 50 = 0",
     "dense_topk_filtered": DENSE.format(where="q.vec_id % 50 = 0 AND c.label = 3", columns="query_id,", k=5),
     "bm25_topk": f"WITH {TEXT} z AS (SELECT 1) SELECT query_id, id, score, rank FROM bm25 WHERE rank <= 10",
     "lexical_topk": f"WITH {TEXT} {LEX} SELECT query_id, id, score, rank FROM lex WHERE rank <= 10",
