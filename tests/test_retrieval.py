@@ -2,12 +2,15 @@
 
 import math
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from tidemark.operators import retrieval
+from tidemark.functions import blockmax
+from tidemark.operators import retrieval, text_index
 
 TEXTS = {1: "The cache limit is 40 percent", 2: "cache cache limit", 3: "nothing here", 4: None, 5: "", 6: "Limit of 40 and of 50"}
 ASKED = {10: "cache limit limit", 11: "what is 40", 12: "zebra", 13: None}
@@ -92,6 +95,41 @@ def test_terms_too_many_to_broadcast_give_the_same(index, asked, monkeypatch):
     assert got(retrieval.bm25_topk(index, asked, 10)) == few
 
 
+def test_search_skips_blocks_and_equals_all_scores(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights=[1 / (j + 1) for j in range(50)], k=rng.choice([0, 2, 9, 40]))) + rng.choice(["", " 7", " 8,5", " w49 7 8,5"])) for i in range(700)]
+    docs = spark.createDataFrame([*rows, (9000, None), (None, "w1 w2")], "id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(rng.sample(vocabulary, 6)) + rng.choice([" 7", " 8.5 7", ""])) for q in range(12)] + [(90, "7"), (91, None), (92, "zz")], "query_id long, text string")
+    monkeypatch.setattr(text_index, "SHARD_DOCS", 90)
+    monkeypatch.setattr(text_index, "PASS_WORDS", 20)
+    monkeypatch.setattr(blockmax, "FIRST_DOCS", 8)
+    retrieval.write_index(docs, f"file://{tmp_path}/i")
+    index = retrieval.read_index(spark, f"file://{tmp_path}/i")
+    for boost in (0.0, 0.25, 3.0):
+        every = retrieval.top_k(retrieval.lexical_scores(index, queries, boost), 7)
+        assert sorted((r.query_id, r.rank, r.id, r.score) for r in retrieval.lexical_topk(index, queries, 7, boost).collect()) == sorted((r.query_id, r.rank, r.id, r.score) for r in every.collect())
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (3, 5), (3, 9000)], "query_id long, id long")
+    some = {(r.query_id, r.id): r.score for r in retrieval.lexical_scores(index, queries, 0.25, pairs).collect()}
+    whole = {(r.query_id, r.id): r.score for r in retrieval.lexical_scores(index, queries, 0.25).collect()}
+    assert some == {k: v for k, v in whole.items() if k in {(0, 1), (0, 2), (3, 5), (3, 9000)}}
+    assert index.stats.first()["n_docs"] == 702 and index.dictionary.where("term = 'w1'").first().df == sum("w1" in t.split() for _, t in rows)
+
+
+def test_blocks_that_cannot_enter_are_not_read():
+    rng = np.random.default_rng(1)
+    n, lists, total = 20_000, [], np.zeros(20_000)
+    for weight, share in ((0.2, 0.7), (3.0, 0.02), (6.0, 0.002)):
+        docs = np.flatnonzero(rng.random(n) < share)
+        values = rng.random(len(docs)) + 1.5 * (docs // 1000 % 10 == 3)
+        ends = blockmax.even_blocks(docs, np.array([0]))
+        lists.append((weight, blockmax.BlockList(docs, values, ends, np.maximum.reduceat(values, np.r_[0, ends[:-1] + 1]))))
+        total[docs] += weight * values
+    docs, scores, read = blockmax.best_documents(lists, n, 20, 0.0, 1e-6)
+    assert docs[:20].tolist() == np.argsort(-total, kind="stable")[:20].tolist() and np.allclose(scores[:20], np.sort(total)[::-1][:20])
+    assert read < 0.5 * sum(len(p.docs) for _, p in lists)
+
+
 LEG = "query_id long, id long, rank long"
 
 

@@ -8,24 +8,24 @@ fall to the smallest id whatever the order of summation.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.text import numeric_terms, tokens
+from tidemark.operators.text_index import TextIndex, exploded, read_index, search, write_index  # noqa: F401
 from tidemark.sources.shared import stored
 
 ROUND = 9
 #: Query vectors in a block and blocks in one pass over the corpus; terms of queries up to which they are broadcast.
 BLOCK, PASS_BLOCKS, BROADCAST_TERMS = 2048, 8, 200_000
-#: Folders of the postings, and tasks that write one of them.
-TERM_BUCKETS, TERM_SPLITS = 32, 4
+#: Bytes up to which the smaller side of a join is broadcast.
+BROADCAST_BYTES = 1 << 26
 RRF_K, CANDIDATES, RETURNED = 60, 20, 5
 BM25_K1, BM25_B = 1.5, 0.75
 
@@ -37,8 +37,14 @@ def top_k(scored: DataFrame, k: int, *, by: tuple = ("query_id",), tie: str = "i
 
 
 def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
-    """``df`` marked for broadcast if it has no more than ``most`` rows; else the join is shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if it has no more than ``most`` rows and BROADCAST_BYTES bytes; else the join is
+    shuffled. Texts count by their characters, arrays by 16 bytes an element."""
+    width = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        width += F.coalesce(F.length(f.name), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.size(f.name) * 16, F.lit(0)) if kind in ("array", "map") else F.lit(16)
+    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -122,73 +128,57 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.groupBy("id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
-
-
-@dataclass(frozen=True)
-class TextIndex:
-    """Stored postings in folders by term, one row of corpus figures, and the numbers in texts."""
+def _query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
 
-    terms: DataFrame
-    stats: DataFrame
-    numbers: DataFrame
 
-    def of(self, wanted: DataFrame) -> DataFrame:
-        """Postings of the wanted terms (term): only the folders of their buckets are read."""
-        buckets = [r[0] for r in wanted.select(term_bucket(F.col("term"))).distinct().collect()]  # TERM_BUCKETS at most
-        return self.terms.where(F.col("bucket").isin(buckets)).join(small(wanted.select("term").distinct()), "term", "left_semi")
+def bm25_topk(index: TextIndex, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """Okapi BM25 for ``queries`` (query_id, text); repeated query words count each. Blocks of postings that can't
+    enter the k best are skipped (``text_index.search``)."""
+    wanted = _query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    n_docs, avgdl = index.stats.select("n_docs", F.coalesce("avgdl", F.lit(1.0))).first()
+    idf = F.ln(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = wanted.join(index.dictionary, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"))
 
+    def value(tf, length):
+        return tf * (BM25_K1 + 1.0) / (tf + BM25_K1 * (1.0 - BM25_B + BM25_B * (length / (avgdl or 1.0))))
 
-def write_index(docs: DataFrame, folder: str) -> None:
-    """Index ``docs`` (id, text) for the text legs. Rows of a term are dealt to tasks by id, so common words spread."""
-    made = postings(docs).withColumn("bucket", term_bucket(F.col("term")))
-    dealt = made.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(TERM_SPLITS)))
-    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
-    sizes = docs.select(F.size(tokens(F.col("text"))).alias("n"))
-    sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl")).write.parquet(f"{folder}/stats")
-    docs.select("id", F.explode(numeric_terms(F.col("text"))).alias("number")).write.parquet(f"{folder}/numbers")
+    return top_k(search(index, weights, k, value).withColumn("score", F.round("score", 6)), k)
 
 
-def read_index(spark: SparkSession, folder: str) -> TextIndex:
-    return TextIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("terms", "stats", "numbers")))
+def lexical_topk(index: TextIndex, queries: DataFrame, k: int = CANDIDATES, boost: float = 0.25) -> DataFrame:
+    """The best of ``lexical_scores``: OR semantics."""
+    wanted = _query_terms(queries).distinct().withColumn("weight", F.lit(1.0))
+    if boost:
+        numbers = queries.select("query_id", F.explode(numeric_terms(F.col("text"))).alias("number")).distinct()
+        wanted = wanted.unionByName(numbers.select("query_id", F.concat(F.lit("#"), "number").alias("term"), F.lit(float(boost)).alias("weight")))
 
+    def value(tf, length):
+        return 1.0 + tf / (tf + 1.0) / 1000.0
 
-def _query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return top_k(search(index, wanted, k, value).withColumn("score", F.round("score", ROUND)), k)
 
 
-def bm25_topk(index: TextIndex, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """Okapi BM25 for ``queries`` (query_id, text); repeated query words count each."""
-    wanted = _query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    found = index.of(wanted)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(index.stats))  # stats is one row
-    idf = F.ln(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = 1.0 - BM25_B + BM25_B * (F.col("n_tokens") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * (F.col("tf") * (BM25_K1 + 1.0)) / (F.col("tf") + BM25_K1 * norm)
-    weights = weighted.select("query_id", "term", "times", "avgdl", idf.alias("idf"))
-    scored = found.join(small(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k)
-
-
-def lexical_scores(index: TextIndex, queries: DataFrame, boost: float = 0.25) -> DataFrame:
+def lexical_scores(index: TextIndex, queries: DataFrame, boost: float = 0.25, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score): distinct query words found, plus their saturated frequency, plus ``boost`` if a number
-    of the query occurs in the text. More words always rank higher. A query without a word finds nothing."""
+    of the query occurs in the text. More words always rank higher. A query without a word finds nothing. With
+    ``pairs`` (query_id, id) only these are scored; postings of other documents are dropped before they meet words."""
     wanted = _query_terms(queries).distinct()
-    hits = index.of(wanted).join(small(wanted), "term")
+    found = exploded(index.lists.join(small(wanted.select("term").distinct()), "term", "left_semi"))
+    if pairs is not None:
+        found = found.join(small(pairs.select("id").distinct()), "id", "left_semi")
+    hits = found.join(small(wanted), "term")
+    if pairs is not None:
+        hits = hits.join(small(pairs.select("query_id", "id").distinct()), ["query_id", "id"], "left_semi")
     base = hits.groupBy("query_id", "id").agg((F.count(F.lit(1)) + F.sum(F.col("tf") / (F.col("tf") + 1.0)) / 1000.0).alias("base"))
+    if not boost:
+        return base.select("query_id", "id", F.round("base", ROUND).alias("score"))
     numbers = queries.select("query_id", F.explode(numeric_terms(F.col("text"))).alias("number")).distinct()
     having = index.numbers.join(small(numbers), "number").select("query_id", "id").distinct().withColumn("boosted", F.lit(boost))
     scored = base.join(having, ["query_id", "id"], "left")
     return scored.select("query_id", "id", F.round(F.col("base") + F.coalesce("boosted", F.lit(0.0)), ROUND).alias("score"))
 
 
-def lexical_topk(index: TextIndex, queries: DataFrame, k: int = CANDIDATES, boost: float = 0.25) -> DataFrame:
-    """The best of ``lexical_scores``: OR semantics."""
-    return top_k(lexical_scores(index, queries, boost), k)
-
-
 def prune_weights(weights: Column, k: int) -> Column:
     """The k largest entries of a map of weights, ties to the smaller term; an array of (term, weight)."""
     entries = F.transform(F.map_entries(weights), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("term")))

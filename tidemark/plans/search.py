@@ -50,9 +50,10 @@ def relational_queries(spark, sf):
 def _expanded(spark, sf):
     pool, docs, asked = _pool(spark, sf)
     chunks, queries = _chunks(spark, sf), _asked(spark, sf)
-    lexical = retrieval.lexical_scores(text_index(spark, sf), queries, 0.0)
     files = pool.join(chunks.select("id", "file"), "id").select("query_id", "file").distinct()
-    near = search.cosines_of(files.join(chunks.select("file", "id"), "file").select("query_id", "id"), docs, asked)
+    scope = stored(files.join(chunks.select("file", "id"), "file").select("query_id", "id"))  # chunks of a pool's files
+    lexical = retrieval.lexical_scores(text_index(spark, sf), queries, 0.0, scope)
+    near = search.cosines_of(scope, docs, asked)
     return search.expand_documents(pool, chunks, queries, [near, lexical]), docs, asked, chunks
 
 
