@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import blockmax
+from tidemark.functions.blockmax import best_documents
 from tidemark.llm import ranked_search
-from tidemark.llm.ranked_search import Postings, best_documents, block_ends, ranked_index, terms
+from tidemark.llm.ranked_search import block_ends, postings, ranked_index, terms
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -52,7 +54,7 @@ def sample(seed, n, vocabulary=60):
 @pytest.mark.parametrize("size", [20, 1 << 15])
 def test_search_equals_all_scores(spark, monkeypatch, size):
     monkeypatch.setattr(ranked_search, "SHARD_DOCS", size)
-    monkeypatch.setattr(ranked_search, "FIRST_DOCS", 8)
+    monkeypatch.setattr(blockmax, "FIRST_DOCS", 8)
     docs = [(i % 390, t) for i, t in enumerate(sample(1, 420))] + [(None, "w1 w2 w59"), (None, None), (900, ""), (901, "w1 w1"), (902, "w1 w1")]
     items = [(i, t) for i, t in enumerate(sample(2, 25))] + [(3, "w40 w41"), (None, "w5 É"), (77, None), (78, "absent")]
     assert found(spark, docs, items) == brute(docs, items)
@@ -112,9 +114,9 @@ def test_blocks_are_skipped():
         cuts = np.arange(0, len(docs), 1024)
         ends = np.flatnonzero(block_ends(values, docs, cuts, np.minimum(1024, len(docs) - cuts)))
         tops = np.maximum.reduceat(values, np.r_[0, ends[:-1] + 1])
-        lists.append((weight, Postings(docs.astype(np.uint32).tobytes(), values.astype(np.int32).tobytes(), ends.astype(np.uint32).tobytes(), tops.astype(np.int32).tobytes())))
+        lists.append((weight, postings(docs.astype(np.uint32).tobytes(), values.astype(np.int32).tobytes(), ends.astype(np.uint32).tobytes(), tops.astype(np.int32).tobytes())))
         total[docs] += weight * values
-    docs, scores, read = best_documents(lists, n, 50, 0)
+    docs, scores, read = best_documents(lists, n, 50, 1)
     want = np.lexsort((np.arange(n), -total))[:50]
     assert docs.tolist() == want.tolist() and scores.tolist() == total[want].tolist()
     assert read < 0.5 * sum(len(p.docs) for _, p in lists)

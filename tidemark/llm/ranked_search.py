@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.blockmax import BlockList, best_documents, within
 from tidemark.llm.common import ready_workers, stored
 
 #: Characters and documents of a shard.
@@ -37,8 +38,6 @@ MOST_BLOCK, BLOCK_COST, PIECE = 64, 1 << 20, 1024
 TOGETHER, ROWS = 4096, 8192
 #: Words of items in one pass over the index, which go to all tasks.
 PASS_WORDS = 1 << 18
-#: Documents that are scored before the threshold is looked at again: at first, and so many times as many after that.
-FIRST_DOCS, GROWTH = 256, 8
 #: Fixed values of the score.
 K = 50
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -115,7 +114,7 @@ def _shard_rows(shard: int, ids: list, texts: list[list[bytes]], n_docs: int, n_
     docs, value = docs[by_term], value[by_term]
     df = np.bincount(codes, minlength=len(names))
     start = np.concatenate([[0], np.cumsum(df)])
-    pieces = np.repeat(start[:-1], -(-df // PIECE)) + PIECE * _within(-(-df // PIECE))
+    pieces = np.repeat(start[:-1], -(-df // PIECE)) + PIECE * within(-(-df // PIECE))
     size = np.minimum(np.repeat(start[1:], -(-df // PIECE)) - pieces, PIECE)
     ends = np.flatnonzero(block_ends(value, docs, pieces, size))
     tops = np.maximum.reduceat(value, np.concatenate([[0], ends[:-1] + 1])).astype(np.int32)
@@ -130,11 +129,6 @@ def _shard_rows(shard: int, ids: list, texts: list[list[bytes]], n_docs: int, n_
         yield pd.DataFrame(rows, columns=INDEX_COLUMNS)
 
 
-def _within(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each of ``sizes`` in turn."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
 INDEX_COLUMNS = ["shard", "term", "df", "kth", "docs", "impacts", "ends", "tops"]
 _SCHEMA = "shard long, term string, df long, kth long, docs binary, impacts binary, ends binary, tops binary"
 
@@ -177,66 +171,9 @@ def ranked_index(docs: DataFrame) -> RankedIndex:
     return RankedIndex(stored(keyed.mapInPandas(build, _SCHEMA)), n_docs, n_terms)
 
 
-class Postings:
-    """One term's postings in a shard."""
-
-    def __init__(self, docs: bytes, values: bytes, ends: bytes, tops: bytes):
-        self.docs, self.values = np.frombuffer(docs, dtype=np.uint32).astype(np.int64), np.frombuffer(values, dtype=np.int32)
-        self.ends, self.tops = np.frombuffer(ends, dtype=np.uint32).astype(np.int64), np.frombuffer(tops, dtype=np.int32).astype(np.int64)
-        self.begins = np.concatenate([[0], self.ends[:-1] + 1])
-        self.low, self.high = self.docs[self.begins], self.docs[self.ends]
-
-    def inside(self, wanted: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Documents and impacts of the postings that are ``wanted``; only blocks with a wanted document in their range
-        are read. ``before`` counts the wanted documents before each. Third is the number of postings read."""
-        some = np.flatnonzero(before[self.high + 1] > before[self.low])
-        sizes = self.ends[some] - self.begins[some] + 1
-        at = np.repeat(self.begins[some], sizes) + _within(sizes)
-        at = at[wanted[self.docs[at]]]
-        return self.docs[at], self.values[at], int(sizes.sum())
-
-
-def best_documents(lists: list[tuple[int, Postings]], n: int, k: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best of a shard's n documents with a score of ``least`` or more, for (weight, postings) of the terms:
-    documents, scores, and the number of postings read. Equal scores go by document."""
-    places = np.concatenate([x for _, p in lists for x in (p.low, p.high + 1)])
-    change = np.concatenate([x for w, p in lists for x in (w * p.tops, -w * p.tops)])
-    order = np.argsort(places, kind="stable")
-    places, bound = places[order], np.cumsum(change[order])
-    last = np.r_[places[1:] != places[:-1], True]
-    begin, bound = places[last], bound[last]
-    end = np.r_[begin[1:], n]
-    threshold, read, goal = max(1, least), 0, FIRST_DOCS
-    docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    order = np.argsort(-bound, kind="stable")
-    begin, end, bound = begin[order], end[order], bound[order]
-    total = np.zeros(n, dtype=np.int64)
-    while len(bound):
-        pivots = np.searchsorted(-bound, -threshold, side="right")
-        begin, end, bound = begin[:pivots], end[:pivots], bound[:pivots]
-        if not pivots:
-            break
-        take = min(pivots, int(np.searchsorted(np.cumsum(end - begin), goal)) + 1)
-        mark = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(mark, begin[:take], 1)
-        np.add.at(mark, end[:take], -1)
-        wanted = np.cumsum(mark[:-1]) > 0
-        before = np.r_[0, np.cumsum(wanted)]
-        for weight, p in lists:
-            some, values, seen = p.inside(wanted, before)
-            total[some] += weight * values.astype(np.int64)
-            read += seen
-        some = np.flatnonzero(wanted)
-        some = some[total[some] >= threshold]
-        docs, scores = np.r_[docs, some], np.r_[scores, total[some]]
-        if len(docs) > k:
-            order = np.lexsort((docs, -scores))[:k]
-            docs, scores = docs[order], scores[order]
-        if len(docs) == k:
-            threshold = max(threshold, int(scores.min()))
-        begin, end, bound, goal = begin[take:], end[take:], bound[take:], goal * GROWTH
-    order = np.lexsort((docs, -scores))
-    return docs[order], scores[order], read
+def postings(docs: bytes, values: bytes, ends: bytes, tops: bytes) -> BlockList:
+    """One term's postings in a shard, as they are stored."""
+    return BlockList(*(np.frombuffer(x, dtype=t).astype(np.int64) for x, t in zip((docs, values, ends, tops), (np.uint32, np.int32, np.uint32, np.int32), strict=True)))
 
 
 def _search(sent, k: int):
@@ -250,7 +187,7 @@ def _search(sent, k: int):
                     wanted[item].append((weight, p))
         rows = []
         for item, some in wanted.items():
-            docs, scores, _ = best_documents(some, n, k, least[item])
+            docs, scores, _ = best_documents(some, n, k, max(1, least[item]))
             rows += [(items[item], int(ids[d]) if d < len(ids) else None, s) for d, s in zip(docs.tolist(), scores.tolist(), strict=True)]
         made = pd.DataFrame(rows, columns=["item_id", "doc_id", "score"]).astype({"item_id": object, "doc_id": object})
         return made.where(made.notna(), None)
@@ -267,7 +204,7 @@ def _search(sent, k: int):
                 if r.term is None:
                     n, ids = r.df, np.frombuffer(r.docs, dtype=np.int64)
                 else:
-                    lists[r.term] = Postings(r.docs, r.impacts, r.ends, r.tops)
+                    lists[r.term] = postings(r.docs, r.impacts, r.ends, r.tops)
         if lists:
             yield found(items, asked, least, n, ids, lists)
 
