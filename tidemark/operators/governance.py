@@ -31,9 +31,10 @@ def publish(artifacts: DataFrame, chosen: DataFrame) -> DataFrame:
     published for the same generation is retired."""
     named = artifacts.join(chosen.select("tenant_id", "calibration_id", F.lit(True).alias("_chosen")).distinct(), ["tenant_id", "calibration_id"], "left")
     goes = F.coalesce(F.col("_chosen") & F.col("certified") & (F.col("state") == "draft"), F.lit(False))
-    replaced = F.max(goes.cast("int")).over(W.partitionBy("tenant_id", "generation_id")) == 1
-    state = F.when(goes, "published").when((F.col("state") == "published") & replaced, "retired").otherwise(F.col("state"))
-    return named.withColumn("_state", state).drop("_chosen", "state").withColumnRenamed("_state", "state")
+    marked = named.withColumn("_goes", goes)
+    replaced = marked.where("_goes").select("tenant_id", "generation_id", F.lit(True).alias("_replaced")).distinct()
+    state = F.when(F.col("_goes"), "published").when((F.col("state") == "published") & F.col("_replaced"), "retired").otherwise(F.col("state"))
+    return marked.join(replaced, ["tenant_id", "generation_id"], "left").withColumn("_state", state).drop("_chosen", "_goes", "_replaced", "state").withColumnRenamed("_state", "state")
 
 
 def calibration_status(generations: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -86,10 +87,12 @@ def promote(generations: DataFrame, chosen: DataFrame) -> DataFrame:
     certified ones become active; the tenant's active one is retired and becomes the one to roll back to."""
     named = generations.join(chosen.select("tenant_id", "generation_id", F.lit(True).alias("_chosen")).distinct(), ["tenant_id", "generation_id"], "left")
     goes = F.coalesce(F.col("_chosen") & (F.col("state") == "ready") & F.col("certified"), F.lit(False))
-    tenant = W.partitionBy("tenant_id")
-    moved = F.max(goes.cast("int")).over(tenant) == 1
-    state = F.when(goes, "active").when((F.col("state") == "active") & moved, "retired").otherwise(F.col("state"))
-    return named.withColumn("previous", moved & (F.col("state") == "active")).withColumn("_state", state).drop("_chosen", "state").withColumnRenamed("_state", "state")
+    marked = named.withColumn("_goes", goes)
+    changed = marked.where("_goes").select("tenant_id", F.lit(True).alias("_moved")).distinct()
+    moved = F.coalesce("_moved", F.lit(False))
+    state = F.when(F.col("_goes"), "active").when((F.col("state") == "active") & moved, "retired").otherwise(F.col("state"))
+    joined = marked.join(changed, "tenant_id", "left").withColumn("previous", moved & (F.col("state") == "active"))
+    return joined.withColumn("_state", state).drop("_chosen", "_goes", "_moved", "state").withColumnRenamed("_state", "state")
 
 
 def validate(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -116,6 +119,69 @@ def complete(outbox: DataFrame, done: DataFrame) -> DataFrame:
     return marked.withColumn("completed", F.col("completed") | F.coalesce("_done", F.lit(False))).drop("_done")
 
 
+def replay(store: DataFrame, outbox: DataFrame) -> DataFrame:
+    """``store`` (tenant_id, id, source, text) after the open operations of ``outbox`` in order.
+
+    ``outbox`` is (tenant_id, operation_id, sequence, kind, sources, chunks, completed); an ``index`` operation puts its
+    chunks (id, source, text) in place of all of its sources', a ``delete`` removes these. What a source holds in the
+    end is told by the last operation that names it, so no order is walked. Replaying twice gives the same rows.
+    """
+    pending = outbox.where("not completed")
+    last = pending.select("tenant_id", "sequence", F.explode("sources").alias("source")).groupBy("tenant_id", "source").agg(F.max("sequence").alias("sequence"))
+    kept = store.join(last.select("tenant_id", "source"), ["tenant_id", "source"], "left_anti")
+    made = pending.where("kind = 'index'").select("tenant_id", "sequence", F.explode("chunks").alias("c")).select("tenant_id", "sequence", "c.source", "c.id", "c.text")
+    added = made.join(last, ["tenant_id", "source", "sequence"])
+    return kept.select("tenant_id", "id", "source", "text").unionByName(added.select("tenant_id", "id", "source", "text"))
+
+
+def erase_pending(outbox: DataFrame, erased: DataFrame) -> DataFrame:
+    """``outbox`` without the ``erased`` (tenant_id, source) in open operations: not as a source, nor in a chunk, whatever
+    the operation says its sources are. An operation that only had those is completed and keeps no payload."""
+    gone = erased.select("tenant_id", "source").distinct().groupBy("tenant_id").agg(F.collect_set("source").alias("_gone"))  # one request's sources
+    joined = outbox.join(gone, "tenant_id", "left")
+    named = F.array_union(F.coalesce("sources", F.array().cast("array<string>")), F.coalesce(F.transform("chunks", lambda c: c["source"]), F.array().cast("array<string>")))
+    left = F.array_except(F.when(F.size("sources") > 0, F.col("sources")).otherwise(named), F.col("_gone"))
+    hit = ~F.col("completed") & F.col("_gone").isNotNull() & F.arrays_overlap(named, "_gone")
+    hit = F.coalesce(hit, F.lit(False))
+    void = hit & (F.size(left) == 0)
+    chunks = F.filter("chunks", lambda c: ~F.array_contains(F.col("_gone"), c["source"]))
+    return joined.select(
+        "tenant_id", "operation_id", "sequence", "kind", F.when(void, None).when(hit, left).otherwise(F.col("sources")).alias("sources"),
+        F.when(void, None).when(hit, chunks).otherwise(F.col("chunks")).alias("chunks"), (F.col("completed") | void).alias("completed"),
+    )
+
+
+def roll_back(generations: DataFrame) -> DataFrame:
+    """``generations`` (tenant_id, generation_id, state, previous) after a rollback of every tenant that can: the previous
+    one, if it is retired or ready, becomes active, and the active one ready and the previous one."""
+    able = generations.where(F.col("previous") & F.col("state").isin("retired", "ready")).select("tenant_id", F.lit(True).alias("_able")).distinct()
+    named = generations.join(able, "tenant_id", "left")
+    back, out = F.col("previous") & F.col("_able"), (F.col("state") == "active") & F.col("_able")
+    state = F.when(back, "active").when(out, "ready").otherwise(F.col("state"))
+    return named.select("tenant_id", "generation_id", state.alias("state"), F.when(F.col("_able"), F.coalesce(out, F.lit(False))).otherwise(F.col("previous")).alias("previous"))
+
+
+#: Where an action takes a generation from each state that allows it; any other action changes nothing.
+TRANSITIONS = {
+    "stage": {"building": "building"}, "validate": {"building": "ready"}, "promote": {"ready": "active"}, "retire": {"active": "retired"},
+    "rollback": {"retired": "active"}, "fail": {"building": "failed", "failed": "failed"}, "abandon": {"ready": "failed"},
+}
+
+
+def lifecycle_states(actions: DataFrame) -> DataFrame:
+    """(generation_id, state, refused): what ``actions`` (generation_id, seq, action) make of a generation that is
+    building, and how many the state didn't allow. A generation has few actions, so they are folded in order."""
+    steps = actions.groupBy("generation_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("steps"))
+    flat = F.create_map(*(F.lit(x) for action, ways in TRANSITIONS.items() for a, b in ways.items() for x in (f"{action}|{a}", b)))
+    start = F.struct(F.lit("building").alias("state"), F.lit(0).cast("long").alias("refused"))
+
+    def step(s, x):
+        to = F.try_element_at(flat, F.concat_ws("|", x["action"], s["state"]))
+        return F.struct(F.coalesce(to, s["state"]).alias("state"), (s["refused"] + to.isNull().cast("long")).alias("refused"))
+
+    return steps.withColumn("end", F.aggregate("steps", start, step)).select("generation_id", "end.state", "end.refused")
+
+
 def carry_rows(chunks: DataFrame, found: DataFrame, generation_id: str) -> DataFrame:
     """The rows that a new generation takes over unchanged: ``chunks`` of the generation that ``found`` (uri, sha256,
     generation_id) names for each object, under the new generation."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, governance, resampling
@@ -12,13 +14,14 @@ ARTIFACTS = """SELECT o_custkey % 200 AS tenant_id, o_orderkey % 7 AS generation
  CASE WHEN o_orderkey % 4 = 1 AND o_orderstatus = 'F' THEN 'published' WHEN o_orderkey % 4 = 2 THEN 'rejected' ELSE 'draft' END AS state, o_orderkey % 3 AS pipeline, o_orderkey % 2 AS corpus, o_orderdate AS created_at FROM {orders}"""
 #: One published artefact of a generation at most: the last one.
 ONE_PUBLISHED = f"""SELECT tenant_id, generation_id, calibration_id, certified, CASE WHEN state = 'published' AND n > 1 THEN 'retired' ELSE state END AS state, pipeline, corpus, created_at FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, generation_id, state ORDER BY calibration_id DESC) AS n FROM ({ARTIFACTS}))"""
-BUILT = "SELECT tenant_id, generation_id, tenant_id % 3 AS pipeline, generation_id % 2 AS corpus FROM (SELECT explode(sequence(0, 209)) AS tenant_id), (SELECT explode(sequence(0, 7)) AS generation_id)"
+#: Every customer's orders are its generations; each generation has the pipeline and corpus of its newest order.
+BUILT = "SELECT o_custkey % 210 AS tenant_id, o_orderkey % 8 AS generation_id, max(o_orderkey) % 3 AS pipeline, max(o_orderkey) % 2 AS corpus FROM {orders} GROUP BY o_custkey % 210, o_orderkey % 8"
 STATES = "SELECT o_custkey AS tenant_id, o_orderkey AS generation_id, CASE o_orderstatus WHEN 'F' THEN 'retired' WHEN 'O' THEN 'ready' ELSE 'active' END AS state, o_orderkey % 3 <> 0 AS certified FROM {orders}"
 DELTAS = "SELECT event_type, user_id AS unit, avg(CAST(event_id % 7 AS DOUBLE) - 3 + CASE WHEN event_type = 'click' THEN 0.2 ELSE 0 END) AS delta FROM {events} GROUP BY event_type, user_id"
 
 
 def calibration_statuses(spark, sf):
-    return governance.calibration_status(spark.sql(BUILT), _sql(spark, sf, ONE_PUBLISHED))
+    return governance.calibration_status(_sql(spark, sf, BUILT), _sql(spark, sf, ONE_PUBLISHED))
 
 
 def published_artifacts(spark, sf):
@@ -74,6 +77,36 @@ def appended_operations(spark, sf):
     return governance.complete(governance.append_operations(_sql(spark, sf, OUTBOX), new), done)
 
 
+def rolled_back_generations(spark, sf):
+    """Every tenant that promoted a generation goes back to the one before."""
+    return governance.roll_back(promoted_generations(spark, sf))
+
+
+def generation_lifecycles(spark, sf):
+    """Lines of an order are actions on a generation."""
+    names = "'stage', 'validate', 'promote', 'retire', 'rollback', 'fail', 'abandon'"
+    actions = tables.table(spark, sf, "lineitem").selectExpr("l_orderkey as generation_id", "l_linenumber as seq", f"element_at(array({names}), cast((l_linenumber * 2 + l_partkey) % 7 + 1 as int)) as action")
+    return governance.lifecycle_states(actions)
+
+
+OPERATIONS = """SELECT user_id % 20 AS tenant_id, 'op' || CAST(event_id AS STRING) AS operation_id, event_id AS sequence, CASE WHEN event_id % 4 = 3 THEN 'delete' ELSE 'index' END AS kind, event_id % 3 = 0 AS completed,
+ CASE WHEN event_id % 11 = 0 THEN NULL ELSE array_distinct(array('s' || CAST(event_id % 50 AS STRING), 's' || CAST(event_id % 7 AS STRING))) END AS sources,
+ array(named_struct('id', 'c' || CAST(event_id AS STRING) || 'a', 'source', 's' || CAST(event_id % 50 AS STRING), 'text', event_type), named_struct('id', 'c' || CAST(event_id AS STRING) || 'b', 'source', 's' || CAST(event_id % 7 AS STRING), 'text', CAST(user_id AS STRING))) AS chunks FROM {events}"""
+
+
+def replayed_outbox(spark, sf):
+    """Documents as the stored chunks of twenty tenants, after the open operations of events."""
+    store = tables.table(spark, sf, "documents").selectExpr("doc_id % 20 as tenant_id", "'d' || cast(doc_id as string) as id", "'s' || cast(doc_id % 60 as string) as source", "md5(coalesce(text, '')) as text")
+    return governance.replay(store, _sql(spark, sf, OPERATIONS))
+
+
+def erased_operations(spark, sf):
+    """What each tenant's open operations keep once two of its sources are erased."""
+    erased = tables.table(spark, sf, "events").selectExpr("user_id % 20 as tenant_id", "explode(array('s' || cast(user_id % 20 as string), 's' || cast(user_id % 20 % 7 as string))) as source")
+    rows = governance.erase_pending(_sql(spark, sf, OPERATIONS), erased)
+    return rows.select("tenant_id", "operation_id", F.array_join(F.array_sort("sources"), ",").alias("sources"), F.array_join(F.transform("chunks", lambda c: c["id"]), ",").alias("chunks"), "completed")
+
+
 def carried_rows(spark, sf):
     chunks = _sql(spark, sf, OBJECTS).select("uri", "sha256", F.concat(F.lit("g"), F.col("generation_id")).alias("generation_id"))
     found = chunks.groupBy("uri", "sha256").agg(F.max("generation_id").alias("generation_id")).where("substring(sha256, 1, 1) < '8'")
@@ -133,7 +166,7 @@ def promotion_gate(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     calibration_statuses, published_artifacts, carried_calibrations, query_set_digests, recalibration_actions, reviewed_proposals, promoted_generations, validated_generations,
-    appended_operations, carried_rows, cached_extractions, bundle_round_trip, bootstrap_interval, sign_flip_p, sign_test, wilcoxon_signed_rank, partial_correlations, promotion_gate,
+    appended_operations, rolled_back_generations, generation_lifecycles, replayed_outbox, erased_operations, carried_rows, cached_extractions, bundle_round_trip, bootstrap_interval, sign_flip_p, sign_test, wilcoxon_signed_rank, partial_correlations, promotion_gate,
 )}
 
 U = "('0x' || left(md5('{seed}|' || r || '|' || {key}), 13))::BIGINT / 4503599627370496.0::DOUBLE"
@@ -142,6 +175,11 @@ PUBLISHED = "(" + ONE_PUBLISHED.replace("{orders}", "orders") + ")"
 D = "(" + DELTAS.replace("{events}", "events") + ")"
 
 
+def _duck(sql: str) -> str:
+    """named_struct('a', x, ...) as DuckDB's struct literals."""
+    return re.sub(r"named_struct\('id', (.*?), 'source', (.*?), 'text', (event_type|CAST\(user_id AS STRING\))\)", r"{'id': \1, 'source': \2, 'text': \3}", sql)
+
+
 def _boot(units: str, by: str) -> str:
     return f"""units AS {units}, w AS (SELECT {by} AS g, r, ({WEIGHT})::DOUBLE AS w, delta FROM (SELECT *, {U.format(seed='boot-1', key='unit')} AS u FROM units, range(200) t(r))),
  whole AS (SELECT {by} AS g, count(*) AS n_units, avg(delta) AS mean FROM units GROUP BY 1), m AS (SELECT g, r, round(coalesce(sum(w * delta) / nullif(sum(w), 0), any_value(mean)), 12) AS m FROM w JOIN whole USING (g) GROUP BY g, r),
@@ -152,12 +190,12 @@ SIGNS = f"""c AS (SELECT event_type, count(*) FILTER (delta > 0) AS ups, count(*
  b AS (SELECT event_type, ups, downs, exp(lgamma(ups + downs + 1.0) - lgamma(i + 1.0) - lgamma(ups + downs - i + 1.0) - (ups + downs) * ln(2.0)) AS term FROM (SELECT *, unnest(range(least(ups, downs) + 1)) AS i FROM c)),
  st AS (SELECT event_type, ups, downs, least(1.0, 2 * sum(term)) AS p FROM b GROUP BY ALL)"""
 ORACLES = {k: _o(v) for k, v in {
-    "calibration_statuses": f"""WITH g AS (SELECT t AS tenant_id, k AS generation_id, t % 3 AS pipeline, k % 2 AS corpus FROM range(210) a(t), range(8) b(k)), a AS {PUBLISHED},
+    "calibration_statuses": f"""WITH g AS ({BUILT.format(orders='orders')}), a AS {PUBLISHED},
         l AS (SELECT tenant_id, generation_id, arg_max(certified, (created_at, calibration_id)) AS c, arg_max(state, (created_at, calibration_id)) AS s FROM a GROUP BY 1, 2), j AS (
         SELECT g.tenant_id, g.generation_id, CASE WHEN p.calibration_id IS NULL THEN CASE WHEN NOT l.c THEN 'uncertified' WHEN l.s = 'draft' THEN 'draft' WHEN g.tenant_id IN (SELECT tenant_id FROM a WHERE state = 'published') THEN 'stale' ELSE 'missing' END
           WHEN p.pipeline <> g.pipeline OR p.corpus <> g.corpus THEN 'stale' WHEN NOT p.certified THEN 'uncertified' ELSE 'certified' END AS status, p.calibration_id
         FROM g LEFT JOIN (SELECT * FROM a WHERE state = 'published') p ON p.tenant_id = g.tenant_id AND p.generation_id = g.generation_id LEFT JOIN l ON l.tenant_id = g.tenant_id AND l.generation_id = g.generation_id)
-        SELECT tenant_id::INT AS tenant_id, generation_id::INT AS generation_id, status, CASE WHEN status = 'certified' THEN calibration_id END AS calibration_id FROM j""",
+        SELECT tenant_id, generation_id, status, CASE WHEN status = 'certified' THEN calibration_id END AS calibration_id FROM j""",
     "published_artifacts": f"""WITH a AS {PUBLISHED}, c AS (SELECT tenant_id, generation_id, max(calibration_id) AS id FROM a WHERE state = 'draft' GROUP BY 1, 2), m AS (SELECT a.*, c.id IS NOT NULL AND certified AND state = 'draft' AS goes FROM a LEFT JOIN c ON c.tenant_id = a.tenant_id AND c.id = a.calibration_id)
         SELECT tenant_id, generation_id, calibration_id, CASE WHEN goes THEN 'published' WHEN state = 'published' AND bool_or(goes) OVER (PARTITION BY tenant_id, generation_id) THEN 'retired' ELSE state END AS state FROM m""",
     "carried_calibrations": """WITH r AS (SELECT event_id AS e, (e % 40)::DOUBLE / 100 AS delta, CASE WHEN e % 31 = 0 THEN NULL ELSE 0.85::DOUBLE + (e % 15)::DOUBLE / 100 END AS auc, e % 60 AS p, 25 AS m, (e % 17)::DOUBLE / 100 AS fa, (e % 13)::DOUBLE / 100 AS fc FROM events),
@@ -169,6 +207,21 @@ ORACLES = {k: _o(v) for k, v in {
         SELECT p AS proposal_id, arg_max(s, n) AS state, arg_max(s, n) = 'promoted' AND p % 4 > 0 AS trusted FROM w GROUP BY p""",
     "promoted_generations": """WITH g AS (SELECT o_custkey AS tenant_id, o_orderkey AS generation_id, CASE o_orderstatus WHEN 'F' THEN 'retired' WHEN 'O' THEN 'ready' ELSE 'active' END AS state, o_orderkey % 3 <> 0 AS c FROM orders), m AS (SELECT *, state = 'ready' AND c AND generation_id = max(generation_id) FILTER (state = 'ready') OVER (PARTITION BY tenant_id) AS goes FROM g), k AS (SELECT *, coalesce(bool_or(goes) OVER (PARTITION BY tenant_id), false) AS moved FROM m)
         SELECT tenant_id, generation_id, CASE WHEN goes THEN 'active' WHEN state = 'active' AND moved THEN 'retired' ELSE state END AS state, moved AND state = 'active' AS previous FROM k""",
+    "rolled_back_generations": """WITH g AS (<PROMOTED>), a AS (SELECT *, bool_or(previous AND state IN ('retired', 'ready')) OVER (PARTITION BY tenant_id) AS able FROM g)
+        SELECT tenant_id, generation_id, CASE WHEN able AND previous THEN 'active' WHEN able AND state = 'active' THEN 'ready' ELSE state END AS state, CASE WHEN able THEN state = 'active' ELSE previous END AS previous FROM a""",
+    "generation_lifecycles": """WITH a AS (SELECT l_orderkey AS generation_id, l_linenumber AS seq, ['stage', 'validate', 'promote', 'retire', 'rollback', 'fail', 'abandon'][(l_linenumber * 2 + l_partkey) % 7 + 1] AS action FROM lineitem),
+        t(action, a, b) AS (VALUES <TRANSITIONS>), l AS (SELECT generation_id, list({'s': NULL::VARCHAR, 'x': action, 'r': 0::BIGINT} ORDER BY seq, action) AS xs FROM a GROUP BY 1), m AS (SELECT map_from_entries(list((action || '|' || a, b))) AS m FROM t),
+        e AS (SELECT generation_id, list_reduce(list_prepend({'s': 'building', 'x': NULL::VARCHAR, 'r': 0::BIGINT}, xs), lambda s, x: {'s': coalesce(m[x.x || '|' || s.s], s.s), 'x': x.x, 'r': s.r + (m[x.x || '|' || s.s] IS NULL)::BIGINT}) AS e FROM l, m)
+        SELECT generation_id, e.s AS state, e.r AS refused FROM e""".replace("<TRANSITIONS>", ", ".join(f"('{x}', '{a}', '{b}')" for x, ways in governance.TRANSITIONS.items() for a, b in ways.items())),
+    "replayed_outbox": """WITH o AS (<OPERATIONS>), n AS (SELECT tenant_id, sequence, unnest(sources) AS source FROM o WHERE NOT completed), l AS (SELECT tenant_id, source, max(sequence) AS sequence FROM n GROUP BY 1, 2),
+        c AS (SELECT tenant_id, sequence, unnest(chunks) AS c FROM o WHERE NOT completed AND kind = 'index')
+        SELECT doc_id % 20 AS tenant_id, 'd' || doc_id AS id, 's' || (doc_id % 60) AS source, md5(coalesce(text, '')) AS text FROM documents WHERE (doc_id % 20, 's' || (doc_id % 60)) NOT IN (SELECT (tenant_id, source) FROM l)
+        UNION ALL SELECT c.tenant_id, c.c.id, c.c.source, c.c.text FROM c JOIN l ON l.tenant_id = c.tenant_id AND l.sequence = c.sequence AND l.source = c.c.source""",
+    "erased_operations": """WITH o AS (<OPERATIONS>), g AS (SELECT tenant_id, list(DISTINCT source) AS gone FROM (SELECT user_id % 20 AS tenant_id, unnest(['s' || (user_id % 20), 's' || (user_id % 20 % 7)]) AS source FROM events) GROUP BY 1),
+        j AS (SELECT o.*, gone, list_distinct(list_concat(coalesce(sources, []), [c.source FOR c IN chunks])) AS named FROM o LEFT JOIN g USING (tenant_id)),
+        k AS (SELECT *, NOT completed AND gone IS NOT NULL AND list_has_any(named, gone) AS hit, [x FOR x IN CASE WHEN len(sources) > 0 THEN sources ELSE named END IF NOT list_contains(gone, x)] AS kept FROM j)
+        SELECT tenant_id, operation_id, CASE WHEN hit AND len(kept) = 0 THEN NULL ELSE array_to_string(list_sort(CASE WHEN hit THEN kept ELSE sources END), ',') END AS sources,
+          CASE WHEN hit AND len(kept) = 0 THEN NULL ELSE array_to_string([c.id FOR c IN chunks IF NOT hit OR NOT list_contains(gone, c.source)], ',') END AS chunks, completed OR (hit AND len(kept) = 0) AS completed FROM k""",
     "validated_generations": """WITH e AS (SELECT doc_id % 40 AS generation_id, doc_id, md5(coalesce(text, '')) AS s FROM documents), a AS (SELECT generation_id, doc_id, CASE WHEN doc_id % 200 = 5 THEN 'x' ELSE s END AS s FROM e WHERE generation_id > 3 OR doc_id % 3 <> 1)
         SELECT e.generation_id, count(*) FILTER (a.doc_id IS NULL) AS missing, 0::BIGINT AS extra, count(*) FILTER (a.s <> e.s) AS changed, CASE WHEN count(*) FILTER (a.doc_id IS NULL OR a.s <> e.s) = 0 THEN 'ready' ELSE 'failed' END AS state FROM e LEFT JOIN a USING (doc_id) GROUP BY 1""",
     "appended_operations": """WITH o AS (SELECT user_id % 20 AS tenant_id, 'op' || event_id % 700 AS operation_id, min(event_id) AS sequence, min(event_type) AS payload, bool_or(event_id % 5 = 0) AS completed FROM events GROUP BY 1, 2), n AS (SELECT user_id % 25 AS tenant_id, 'op' || event_id % 900 AS operation_id, min(event_type) AS payload FROM events GROUP BY 1, 2),
@@ -190,3 +243,7 @@ ORACLES = {k: _o(v) for k, v in {
         SELECT 'macro interval does not clear zero' AS failure FROM boot WHERE low <= 0 UNION ALL SELECT event_type || ' regresses by more than two points' FROM dl WHERE d < -0.02
         UNION ALL SELECT 'no improving corpus is significant' WHERE NOT EXISTS (FROM dl JOIN h USING (event_type) WHERE adjusted < 0.05 AND d > 0)""",
 }.items()}
+_DUCK_OPERATIONS = OPERATIONS.replace("{events}", "events").replace("array_distinct(array(", "list_distinct(list_value(").replace("array(named_struct(", "list_value(named_struct(")
+for _x in ("replayed_outbox", "erased_operations"):
+    ORACLES[_x] = ORACLES[_x].replace("<OPERATIONS>", _duck(_DUCK_OPERATIONS))
+ORACLES["rolled_back_generations"] = ORACLES["rolled_back_generations"].replace("<PROMOTED>", ORACLES["promoted_generations"])
