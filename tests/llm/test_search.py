@@ -1,5 +1,6 @@
 """SimHash groups, wide-fingerprint duplicates, components, passages and decontamination against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -120,6 +121,31 @@ def test_near_duplicates_against_all_pairs(spark):
     assert simhash.one_of_each_group(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_short_texts_lose_no_pair(spark):
+    rng = random.Random(8)
+    rows = []
+    for group in range(60):
+        base = [f"g{group}w{i}" for i in range(rng.randint(1, 14))]
+        rows.append(" ".join(base))
+        for _ in range(4):
+            some = list(base)
+            edit = rng.choice(["add", "cut", "swap", "case"])
+            some = some + ["more"] if edit == "add" else some[1:] if edit == "cut" else some[:-1] + ["other"] if edit == "swap" else [w.upper() for w in some]
+            rows.append("  ".join(some))
+    rows = [(i, t) for i, t in enumerate(rows) if t]
+    sets = {i: set(simhash.shingle_hashes(simhash.words(t), 5).tolist()) for i, t in rows}
+    label = {i: i for i, _ in rows}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            la, lb = sorted((label[a], label[b]))
+            label = {k: la if v == lb else v for k, v in label.items()}
+    want = {i: c for i, c in label.items() if list(label.values()).count(c) > 1}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short = {i for i in want if min(len(sets[j]) for j in want if want[j] == want[i]) <= simhash.SHORT}
+    assert len(short) > 50 and {i: got.get(i) for i in short} == {i: want[i] for i in short}
+    assert len(set(want.items()) & set(got.items())) >= 0.95 * len(want) and set(got) <= set(want)
+
+
 def test_near_duplicates_of_appended_cut_and_replaced_texts(spark):
     rng = random.Random(31)
     rows, want = [], set()
@@ -161,7 +187,7 @@ def test_rounds_of_bucket_pairs_end_with_all_pairs(monkeypatch):
     labels = np.where(ids < 4, 0, ids)
     got, lo, hi = set(), 0, 1
     while True:
-        rep, other, still = simhash.bucket_pairs(ids, values, labels, np.zeros((30, 4), dtype=np.uint32), 0, 0, lo, hi)
+        rep, other, still = simhash.bucket_pairs(ids, values, labels, np.zeros((30, 4), dtype=np.uint32), np.ones(30, dtype=np.int32), 0, 0, lo, hi)
         got |= set(zip(rep.tolist(), other.tolist(), strict=True))
         if not len(still):
             break
@@ -182,7 +208,7 @@ def test_bucket_pairs_against_all_pairs():
         got = set()
         for head in range(1 << head_bits):
             near = np.bitwise_count((values >> np.uint64(32 - head_bits)) ^ np.uint64(head)) <= 1
-            rep, other, still = simhash.bucket_pairs(ids[near], values[near], ids[near], np.zeros((near.sum(), 4), dtype=np.uint32), head, head_bits, 0, 10**3)
+            rep, other, still = simhash.bucket_pairs(ids[near], values[near], ids[near], np.zeros((near.sum(), 4), dtype=np.uint32), np.ones(near.sum(), dtype=np.int32), head, head_bits, 0, 10**3)
             assert not len(still)
             got |= set(zip(rep.tolist(), other.tolist(), strict=True))
         assert got == want

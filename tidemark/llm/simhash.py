@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import key_filter, marked, ready_workers, stored, without
+from tidemark.llm.common import key_filter, marked, ready_workers, split_join, stored, without
 from tidemark.llm.components import connected_components
 from tidemark.llm.passages import dealt, verified_pairs
 
@@ -127,14 +127,20 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 #: The wide fingerprint, of the distinct shingles that are compared: SEGMENTS segments of SEGMENT_BITS bits. Sets of
-#: similarity 0.8 have a cosine of 0.89 or more, however the edits lie, so 0.15 of the bits differ (0.19 for texts
-#: of a few shingles). Two bits or fewer differ in one of 40 segments of 32 with 0.99 (0.85 for those).
+#: similarity 0.8 differ in 0.15 of the bits, however the edits lie, and in up to 0.165 for texts of 8 to 32 shingles.
+#: Two bits or fewer differ in one of 40 segments of 32 with 0.98 or more.
 SEGMENTS, SEGMENT_BITS = 40, 32
-#: Segments after the own one whose bits go with a row, and the share of them in which candidates differ at most: 4
-#: standard deviations over 0.15, and as many under a half.
-CHECK_SEGMENTS, CHECK_DISTANCE = 4, 0.32
-#: Share of differing bits up to which candidates are kept for the exact comparison; unrelated texts have a half.
-WIDE_DISTANCE = 0.3
+#: Segments after the own one whose bits go with a row, and the share of them in which candidates differ at most: 3.5
+#: standard deviations over 0.165.
+CHECK_SEGMENTS, CHECK_DISTANCE = 4, 0.28
+#: Distinct shingles of a long text; shares of differing bits up to which candidates are compared, for pairs of such and
+#: for others: 4 standard deviations over 0.152 and over 0.165. Unrelated texts have a half.
+LONG_TEXT, LONG_DISTANCE, WIDE_DISTANCE = 32, 0.195, 0.21
+#: Distinct shingles up to which a text is looked up by its sets with one shingle left out: where one of two texts has
+#: no more, similarity 0.8 means that at most one shingle is in one of them only.
+SHORT = 7
+#: Texts with one set of shingles from which they are dealt to several tasks.
+HOT_ROWS = 4096
 #: Rows of a segment that a group of ``segment_pairs`` should have, and points that it sorts at once.
 GROUP_ROWS, POINTS = 1 << 17, 1 << 23
 #: So many times as many members of a point are representatives when a round ends as when it begins.
@@ -144,9 +150,20 @@ PACK = 1 << 14
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(SEGMENTS * SEGMENT_BITS // 64)], dtype=np.uint64)
 
 
+def set_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of a short text's shingle set: of the whole first, then of the set without each one; none for long texts."""
+    if not 0 < len(hashes) <= SHORT + 1:
+        return []
+    sets = [hashes, *(np.delete(hashes, i) for i in range(len(hashes) if len(hashes) > 1 else 0))]
+    return np.array([xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64).tolist()
+
+
 def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
     """SEGMENTS * SEGMENT_BITS bits, from that many remixed copies of the distinct shingles' hashes."""
-    hashes = np.unique(shingle_hashes(words(text), shingle))
+    return wide_bits(np.unique(shingle_hashes(words(text), shingle)))
+
+
+def wide_bits(hashes: np.ndarray) -> bytes:
     ones = np.zeros(64 * len(_MIX), dtype=np.int64)
     for at in range(0, len(hashes), 255):  # counts of 255 rows fit in a byte
         mixed = (hashes[at : at + 255, None] ^ _MIX) * np.uint64(0xBF58476D1CE4E5B9)
@@ -157,15 +174,16 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks: np.ndarray, head: int, head_bits: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks: np.ndarray, sizes: np.ndarray, head: int, head_bits: int, lo: int, hi: int, similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (rep, id) of one group, and the ids of buckets that have pairs left.
 
     Each value enumerates its ball of radius 1 as far as the points begin with the head_bits of ``head``. The
     members of a point, ordered by id, with a rank from lo to hi are matched with all later members of another label.
-    Pairs that differ in over CHECK_DISTANCE of their ``checks``, bits of the next segments, are left out.
+    Pairs that differ in over CHECK_DISTANCE of their ``checks``, bits of the next segments, are left out, and those
+    whose ``sizes`` alone keep them under the similarity.
     """
     order = np.argsort(ids, kind="stable")
-    ids, values, labels, checks = ids[order], values[order], labels[order], checks[order]
+    ids, values, labels, checks, sizes = ids[order], values[order], labels[order], checks[order], sizes[order]
     tail, n = SEGMENT_BITS - head_bits, len(ids)
     low, row = values & np.uint64((1 << tail) - 1), np.arange(n, dtype=np.uint64)
     own = (values >> np.uint64(tail)) == head
@@ -195,7 +213,7 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks
             if not len(left):
                 break
             a, b = member[start[left] + k], member[left]
-            other = labels[a] != labels[b]
+            other = (labels[a] != labels[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
             a, b = a[other], b[other]
             near = np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1) <= CHECK_DISTANCE * 32 * CHECK_SEGMENTS
             pairs.append(np.unique((a * n + b)[near]))
@@ -206,8 +224,8 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks
     return ids[found // max(1, n)], ids[found % max(1, n)], ids[still]
 
 
-def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool = False) -> DataFrame:
-    """(rep, id, more) of ``rows`` (id, wide, label): the pairs of ``bucket_pairs`` in all segments; where more is
+def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool = False, similarity: float = 0.8) -> DataFrame:
+    """(rep, id, more) of ``rows`` (id, wide, label, n): the pairs of ``bucket_pairs`` in all segments; where more is
     true, an id whose bucket has pairs left. With ``star`` only the least rep of each id in a group is returned.
 
     A group is a segment and the first head_bits of its points; rows come packed, so a group is a few arrays.
@@ -216,7 +234,7 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            ids, labels = b.id.to_numpy(np.int64), b.label.to_numpy(np.int64)
+            ids, labels, sizes = b.id.to_numpy(np.int64), b.label.to_numpy(np.int64), b.n.to_numpy(np.int32)
             wide = np.frombuffer(b"".join(b.wide), dtype="<u4").reshape(-1, SEGMENTS)
             for s in range(SEGMENTS):
                 values, made = np.ascontiguousarray(wide[:, s]), []
@@ -224,8 +242,8 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
                 for head in range(1 << head_bits):
                     near = np.bitwise_count((values >> np.uint32(tail)) ^ np.uint32(head)) <= 1
                     if near.any():
-                        made.append((s << head_bits | head, ids[near].tobytes(), values[near].tobytes(), labels[near].tobytes(), after[near].tobytes()))
-                yield pd.DataFrame(made, columns=["grp", "ids", "vals", "labels", "checks"])
+                        made.append((s << head_bits | head, ids[near].tobytes(), values[near].tobytes(), labels[near].tobytes(), after[near].tobytes(), sizes[near].tobytes()))
+                yield pd.DataFrame(made, columns=["grp", "ids", "vals", "labels", "checks", "sizes"])
 
         kept, size = [], 0
         for b in batches:
@@ -238,8 +256,8 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(grp: int, parts: list[tuple]) -> pd.DataFrame:
-            ids, vals, labels, checks = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<i8", "<u4", "<i8", "<u4"), strict=True))
-            rep, other, still = bucket_pairs(ids, vals.astype(np.uint64), labels, checks.reshape(-1, CHECK_SEGMENTS), grp & ((1 << head_bits) - 1), head_bits, lo, hi)
+            ids, vals, labels, checks, sizes = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<i8", "<u4", "<i8", "<u4", "<i4"), strict=True))
+            rep, other, still = bucket_pairs(ids, vals.astype(np.uint64), labels, checks.reshape(-1, CHECK_SEGMENTS), sizes, grp & ((1 << head_bits) - 1), head_bits, lo, hi, similarity)
             if star:
                 order = np.lexsort((rep, other))
                 rep, other, still = rep[order], other[order], still[:0]
@@ -258,10 +276,19 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
         if parts:
             yield out(current, parts)
 
-    groups = rows.select("id", "wide", "label").mapInPandas(packed, "grp int, ids binary, vals binary, labels binary, checks binary")
+    groups = rows.select("id", "wide", "label", "n").mapInPandas(packed, "grp int, ids binary, vals binary, labels binary, checks binary, sizes binary")
     return groups.repartition(SEGMENTS << head_bits, "grp").sortWithinPartitions("grp").mapInPandas(match, "rep long, id long, more boolean")
 
 
+def short_pairs(sketched: DataFrame) -> DataFrame:
+    """(rep, id) of ``sketched`` (id, keys): texts whose shingle set, or it without one shingle, is that of rep; rep is
+    the least with its set, and the others with that set are its pairs too, so none is lost."""
+    keyed = stored(sketched.where(F.size("keys") > 0).select("id", F.posexplode("keys").alias("at", "key")))
+    sets = stored(keyed.where("at = 0").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    met = split_join(keyed.select("key", "id"), sets.select("key", "rep"), "key", sets.where(F.col("n") > HOT_ROWS).select("key"), "id")
+    return met.where("id <> rep").select(F.least("rep", "id").alias("rep"), F.greatest("rep", "id").alias("id")).distinct()
+
+
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Similarity of two sorted sets of hashes; two empty sets are alike."""
     if not len(x) and not len(y):
@@ -280,10 +307,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """
     ready_workers(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("wide binary, n int, keys array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([wide_fingerprint(t, shingle) for t in texts])
+            sets = [np.unique(shingle_hashes(words(t), shingle)) for t in texts]
+            yield pd.DataFrame({"wide": [wide_bits(x) for x in sets], "n": [len(x) for x in sets], "keys": [set_keys(x) for x in sets]})
 
     def prepare(text: str) -> np.ndarray:
         return np.unique(shingle_hashes(words(text), shingle))
@@ -296,27 +324,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         "cast(conv(hex(substring(wide, i * 8 + 1, 8)), 16, -10) as bigint) ^ cast(conv(hex(substring(rep_wide, i * 8 + 1, 8)), 16, -10) as bigint)))"
     )
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = stored(some.select("id", wide("text").alias("wide"), F.col("id").alias("label")))
-    wides, reps = rows.select("id", "wide"), rows.select(F.col("id").alias("rep"), F.col("wide").alias("rep_wide"))
+    sketched = stored(some.select("id", sketch("text").alias("s")).select("id", "s.*", F.col("id").alias("label")))
+    rows = sketched.where(F.col("n") > SHORT).drop("keys")
+    wides, reps = rows.select("id", "wide", "n"), rows.select(F.col("id").alias("rep"), F.col("wide").alias("rep_wide"), F.col("n").alias("rep_n"))
     head_bits = max(2, (rows.count() // GROUP_ROWS).bit_length())
+    most = F.when((F.col("n") >= LONG_TEXT) & (F.col("rep_n") >= LONG_TEXT), LONG_DISTANCE).otherwise(WIDE_DISTANCE) * (SEGMENTS * SEGMENT_BITS)
+    alike = (F.col("n") >= similarity * F.col("rep_n")) & (F.col("rep_n") >= similarity * F.col("n"))
 
     def verified(met: DataFrame) -> DataFrame:
         chunked = dealt(met)
         heads = chunked.select("rep", "chunk").distinct().join(reps, "rep")
-        close = chunked.join(wides, "id").join(heads, ["rep", "chunk"]).where(apart <= WIDE_DISTANCE * SEGMENTS * SEGMENT_BITS).select("rep", "id")
+        close = chunked.join(wides, "id").join(heads, ["rep", "chunk"]).where(alike & (apart <= most)).select("rep", "id")
         return stored(verified_pairs(stored(close), some, prepare, compare, []))
 
     def labelled(of: DataFrame) -> DataFrame:
         names = groups.select(F.col("node").alias("id"), "component")
-        return stored(of.select("id", "wide").join(names, "id", "left").select("id", "wide", F.coalesce("component", "id").alias("label")))
+        return stored(of.select("id", "wide", "n").join(names, "id", "left").select("id", "wide", "n", F.coalesce("component", "id").alias("label")))
 
     # First every text with the least id at any of its points: large groups of copies are in one component then.
-    compared = stored(segment_pairs(rows, head_bits, 0, 1, star=True).groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id"))
-    links = verified(compared)
+    compared = stored(segment_pairs(rows, head_bits, 0, 1, star=True, similarity=similarity).groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id"))
+    links = verified(compared).union(stored(verified_pairs(stored(short_pairs(sketched)), some, prepare, compare, [])))
     groups = connected_components(links.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     rows, lo, hi = labelled(rows), 0, 1
     while True:
-        found = stored(segment_pairs(rows, head_bits, lo, hi))
+        found = stored(segment_pairs(rows, head_bits, lo, hi, similarity=similarity))
         met = stored(found.where("not more").select("rep", "id").distinct().join(compared, ["rep", "id"], "left_anti"))
         if not met.isEmpty():
             compared, links = compared.union(met), links.union(verified(met))
