@@ -45,7 +45,7 @@ def test_query_equals_its_oracle(spark, oracle, name):
 
 
 #: Queries that SQL can't express; other tests hold them against plain Python.
-PLAIN = {"slot_evidence", "beam_evidence", "near_copies_collapsed", "query_set_digests", "document_chunks", "code_chunks", "table_chunks", "page_texts"}
+PLAIN = {"slot_evidence", "beam_evidence", "near_copies_collapsed", "query_set_digests", "document_chunks", "code_chunks", "table_chunks", "page_texts", "sectioned_chunks", "typed_pages"}
 
 
 def test_every_other_core_query_has_an_oracle():

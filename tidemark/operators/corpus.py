@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.text import CLOSURE_MARKER, LEAST_SKELETON, NUMBER, skeleton, supersedes_key, version_of
+from tidemark.operators.lines import prose
 from tidemark.operators.trust import resolve_references
 from tidemark.sources.shared import stored
 
@@ -196,9 +197,8 @@ def lint(docs: DataFrame) -> DataFrame:
     base, number = version_of(F.col("file"))
     named = docs.select("file", base.alias("base"), number.alias("version")).where("version is not null").distinct()
     siblings = named.withColumn("older", F.lag("file").over(W.partitionBy("base").orderBy("version", "file"))).where("older is not null").withColumn("stem", key(F.col("older")))
-    prose = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)```.*?(```|$)", " "), r"(?s)~~~.*?(~~~|$)", " ")
     quiet = docs.where("(supersedes is null or supersedes = '') and (valid_until is null or valid_until = '')").withColumn("stem", key(F.col("file")))
-    closing = quiet.join(linked, "stem", "left_anti").where(prose.rlike(CLOSURE_MARKER))
+    closing = quiet.join(linked, "stem", "left_anti").where(prose(F.col("text")).rlike(CLOSURE_MARKER))
     parts = [
         issue(docs.where(bad("valid_from") | bad("valid_until")), "error", "invalid-date"),
         issue(own, "error", "self-supersedes"), issue(others.where("status = 'dangling'"), "error", "dangling-supersedes"),

@@ -137,3 +137,46 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> Data
         raise ValueError(f"a stratum of {stratum} has fewer than {n} rows")
     order = W.partitionBy(stratum).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key)
     return df.withColumn("_n", F.row_number().over(order).cast("long")).where(F.col("_n") <= n).drop("_n")
+
+
+#: Words, and characters of a word and of a piece that are looked at; a longer word is one unknown piece.
+WORD, LONGEST_WORD, LONGEST_PIECE = r"[\p{L}\p{N}_]+", 100, 24
+
+
+def subword_counts(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, pieces): pieces of each distinct ``words`` (word), cut greedily by the longest piece of ``vocabulary``
+    (piece), in which ``##`` marks pieces inside a word. 0 where some place has no piece: the whole word is unknown.
+
+    All parts of a word that are pieces are found by one join, whose vocabulary side is broadcast if it is small; the
+    cutting then walks the longest ones of each place, which are as many as the word has characters.
+    """
+    some = words.where((F.col("word") != "") & (F.length("word") <= LONGEST_WORD)).select("word").distinct()
+    places = some.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    parts = places.select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_PIECE), F.length("word") - F.col("at") + 1))).alias("size"))
+    named = parts.withColumn("piece", F.concat(F.when(F.col("at") > 1, "##").otherwise(""), F.col("word").substr(F.col("at"), F.col("size"))))
+    longest = named.join(small(vocabulary.select("piece").distinct()), "piece").groupBy("word", "at").agg(F.max("size").alias("size"))
+    sizes = longest.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "size"))).alias("sizes"))
+    start = F.struct(F.lit(1).alias("next"), F.lit(0).alias("n"))
+
+    def step(s, at):
+        size = F.try_element_at(F.col("sizes"), at)
+        here = s["next"] == at
+        return F.struct(F.when(here, at + F.coalesce(size, F.lit(LONGEST_WORD + 1))).otherwise(s["next"]).alias("next"), (s["n"] + here.cast("int")).alias("n"))
+
+    cut = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, step)
+    known = sizes.withColumn("c", cut).select("word", F.when(F.col("c.next") == F.length("word") + 1, F.col("c.n")).otherwise(0).alias("pieces"))
+    return words.select("word").distinct().join(known, "word", "left").select("word", F.coalesce("pieces", F.lit(0)).alias("pieces"))
+
+
+def oov_rates(docs: DataFrame, by: str, vocabulary: DataFrame, least: int = 2, budget: float | None = None, seed: str = "oov-1") -> DataFrame:
+    """(by, n_types, rate): the share of a group's distinct words that are cut into ``least`` pieces or more, of ``docs``
+    (by, id, text). With ``budget`` only that many words of each group count, drawn by a hash of their places, as larger
+    corpora have more rare words."""
+    words = docs.select(by, "id", F.posexplode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("at", "word"))
+    if budget is not None:
+        share = words.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).select(F.col(by).alias("_by"), (F.lit(budget) / F.col("_n")).alias("_share"))
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "id", "at")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+        words = words.join(F.broadcast(share), F.col(by).eqNullSafe(F.col("_by"))).where(drawn < F.col("_share"))
+    types = words.select(by, "word").distinct()
+    counts = subword_counts(types, vocabulary)
+    return types.join(counts, "word").groupBy(by).agg(F.count(F.lit(1)).alias("n_types"), F.avg((F.col("pieces") >= least).cast("double")).alias("rate"))

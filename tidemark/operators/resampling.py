@@ -40,6 +40,28 @@ def bootstrap(units: DataFrame, by: list[str], key: str, value: str, n: int = RE
     return whole.join(low, by).join(high, by)
 
 
+def cluster_bootstrap(rows: DataFrame, n: int = REPLICATES, seed: str = "cluster-1") -> DataFrame:
+    """One row (n_clusters, ratio, low, high): percentile interval of a stratified ratio of sums by whole clusters.
+
+    ``rows`` are (stratum, cluster, num, den). A cluster has one Poisson(1) weight in a replicate, for all of its rows
+    and in all strata. A stratum's ratio is that of its weighted totals (its own where no cluster of it is drawn);
+    strata count by their totals of den. Rows are added up by cluster before they meet replicates.
+    """
+    totals = rows.groupBy("stratum", "cluster").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    strata = totals.groupBy("stratum").agg(F.sum("num").alias("all_num"), F.sum("den").alias("all_den"))
+    weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in POISSON_1[1:]), F.when(F.col("u") >= POISSON_1[0], 1).otherwise(0))
+    drawn = _replicated(totals, "cluster", seed, n).withColumn("w", weight)
+    sums = drawn.groupBy("stratum", "replicate").agg(F.sum(F.col("w") * F.col("num")).alias("num"), F.sum(F.col("w") * F.col("den")).alias("den"))
+    joined = sums.join(strata, "stratum").withColumn("r", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.col("all_num") / F.col("all_den")))
+    means = joined.groupBy("replicate").agg(F.round(F.sum(F.col("r") * F.col("all_den")) / F.sum("all_den"), 12).alias("m"))
+    low = quantile_by_index(means, [], "m", 0.025, "low")
+    place = F.lit(int(0.975 * n) - 1)
+    counts = running_totals(means.groupBy("m").agg(F.count(F.lit(1)).alias("times")), [], "m", {"at": "times"})
+    high = counts.where((F.col("at") <= place) & (place < F.col("at") + F.col("times"))).select(F.col("m").alias("high"))
+    whole = strata.agg((F.sum("all_num") / F.sum("all_den")).alias("ratio")).join(totals.agg(F.count_distinct("cluster").alias("n_clusters")))
+    return whole.join(low).join(high).select("n_clusters", "ratio", "low", "high")  # one row each
+
+
 def sign_flip(units: DataFrame, by: list[str], key: str, value: str, n: int = REPLICATES, seed: str = "flip-1") -> DataFrame:
     """(by, p): share of replicates with hashed signs whose mean is as far from 0 as the observed one, plus one."""
     flips = _replicated(units, key, seed, n).withColumn("f", F.when(F.col("u") < 0.5, F.col(value)).otherwise(-F.col(value)))

@@ -162,7 +162,28 @@ def pool_quartiles(spark, sf):
     return calibration.quantile_by_index(pools, [], "size", 0.25, "q1").join(calibration.quantile_by_index(pools, [], "size", 0.5, "q2"))
 
 
+def oov_rates(spark, sf):
+    """Words of each language's documents that a vocabulary of the benchmark's word beginnings and middles cuts in two
+    or more."""
+    words = tables.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(evaluation.WORD), F.lit(0))).alias("w")).distinct()
+    starts = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.col("w").substr(F.lit(1), k))).alias("piece"))
+    places = words.where(F.length("w") > 1).select("w", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("j")).select("w", "j", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.length("w") - F.col("j") + 1))).alias("k"))
+    middles = places.select(F.concat(F.lit("##"), F.col("w").substr(F.col("j"), F.col("k"))).alias("piece"))
+    docs = tables.table(spark, sf, "documents").select("lang", F.col("doc_id").alias("id"), "text")
+    return evaluation.oov_rates(docs, "lang", starts.union(middles)).withColumn("rate", F.round("rate", 6))
+
+
+OOV = r"""WITH RECURSIVE bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark),
+v AS (SELECT substr(w, 1, k) AS piece FROM bw, range(1, 6) t(k) UNION SELECT '##' || substr(w, j, k) FROM bw, range(2, 200) a(j), range(1, 4) b(k) WHERE j + k <= length(w) + 1),
+t AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS word FROM documents),
+d AS (SELECT DISTINCT word FROM t WHERE length(word) <= 100),
+m AS (SELECT word, place, max(size) AS size FROM (SELECT word, place, size, CASE WHEN place > 1 THEN '##' ELSE '' END || substr(word, place, size) AS piece FROM d, range(1, 101) a(place), range(1, 25) b(size) WHERE place + size <= length(word) + 1) JOIN v USING (piece) GROUP BY 1, 2),
+w AS (SELECT word, 1::BIGINT AS place, 0 AS n FROM d UNION ALL SELECT w.word, w.place + m.size, n + 1 FROM w JOIN m ON m.word = w.word AND m.place = w.place),
+p AS (SELECT word, n AS pieces FROM w WHERE place = length(word) + 1)
+SELECT lang, count(*) AS n_types, round(avg((coalesce(pieces, 0) >= 2)::INT::DOUBLE), 6) AS rate FROM t LEFT JOIN p USING (word) GROUP BY lang"""
+
 QUERIES = {f.__name__: f for f in (
+    oov_rates,
     ranking_metrics, mean_metrics_by_arm, hits_at_depths, evidence_coverage, spearman_quality, holm_adjusted, mcnemar_exact, token_f1, vocabulary_overlap, rare_term_support,
     pool_ceiling, nearest_other, headroom_by_label, outcome_summary, duplicate_questions, stratified_sample, threshold_rules, nugget_coverage, pool_quartiles,
 )}
@@ -176,6 +197,7 @@ def _metrics(ranking: str) -> str:
 
 WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 ORACLES = {
+    "oov_rates": OOV,
     "ranking_metrics": f"WITH {RANKING} SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM ({_metrics('ranking')})",
     "mean_metrics_by_arm": f"WITH {RANKING}, h AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(c.embedding[1:{HALF}]::DOUBLE[], q.embedding[1:{HALF}]::DOUBLE[]), 9) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0), half AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h WHERE id <> query_id QUALIFY rank <= 20) SELECT arm, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM (SELECT 'all' AS arm, * FROM ({_metrics('ranking')}) UNION ALL SELECT 'half', * FROM ({_metrics('half')})) GROUP BY 1",
     "hits_at_depths": f"WITH {RANKING}, f AS (SELECT query_id, min(rank) AS first FROM ranking JOIN rel USING (query_id, id) GROUP BY 1) SELECT d::INT AS depth, count(*) AS n, round(avg(coalesce(first <= d, false)::INT), 6) AS hit_rate FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN f USING (query_id), (SELECT unnest([1, 3, 5, 10, 20]) AS d) GROUP BY 1",

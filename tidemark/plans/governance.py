@@ -77,6 +77,12 @@ def appended_operations(spark, sf):
     return governance.complete(governance.append_operations(_sql(spark, sf, OUTBOX), new), done)
 
 
+def cluster_interval(spark, sf):
+    """Share of the purchases' value in all value of a user, users as clusters and their last digit as strata."""
+    rows = tables.table(spark, sf, "events").selectExpr("user_id % 10 as stratum", "user_id as cluster", "cast(event_id % 9 as double) * cast(event_type = 'click' as int) as num", "cast(event_id % 9 as double) as den")
+    return resampling.cluster_bootstrap(rows).select("n_clusters", *(F.round(c, 6).alias(c) for c in ("ratio", "low", "high")))
+
+
 def rolled_back_generations(spark, sf):
     """Every tenant that promoted a generation goes back to the one before."""
     return governance.roll_back(promoted_generations(spark, sf))
@@ -166,7 +172,7 @@ def promotion_gate(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     calibration_statuses, published_artifacts, carried_calibrations, query_set_digests, recalibration_actions, reviewed_proposals, promoted_generations, validated_generations,
-    appended_operations, rolled_back_generations, generation_lifecycles, replayed_outbox, erased_operations, carried_rows, cached_extractions, bundle_round_trip, bootstrap_interval, sign_flip_p, sign_test, wilcoxon_signed_rank, partial_correlations, promotion_gate,
+    appended_operations, cluster_interval, rolled_back_generations, generation_lifecycles, replayed_outbox, erased_operations, carried_rows, cached_extractions, bundle_round_trip, bootstrap_interval, sign_flip_p, sign_test, wilcoxon_signed_rank, partial_correlations, promotion_gate,
 )}
 
 U = "('0x' || left(md5('{seed}|' || r || '|' || {key}), 13))::BIGINT / 4503599627370496.0::DOUBLE"
@@ -207,6 +213,11 @@ ORACLES = {k: _o(v) for k, v in {
         SELECT p AS proposal_id, arg_max(s, n) AS state, arg_max(s, n) = 'promoted' AND p % 4 > 0 AS trusted FROM w GROUP BY p""",
     "promoted_generations": """WITH g AS (SELECT o_custkey AS tenant_id, o_orderkey AS generation_id, CASE o_orderstatus WHEN 'F' THEN 'retired' WHEN 'O' THEN 'ready' ELSE 'active' END AS state, o_orderkey % 3 <> 0 AS c FROM orders), m AS (SELECT *, state = 'ready' AND c AND generation_id = max(generation_id) FILTER (state = 'ready') OVER (PARTITION BY tenant_id) AS goes FROM g), k AS (SELECT *, coalesce(bool_or(goes) OVER (PARTITION BY tenant_id), false) AS moved FROM m)
         SELECT tenant_id, generation_id, CASE WHEN goes THEN 'active' WHEN state = 'active' AND moved THEN 'retired' ELSE state END AS state, moved AND state = 'active' AS previous FROM k""",
+    "cluster_interval": f"""WITH t AS (SELECT user_id % 10 AS stratum, user_id AS cluster, sum((event_id % 9)::DOUBLE * (event_type = 'click')::INT) AS num, sum((event_id % 9)::DOUBLE) AS den FROM events GROUP BY 1, 2),
+        s AS (SELECT stratum, sum(num) AS an, sum(den) AS ad FROM t GROUP BY 1), w AS (SELECT *, ({WEIGHT})::DOUBLE AS w FROM (SELECT *, {U.format(seed='cluster-1', key='cluster')} AS u FROM t, range(200) r(r))),
+        k AS (SELECT stratum, r, sum(w * num) AS num, sum(w * den) AS den FROM w GROUP BY 1, 2), m AS (SELECT r, round(sum(CASE WHEN den > 0 THEN num / den ELSE an / ad END * ad) / sum(ad), 12) AS m FROM k JOIN s USING (stratum) GROUP BY 1),
+        o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i FROM m)
+        SELECT (SELECT count(DISTINCT cluster) FROM t) AS n_clusters, round((SELECT sum(an) / sum(ad) FROM s), 6) AS ratio, round(max(m) FILTER (i = 5), 6) AS low, round(max(m) FILTER (i = 194), 6) AS high FROM o""",
     "rolled_back_generations": """WITH g AS (<PROMOTED>), a AS (SELECT *, bool_or(previous AND state IN ('retired', 'ready')) OVER (PARTITION BY tenant_id) AS able FROM g)
         SELECT tenant_id, generation_id, CASE WHEN able AND previous THEN 'active' WHEN able AND state = 'active' THEN 'ready' ELSE state END AS state, CASE WHEN able THEN state = 'active' ELSE previous END AS previous FROM a""",
     "generation_lifecycles": """WITH a AS (SELECT l_orderkey AS generation_id, l_linenumber AS seq, ['stage', 'validate', 'promote', 'retire', 'rollback', 'fail', 'abandon'][(l_linenumber * 2 + l_partkey) % 7 + 1] AS action FROM lineitem),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import chunking
 from tidemark.functions import text as T
-from tidemark.operators import corpus, lifecycle, retrieval, structure
+from tidemark.operators import corpus, lifecycle, lines, retrieval, structure
 from tidemark.plans.corpus import BASE as DOCS_SQL
 from tidemark.plans.corpus import LINTED, _docs, _linted
 from tidemark.plans.lifecycle import GENERATIONS, NEW, OLD, _o, _sql
@@ -90,6 +90,40 @@ def contextual_passages(spark, sf):
     return got.select("file", "ord", "rung", F.md5("passage").alias("passage_md5"))
 
 
+STEPS = "SELECT user_id AS id, event_id AS pos, CASE WHEN event_id % 4 <> 0 THEN CAST(1 + event_id % 6 AS INT) END AS level, CASE WHEN event_id % 4 <> 0 THEN event_type || CAST(event_id AS STRING) END AS heading FROM {events}"
+
+
+def heading_stacks(spark, sf):
+    """The open headings at each event of a user, three of four events being headings of six levels."""
+    return lines.sections(_sql(spark, sf, STEPS)).select("id", "pos", "section")
+
+
+def sectioned_chunks(spark, sf):
+    """Every chunk of a document with its place, its document's title and the headings that it stands under."""
+    docs = retrieval.spread(tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("file"), "text"))
+    placed = lines.placed_chunks(docs, chunking.chunk(docs.select("id", "text"), "id"))
+    empty = [F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading")]
+    events = lines.heading_rows(docs).unionByName(placed.where("start is not null").select("id", F.col("start").alias("pos"), *empty))
+    under = lines.sections(events).where("level is null").select("id", F.col("pos").alias("start"), "section").distinct()
+    return placed.join(under, ["id", "start"], "left").join(lines.titles(docs), "id").select(F.col("id").alias("doc_id"), "ord", "start", "title", F.coalesce("section", F.lit("")).alias("section"))
+
+
+def fenced_shares(spark, sf):
+    return _linted(spark, sf).select("file", F.round(lines.fenced_share(F.col("text")), 6).alias("share")).distinct()
+
+
+def broken_runs(spark, sf):
+    """Extraction calls of each user in order: what the cache answers, what fails, and what a failing engine is spared."""
+    calls = tables.table(spark, sf, "events").selectExpr("user_id as run", "event_id as seq", "event_id % 5 = 0 as cached", "event_id % 7 < 5 as failed")
+    return lines.breaker(calls)
+
+
+def typed_pages(spark, sf):
+    """Texts, headings and tables of each page in order."""
+    pages = retrieval.spread(tables.table(spark, sf, "pages").select("page_id", "html"))
+    return files.page_blocks(pages).select("page_id", "ord", "kind", "heading", "table_index", F.md5("text").alias("text_md5"))
+
+
 def packed_batches(spark, sf):
     """Turns of a conversation packed in order into batches of 300 characters."""
     return structure.packed(_turns(spark, sf).withColumn("size", F.length("text")), "file", "ord", "size", 300)
@@ -149,7 +183,7 @@ def code_densities(spark, sf):
 QUERIES = {f.__name__: f for f in (
     document_chunks, code_chunks, table_chunks, page_texts, dispatched_pages, markdown_table, conversation_memos, frontmatter_fields, manifest_objects, verified_objects,
     pinned_chunks, live_or_legacy_sources, contextual_passages, packed_batches, graph_edges, near_duplicate_pairs, unlinked_decisions, validity_ranges, proposal_scores, coerced_proposals,
-    cited_answers, session_times, code_densities,
+    cited_answers, session_times, code_densities, heading_stacks, sectioned_chunks, fenced_shares, broken_runs, typed_pages,
 )}
 
 KNN = "(SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)"
@@ -183,6 +217,13 @@ ORACLES = {k: _o(v) for k, v in {
     "coerced_proposals": """SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN 'names no two files' WHEN event_id % 5 = event_id % 7 THEN 'relates a file to itself' WHEN event_id % 4 = 0 THEN 'unknown relation' WHEN event_id % 10 = 1 OR event_id % 12 > 10 THEN 'confidence out of range' WHEN event_id % 6 = 5 THEN 'no evidence' END AS problem FROM events""",
     "cited_answers": """SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 3 = event_id % 4 THEN 'e' || (event_id % 3) ELSE 'e' || (event_id % 3) || '|e' || (event_id % 4) END AS cited, CASE WHEN event_id % 5 = 0 THEN 'cites nothing' WHEN event_id % 4 = 3 THEN 'cites what is not in evidence' END AS problem FROM events""",
     "session_times": "SELECT event_id AS id, CASE WHEN event_id % 9 <> 0 THEN make_timestamp(2023, CASE WHEN event_id % 3 = 0 THEN 5 ELSE 10 END, 1 + event_id % 28, (1 + event_id % 12) % 12 + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 12 END, event_id % 60, 0) END AS at FROM events",
+    "fenced_shares": f"WITH x AS ({LINTED.format(events='events')}) SELECT DISTINCT file, round(CASE WHEN text LIKE '```%' THEN 0.5 ELSE 0.0 END, 6) AS share FROM x",
+    "heading_stacks": f"""WITH e AS ({STEPS.format(events='events').replace('AS STRING', 'AS VARCHAR')}), h AS (SELECT * FROM e WHERE level IS NOT NULL), o AS (
+        SELECT x.id, x.pos, h.pos AS hp, h.heading FROM e x JOIN h ON h.id = x.id AND h.pos <= x.pos WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.id = x.id AND k.pos > h.pos AND k.pos <= x.pos AND k.level <= h.level))
+        SELECT e.id, e.pos, coalesce(string_agg(o.heading, ' > ' ORDER BY hp), '') AS section FROM e LEFT JOIN o ON o.id = e.id AND o.pos = e.pos GROUP BY 1, 2""",
+    "broken_runs": """WITH c AS (SELECT user_id AS run, event_id AS seq, event_id % 5 = 0 AS cached, event_id % 7 < 5 AS failed FROM events), g AS (SELECT *, sum((NOT cached AND NOT failed)::INT) OVER (PARTITION BY run ORDER BY seq) AS island FROM c),
+        r AS (SELECT *, sum((NOT cached AND failed)::INT) OVER (PARTITION BY run, island ORDER BY seq) AS n FROM g), t AS (SELECT run, min(seq) FILTER (n >= 5) AS trip FROM r GROUP BY 1)
+        SELECT run, seq, CASE WHEN cached THEN 'cached' WHEN seq > trip THEN 'skipped' WHEN failed THEN 'failed' ELSE 'done' END AS status, CASE WHEN seq > trip THEN NULL ELSE n END::BIGINT AS in_a_row FROM r JOIN t USING (run)""",
     "code_densities": f"WITH x AS ({LINTED.format(events='events')}) SELECT DISTINCT file, round(CASE WHEN text LIKE '```%' THEN 0.5 ELSE 0.0 END, 6) AS density FROM x",
 }.items()}
 PROPOSED = (

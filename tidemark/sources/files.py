@@ -101,6 +101,132 @@ def visible_text(html: Column) -> Column:
     return visible(html)
 
 
+#: Rows and columns that one cell may span, and columns of a table: pages may claim any number.
+MOST_SPAN, MOST_COLUMNS = 1000, 256
+_HEADINGS = {f"h{n}": n for n in range(1, 7)}
+
+
+def table_grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Cells (text, row span, column span) in their places; a cell that spans several stands in each of them."""
+    taken: dict[tuple[int, int], str] = {}
+    for y, row in enumerate(rows):
+        x = 0
+        for text, down, along in row:
+            while (y, x) in taken:
+                x += 1
+            for dy in range(min(max(1, down), MOST_SPAN, len(rows) - y)):
+                for dx in range(min(max(1, along), MOST_SPAN)):
+                    if x + dx < MOST_COLUMNS:
+                        taken.setdefault((y + dy, x + dx), text)
+            x += max(1, along)
+    width = max((x for _, x in taken), default=-1) + 1
+    return [[taken.get((y, x), "") for x in range(width)] for y in range(len(rows))]
+
+
+def grid_markdown(grid: list[list[str]]) -> str:
+    """The rows of a grid that hold anything, the first as the header."""
+    lines = ["| " + " | ".join(c.replace("|", "\\|") for c in row) + " |" for row in grid if any(row)]
+    return "\n".join([lines[0], "| " + " | ".join("---" for _ in grid[0]) + " |", *lines[1:]]) if lines else ""
+
+
+class _Blocks(HTMLParser):
+    """Typed blocks of a page in order: (kind, heading, table, text). A table in a cell is a block of its own."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[tuple] = []
+        self.texts: list[str] = []
+        self.heading = self.title = None
+        self.hidden = self.n_tables = 0
+        self.tables: list[dict] = []
+
+    def flush(self) -> None:
+        if self.texts:
+            self.blocks.append(("text", self.heading, None, "\n".join(self.texts)))
+        self.texts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "template")
+        if tag in _HEADINGS and not self.tables:
+            self.flush()
+            self.title = []
+        elif tag == "table":
+            self.flush()
+            self.tables.append({"rows": [], "cell": None})
+        elif tag == "tr" and self.tables:
+            self.close_cell()
+            self.tables[-1]["rows"].append([])
+        elif tag in ("td", "th") and self.tables:
+            self.close_cell()
+            spans = {k: int(v) if v and v.strip().isdigit() else 1 for k, v in attrs if k in ("rowspan", "colspan")}
+            if not self.tables[-1]["rows"]:
+                self.tables[-1]["rows"].append([])
+            self.tables[-1]["cell"] = ([], spans.get("rowspan", 1) or MOST_SPAN, spans.get("colspan", 1))
+
+    def close_cell(self) -> None:
+        if (cell := self.tables[-1]["cell"]) is not None:
+            self.tables[-1]["rows"][-1].append((" ".join(cell[0]), cell[1], cell[2]))
+            self.tables[-1]["cell"] = None
+
+    def close_table(self) -> None:
+        self.close_cell()
+        text = grid_markdown(table_grid(self.tables.pop()["rows"]))
+        if text:
+            self.n_tables += 1
+            self.blocks.append(("table", self.heading, self.n_tables, text))
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "template") and self.hidden > 0
+        if tag in _HEADINGS and self.title is not None:
+            self.end_heading(_HEADINGS[tag])
+        elif tag == "table" and self.tables:
+            self.close_table()
+        elif tag in ("td", "th") and self.tables:
+            self.close_cell()
+
+    def end_heading(self, level: int) -> None:
+        if text := " ".join(self.title):
+            self.heading = "#" * level + " " + text
+            self.blocks.append(("heading", self.heading, None, text))
+        self.title = None
+
+    def handle_data(self, data):
+        text = " ".join(data.split())
+        if self.hidden or not text:
+            return
+        if self.tables and self.tables[-1]["cell"] is not None:
+            self.tables[-1]["cell"][0].append(text)
+        else:
+            (self.texts if self.title is None else self.title).append(text)
+
+    def finish(self) -> list[tuple]:
+        self.close()
+        while self.tables:
+            self.close_table()
+        if self.title:
+            self.end_heading(1)
+        self.flush()
+        return self.blocks
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, ord, kind, heading, table_index, text) of ``pages`` (page_id, html): the page's texts, headings and tables
+    in order. heading is the last one before the block, as Markdown; tables are Markdown, spanned cells repeated.
+    Scripts and styles are left out; what isn't closed ends with the page. Null pages have no blocks."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for page, html in zip(b.page_id.tolist(), b.html.tolist(), strict=True):
+                parser = _Blocks()
+                parser.feed(html or "")
+                rows += [(page, n, *block) for n, block in enumerate(parser.finish())]
+            yield pd.DataFrame(rows, columns=["page_id", "ord", "kind", "heading", "table_index", "text"]).astype({"table_index": "Int64", "page_id": object})
+
+    return pages.select("page_id", "html").mapInPandas(read, f"page_id {kind}, ord long, kind string, heading string, table_index long, text string")
+
+
 def markdown_rows(table: DataFrame) -> DataFrame:
     """(line): a table's rows as Markdown table lines; cells lose line breaks, and bars are escaped."""
     cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " "), r"\|", r"\\|")
