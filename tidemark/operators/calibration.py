@@ -58,6 +58,15 @@ def quantile_by_index(df: DataFrame, by: list[str], value: str, q: float, name:
     return ranked(df, by, value).where((F.col("at") <= place) & (place < F.col("at") + F.col("times"))).select(*by, F.col(value).alias(name))
 
 
+def inclusive_quantile(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
+    """(by, name): the value at q * (n - 1) of each group's sorted values, between two of them in proportion."""
+    place = F.lit(q) * (F.col("n") - 1)
+    low, high = F.floor(place), F.ceil(place)
+    holds = lambda at: F.max(F.when((F.col("at") <= at) & (at < F.col("at") + F.col("times")), F.col(value)))
+    two = ranked(df.where(F.col(value).isNotNull()), by, value).where((F.col("at") <= high) & (low < F.col("at") + F.col("times")))
+    return two.groupBy(*by).agg(holds(low).alias("_a"), holds(high).alias("_b"), F.max(place - low).alias("_f")).select(*by, (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias(name))
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
     """sorted[ceil(q * n) - 1] of each group."""
     place = F.greatest(F.ceil(F.lit(q) * F.col("n")) - 1, F.lit(0))
@@ -82,11 +91,10 @@ def fit(samples: DataFrame) -> DataFrame:
     """One row: threshold, scale, n_pos, n_neg, auc, auc_low, auc_high, certified."""
     low = quantile_by_index(samples.where("label"), [], "score", ANSWERABLE_Q, "floor")
     high = quantile_by_index(samples.where("not label"), [], "score", UNANSWERABLE_Q, "ceiling")
-    quart = samples.agg(
-        F.expr("percentile(score, 0.25) filter (where label)").alias("q25"), F.expr("percentile(score, 0.75) filter (where not label)").alias("q75"),
-        F.count_if("label").alias("a"), F.count_if(~F.col("label")).alias("u"),
-    )
-    row = auc(samples).join(quart).join(low, how="left").join(high, how="left")  # one row each
+    quart = samples.agg(F.count_if("label").alias("a"), F.count_if(~F.col("label")).alias("u"))
+    q25 = inclusive_quantile(samples.where("label"), [], "score", 0.25, "q25")
+    q75 = inclusive_quantile(samples.where("not label"), [], "score", 0.75, "q75")
+    row = auc(samples).join(quart).join(low, how="left").join(high, how="left").join(q25, how="left").join(q75, how="left")  # one row each
     scale = F.when((F.col("a") >= 2) & (F.col("u") >= 2), F.round(F.greatest((F.col("q25") - F.col("q75")) / 4, F.lit(0.01)), 4)).otherwise(0.05)
     lo, hi = auc_interval(F.col("auc"), F.col("n_pos"), F.col("n_neg"))
     return row.select(threshold_of(F.col("floor"), F.col("ceiling")).alias("threshold"), scale.alias("scale"), "n_pos", "n_neg", "auc", lo.alias("auc_low"), hi.alias("auc_high"), certified(F.col("auc"), F.col("n_pos"), F.col("n_neg")).alias("certified"))

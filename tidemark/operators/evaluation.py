@@ -15,15 +15,24 @@ from tidemark.operators.calibration import running_totals
 from tidemark.operators.retrieval import small
 
 
-def ranking_metrics(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """(query_id, precision, recall, mrr, ndcg) of each query with a relevant id; 0 for queries without a hit."""
+def _wanted(relevant: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """(query_id, n_rel): how many ids are relevant, from all pairs unless ``wanted`` says it."""
+    return relevant.groupBy("query_id").agg(F.count_distinct("id").alias("n_rel")) if wanted is None else wanted.where("n_rel > 0").select("query_id", "n_rel")
+
+
+def ranking_metrics(ranking: DataFrame, relevant: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(query_id, precision, recall, mrr, ndcg) of each query with a relevant id; 0 for queries without a hit.
+
+    Here and below ``relevant`` (query_id, id) has all pairs, or with ``wanted`` (query_id, n_rel) at least those that
+    are ranked: where ids are relevant by class, the others need not be listed.
+    """
     marked = ranking.join(relevant.select("query_id", "id", F.lit(1).alias("rel")).distinct(), ["query_id", "id"], "left")
     top = F.col("rank") <= k
     found = marked.groupBy("query_id").agg(
         F.count_if(top & F.col("rel").isNotNull()).alias("hits"), F.min(F.when(F.col("rel").isNotNull(), F.col("rank"))).alias("first"),
         F.sum(F.when(top & F.col("rel").isNotNull(), 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"),
     )
-    wanted = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("n_rel"))
+    wanted = _wanted(relevant, wanted)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_rel"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     joined = wanted.join(found, "query_id", "left")
     return joined.select(
@@ -32,10 +41,10 @@ def ranking_metrics(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFram
     )
 
 
-def hits_at(ranking: DataFrame, relevant: DataFrame, depths: list[int]) -> DataFrame:
+def hits_at(ranking: DataFrame, relevant: DataFrame, depths: list[int], wanted: DataFrame | None = None) -> DataFrame:
     """(depth, n, hit_rate): share of queries with a relevant id at that depth or before."""
     first = ranking.join(relevant.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    queries = relevant.select("query_id").distinct().join(first, "query_id", "left")
+    queries = _wanted(relevant, wanted).select("query_id").join(first, "query_id", "left")
     return queries.select("query_id", "first", F.explode(F.array(*map(F.lit, depths))).alias("depth")).groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("first") <= F.col("depth"), F.lit(False)).cast("double")).alias("hit_rate"))
 
 
@@ -123,11 +132,12 @@ def pool_ceiling(legs: list[DataFrame], relevant: DataFrame) -> DataFrame:
     return marked.agg(F.count(F.lit(1)).alias("n_relevant"), F.count("_in").alias("found")).withColumn("ceiling", F.col("found") / F.nullif("n_relevant", F.lit(0)))
 
 
-def evidence_coverage(ranking: DataFrame, evidence: DataFrame, depths: list[int]) -> DataFrame:
+def evidence_coverage(ranking: DataFrame, evidence: DataFrame, depths: list[int], wanted: DataFrame | None = None) -> DataFrame:
     """For each depth: share of queries with any, with all, and the mean share of their evidence ids found."""
-    placed = evidence.distinct().join(ranking.select("query_id", "id", "rank"), ["query_id", "id"], "left").select("query_id", "rank", F.explode(F.array(*map(F.lit, depths))).alias("depth"))
-    per = placed.groupBy("depth", "query_id").agg(F.avg(F.coalesce(F.col("rank") <= F.col("depth"), F.lit(False)).cast("double")).alias("share"))
-    return per.groupBy("depth").agg(F.avg((F.col("share") > 0).cast("double")).alias("any"), F.avg((F.col("share") == 1).cast("double")).alias("all"), F.avg("share").alias("fraction"))
+    placed = evidence.distinct().join(ranking.select("query_id", "id", "rank"), ["query_id", "id"]).groupBy("query_id").agg(*[F.count_if(F.col("rank") <= d).alias(f"_{d}") for d in depths])
+    counts = _wanted(evidence, wanted).join(placed, "query_id", "left")
+    each = counts.select("n_rel", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.coalesce(f"_{d}", F.lit(0)).alias("n")) for d in depths])).alias("d")).select("d.depth", (F.col("d.n") / F.col("n_rel")).alias("share"))
+    return each.groupBy("depth").agg(F.avg((F.col("share") > 0).cast("double")).alias("any"), F.avg((F.col("share") == 1).cast("double")).alias("all"), F.avg("share").alias("fraction"))
 
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:

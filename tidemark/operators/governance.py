@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.stats import certified
+from tidemark.operators.scan import scan
 
 #: Bounds of carrying a threshold forward: corpus delta, error of either class.
 MOST_DELTA, MOST_ERROR = 0.25, 0.10
@@ -67,19 +68,27 @@ def recalibration_action(drift: Column, running: Column, labelled: Column) -> Co
     return F.when(drift.isin("stable", "unknown"), "none").when(running, "wait").when(labelled, "recalibrate").otherwise("request_labels")
 
 
+#: States of a proposal.
+REVIEW_STATES = ("proposed", "reviewed", "accepted", "rejected", "promoted")
+
+
 def review(proposals: DataFrame, events: DataFrame) -> DataFrame:
     """(proposal_id, state, trusted) after ``events`` (proposal_id, seq, action, reviewer, note) in order of seq.
 
     Steps are proposed, reviewed, accepted, promoted; a reviewed or accepted one may be rejected. An event without
     reviewer or note, or out of turn, changes nothing. Only a promoted proposal with evidence is trusted.
     """
-    valid = events.where("reviewer is not null and trim(note) <> ''")
-    # The events of a proposal are few by nature; they are folded in order.
-    listed = valid.groupBy("proposal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "action"))), lambda s: s["action"]).alias("actions"))
-    step = lambda s, a: F.when((s == "proposed") & (a == "review"), "reviewed").when((s == "reviewed") & (a == "accept"), "accepted").when(s.isin("reviewed", "accepted") & (a == "reject"), "rejected").when((s == "accepted") & (a == "promote"), "promoted").otherwise(s)
-    joined = proposals.join(listed, "proposal_id", "left")
-    state = F.aggregate(F.coalesce("actions", F.array().cast("array<string>")), F.lit("proposed"), step)
-    return joined.select("proposal_id", state.alias("state"), ((state == "promoted") & (F.col("n_evidence") > 0)).alias("trusted"))
+    valid = events.where("proposal_id is not null and reviewer is not null and trim(note) <> ''")
+    step = {"review": {"proposed": "reviewed"}, "accept": {"reviewed": "accepted"}, "reject": {"reviewed": "rejected", "accepted": "rejected"}, "promote": {"accepted": "promoted"}}
+
+    def lift(event) -> dict:
+        return {s: step.get(event["action"], {}).get(s, s) for s in REVIEW_STATES}
+
+    # An event leads from every state to one, so events in a row do too: proposals with many are spread over tasks.
+    walked = scan(valid, "proposal_id", ["seq"], lift, lambda a, b: {s: b[t] for s, t in a.items()}, {s: s for s in REVIEW_STATES}, ["seq"])
+    last = walked.groupBy("proposal_id").agg(F.get_json_object(F.max_by("state", "seq"), "$.proposed").alias("state"))
+    state = F.coalesce("state", F.lit("proposed"))
+    return proposals.join(last, "proposal_id", "left").select("proposal_id", state.alias("state"), ((state == "promoted") & (F.col("n_evidence") > 0)).alias("trusted"))
 
 
 def promote(generations: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -94,7 +94,10 @@ def calibrated_confidence(spark, sf):
 
 
 def score_distribution(spark, sf):
-    return _scored(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.expr(e), 6).alias(c) for c, e in (("low", "min(score)"), ("median", "percentile(score, 0.5)"), ("high", "max(score)"), ("mean", "avg(score)"))])
+    scored = _scored(spark, sf)
+    sums = scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.expr(e), 6).alias(c) for c, e in (("low", "min(score)"), ("high", "max(score)"), ("mean", "avg(score)"))])
+    median = calibration.inclusive_quantile(scored, ["label"], "score", 0.5, "median")
+    return sums.join(median, "label").select("label", "n", "low", F.round("median", 6).alias("median"), "high", "mean")
 
 
 def abstention_rates(spark, sf):

@@ -20,10 +20,13 @@ def _ranking(spark, sf, k=20):
     return retrieval.top_k(hits.select("query_id", "id", "score"), k)
 
 
-def _relevant(spark, sf):
-    rows = _vectors(spark, sf)
-    q = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
-    return rows.join(retrieval.small(q), "label").where("id <> query_id").select("query_id", "id")
+def _relevant(spark, sf, ranking):
+    """The ranked ids of a query's label, and how many others have it: class counts, not the pairs of a class."""
+    rows = _vectors(spark, sf).select("id", "label")
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
+    ranked = ranking.select("query_id", "id").join(asked, "query_id").join(rows.withColumnRenamed("label", "other"), "id").where("label = other").select("query_id", "id")
+    sizes = rows.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_rel"))
+    return ranked, asked.join(sizes, "label").select("query_id", "n_rel")
 
 
 RANKING = """p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
@@ -32,26 +35,32 @@ RANKING = """p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosin
 
 
 def ranking_metrics(spark, sf):
-    got = evaluation.ranking_metrics(_ranking(spark, sf), _relevant(spark, sf), 10)
+    ranking = _ranking(spark, sf)
+    relevant, wanted = _relevant(spark, sf, ranking)
+    got = evaluation.ranking_metrics(ranking, relevant, 10, wanted)
     return got.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
 def mean_metrics_by_arm(spark, sf):
     """The ablation: means of each arm; the second arm compares the first half of the dimensions."""
-    rel = _relevant(spark, sf)
     cut = F.slice("vector", 1, HALF).alias("vector")
     half = retrieval.dense_topk(_vectors(spark, sf).select("id", cut), _vector_queries(spark, sf).select("query_id", cut), 21).where("id <> query_id")
     arms = {"all": _ranking(spark, sf), "half": retrieval.top_k(half.select("query_id", "id", "score"), 20)}
-    parts = [evaluation.ranking_metrics(r, rel, 10).withColumn("arm", F.lit(a)) for a, r in arms.items()]
+    judged = {a: (r, *_relevant(spark, sf, r)) for a, r in arms.items()}
+    parts = [evaluation.ranking_metrics(r, rel, 10, wanted).withColumn("arm", F.lit(a)) for a, (r, rel, wanted) in judged.items()]
     return parts[0].unionByName(parts[1]).groupBy("arm").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
 def hits_at_depths(spark, sf):
-    return evaluation.hits_at(_ranking(spark, sf), _relevant(spark, sf), [1, 3, 5, 10, 20]).select("depth", "n", F.round("hit_rate", 6).alias("hit_rate"))
+    ranking = _ranking(spark, sf)
+    relevant, wanted = _relevant(spark, sf, ranking)
+    return evaluation.hits_at(ranking, relevant, [1, 3, 5, 10, 20], wanted).select("depth", "n", F.round("hit_rate", 6).alias("hit_rate"))
 
 
 def evidence_coverage(spark, sf):
-    got = evaluation.evidence_coverage(_ranking(spark, sf), _relevant(spark, sf), [5, 20])
+    ranking = _ranking(spark, sf)
+    relevant, wanted = _relevant(spark, sf, ranking)
+    got = evaluation.evidence_coverage(ranking, relevant, [5, 20], wanted)
     return got.select("depth", *[F.round(c, 6).alias(c) for c in ("any", "all", "fraction")])
 
 

@@ -227,8 +227,8 @@ def gap_warnings(spark, sf):
 
 
 def _turn_hits(spark, sf):
-    """Every 50th conversation's second turn is a hit of query conv_id // 100."""
-    turns = tables.table(spark, sf, "conversations").where("conv_id % 50 = 0 and turn = 1")
+    """Every conversation's second turn is a hit of query conv_id // 100."""
+    turns = tables.table(spark, sf, "conversations").where("turn = 1")
     return turns.select(F.expr("conv_id div 100").alias("query_id"), F.col("conv_id").alias("file"), F.col("turn").alias("ord"), F.expr("conv_id + 1").alias("rank"))
 
 
@@ -238,7 +238,7 @@ def neighbour_expansion(spark, sf):
 
 
 NEIGHBOURS = """
-WITH hits AS (SELECT conv_id // 100 AS query_id, conv_id AS file, turn AS ord, conv_id + 1 AS rank FROM conversations WHERE conv_id % 50 = 0 AND turn = 1),
+WITH hits AS (SELECT conv_id // 100 AS query_id, conv_id AS file, turn AS ord, conv_id + 1 AS rank FROM conversations WHERE turn = 1),
 kept AS (SELECT query_id, file, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), file) AS place FROM hits GROUP BY query_id, file QUALIFY place <= 2),
 ends AS (SELECT conv_id AS file, max(turn) AS ord FROM conversations GROUP BY 1),
 found AS (

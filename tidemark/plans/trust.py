@@ -43,8 +43,8 @@ def memos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hits(rows: DataFrame) -> DataFrame:
-    """Each user is a query; every third memo of the user is a hit, best score first."""
-    rows = rows.where("id % 3 = 0").groupBy("file").agg(*[F.min(c).alias(c) for c in ("id", "user_id", "first_indexed", "indexed_at", "valid_from", "valid_until", "score")])
+    """Each user is a query; all memos of the user are hits, best score first."""
+    rows = rows.groupBy("file").agg(*[F.min(c).alias(c) for c in ("id", "user_id", "first_indexed", "indexed_at", "valid_from", "valid_until", "score")])
     found = rows.withColumnRenamed("user_id", "query_id")
     return retrieval.top_k(found, 10**9, tie="file").withColumnRenamed("rank", "pos")
 
@@ -162,7 +162,7 @@ def _verdict_sql(edges: str, as_of: str | None) -> str:
     known = f"WHEN coalesce(h.first_indexed, h.indexed_at) > TIMESTAMP '{as_of}' THEN 'not_yet_known'" if as_of else ""
     return f"""WITH RECURSIVE {BASE}, {edges}, {CHAIN},
 hits AS (SELECT file, min(user_id) AS query_id, min(first_indexed) AS first_indexed, min(indexed_at) AS indexed_at, min(valid_from) AS valid_from, min(valid_until) AS valid_until, min(score) AS score
-         FROM memos WHERE id % 3 = 0 GROUP BY file),
+         FROM memos GROUP BY file),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file) AS pos FROM hits),
 judged AS (SELECT h.*, c.successor, CASE WHEN (valid_from IS NOT NULL AND try_cast(valid_from AS DATE) IS NULL) OR (valid_until IS NOT NULL AND try_cast(valid_until AS DATE) IS NULL) THEN 'invalid_metadata' {known}
    WHEN h.file IN (SELECT file FROM unresolved) THEN 'ambiguous_supersession' WHEN c.successor IS NOT NULL THEN 'superseded'
