@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.calibration import fit, held_out_thresholds, running_totals
 from tidemark.operators.evaluation import ranking_metrics
 
 #: Observations of a label that a latency window holds.
@@ -44,6 +45,35 @@ def confident_by_arm(evaluated: DataFrame, entailed: Column, by: str) -> DataFra
     return per.select(by, arms).groupBy(by, F.col("a.arm").alias("arm")).agg(F.count(F.lit(1)).alias("n"), F.avg("a.yes").alias("rate"))
 
 
+def near_misses(queries: DataFrame) -> DataFrame:
+    """(arm, near_miss_fcr, gap_fcr, false_abstain) of ``queries`` (kind, score, entailed), kind being answerable, gap or
+    near_miss and score the best hit's.
+
+    Near misses challenge a threshold that they never tune. Gaps and answerable queries do tune it, so each is judged
+    at the threshold fitted without it. The arms trust a hit by the threshold, by threshold and judge, or by the judge.
+    """
+    fitted = queries.where("kind <> 'near_miss' and score is not null").select((F.col("kind") == "answerable").alias("label"), "score")
+    folds = held_out_thresholds(fitted).select(F.when(F.col("label"), "answerable").otherwise("gap").alias("kind"), "score", "threshold")
+    whole = fit(fitted).select(F.col("threshold").alias("_whole"))  # one row
+    judged = queries.join(folds, ["kind", "score"], "left").join(F.broadcast(whole)).withColumn("cut", F.when(F.col("kind") == "near_miss", F.col("_whole")).otherwise(F.col("threshold")))
+    over = F.coalesce(F.col("score") >= F.col("cut"), F.lit(False))
+    passes = {"threshold": over, "threshold+entail": over & F.col("entailed"), "entail-only": F.col("entailed")}
+    each = judged.select("kind", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), p.alias("yes")) for a, p in passes.items()])).alias("a")).select("kind", "a.arm", "a.yes")
+    share = lambda kind, wrong: F.avg(F.when(F.col("kind") == kind, (F.col("yes") == wrong).cast("double")))
+    return each.groupBy("arm").agg(share("near_miss", True).alias("near_miss_fcr"), share("gap", True).alias("gap_fcr"), share("answerable", False).alias("false_abstain"))
+
+
+def held_out_arms(arms: dict[str, DataFrame], relevant: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(arm, n, hit_rate, mrr) of rankings (query_id, id, rank) over the held half of ``questions`` (query_id): every
+    second one in order, as far as something is relevant to it; the other half is for fitting."""
+    placed = running_totals(questions.groupBy("query_id").agg(F.count(F.lit(1)).alias("times")), [], "query_id", {"at": "times"})
+    held = placed.where("at % 2 = 1").select("query_id").join(relevant.select("query_id").distinct(), "query_id")
+    named = reduce(DataFrame.unionByName, [r.select("query_id", "id", "rank", F.lit(a).alias("arm")) for a, r in arms.items()])
+    first = named.join(relevant.select("query_id", "id").distinct(), ["query_id", "id"]).groupBy("arm", "query_id").agg(F.min("rank").alias("first"))
+    every = held.select("query_id", F.explode(F.array(*map(F.lit, arms))).alias("arm")).join(first, ["arm", "query_id"], "left")
+    return every.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")).alias("hit_rate"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+
+
 def added_gold(treatment: DataFrame, control: DataFrame, relevant: DataFrame) -> DataFrame:
     """(queries, documents, top5, top10, buried, q1, median, q3): where relevant documents that only the treatment
     finds stand in its ranking; quartiles are values at n // 4, n // 2 and 3 n // 4."""

@@ -121,6 +121,25 @@ def threshold_sweep(samples: DataFrame, thresholds: list[float]) -> DataFrame:
     return out.withColumn("separation", F.col("abstained") - F.col("false_abstain"))
 
 
+def _folds(samples: DataFrame) -> DataFrame:
+    """Distinct scores of each class with their places, and for both classes the quantile of all, and the two values of
+    which one is the quantile of any fold."""
+    q = F.when(F.col("label"), ANSWERABLE_Q).otherwise(UNANSWERABLE_Q)
+    placed = stored(ranked(samples.select("label", "score"), ["label"], "score")).withColumn("less", F.least(F.col("n") - 2, F.floor(q * (F.col("n") - 1))))
+    holds = lambda at: F.max(F.when((F.col("at") <= at) & (at < F.col("at") + F.col("times")), F.col("score")))
+    whole = F.least(F.col("n") - 1, F.floor(q * F.col("n")))
+    bounds = placed.groupBy("label").agg(holds(whole).alias("all"), holds(F.col("less")).alias("here"), holds(F.col("less") + 1).alias("next"))
+    one = lambda label, p: bounds.where(F.col("label") == label).agg(*[F.max(c).alias(f"{p}_{c}") for c in ("all", "here", "next")])
+    return placed.join(F.broadcast(one(True, "p"))).join(F.broadcast(one(False, "m")))  # one row each
+
+
+def held_out_thresholds(samples: DataFrame) -> DataFrame:
+    """(label, score, threshold): the threshold fitted to all ``samples`` (label, score) but one with that score."""
+    own = lambda p: F.when(F.col("n") > 1, F.when(F.col("at") <= F.col("less"), F.col(f"{p}_next")).otherwise(F.col(f"{p}_here")))
+    cut = F.when(F.col("label"), threshold_of(own("p"), F.col("m_all"))).otherwise(threshold_of(F.col("p_all"), own("m")))
+    return _folds(samples).select("label", "score", cut.alias("threshold"))
+
+
 def leave_one_out(samples: DataFrame) -> DataFrame:
     """(false_abstain, false_confirm): each sample judged at the threshold fitted without it.
 
@@ -128,13 +147,7 @@ def leave_one_out(samples: DataFrame) -> DataFrame:
     of two values of its class: no fold is refitted. Samples with one score are judged together: those up to the
     place at one threshold, those after it at the other.
     """
-    q = F.when(F.col("label"), ANSWERABLE_Q).otherwise(UNANSWERABLE_Q)
-    placed = stored(ranked(samples.select("label", "score"), ["label"], "score")).withColumn("less", F.least(F.col("n") - 2, F.floor(q * (F.col("n") - 1))))
-    holds = lambda at: F.max(F.when((F.col("at") <= at) & (at < F.col("at") + F.col("times")), F.col("score")))
-    whole = F.least(F.col("n") - 1, F.floor(q * F.col("n")))
-    bounds = placed.groupBy("label").agg(holds(whole).alias("all"), holds(F.col("less")).alias("here"), holds(F.col("less") + 1).alias("next"))
-    one = lambda label, p: bounds.where(F.col("label") == label).agg(*[F.max(c).alias(f"{p}_{c}") for c in ("all", "here", "next")])
-    judged = placed.join(F.broadcast(one(True, "p"))).join(F.broadcast(one(False, "m")))  # one row each
+    judged = _folds(samples)
     alone = F.col("n") == 1
 
     def wrong(own: str) -> Column:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import arms, calibration, evaluation, lifecycle, retrieval
+from tidemark.operators import arms, calibration, evaluation, lifecycle, retrieval, search
+from tidemark.plans.calibration import BASE as SAMPLED
+from tidemark.plans.calibration import samples as calibrated
 from tidemark.plans.evaluation import HALF, _metrics, _ranking, _supported
 from tidemark.plans.lifecycle import NEW, OLD, _o, _sql
 from tidemark.plans.retrieval import FUSE, LEX, TEXT, _docs, _legs, _legs_sql, _vector_queries, _vectors
+from tidemark.plans.search import POOL, K, _hashed
 from tidemark.plans.trust import EDGES, THRESHOLD, _evaluated, _verdict_sql
 from tidemark.sources import tables
 from tidemark.sources.shared import stored
@@ -73,6 +76,27 @@ def near_miss_arms(spark, sf):
     return arms.confident_by_arm(judged, entailed, "kind").withColumn("rate", F.round("rate", 6))
 
 
+KINDS = """SELECT s.id, CASE WHEN s.id % 4 = 3 THEN 'near_miss' WHEN s.label THEN 'answerable' ELSE 'gap' END AS kind, s.score, coalesce(l.quality = 1, false) AS entailed FROM s JOIN {labels} l ON l.doc_id = s.id"""
+
+
+def near_misses(spark, sf):
+    """Labelled documents as queries: a quarter are near misses that no threshold is fitted to; quality judges."""
+    labels = tables.table(spark, sf, "labels")
+    rows = spark.sql(f"WITH s AS (SELECT * FROM {{samples}} WHERE score IS NOT NULL) {KINDS}", samples=calibrated(spark, sf), labels=labels)
+    got = arms.near_misses(rows.select("kind", "score", "entailed"))
+    return got.select("arm", *[F.round(c, 6).alias(c) for c in ("near_miss_fcr", "gap_fcr", "false_abstain")])
+
+
+def labelled_arms(spark, sf):
+    """bm25, sparse, dense and hybrid on the held half of the items, against documents that hold a rare word of them."""
+    bm25, sparse = _stored_legs(spark, sf)
+    docs, asked = _hashed(spark, sf)
+    dense = stored(retrieval.dense_topk(docs, asked, 20))
+    hybrid = search.hybrid_pool([dense, sparse], K).withColumnRenamed("pos", "rank")
+    found = arms.held_out_arms({"bm25": bm25, "sparse": sparse, "dense": dense, "hybrid": hybrid}, stored(_supported(spark, sf).select("query_id", "id")), asked.select("query_id"), 5)
+    return found.select("arm", "n", *[F.round(c, 6).alias(c) for c in ("hit_rate", "mrr")])
+
+
 def task_deltas(spark, sf):
     runs = _sql(spark, sf, "SELECT user_id AS task, CASE WHEN event_id % 2 = 0 OR user_id % 11 = 3 THEN 'off' ELSE 'on' END AS arm, event_id % 5 < 2 AS passed FROM {events}")
     got = arms.task_deltas(runs)
@@ -117,7 +141,7 @@ def predictor_correlations(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    ablation_arms, topologies_differ, added_gold, document_recall, ring_sets, gold_and_negatives, embedding_disagreement, stale_trust, near_miss_arms, task_deltas,
+    ablation_arms, topologies_differ, added_gold, document_recall, ring_sets, gold_and_negatives, embedding_disagreement, stale_trust, near_miss_arms, near_misses, labelled_arms, task_deltas,
     admitted_sessions, ladder_costs, latency_windows, corpus_census, snapshot_drift, predictor_correlations,
 )}
 
@@ -140,6 +164,15 @@ ORACLES = {k: _o(v) for k, v in {
     "stale_trust": _verdict_sql(EDGES, None) + f"""SELECT count(*) AS n, round(avg(plain::INT), 6) AS plain, round(avg(coalesce(newest, plain)::INT), 6) AS recency, round(avg(trusted::INT), 6) AS trusted, round(avg(covered::INT), 6) AS coverage FROM (
         SELECT query_id, arg_min(superseded_by IS NOT NULL, f.pos) AS plain, first(superseded_by IS NOT NULL ORDER BY h.indexed_at DESC, f.pos) FILTER (f.score >= {THRESHOLD}) AS newest, bool_or(superseded_by IS NOT NULL AND verdict = 'ok') AS trusted, bool_or(verdict = 'ok') AS covered FROM final f JOIN (SELECT query_id, file, indexed_at FROM placed) h USING (query_id, file) GROUP BY 1)""",
     "near_miss_arms": _verdict_sql(EDGES, None) + """SELECT kind, arm, count(*) AS n, round(avg(yes::INT), 6) AS rate FROM (SELECT query_id % 3 AS kind, query_id, unnest(['threshold', 'threshold+entail', 'entail-only']) AS arm, unnest([bool_or(verdict = 'ok'), bool_or(verdict = 'ok' AND e), bool_or(verdict IN ('ok', 'low_confidence') AND e)]) AS yes FROM (SELECT *, ('0x' || left(md5(file), 2))::INT % 5 = 0 AS e FROM final) GROUP BY query_id) GROUP BY 1, 2""",
+    "near_misses": f"""WITH {SAMPLED}, q AS ({KINDS.format(labels='labels')}), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score, id) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM q WHERE kind <> 'near_miss'),
+        w AS (SELECT max(score) FILTER (kind = 'answerable' AND i = least(n - 1, floor(0.05 * n))) AS f, max(score) FILTER (kind = 'gap' AND i = least(n - 1, floor(0.95 * n))) AS c FROM r),
+        p AS (SELECT *, least(n - 2, floor(CASE kind WHEN 'gap' THEN 0.95 ELSE 0.05 END * (n - 1))) AS p FROM r), o AS (SELECT x.*, (SELECT score FROM r y WHERE y.kind = x.kind AND y.i = x.p + (x.i <= x.p)::INT) AS own FROM p x),
+        t AS (SELECT kind, score, entailed, floor((CASE kind WHEN 'gap' THEN w.f + own ELSE own + w.c END) / 2 * 1000) / 1000 AS cut FROM o, w UNION ALL SELECT kind, score, entailed, floor((f + c) / 2 * 1000) / 1000 FROM q, w WHERE kind = 'near_miss'),
+        a AS (SELECT kind, unnest(['threshold', 'threshold+entail', 'entail-only']) AS arm, unnest([score >= cut, score >= cut AND entailed, entailed]) AS yes FROM t)
+        SELECT arm, round(avg(yes::INT) FILTER (kind = 'near_miss'), 6) AS near_miss_fcr, round(avg(yes::INT) FILTER (kind = 'gap'), 6) AS gap_fcr, round(avg((NOT yes)::INT) FILTER (kind = 'answerable'), 6) AS false_abstain FROM a GROUP BY 1""",
+    "labelled_arms": f"""WITH {POOL}, {REL}, k AS (SELECT 'bm25' AS arm, query_id, id, rank FROM bm25 UNION ALL SELECT 'sparse', query_id, id, rank FROM lex UNION ALL SELECT 'dense', query_id, id, rank FROM dense UNION ALL SELECT 'hybrid', query_id, id, pos FROM pool),
+        h AS (SELECT query_id FROM (SELECT item_id AS query_id, row_number() OVER (ORDER BY item_id) AS n FROM (SELECT DISTINCT item_id FROM benchmark)) WHERE n % 2 = 0 AND query_id IN (SELECT query_id FROM rel)), f AS (SELECT arm, query_id, min(rank) AS first FROM k JOIN rel USING (query_id, id) GROUP BY 1, 2)
+        SELECT arm, count(*) AS n, round(avg(coalesce(first <= 5, false)::INT), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM (SELECT arm, query_id FROM (SELECT DISTINCT arm FROM k), h) LEFT JOIN f USING (arm, query_id) GROUP BY 1""",
     "task_deltas": """WITH r AS (SELECT user_id AS task, event_id % 2 = 0 OR user_id % 11 = 3 AS off, (event_id % 5 < 2)::INT AS p FROM events), a AS (SELECT task, avg(p) FILTER (off) AS o, avg(p) FILTER (NOT off) AS n FROM r GROUP BY 1)
         SELECT task, round(o, 6) AS off, round(n, 6) AS "on", round(n - o, 6) AS delta, CASE WHEN n > o THEN 'improved' WHEN n < o THEN 'worsened' ELSE 'same' END AS change FROM a WHERE o IS NOT NULL AND n IS NOT NULL""",
     "admitted_sessions": """WITH s AS (SELECT event_id, event_id // 4 AS task, CASE WHEN event_id % 2 = 0 OR event_id // 4 % 7 = 2 THEN 'off' ELSE 'on' END AS arm, event_id % 13 <> 5 AS ok FROM events) SELECT event_id, task, arm FROM s WHERE task IN (SELECT task FROM s GROUP BY 1 HAVING count(DISTINCT arm) = 2 AND bool_and(ok))""",
