@@ -105,3 +105,20 @@ def test_abstention_gives_the_reason_of_the_best_hit(spark):
 
 def test_empty_hits(spark):
     assert judged(spark, []).count() == 0
+
+
+def test_bound_hits_need_generation_model_and_calibration(spark):
+    from tidemark.operators import search
+
+    hits = [(q, q, "ok" if n else "superseded", n + 1, 2 - n) for q in range(5) for n in range(2)]
+    bindings = [(0, "g", "m", 64, "certified"), (1, "g", "m", 32, "certified"), (2, "g", "m", 64, "stale"), (3, "g", "m", 64, None)]
+    df = spark.createDataFrame(hits, "query_id long, tenant_id long, verdict string, pos long, final_pos long")
+    bound = spark.createDataFrame(bindings, "tenant_id long, generation_id string, embedder_model string, embedder_dimension int, status string")
+    got = {(r.query_id, r.pos): (r.verdict, r.final_pos, r.failure_code, r.trust_state) for r in search.bound(df, bound, "m", 64).collect()}
+    assert got[0, 1] == ("superseded", 2, None, "trusted") and got[0, 2] == ("ok", 1, None, "trusted")
+    codes = {1: "LINEAGE_MISMATCH", 2: "CALIBRATION_STALE", 3: "CALIBRATION_MISSING", 4: "INDEX_NOT_READY"}
+    assert all(got[q, p] == ("unverified", p, code, "degraded") for q, code in codes.items() for p in (1, 2))
+    assert {r.query_id for r in search.bound(df, bound, "m", 64, strict=True).collect()} == {0}
+    pool = spark.createDataFrame([(1, i, i) for i in range(1, 6)], "query_id long, id long, pos long")
+    scores = spark.createDataFrame([(1, 2, 0.5), (1, 4, 0.9), (1, 5, 0.5), (2, 1, 1.0)], "query_id long, id long, rerank double")
+    assert [r.id for r in search.rerank(pool, scores).orderBy("pos").collect()] == [4, 2, 5, 1, 3]

@@ -199,3 +199,29 @@ def adaptive_depth(pool: DataFrame, queries: DataFrame, base: int, expanded: int
 
 def trusted_confidence(score: Column, threshold: float, scale: float) -> Column:
     return F.round(confidence(score, F.lit(threshold), F.lit(scale)), 6)
+
+
+def bound(evaluated: DataFrame, bindings: DataFrame, model: str, dimension: int, strict: bool = False) -> DataFrame:
+    """``evaluated`` hits (query_id, tenant_id, verdict, pos, final_pos, ...) as far as their tenant's state lets verdicts
+    stand, with failure_code and trust_state.
+
+    ``bindings`` is (tenant_id, generation_id, embedder_model, embedder_dimension, status), a row a tenant at most. A
+    verdict needs a generation, made by the ``model`` and ``dimension`` that queries are embedded with, and a certified
+    calibration of it. Without these a strict search has no hits; another gives them in the pool's order, unverified.
+    """
+    other = (F.col("embedder_model") != model) | (F.col("embedder_dimension") != dimension)
+    joined = evaluated.join(bindings, "tenant_id", "left")
+    code = failure_code(F.coalesce("status", F.lit("missing")), F.coalesce(other, F.lit(False)), F.col("generation_id"))
+    judged = joined.withColumn("failure_code", code).withColumn("trust_state", F.when(code.isNull(), "trusted").otherwise("degraded"))
+    if strict:
+        return judged.where("failure_code is null")
+    held = F.col("failure_code").isNull()
+    return judged.withColumn("verdict", F.when(held, F.col("verdict")).otherwise("unverified")).withColumn("final_pos", F.when(held, F.col("final_pos")).otherwise(F.col("pos")))
+
+
+def rerank(pool: DataFrame, scores: DataFrame) -> DataFrame:
+    """``pool`` (query_id, id, pos, ...) in the order of a reranker's ``scores`` (query_id, id, rerank); hits that it
+    didn't score stay behind those it did, in the order they had. What hits score otherwise doesn't change."""
+    joined = pool.join(scores.select("query_id", "id", "rerank"), ["query_id", "id"], "left")
+    order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank"), "pos")  # a pool is bounded by its size
+    return joined.withColumn("_pos", F.row_number().over(order).cast("long")).drop("pos", "rerank").withColumnRenamed("_pos", "pos")

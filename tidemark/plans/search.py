@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import retrieval, search, trust
+from tidemark.plans.governance import BUILT, calibration_statuses
+from tidemark.plans.governance import ORACLES as GOVERNED
+from tidemark.plans.lifecycle import _sql
 from tidemark.plans.retrieval import LEX, TEXT, TOKENS, _asked, _docs, _legs, _vector_queries, _vectors, text_index
 from tidemark.plans.trust import _evaluated, _verdict_sql, EDGES
 from tidemark.sources import tables
@@ -130,6 +133,28 @@ def adaptive_depths(spark, sf):
     return parts[0].unionByName(parts[1]).select("query_id", "feature", F.round("value", 6).alias("value"), "depth")
 
 
+#: The model that queries are embedded with; generations of pipeline 2 were made by another.
+MODEL, DIMENSION = "hashing-64", 64
+
+
+def bound_verdicts(spark, sf):
+    """Verdicts of every hit as far as its tenant's newest generation has a certified calibration and the same model."""
+    rows = calibration_statuses(spark, sf)
+    newest = _sql(spark, sf, BUILT).groupBy("tenant_id").agg(F.max("generation_id").alias("generation_id"), F.max_by("pipeline", "generation_id").alias("pipeline"))
+    model = F.when(F.col("pipeline") == 2, "other-64").otherwise(MODEL)
+    bindings = newest.join(rows, ["tenant_id", "generation_id"], "left").select("tenant_id", "generation_id", model.alias("embedder_model"), F.lit(DIMENSION).alias("embedder_dimension"), "status")
+    judged = _evaluated(spark, sf).withColumn("tenant_id", F.col("query_id") % 220)
+    return search.bound(judged, bindings, MODEL, DIMENSION).select("query_id", "file", "verdict", "final_pos", "trust_state", "failure_code")
+
+
+def reranked_pool(spark, sf):
+    """The fused pool in the order of shared query words; every fourth hit is left as it was, behind."""
+    pool, _, _ = _pool(spark, sf)
+    docs, asked = _docs(spark, sf), _asked(spark, sf)
+    scores = retrieval.rerank_by_overlap(pool.where("pos % 4 <> 0").withColumn("score", F.lit(0.0)).withColumn("rank", F.col("pos")), docs, asked)
+    return search.rerank(pool, scores.withColumnRenamed("overlap", "rerank")).select("query_id", "id", "pos")
+
+
 SLOTS = {"first": (["the", "of"], 1), "second": (["and", "in"], 1)}
 
 
@@ -156,7 +181,7 @@ def near_copies_collapsed(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     hybrid_search, relational_queries, document_expansion, trusted_search, trusted_evidence, promoted_orders, entailed_hits, servable_hits, merged_rounds, marked_texts,
-    safe_references, refusal_codes, adaptive_depths, slot_evidence, beam_evidence, near_copies_collapsed,
+    safe_references, refusal_codes, adaptive_depths, slot_evidence, beam_evidence, near_copies_collapsed, bound_verdicts, reranked_pool,
 )}
 
 RELATIONAL = T.RELATIONAL_QUERY.replace("'", "''")
@@ -192,6 +217,13 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY verdict
 MEMO = _verdict_sql(EDGES, None) + ", placed_final AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY verdict <> 'ok', pos) AS final_pos FROM final f)"
 ORACLES = {
     "hybrid_search": f"WITH {POOL} SELECT p.query_id, p.id, p.pos, round(coalesce(c.score, 0), 6) AS score FROM pool p LEFT JOIN cosines c USING (query_id, id)",
+    "bound_verdicts": f"""{MEMO}, st AS ({GOVERNED['calibration_statuses']}), b AS (SELECT tenant_id, max(generation_id) AS generation_id, arg_max(pipeline, generation_id) AS p FROM ({BUILT.format(orders='orders')}) GROUP BY 1),
+        j AS (SELECT f.*, CASE WHEN b.generation_id IS NULL THEN 'INDEX_NOT_READY' WHEN p = 2 THEN 'LINEAGE_MISMATCH' WHEN coalesce(status, 'missing') <> 'certified' THEN 'CALIBRATION_' || upper(coalesce(status, 'missing')) END AS failure_code
+          FROM placed_final f LEFT JOIN b ON b.tenant_id = f.query_id % 220 LEFT JOIN st ON st.tenant_id = b.tenant_id AND st.generation_id = b.generation_id)
+        SELECT query_id, file, CASE WHEN failure_code IS NULL THEN verdict ELSE 'unverified' END AS verdict, CASE WHEN failure_code IS NULL THEN final_pos ELSE pos END AS final_pos, CASE WHEN failure_code IS NULL THEN 'trusted' ELSE 'degraded' END AS trust_state, failure_code FROM j""",
+    "reranked_pool": f"""WITH {POOL}, a AS (SELECT query_id, list(DISTINCT term) AS asked FROM qterms GROUP BY 1),
+        o AS (SELECT p.query_id, p.id, p.pos, CASE WHEN p.pos % 4 <> 0 THEN round(len(list_intersect(a.asked, list_distinct(d.words)))::DOUBLE / greatest(len(a.asked), 1), 9) END AS ov FROM pool p JOIN docs d USING (id) JOIN a USING (query_id))
+        SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ov DESC NULLS LAST, pos) AS pos FROM o""",
     "relational_queries": f"SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '{RELATIONAL}') AS relational FROM conversations",
     "document_expansion": f"WITH {EXPANDED} SELECT * FROM expanded",
     "trusted_search": f"WITH {TRUSTED} SELECT query_id, id, pos, round(score, 6) AS score, verdict, successor AS superseded_by, round(1 / (1 + exp(-greatest(-60, least(60, (score - {THRESHOLD}::DOUBLE) / {SCALE}::DOUBLE)))), 6) AS confidence, final_pos FROM ordered",
