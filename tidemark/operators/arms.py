@@ -129,6 +129,19 @@ def rings(ranking: DataFrame, gold: DataFrame, widths: list[int]) -> DataFrame:
     return near.unionByName(core)
 
 
+def fractional_rings(cluster: DataFrame, gold: DataFrame, fractions: list[float], seed: str | None = None) -> DataFrame:
+    """(query_id, ring, id): the gold documents and a share of the other ones of a query's ``cluster`` (query_id, id, rank),
+    the first by rank, or by a hash of ``seed`` where it is given. ring is the share in ten-thousandths; a number of
+    documents is rounded to the nearest, halves to even."""
+    named = gold.select("query_id", "id").distinct()
+    by = [F.col("rank")] if seed is None else [F.md5(F.concat_ws("|", F.lit(seed), F.col("query_id").cast("string"), F.col("id").cast("string"))), F.col("id")]
+    others = cluster.join(named, ["query_id", "id"], "left_anti").withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(*by)))
+    sizes = others.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.array(*[F.struct(F.lit(round(f * 10_000)).alias("ring"), F.lit(float(f)).alias("share")) for f in fractions])
+    near = others.join(sizes, "query_id").select("query_id", "id", "nth", "n", F.explode(steps).alias("s")).where(F.col("nth") <= F.bround(F.col("s.share") * F.col("n"))).select("query_id", F.col("s.ring").alias("ring"), "id")
+    return near.unionByName(named.select("query_id", F.explode(steps).alias("s"), "id").select("query_id", F.col("s.ring").alias("ring"), "id"))
+
+
 def ladder_costs(outcomes: DataFrame, by: str, weights: list[float]) -> DataFrame:
     """(by, weight, correct_abstain, cost) of (answerable, abstained): a false answer costs ``weight`` abstentions."""
     cells = outcomes.groupBy(by).agg(

@@ -52,6 +52,14 @@ def ring_sets(spark, sf):
     return arms.rings(leg, leg.where("rank = 1").select("query_id", "id"), [0, 2, 5])
 
 
+def fractional_rings(spark, sf):
+    """Shares of each item's twenty hits that go with its first one: the next ones, or drawn ones."""
+    leg = stored(_legs(spark, sf)[0])
+    gold, shares = leg.where("rank = 1").select("query_id", "id"), [0.0, 0.25, 0.5, 0.75, 1.0]
+    both = {"bm25": arms.fractional_rings(leg, gold, shares), "random": arms.fractional_rings(leg, gold, shares, "ring-1")}
+    return both["bm25"].withColumn("kind", F.lit("bm25")).unionByName(both["random"].withColumn("kind", F.lit("random")))
+
+
 def gold_and_negatives(spark, sf):
     rel = _supported(spark, sf).select("query_id", "id")
     return arms.with_negatives(rel, _docs(spark, sf), 100, "neg-1")
@@ -141,7 +149,7 @@ def predictor_correlations(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    ablation_arms, topologies_differ, added_gold, document_recall, ring_sets, gold_and_negatives, embedding_disagreement, stale_trust, near_miss_arms, near_misses, labelled_arms, task_deltas,
+    ablation_arms, topologies_differ, added_gold, document_recall, ring_sets, fractional_rings, gold_and_negatives, embedding_disagreement, stale_trust, near_miss_arms, near_misses, labelled_arms, task_deltas,
     admitted_sessions, ladder_costs, latency_windows, corpus_census, snapshot_drift, predictor_correlations,
 )}
 
@@ -159,6 +167,9 @@ ORACLES = {k: _o(v) for k, v in {
     "document_recall": f"""WITH {TEXT} {LEX}, {REL}, w AS (SELECT DISTINCT query_id, id // 3 AS file FROM rel), g AS (SELECT DISTINCT query_id, id // 3 AS file FROM bm25 WHERE rank <= 10)
         SELECT w.query_id, count(*) AS n_files, count(g.file) AS found, count(*) = count(g.file) AS exact FROM w LEFT JOIN g ON g.query_id = w.query_id AND g.file = w.file GROUP BY 1""",
     "ring_sets": f"""WITH {TEXT} {LEX}, w AS (SELECT unnest([0, 1, 2])::INT AS ring, unnest([0, 2, 5]) AS width) SELECT query_id, ring, id FROM bm25, w WHERE rank <= width + 1""",
+    "fractional_rings": f"""WITH {TEXT} {LEX}, o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS a, row_number() OVER (PARTITION BY query_id ORDER BY md5('ring-1|' || query_id || '|' || id), id) AS b, count(*) OVER (PARTITION BY query_id) AS n FROM bm25 WHERE rank > 1),
+        f AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS f) SELECT query_id, (f * 10000)::INT AS ring, id, 'bm25' AS kind FROM o, f WHERE a <= round_even(f * n, 0) UNION ALL SELECT query_id, (f * 10000)::INT, id, 'random' FROM o, f WHERE b <= round_even(f * n, 0)
+        UNION ALL SELECT query_id, (f * 10000)::INT, id, k FROM bm25, f, (SELECT unnest(['bm25', 'random']) AS k) WHERE rank = 1""",
     "gold_and_negatives": f"""WITH {TEXT} {LEX}, {REL}, g AS (SELECT DISTINCT id FROM rel) SELECT id, true AS gold FROM g UNION ALL SELECT id, false FROM (SELECT id FROM docs WHERE id NOT IN (FROM g) ORDER BY md5('neg-1|' || id), id LIMIT 100)""",
     "embedding_disagreement": f"WITH {HALVES} SELECT query_id, bool_and(x = y) AS same_order, count(*) FILTER ((x > 10) <> (y > 10)) AS n_other FROM r WHERE x <= 10 OR y <= 10 GROUP BY 1",
     "stale_trust": _verdict_sql(EDGES, None) + f"""SELECT count(*) AS n, round(avg(plain::INT), 6) AS plain, round(avg(coalesce(newest, plain)::INT), 6) AS recency, round(avg(trusted::INT), 6) AS trusted, round(avg(covered::INT), 6) AS coverage FROM (
