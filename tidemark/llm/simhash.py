@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import key_filter, marked, ready_workers, split_join, stored, without
+from tidemark.llm.common import key_filter, marked, maybe_in, ready_workers, split_join, stored, without
 from tidemark.llm.components import connected_components
 from tidemark.llm.passages import dealt, verified_pairs
 
@@ -289,6 +289,21 @@ def short_pairs(sketched: DataFrame) -> DataFrame:
     return met.where("id <> rep").select(F.least("rep", "id").alias("rep"), F.greatest("rep", "id").alias("id")).distinct()
 
 
+def lone_texts(texts: DataFrame, ids: DataFrame, hashes, similarity: float) -> DataFrame:
+    """(id) of the ``ids`` (id) whose text (id, text) can't be similar to any other of them: more of its shingles than
+    similarity leaves room for occur in no other text. Only counts of shingles are shuffled, not pairs."""
+
+    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [hashes(t) for t in b.text]
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64), "id": np.repeat(b.id.to_numpy(), [len(x) for x in sets])})
+
+    some = stored(maybe_in(texts, "id", key_filter(ids, "id")).join(ids, "id", "left_semi").mapInPandas(exploded, "h long, id long"))
+    alone = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = some.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return alone.join(sizes, "id").where(F.col("alone") > (1 - similarity) * F.col("n") + 1e-9).select("id")
+
+
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Similarity of two sorted sets of hashes; two empty sets are alike."""
     if not len(x) and not len(y):
@@ -301,6 +316,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """(doc_id, component_id) of the documents that have a near copy: shingle sets of that similarity or more.
 
     component_id is the smallest doc_id of the group. Identifiers must be unique; rows without one are left out.
+    Before pairs are compared, texts that have too many shingles of their own among all candidates are dropped, which
+    loses no pair: large groups of copies hold many that were edited too much to be like any other.
     Texts without a word are not compared with anything. Members of a point are matched with its least id first; in
     the rounds after that those of points with more than one component go on with the next least ids, so in the end
     every two members of a point have been compared or are in one component.
@@ -348,6 +365,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     rows, lo, hi = labelled(rows), 0, 1
     while True:
         found = stored(segment_pairs(rows, head_bits, lo, hi, similarity=similarity))
+        # Whoever can meet in this round or a later one is here; texts that can't be like any of these go first.
+        here = stored(found.select("id").union(found.where("not more").select("rep")).distinct())
+        lone = stored(lone_texts(some, here, prepare, similarity))
+        found = found.join(lone, "id", "left_anti").join(lone.withColumnRenamed("id", "rep"), "rep", "left_anti")
         met = stored(found.where("not more").select("rep", "id").distinct().join(compared, ["rep", "id"], "left_anti"))
         if not met.isEmpty():
             compared, links = compared.union(met), links.union(verified(met))
