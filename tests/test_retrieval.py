@@ -180,3 +180,25 @@ def test_index_is_written_again_after_clear(spark):
     first = plans.bm25_topk(spark, sf).collect()
     shared.clear(spark)
     assert plans.bm25_topk(spark, sf).collect() == first
+
+
+def test_products_of_queries_and_vectors_are_held_in_tiles():
+    from types import SimpleNamespace
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    rows, queries = rng.normal(size=(10_000, 16)), rng.normal(size=(2048, 16))
+    batch = pd.DataFrame({"id": np.arange(len(rows)), "vector": list(rows)})
+    unit = queries / np.linalg.norm(queries, axis=1)[:, None]
+    score = retrieval._block_scores(SimpleNamespace(value=[(np.arange(len(queries)), unit)]), 5)
+    tracemalloc.start()
+    found = pd.concat(score(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # all products at once are 164 MB, and were held three times
+    for q in (0, 1000, 2047):
+        exact = np.round(unit[q] @ (rows / np.linalg.norm(rows, axis=1)[:, None]).T, retrieval.ROUND)
+        got = found[found.query_id == q].sort_values("score", ascending=False)
+        assert got.id.tolist()[:5] == np.argsort(-exact, kind="stable")[:5].tolist()

@@ -24,6 +24,8 @@ from tidemark.sources.shared import stored
 ROUND = 9
 #: Query vectors in a block and blocks in one pass over the corpus; terms of queries up to which they are broadcast.
 BLOCK, PASS_BLOCKS, BROADCAST_TERMS = 2048, 8, 200_000
+#: Products of a block of queries and a batch of vectors that a task holds at once.
+TILE = 1 << 20
 #: Bytes up to which the smaller side of a join is broadcast.
 BROADCAST_BYTES = 1 << 26
 RRF_K, CANDIDATES, RETURNED = 60, 20, 5
@@ -59,6 +61,26 @@ def _unit_rows(vectors: list) -> np.ndarray:
         return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
+def tiles(n: int, width: int) -> Iterator[slice]:
+    """Slices of n rows, each of which makes TILE products with ``width`` others at most."""
+    step = max(1, TILE // max(1, width))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def best_products(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of rows, and rounded products, of all that can be among a query's k best; ties are kept."""
+    parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    for some in tiles(len(queries), len(rows)):
+        found = queries[some] @ rows.T
+        np.round(found, ROUND, out=found)
+        found[np.isnan(found)] = -np.inf
+        bar = np.partition(found, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(found), -np.inf)
+        q, at = np.nonzero((found >= bar[:, None]) & np.isfinite(found))
+        parts.append((some.start + q, at, found[q, at]))
+    q, at, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return q, at, found
+
+
 def _block_scores(sent, k: int):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -67,12 +89,8 @@ def _block_scores(sent, k: int):
                 continue
             rows = _unit_rows(b.vector.tolist())
             for ids, queries in sent.value:
-                found = np.round(queries @ rows.T, ROUND)
-                found[np.isnan(found)] = -np.inf
-                # What is under the k-th best of this batch can't be among the k best of all; ties are kept.
-                bar = np.partition(found, -k, axis=1)[:, -k] if len(b) > k else np.full(len(ids), -np.inf)
-                q, at = np.nonzero((found >= bar[:, None]) & np.isfinite(found))
-                yield pd.DataFrame({"query_id": ids[q], "id": b.id.to_numpy()[at], "score": found[q, at]})
+                q, at, found = best_products(queries, rows, k)  # what isn't among a batch's k best isn't among all
+                yield pd.DataFrame({"query_id": ids[q], "id": b.id.to_numpy()[at], "score": found})
 
     return score
 
@@ -91,11 +109,13 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> Da
     Zero and null vectors are never found. Each task multiplies a batch with blocks of query vectors and passes on
     its k best, so what is shuffled is k rows a query and batch. The corpus is read once for each pass of queries.
     """
-    schema, best = "query_id long, id long, score double", None
+    schema, parts = "query_id long, id long, score double", []
     for sent in _query_passes(queries, _unit_rows):
         part = top_k(corpus.select("id", "vector").mapInPandas(_block_scores(sent, k), schema), k)
-        best = part if best is None else stored(best).unionByName(stored(part))
-    return corpus.sparkSession.createDataFrame([], schema + ", rank long") if best is None else best
+        if len(parts) == 1:
+            parts[0] = stored(parts[0])
+        parts.append(stored(part) if parts else part)
+    return reduce(DataFrame.unionByName, parts) if parts else corpus.sparkSession.createDataFrame([], schema + ", rank long")
 
 
 def max_sim_by_group(corpus: DataFrame, queries: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.retrieval import ROUND, _unit_rows, top_k
+from tidemark.operators.retrieval import _unit_rows, best_products, tiles, top_k
 from tidemark.sources.shared import stored
 
 #: Cells at most; bytes of the sample that centroids are fitted on, vectors of it for each cell, rounds of the fit.
@@ -72,6 +72,11 @@ def _found(vectors: pd.Series) -> np.ndarray:
     return np.array([v is not None and bool(np.any(np.asarray(v, dtype=float))) for v in vectors], dtype=bool)
 
 
+def _cut(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[pd.DataFrame]:
+    """Batches so small that their products with the centroids are a tile."""
+    return (b.iloc[some] for b in batches for some in tiles(len(b), cells))
+
+
 def write_vector_index(corpus: DataFrame, folder: str, cells: int | None = None) -> None:
     """Index ``corpus`` (id, vector). About sqrt(n) cells, MOST_CELLS at most; the sample is taken by a hash of the id."""
     spark = corpus.sparkSession
@@ -88,7 +93,7 @@ def write_vector_index(corpus: DataFrame, folder: str, cells: int | None = None)
     sent = spark.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _cut(batches, len(sent.value)):
             b = b[_found(b.vector)]
             if len(b):
                 near = _unit_rows(b.vector.tolist()) @ sent.value.T
@@ -122,7 +127,7 @@ def nearest_cells(index: VectorIndex, queries: DataFrame, probes: int) -> DataFr
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids, splits = sent.value
-        for b in batches:
+        for b in _cut(batches, len(centroids)):
             b = b[_found(b.vector)]
             if len(b) and len(centroids):
                 near = np.where(splits > 0, _unit_rows(b.vector.tolist()) @ centroids.T, -np.inf)
@@ -139,7 +144,7 @@ def further_cells(index: VectorIndex, queries: DataFrame, found: DataFrame, aske
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids, angles, splits = sent.value
-        for b in batches:
+        for b in _cut(batches, len(centroids)):
             b = b[_found(b.vector)]
             if len(b) and len(centroids):
                 between = np.arccos(np.clip(_unit_rows(b.vector.tolist()) @ centroids.T, -1, 1))
@@ -166,10 +171,8 @@ def _in_cells(index: VectorIndex, routed: DataFrame, k: int) -> DataFrame:
     def compare(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-        scores = np.round(_unit_rows(queries.vector.tolist()) @ _unit_rows(rows.vector.tolist()).T, ROUND)
-        bar = np.partition(scores, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(queries), -np.inf)
-        q, at = np.nonzero(scores >= bar[:, None])
-        return pd.DataFrame({"query_id": queries.query_id.to_numpy()[q], "id": rows.id.to_numpy()[at], "score": scores[q, at]})
+        q, at, scores = best_products(_unit_rows(queries.vector.tolist()), _unit_rows(rows.vector.tolist()), k)
+        return pd.DataFrame({"query_id": queries.query_id.to_numpy()[q], "id": rows.id.to_numpy()[at], "score": scores})
 
     key = ["cell", "split", "part"]
     return top_k(held.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(compare, "query_id long, id long, score double"), k)
