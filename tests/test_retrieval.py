@@ -202,3 +202,26 @@ def test_products_of_queries_and_vectors_are_held_in_tiles():
         exact = np.round(unit[q] @ (rows / np.linalg.norm(rows, axis=1)[:, None]).T, retrieval.ROUND)
         got = found[found.query_id == q].sort_values("score", ascending=False)
         assert got.id.tolist()[:5] == np.argsort(-exact, kind="stable")[:5].tolist()
+
+
+def test_a_shard_holds_a_word_once():
+    import tracemalloc
+
+    words = [f"word{i:03d}" for i in range(400)]
+    tracemalloc.start()
+    shard = text_index._Shard()
+    for i in range(1500):
+        shard.add(i, " ".join(words[i % 7 :]), ["3.5"])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 12 << 20  # the words themselves are 600,000 objects, 28 MB and more
+    lists = {r["term"]: r for part in shard.lists(9, rows_at_once=50) for r in part.to_pylist()}
+    assert len(lists) == 401 and lists["#3.5"]["ids"] == list(range(1500)) and lists["word399"]["df"] == 1500
+    assert lists["word000"]["ids"] == list(range(0, 1500, 7)) and lists["word000"]["shard"] == 9 and lists["word000"]["lens"][0] == 400
+
+
+def test_a_search_has_tasks_for_the_shards(spark, index):
+    many = text_index.TextIndex(index.lists, index.dictionary, spark.createDataFrame([(40 * text_index.SHARD_DOCS, 3.0)], "n_docs long, avgdl double"))
+    asked = spark.createDataFrame([(1, "cache", 1.0)], "query_id long, term string, weight double")
+    found = text_index.search(many, asked, 5, lambda tf, length: tf)
+    assert found.rdd.getNumPartitions() == 40 and {r.id for r in found.collect()} == {1, 2}

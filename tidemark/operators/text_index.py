@@ -9,13 +9,14 @@ passes on its best documents for each query only.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,55 +41,69 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
 
 
-def _shard(shard: int, docs: list[tuple], rows_at_once: int = 8192) -> Iterator[pd.DataFrame]:
-    docs = sorted(docs, key=lambda d: d[0])
-    names, tfs, distinct, lens = [], [], [], []
-    for _, words, numbers in docs:
-        found = Counter(words)
-        names += found.keys()
-        tfs += found.values()
-        names += (b"#" + x.encode() for x in numbers)
-        tfs += [1] * len(numbers)
-        distinct.append(len(found) + len(numbers))
-        lens.append(len(words))
-    if not names:
-        return
-    codes, terms = pd.factorize(np.array(names, dtype=object))
-    doc = np.repeat(np.arange(len(docs)), distinct)
-    order = np.argsort(codes, kind="stable")
-    doc, tf = doc[order].astype(np.int32), np.array(tfs, dtype=np.int32)[order]
-    ids, size = np.array([d[0] for d in docs])[doc], np.array(lens, dtype=np.int32)[doc]
-    start = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(terms)))])
-    ends = even_blocks(doc, start[:-1])
-    first = np.r_[0, ends[:-1] + 1]
-    tops, lows = np.maximum.reduceat(tf, first), np.minimum.reduceat(size, first)
-    cut = np.searchsorted(ends, start)
-    for at in range(0, len(terms), rows_at_once):
-        rows = []
-        for t in range(at, min(at + rows_at_once, len(terms))):
-            a, b, c, d = start[t], start[t + 1], cut[t], cut[t + 1]
-            rows.append((terms[t].decode(), shard, len(docs), int(b - a), doc[a:b], ids[a:b], size[a:b], tf[a:b], (ends[c:d] - a).astype(np.int32), tops[c:d], lows[c:d]))
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+class _Shard:
+    """Documents of a shard as codes of their terms: a term is held once, whatever holds it."""
+
+    def __init__(self):
+        self.codes: defaultdict = defaultdict()
+        self.codes.default_factory = self.codes.__len__
+        self.docs, self.chars = [], 0
+
+    def add(self, i: int, text: str | None, numbers: list[str] | None) -> None:
+        words, code = _words(text), self.codes.__getitem__
+        found, tfs = np.unique(np.fromiter(map(code, words), dtype=np.int32, count=len(words)), return_counts=True)
+        more = np.fromiter((code(b"#" + x.encode()) for x in numbers or ()), dtype=np.int32)
+        self.docs.append((i, len(words), np.r_[found, more], np.r_[tfs, np.ones(len(more), dtype=np.int64)].astype(np.int32)))
+        self.chars += len(text or "")
+
+    def full(self, text: str | None) -> bool:
+        return bool(self.docs) and (len(self.docs) >= SHARD_DOCS or self.chars + len(text or "") > SHARD_CHARS)
+
+    def lists(self, shard: int, rows_at_once: int = 8192) -> Iterator[pa.RecordBatch]:
+        """A row a term, its lists cut out of whole columns."""
+        if not self.codes:
+            return
+        docs = sorted(self.docs, key=lambda d: d[0])
+        codes = np.concatenate([d[2] for d in docs])
+        doc = np.repeat(np.arange(len(docs)), [len(d[2]) for d in docs])
+        order = np.argsort(codes, kind="stable")
+        doc, tf = doc[order].astype(np.int32), np.concatenate([d[3] for d in docs])[order]
+        ids, size = np.array([d[0] for d in docs], dtype=np.int64)[doc], np.array([d[1] for d in docs], dtype=np.int32)[doc]
+        start = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.codes)))])
+        ends = even_blocks(doc, start[:-1])
+        first = np.r_[0, ends[:-1] + 1]
+        tops, lows = np.maximum.reduceat(tf, first), np.minimum.reduceat(size, first)
+        cut = np.searchsorted(ends, start)
+        inside = (ends - np.repeat(start[:-1], np.diff(cut))).astype(np.int32)
+        terms = list(self.codes)
+        for at in range(0, len(terms), rows_at_once):
+            to = min(at + rows_at_once, len(terms))
+
+            def listed(values: np.ndarray, of: np.ndarray, at=at, to=to) -> pa.ListArray:
+                return pa.ListArray.from_arrays(pa.array((of[at : to + 1] - of[at]).astype(np.int32)), pa.array(values[of[at] : of[to]]))
+
+            n = to - at
+            rows = [pa.array([t.decode() for t in terms[at:to]], pa.string()), pa.array(np.full(n, shard)), pa.array(np.full(n, len(docs), dtype=np.int32)), pa.array(np.diff(start[at : to + 1]).astype(np.int32))]
+            rows += [listed(x, start) for x in (doc, ids, size, tf)] + [listed(x, cut) for x in (inside, tops, lows)]
+            yield pa.RecordBatch.from_arrays(rows, names=_COLUMNS)
 
 
 def write_index(docs: DataFrame, folder: str) -> None:
     """Index ``docs`` (id, text), in one pass over the texts. Rows without an id count in the figures and aren't found.
     Numbers of a text are terms with a ``#`` in front, which no word has."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, held, chars = TaskContext.get().partitionId() << 32, [], 0
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = TaskContext.get().partitionId() << 32, _Shard()
         for b in batches:
-            for i, text, numbers in zip(b.id.tolist(), b.text.tolist(), b.numbers.tolist(), strict=True):
-                if held and (len(held) >= SHARD_DOCS or chars + len(text or "") > SHARD_CHARS):
-                    yield from _shard(shard, held)
-                    shard, held, chars = shard + 1, [], 0
-                held.append((i, _words(text), [] if numbers is None else list(numbers)))
-                chars += len(text or "")
-        if held:
-            yield from _shard(shard, held)
+            for i, text, numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held.full(text):
+                    yield from held.lists(shard)
+                    shard, held = shard + 1, _Shard()
+                held.add(i, text, numbers)
+        yield from held.lists(shard)
 
     keyed = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), "text", numeric_terms(F.col("text")).alias("numbers"))
-    keyed.mapInPandas(build, _LISTS).sortWithinPartitions("term", "shard").write.parquet(f"{folder}/lists")
+    keyed.mapInArrow(build, _LISTS).sortWithinPartitions("term", "shard").write.parquet(f"{folder}/lists")
     lists = docs.sparkSession.read.parquet(f"{folder}/lists")
     lists.groupBy("term").agg(F.sum("df").alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/dictionary")
     lengths = lists.where("term not like '#%'").select(F.explode("tfs").alias("tf")).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
@@ -143,6 +158,8 @@ def search(index: TextIndex, asked: DataFrame, k: int, value: Callable) -> DataF
     """
     spark, best = asked.sparkSession, None
     asked = stored(asked.where("query_id is not null"))
+    # A task a shard, about: with a stated number small shards are not put together into a few long tasks.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-index.stats.first()["n_docs"] // SHARD_DOCS))
     for rows in _passes(asked):
         by_term = defaultdict(list)
         for r in rows:
@@ -185,6 +202,6 @@ def search(index: TextIndex, asked: DataFrame, k: int, value: Callable) -> DataF
 
         names = sorted(by_term)
         lists = index.lists.where(F.col("term").isin(names)) if len(names) <= NAMED_TERMS else index.lists.join(F.broadcast(spark.createDataFrame([(t,) for t in names], "term string")), "term", "left_semi")
-        part = lists.drop("df").repartition("shard").sortWithinPartitions("shard").mapInPandas(best_of, "query_id long, id long, score double")
+        part = lists.drop("df").repartition(tasks, "shard").sortWithinPartitions("shard").mapInPandas(best_of, "query_id long, id long, score double")
         best = part if best is None else stored(best).unionByName(stored(part))
     return spark.createDataFrame([], "query_id long, id long, score double") if best is None else best
