@@ -225,3 +225,12 @@ def test_a_search_has_tasks_for_the_shards(spark, index):
     asked = spark.createDataFrame([(1, "cache", 1.0)], "query_id long, term string, weight double")
     found = text_index.search(many, asked, 5, lambda tf, length: tf)
     assert found.rdd.getNumPartitions() == 40 and {r.id for r in found.collect()} == {1, 2}
+
+
+def test_vocabulary_overlap_reads_no_postings(spark, monkeypatch, tmp_path):
+    from tidemark.plans import evaluation
+
+    spark.createDataFrame([(1, "a word and 7"), (2, "none")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    known = spark.createDataFrame([("word", 3), ("7", 1), ("#none", 1)], "term string, df long")
+    monkeypatch.setattr(evaluation, "text_index", lambda *_: text_index.TextIndex(None, known, None))
+    assert sorted(map(tuple, evaluation.vocabulary_overlap(spark, str(tmp_path)).collect())) == [(1, 4, 2), (2, 1, 0)]

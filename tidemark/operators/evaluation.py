@@ -92,7 +92,8 @@ def token_f1(pairs: DataFrame) -> DataFrame:
 
 
 def vocabulary_overlap(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, n_terms, known): distinct words of a query and those that occur anywhere in the corpus."""
+    """(query_id, n_terms, known): distinct words of a query and those that occur anywhere in the corpus. ``postings``
+    is any table with the corpus's words (term); a dictionary is enough."""
     terms = query_words(queries)
     seen = postings.select("term").join(small(terms.select("term").distinct()), "term", "left_semi").distinct().withColumn("_in", F.lit(1))
     return terms.join(seen, "term", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"), F.count("_in").alias("known"))
