@@ -234,3 +234,12 @@ def test_vocabulary_overlap_reads_no_postings(spark, monkeypatch, tmp_path):
     known = spark.createDataFrame([("word", 3), ("7", 1), ("#none", 1)], "term string, df long")
     monkeypatch.setattr(evaluation, "text_index", lambda *_: text_index.TextIndex(None, known, None))
     assert sorted(map(tuple, evaluation.vocabulary_overlap(spark, str(tmp_path)).collect())) == [(1, 4, 2), (2, 1, 0)]
+
+
+def test_sparse_vectors_are_dealt_to_tasks_of_bounded_size(spark, index, monkeypatch):
+    from tidemark.plans import retrieval as plans
+
+    many = text_index.TextIndex(index.lists, index.dictionary, spark.createDataFrame([(40 * text_index.SHARD_DOCS, 3.0)], "n_docs long, avgdl double"))
+    monkeypatch.setattr(plans, "text_index", lambda *_: many)
+    found = plans.sparse_sidecar(spark, "")
+    assert found.rdd.getNumPartitions() == 40 and {(r.id, r.term) for r in found.collect()} >= {(1, "cache"), (6, "limit")}

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import evaluation, retrieval, vector_index
+from tidemark.operators.text_index import SHARD_DOCS
 from tidemark.sources import tables
 from tidemark.sources.shared import named
 
@@ -194,15 +195,21 @@ def _sidecar(rows, key="id"):
     return weighed.withColumn("_n", F.row_number().over(order)).where("_n <= 200").drop("_n")
 
 
+def _dealt_terms(spark, sf):
+    """Postings of documents dealt by id, so that a task has about SHARD_DOCS documents however many there are."""
+    index = text_index(spark, sf)
+    return index.terms.repartition(max(spark.sparkContext.defaultParallelism, -(-index.stats.first()["n_docs"] // SHARD_DOCS)), "id")
+
+
 def sparse_sidecar(spark, sf):
     """The sparse sidecar of documents: (id, term, weight); a text without a term has no row."""
-    return _sidecar(text_index(spark, sf).terms)
+    return _sidecar(_dealt_terms(spark, sf))
 
 
 def learned_sparse_topk(spark, sf):
     """Weights are ln(1 + tf), each document pruned to its 200 heaviest terms."""
     asked = retrieval.postings(_asked(spark, sf).withColumnRenamed("query_id", "id")).select(F.col("id").alias("query_id"), "term", F.round(F.ln(1.0 + F.col("tf")), 9).alias("weight"))
-    return retrieval.sparse_topk(_sidecar(text_index(spark, sf).terms), asked, 10).select("query_id", "id", "score", "rank")
+    return retrieval.sparse_topk(_sidecar(_dealt_terms(spark, sf)), asked, 10).select("query_id", "id", "score", "rank")
 
 
 SPARSE = f"""
