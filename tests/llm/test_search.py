@@ -181,6 +181,31 @@ def test_near_duplicates_go_on_after_the_least_id_fails(spark):
     assert got == {i * 10 + k: i * 10 + 8 for i in range(30) for k in (8, 9)}
 
 
+def test_near_misses_of_one_text_are_not_all_paired(spark, monkeypatch):
+    """Copies edited too much to be like one another: their counts of shared shingles tell, without a pair each."""
+    rng = random.Random(77)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for at in rng.sample(range(5, 290, 10), 8):  # 40 of 296 shingles are its own: similarity 0.79 at most
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    like = rows[7][1].split()
+    like[2] = "edited"
+    rows.append((100, " ".join(like)))
+    made = []
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return passages.verified_pairs(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified_pairs", counted)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(7, 7), (100, 7)}
+    assert sum(made) < 200  # of 1830
+
+
 def test_rounds_of_bucket_pairs_end_with_all_pairs(monkeypatch):
     monkeypatch.setattr(simhash, "POINTS", 64)
     ids, values = np.arange(30, dtype=np.int64), np.full(30, 7, dtype=np.uint64)

@@ -145,6 +145,8 @@ HOT_ROWS = 4096
 GROUP_ROWS, POINTS = 1 << 17, 1 << 23
 #: So many times as many members of a point are representatives when a round ends as when it begins.
 RANKS = 8
+#: Parts of the shingles' hashes in which shared ones are counted.
+PARTS = 32
 #: Rows packed for ``segment_pairs`` at once.
 PACK = 1 << 14
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(SEGMENTS * SEGMENT_BITS // 64)], dtype=np.uint64)
@@ -174,16 +176,18 @@ def wide_bits(hashes: np.ndarray) -> bytes:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks: np.ndarray, sizes: np.ndarray, head: int, head_bits: int, lo: int, hi: int, similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks: np.ndarray, sizes: np.ndarray, head: int, head_bits: int, lo: int, hi: int, similarity: float = 0.8, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (rep, id) of one group, and the ids of buckets that have pairs left.
 
     Each value enumerates its ball of radius 1 as far as the points begin with the head_bits of ``head``. The
     members of a point, ordered by id, with a rank from lo to hi are matched with all later members of another label.
     Pairs that differ in over CHECK_DISTANCE of their ``checks``, bits of the next segments, are left out, and those
-    whose ``sizes`` alone keep them under the similarity.
+    whose ``sizes`` alone keep them under the similarity, or whose ``held`` do: counts of shingles by parts of their
+    hashes, of which a pair shares the lesser of each at most. With lo = hi = 0 only buckets of several labels are told.
     """
     order = np.argsort(ids, kind="stable")
-    ids, values, labels, checks, sizes = ids[order], values[order], labels[order], checks[order], sizes[order]
+    held = (sizes[:, None] if held is None else held)[order]
+    ids, values, labels, checks, sizes = ids[order], values[order], labels[order], checks[order], sizes[order].astype(np.int64)
     tail, n = SEGMENT_BITS - head_bits, len(ids)
     low, row = values & np.uint64((1 << tail) - 1), np.arange(n, dtype=np.uint64)
     own = (values >> np.uint64(tail)) == head
@@ -216,7 +220,9 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks
             other = (labels[a] != labels[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
             a, b = a[other], b[other]
             near = np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1) <= CHECK_DISTANCE * 32 * CHECK_SEGMENTS
-            pairs.append(np.unique((a * n + b)[near]))
+            made = np.unique((a * n + b)[near])
+            shared = [np.minimum(held[x // n], held[x % n]).sum(axis=1) for x in np.split(made, range(PACK, len(made), PACK))]
+            pairs.append(made[(1 + similarity) * np.concatenate(shared) >= similarity * (sizes[made // n] + sizes[made % n]) - 1e-6])
         late = np.flatnonzero(rank >= hi)
         late = late[labels[member[late]] != labels[member[start[late] + hi]]]
         still[member[np.isin(start, start[late])]] = True
@@ -225,7 +231,7 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks
 
 
 def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool = False, similarity: float = 0.8) -> DataFrame:
-    """(rep, id, more) of ``rows`` (id, wide, label, n): the pairs of ``bucket_pairs`` in all segments; where more is
+    """(rep, id, more) of ``rows`` (id, wide, label, n, held): the pairs of ``bucket_pairs`` in all segments; where more is
     true, an id whose bucket has pairs left. With ``star`` only the least rep of each id in a group is returned.
 
     A group is a segment and the first head_bits of its points; rows come packed, so a group is a few arrays.
@@ -235,6 +241,7 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
             ids, labels, sizes = b.id.to_numpy(np.int64), b.label.to_numpy(np.int64), b.n.to_numpy(np.int32)
+            held = np.stack(b.held.to_numpy()).astype("<i4")
             wide = np.frombuffer(b"".join(b.wide), dtype="<u4").reshape(-1, SEGMENTS)
             for s in range(SEGMENTS):
                 values, made = np.ascontiguousarray(wide[:, s]), []
@@ -242,8 +249,8 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
                 for head in range(1 << head_bits):
                     near = np.bitwise_count((values >> np.uint32(tail)) ^ np.uint32(head)) <= 1
                     if near.any():
-                        made.append((s << head_bits | head, ids[near].tobytes(), values[near].tobytes(), labels[near].tobytes(), after[near].tobytes(), sizes[near].tobytes()))
-                yield pd.DataFrame(made, columns=["grp", "ids", "vals", "labels", "checks", "sizes"])
+                        made.append((s << head_bits | head, ids[near].tobytes(), values[near].tobytes(), labels[near].tobytes(), after[near].tobytes(), sizes[near].tobytes(), held[near].tobytes()))
+                yield pd.DataFrame(made, columns=["grp", "ids", "vals", "labels", "checks", "sizes", "held"])
 
         kept, size = [], 0
         for b in batches:
@@ -256,8 +263,9 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(grp: int, parts: list[tuple]) -> pd.DataFrame:
-            ids, vals, labels, checks, sizes = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<i8", "<u4", "<i8", "<u4", "<i4"), strict=True))
-            rep, other, still = bucket_pairs(ids, vals.astype(np.uint64), labels, checks.reshape(-1, CHECK_SEGMENTS), sizes, grp & ((1 << head_bits) - 1), head_bits, lo, hi, similarity)
+            ids, vals, labels, checks, sizes, held = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<i8", "<u4", "<i8", "<u4", "<i4", "<i4"), strict=True))
+            held = held.reshape(len(ids), -1)
+            rep, other, still = bucket_pairs(ids, vals.astype(np.uint64), labels, checks.reshape(-1, CHECK_SEGMENTS), sizes, grp & ((1 << head_bits) - 1), head_bits, lo, hi, similarity, held)
             if star:
                 order = np.lexsort((rep, other))
                 rep, other, still = rep[order], other[order], still[:0]
@@ -276,7 +284,7 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
         if parts:
             yield out(current, parts)
 
-    groups = rows.select("id", "wide", "label", "n").mapInPandas(packed, "grp int, ids binary, vals binary, labels binary, checks binary, sizes binary")
+    groups = rows.select("id", "wide", "label", "n", "held").mapInPandas(packed, "grp int, ids binary, vals binary, labels binary, checks binary, sizes binary, held binary")
     return groups.repartition(SEGMENTS << head_bits, "grp").sortWithinPartitions("grp").mapInPandas(match, "rep long, id long, more boolean")
 
 
@@ -289,9 +297,9 @@ def short_pairs(sketched: DataFrame) -> DataFrame:
     return met.where("id <> rep").select(F.least("rep", "id").alias("rep"), F.greatest("rep", "id").alias("id")).distinct()
 
 
-def lone_texts(texts: DataFrame, ids: DataFrame, hashes, similarity: float) -> DataFrame:
-    """(id) of the ``ids`` (id) whose text (id, text) can't be similar to any other of them: more of its shingles than
-    similarity leaves room for occur in no other text. Only counts of shingles are shuffled, not pairs."""
+def held_shingles(texts: DataFrame, ids: DataFrame, hashes) -> DataFrame:
+    """(id, held): how many shingles of each of the ``ids`` (id) the text (id, text) of another of them has too, by
+    PARTS parts of the shingles. Only shingles and counts are shuffled, not pairs."""
 
     def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -299,9 +307,19 @@ def lone_texts(texts: DataFrame, ids: DataFrame, hashes, similarity: float) -> D
             yield pd.DataFrame({"h": np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64), "id": np.repeat(b.id.to_numpy(), [len(x) for x in sets])})
 
     some = stored(maybe_in(texts, "id", key_filter(ids, "id")).join(ids, "id", "left_semi").mapInPandas(exploded, "h long, id long"))
-    alone = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = some.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return alone.join(sizes, "id").where(F.col("alone") > (1 - similarity) * F.col("n") + 1e-9).select("id")
+    alone = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    both = some.select("id", "h", F.lit(1).alias("n")).union(alone.select("id", "h", F.lit(-1))).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    return both.groupBy("id").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("part") == i, F.col("n"))), F.lit(0)).cast("int") for i in range(PARTS)]).alias("held"))
+
+
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component): ``groups`` (node, component) with further ``links`` (rep, id). The links are between
+    components then, so what was linked before isn't gone through again."""
+    nodes = stored(groups.select("node").union(links.select("rep")).union(links.select("id")).distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    over = links.join(of("rep"), "rep").join(of("id"), "id").where("_rep <> _id").select(F.least("_rep", "_id").alias("a"), F.greatest("_rep", "_id").alias("b")).distinct()
+    new = connected_components(stored(over)).select(F.col("node").alias("component"), F.col("component").alias("_least"))
+    return stored(nodes.join(new, "component", "left").select("node", F.coalesce("_least", "component").alias("component")))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -316,11 +334,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """(doc_id, component_id) of the documents that have a near copy: shingle sets of that similarity or more.
 
     component_id is the smallest doc_id of the group. Identifiers must be unique; rows without one are left out.
-    Before pairs are compared, texts that have too many shingles of their own among all candidates are dropped, which
-    loses no pair: large groups of copies hold many that were edited too much to be like any other.
     Texts without a word are not compared with anything. Members of a point are matched with its least id first; in
     the rounds after that those of points with more than one component go on with the next least ids, so in the end
-    every two members of a point have been compared or are in one component.
+    every two members of a point have been compared or are in one component. Large groups of copies hold many that
+    were edited too much to be like any other: for these rounds each text's shingles that another candidate has are
+    counted in PARTS parts, and pairs whose counts leave no room for the similarity are not made, which loses none.
     """
     ready_workers(docs.sparkSession)
 
@@ -342,7 +360,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     )
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(F.col("doc_id").cast("long").alias("id"), "text")
     sketched = stored(some.select("id", sketch("text").alias("s")).select("id", "s.*", F.col("id").alias("label")))
-    rows = sketched.where(F.col("n") > SHORT).drop("keys")
+    rows = sketched.where(F.col("n") > SHORT).drop("keys").withColumn("held", F.array("n"))
     wides, reps = rows.select("id", "wide", "n"), rows.select(F.col("id").alias("rep"), F.col("wide").alias("rep_wide"), F.col("n").alias("rep_n"))
     head_bits = max(2, (rows.count() // GROUP_ROWS).bit_length())
     most = F.when((F.col("n") >= LONG_TEXT) & (F.col("rep_n") >= LONG_TEXT), LONG_DISTANCE).otherwise(WIDE_DISTANCE) * (SEGMENTS * SEGMENT_BITS)
@@ -356,28 +374,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     def labelled(of: DataFrame) -> DataFrame:
         names = groups.select(F.col("node").alias("id"), "component")
-        return stored(of.select("id", "wide", "n").join(names, "id", "left").select("id", "wide", "n", F.coalesce("component", "id").alias("label")))
+        return stored(of.select("id", "wide", "n", "held").join(names, "id", "left").select("id", "wide", "n", "held", F.coalesce("component", "id").alias("label")))
 
     # First every text with the least id at any of its points: large groups of copies are in one component then.
     compared = stored(segment_pairs(rows, head_bits, 0, 1, star=True, similarity=similarity).groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id"))
     links = verified(compared).union(stored(verified_pairs(stored(short_pairs(sketched)), some, prepare, compare, [])))
     groups = connected_components(links.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    rows, lo, hi = labelled(rows), 0, 1
-    while True:
+    # Whoever can meet in a later round; texts that can't be like any of these go before ranks are counted.
+    rows = labelled(rows)
+    left = stored(segment_pairs(rows, head_bits, 0, 0).select("id").distinct())
+    held = held_shingles(some, left, prepare)
+    rows = stored(rows.drop("held").join(held, "id").where(F.aggregate("held", F.lit(0), lambda x, y: x + y) >= similarity * F.col("n") - 1e-6))
+    lo, hi = 0, 1
+    while not left.isEmpty():
         found = stored(segment_pairs(rows, head_bits, lo, hi, similarity=similarity))
-        # Whoever can meet in this round or a later one is here; texts that can't be like any of these go first.
-        here = stored(found.select("id").union(found.where("not more").select("rep")).distinct())
-        lone = stored(lone_texts(some, here, prepare, similarity))
-        found = found.join(lone, "id", "left_anti").join(lone.withColumnRenamed("id", "rep"), "rep", "left_anti")
         met = stored(found.where("not more").select("rep", "id").distinct().join(compared, ["rep", "id"], "left_anti"))
         if not met.isEmpty():
-            compared, links = compared.union(met), links.union(verified(met))
-            groups = connected_components(links.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-        left = found.where("more").select("id").distinct()
-        if left.isEmpty():
-            return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+            compared = compared.union(met)
+            groups = joined_groups(groups, verified(met))
+        left = stored(found.where("more").select("id").distinct())
         rows = labelled(rows.join(left, "id", "left_semi"))
         lo, hi = hi, hi * RANKS
+    return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
