@@ -102,6 +102,21 @@ def test_passages_around_a_common_line(spark):
     assert len(seen & want) >= 0.93 * len(want)
 
 
+def test_passages_of_one_edit_always_share_a_key():
+    """Of 50 words one is replaced, put in or taken out, wherever it is; the passages stand in other words."""
+    rng = random.Random(19)
+    for k in range(400):
+        passage = prose(rng, 50 + k % 2)
+        near, at = list(passage), 1 + rng.randrange(48)
+        near[at : at + (k % 3 != 1)] = [] if k % 3 == 2 and k % 2 else ["edited"]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (passage, near))
+        if len(near) >= 50 and len(a & b) >= 0.8 * len(a | b):
+            x, y = (" ".join(prose(rng, 60) + p + prose(rng, 60)) for p in (passage, near))
+            (xk, _), (yk, _) = substring_dedup.passage_keys([x, y])
+            assert set(xk.tolist()) & set(yk.tolist())
+            assert substring_dedup.matched_passages(substring_dedup.Tokens(y), substring_dedup.Tokens(x))
+
+
 def test_refined_keys_of_equal_passages_are_equal():
     rng = random.Random(17)
     passage = prose(rng, 60)

@@ -2,10 +2,12 @@
 
 Tokens are runs of five words. For each hash function the Cartesian tree over a text's token hashes gives its
 compact windows (l, c, r): every subsequence that begins in [l, c] and ends in [c, r] has its min-hash at c. The
-windows divide all beginnings of a passage of the least length into intervals of one signature; an interval join
-of two hash functions' intervals gives the groups that share both signatures, and their keys are what texts are
-matched by. Two texts with an equal passage of the least length always share such a key for each pair of
-functions; texts with near-equal ones share it with the square of the similarity for each pair and place.
+windows divide all beginnings of RUN tokens into intervals of one signature; an interval join of two hash functions'
+intervals gives the groups that share both signatures, and their keys are what texts are matched by. Two texts with
+RUN equal tokens in a row always share such a key. Passages that reach the similarity have them: where words were
+replaced, put in or taken out, each place of an edit costs 9 tokens of the two sets or more, so of 40 shared tokens
+in 50 words one edit leaves 20 in a row, and longer passages more. Only passages that repeat their own words can
+be edited more often at that similarity.
 
 A key's texts are matched with its least identifier first, and every match is verified on the whole texts: the
 passages' token sets must have the required similarity. Where a text's place with that key is in no passage that it
@@ -31,8 +33,10 @@ from tidemark.llm.simhash import jaccard, words
 
 #: Words of a token, least words of a passage, similarity of the token sets.
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
+#: Tokens in a row whose keys are made: passages of that similarity share as many.
+RUN = 20
 #: Pairs of hash functions whose windows are joined.
-PAIRS = ((0, 1), (2, 3))
+PAIRS = ((0, 1),)
 #: Characters of texts whose windows are made at once.
 PART_CHARS = 2_000_000
 #: Tokens that may differ in a row inside a passage, tried from the widest: two edits, one edit, none.
@@ -42,16 +46,31 @@ GAPS = (12, 5, 0)
 REFINED_BY, REFINED_KEYS = 4, 8
 #: So many times as many texts of a key are representatives when a round ends as when it begins.
 RANKS = 8
-_FIRST, _GOLD = 4, np.uint64(0x9E3779B97F4A7C15)
+_FIRST, _GOLD = 2, np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes a worker remembers.
+REMEMBERED = 1 << 18
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(_FIRST + REFINED_BY * REFINED_KEYS)], dtype=np.uint64)
 
 
+class _Hashes(dict):
+    """The hashes of words, of which REMEMBERED are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = xxh64_intdigest(word)
+        if len(self) < REMEMBERED and len(word) < 32:
+            self[word] = made
+        return made
+
+
+_hash_of = _Hashes()
+
+
 def token_hashes(found: list[bytes]) -> np.ndarray:
     """A hash of each run of SHINGLE words, from the words' own; none if they are fewer."""
     n = len(found) - SHINGLE + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
-    each = np.fromiter(map(xxh64_intdigest, found), dtype=np.uint64, count=len(found))
+    each = np.fromiter(map(_hash_of.__getitem__, found), dtype=np.uint64, count=len(found))
     total = np.zeros(n, dtype=np.uint64)
     for j in range(SHINGLE):
         total = total * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
@@ -110,19 +129,19 @@ def signature_runs(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
 
 
 def passage_keys(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The distinct keys of each whole text, and the spot of each: the place of its first min-hash and, in the low 32
-    bits, the first beginning it is of. No key if a text has fewer than LEAST_WORDS words.
+    """The keys of each whole text, and the spot of each: the place of its first min-hash and, in the low 32 bits, the
+    first beginning it is of. A key stands once for each stretch of beginnings it is of, with the place of the last
+    one. No key if a text has fewer than LEAST_WORDS words.
 
     Texts are laid one after the other with a zero between them: it is less than any token, so no window crosses.
     """
-    least = LEAST_WORDS - SHINGLE + 1
-    hashed = [token_hashes(words(t)) for t in texts]
+    hashed = [h if len(h) > LEAST_WORDS - SHINGLE else h[:0] for h in (token_hashes(words(t)) for t in texts)]
     zero = np.zeros(1, dtype=np.uint64)
     starts = np.cumsum([0] + [len(h) + 1 for h in hashed])
     out_keys, out_texts, out_spots = [], [], []
     runs = []
     for k in range(_FIRST):
-        runs.append(signature_runs(np.concatenate([x for h in hashed for x in (np.maximum(remixed(h, k), np.uint64(1)), zero)] or [zero]), least))
+        runs.append(signature_runs(np.concatenate([x for h in hashed for x in (np.maximum(remixed(h, k), np.uint64(1)), zero)] or [zero]), RUN))
     for a, b in PAIRS:
         (begin_a, low_a, place_a), (begin_b, low_b, _) = runs[a], runs[b]
         joined = np.union1d(begin_a, begin_b)
@@ -132,38 +151,55 @@ def passage_keys(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]
         inside = (low_a[in_a] != 0) & (low_b[in_b] != 0)
         of_a, of_b, first = low_a[in_a][inside], low_b[in_b][inside], joined[inside]
         owner = np.searchsorted(starts, first, side="right") - 1
-        out_keys.append((of_a * _GOLD) ^ (of_b + np.uint64(a)))
+        made = (of_a * _GOLD) ^ (of_b + np.uint64(a))
+        begins = np.flatnonzero(np.r_[True, (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])][: len(made)])
+        place = place_a[in_a][inside][np.r_[begins[1:], len(made)] - 1] if len(made) else first
+        owner, first = owner[begins], first[begins]
+        out_keys.append(made[begins])
         out_texts.append(owner)
-        out_spots.append(((place_a[in_a][inside] - starts[owner]) << 32) | (first - starts[owner]))
+        out_spots.append(((place - starts[owner]) << 32) | (first - starts[owner]))
     if not out_keys:
         return [(np.zeros(0, dtype=np.int64),) * 2] * len(texts)
     keys, owner, spots = np.concatenate(out_keys), np.concatenate(out_texts), np.concatenate(out_spots)
-    order = np.lexsort((keys, owner))  # stable: of a key's places in a text the first one stays first
+    order = np.lexsort((keys, owner))
     keys, owner, spots = keys[order], owner[order], spots[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-    cut = np.searchsorted(owner[new], np.arange(1, len(texts)))
-    return list(zip(np.split(keys[new].view(np.int64), cut), np.split(spots[new], cut), strict=True))
+    cut = np.searchsorted(owner, np.arange(1, len(texts)))
+    return list(zip(np.split(keys.view(np.int64), cut), np.split(spots, cut), strict=True))
+
+
+def stretches(hashes: np.ndarray, spots: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(spot, tokens): the tokens of all passages of the least length that hold the spot's place; a passage that holds
+    several places is in the first one's stretch only."""
+    least, out, done = LEAST_WORDS - SHINGLE + 1, [], -1
+    for spot in np.unique(spots >> 32).tolist():  # in order of the places
+        first, last = max(done + 1, spot - least + 1, 0), min(spot, len(hashes) - least)
+        if first <= last:
+            out.append((spot << 32, hashes[first : last + least]))
+            done = last
+    return out
+
+
+def stretch_keys(hashes: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """REFINED_KEYS keys or more of a stretch: the least hashes, by REFINED_BY functions, of each of its passages of the
+    least length; without those that have more tokens of ``alone`` than similar passages of as many tokens can."""
+    least = LEAST_WORDS - SHINGLE + 1
+    once = np.zeros(len(hashes), dtype=np.int64)
+    once[np.unique(hashes, return_index=True)[1]] = 1  # a token that repeats counts once
+    own = np.r_[0, np.cumsum(once * np.isin(hashes, alone))]
+    fits = own[least:] - own[:-least] <= (1 - SIMILARITY) / (1 + SIMILARITY) * least
+    low = _sliding(np.minimum, remixed(hashes[None], np.arange(_FIRST, len(_MIX))[:, None]), least)
+    low = low.reshape(REFINED_KEYS, REFINED_BY, -1)[:, :, fits]
+    made = np.arange(1, REFINED_KEYS + 1, dtype=np.uint64)[:, None] * _GOLD
+    for j in range(REFINED_BY):
+        made = (made ^ low[:, j]) * _GOLD
+        made = made ^ (made >> np.uint64(29))
+    return np.unique(made)
 
 
 def refined_keys(text: str | None, keys: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """REFINED_KEYS keys or more for each key of the text: the key with the least hashes, by REFINED_BY functions,
-    of each passage of the least length that begins at its spot, and the spots they are of."""
-    least, hashes = LEAST_WORDS - SHINGLE + 1, token_hashes(words(text))
-    out_keys, out_spots = [], []
-    for key, spot in zip(keys.tolist(), spots.tolist(), strict=True):
-        first = spot & 0xFFFFFFFF
-        last = min(spot >> 32, len(hashes) - least)
-        low = _sliding(np.minimum, remixed(hashes[None, first : last + least], np.arange(_FIRST, len(_MIX))[:, None]), least)
-        low = low.reshape(REFINED_KEYS, REFINED_BY, -1)
-        made = np.uint64(key % 2**64) ^ (np.arange(1, REFINED_KEYS + 1, dtype=np.uint64)[:, None] * _GOLD)
-        for j in range(REFINED_BY):
-            made = (made ^ low[:, j]) * _GOLD
-            made = made ^ (made >> np.uint64(29))
-        out_keys.append(np.unique(made))
-        out_spots.append(np.full(len(out_keys[-1]), spot))
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none.view(np.uint64), *out_keys]).view(np.int64), np.concatenate([none, *out_spots])
+    """The keys of all stretches around the spots of a text, whatever their keys were, and the spots they are of."""
+    made = [(spot, stretch_keys(h, h[:0])) for spot, h in stretches(token_hashes(words(text)), spots)]
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *(k for _, k in made)]).view(np.int64), np.repeat(np.array([x for x, _ in made], dtype=np.int64), [len(k) for _, k in made])
 
 
 class Tokens:
@@ -207,8 +243,8 @@ def matched_passages(x: Tokens, y: Tokens) -> list[tuple[int, int, int, int]]:
     def runs(where: np.ndarray, gap: int) -> list[tuple[int, int]]:
         if len(where) < floor:
             return []
-        cut = np.flatnonzero(np.diff(where) > gap + 1)
-        return list(zip(where[np.r_[0, cut + 1]].tolist(), where[np.r_[cut, len(where) - 1]].tolist(), strict=True))
+        cut = np.flatnonzero(where[1:] - where[:-1] > gap + 1)
+        return list(zip([int(where[0]), *where[cut + 1].tolist()], [*where[cut].tolist(), int(where[-1])], strict=True))
 
     def search(where: np.ndarray, level: int) -> None:
         for a, b in runs(where, GAPS[level]):
@@ -241,19 +277,28 @@ def batched(texts: pd.Series) -> Iterator[list[str | None]]:
 
 
 def _refined(state: DataFrame, texts: DataFrame) -> DataFrame:
-    """``state`` (key, id, spot) with refined keys; texts of its documents are read once more."""
+    """``state`` (key, id, spot) with refined keys; texts of its documents are read once more. Tokens that no other of
+    these documents has around its places are told first: an edited passage has too many of them to be like any."""
+
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *x) for i, text, spots in zip(b.id.tolist(), b.text.tolist(), b.spots.tolist(), strict=True) for x in stretches(token_hashes(words(text)), np.array(spots, dtype=np.int64))]
+            yield pd.DataFrame([(i, spot, h.view(np.int64)) for i, spot, h in rows], columns=["id", "spot", "tokens"])
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for i, text, held in zip(b.id.tolist(), b.text.tolist(), b.held.tolist(), strict=True):
-                keys, spots = (np.array([h[c] for h in held], dtype=np.int64) for c in ("key", "spot"))
-                keys, spots = refined_keys(text, keys, spots)
-                yield pd.DataFrame({"key": keys, "id": np.full(len(keys), i), "spot": spots})
+            keys = [stretch_keys(np.asarray(h).view(np.uint64), np.asarray(none if x is None else x, dtype=np.int64).view(np.uint64)).view(np.int64) for h, x in zip(b.tokens, b.alone, strict=True)]
+            times = [len(k) for k in keys]
+            yield pd.DataFrame({"key": np.concatenate([none, *keys]), "id": np.repeat(b.id.to_numpy(), times), "spot": np.repeat(b.spot.to_numpy(), times)})
 
-    # What is gathered by id is a part of the document's own keys.
-    held = state.groupBy("id").agg(F.collect_list(F.struct("key", "spot")).alias("held"))
+    # What is gathered by id is a part of the document's own places and tokens.
+    held = state.groupBy("id").agg(F.collect_set("spot").alias("spots"))
     some = maybe_in(texts, "id", key_filter(state.select("id"), "id"))
-    return held.join(some, "id").mapInPandas(refine, "key long, id long, spot long")
+    parts = stored(held.join(some, "id").mapInPandas(around, "id long, spot long, tokens array<long>"))
+    tokens = parts.select("id", F.explode("tokens").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("high"))
+    alone = tokens.where("id = high").groupBy("id").agg(F.collect_list("h").alias("alone"))
+    return parts.join(alone, "id", "left").mapInPandas(refine, "key long, id long, spot long")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
