@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import chunking
+from tidemark.functions import chunking
 from tidemark.operators import evaluation, lines, resampling, scan
 from tidemark.sources import files
 
@@ -177,3 +179,17 @@ def test_cluster_bootstrap_draws_whole_clusters(spark):
     alone = resampling.cluster_bootstrap(df.withColumn("cluster", F.monotonically_increasing_id().cast("string"))).first()
     assert r.n_clusters == 40 and abs(r.ratio - sum(x[2] for x in rows) / len(rows)) < 1e-9 and r.low < r.ratio < r.high
     assert r.high - r.low > 2 * (alone.high - alone.low)
+
+
+def test_sectioned_chunks_of_rows_are_what_the_scan_gives(spark):
+    text = "---\ntitle: 'Given'\n---\n# One\n\n" + "word " * 300 + "\n\n## Two\n\nshort\n\n# Three\n\n" + "other " * 200
+    rows = [(1, "a/b.md", text), (2, "c.md", text[24:]), (3, "d/e.md", None), (4, None, "no heading\n\nat all"), (5, "f.md", "x\n### Deep\n" + "word\n" * 400 + "\n## Up\nend"), (None, "g.md", "# Lost")]
+    docs = spark.createDataFrame(rows, "id long, file string, text string")
+    placed = lines.placed_chunks(docs, chunking.chunk(docs.select("id", "text"), "id"))
+    empty = [F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading")]
+    events = lines.heading_rows(docs).unionByName(placed.where("start is not null").select("id", F.col("start").alias("pos"), *empty))
+    under = lines.sections(events).where("level is null").select("id", F.col("pos").alias("start"), "section").distinct()
+    want = placed.join(under, ["id", "start"], "left").join(lines.titles(docs), "id").select("id", "ord", "start", "title", F.coalesce("section", F.lit("")).alias("section"))
+    got = lines.sectioned_chunks(docs, chunking.prose_chunks)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.section for r in got.collect()} >= {"One", "Three", "Deep"} and {r.title for r in got.collect()} >= {"Given", "One", "f.md"}

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,17 +72,36 @@ def sections(events: DataFrame) -> DataFrame:
     return found.select("id", "pos", "level", path("state").alias("section"))
 
 
+def _given_and_name() -> list[Column]:
+    """The title that the frontmatter of text gives, and the file's name."""
+    short = lambda c: F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, TITLE_CHARS)
+    block = F.regexp_extract("text", r"^\x{FEFF}?---[ \t]*\r?\n((?:[^\n]*\n)*?)---[ \t]*(?:\r?\n|$)", 1)
+    given = F.trim(F.regexp_replace(F.trim(F.regexp_extract(block, r"(?im)^title[ \t]*:[ \t]*([^\r\n]*)", 1)), "^['\"]+|['\"]+$", ""))
+    return [short(given).alias("given"), short(F.regexp_extract("file", r"([^/\\]*)$", 1)).alias("name")]
+
+
 def titles(docs: DataFrame) -> DataFrame:
     """(id, title) of ``docs`` (id, file, text): the frontmatter's title at its margin, the first heading of level 1, or
     the file's name."""
-    block = F.regexp_extract("text", r"^\x{FEFF}?---[ \t]*\r?\n((?:[^\n]*\n)*?)---[ \t]*(?:\r?\n|$)", 1)
-    given = F.trim(F.regexp_replace(F.trim(F.regexp_extract(block, r"(?im)^title[ \t]*:[ \t]*([^\r\n]*)", 1)), "^['\"]+|['\"]+$", ""))
     first = heading_rows(docs).where("level = 1").groupBy("id").agg(F.min_by("heading", "pos").alias("h1"))
-    short = lambda c: F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, TITLE_CHARS)
-    named = docs.select("id", short(given).alias("given"), short(F.regexp_extract("file", r"([^/\\]*)$", 1)).alias("name"))
+    named = docs.select("id", *_given_and_name())
     return named.join(first, "id", "left").select("id", F.coalesce(F.when(F.col("given") != "", F.col("given")), F.col("h1"), "name").alias("title"))
 
 
+def places(text: str | None, parts: list[str]) -> list[int | None]:
+    """Where each of the parts begins in the text, whatever white space stands between its words there."""
+    after, starts = 0, []
+    for part in parts:
+        at = (text or "").find(part, after)
+        if at < 0:
+            pattern = re.compile(r"\s+".join(map(re.escape, part.split())))
+            m = pattern.search(text or "", after) or pattern.search(text or "")
+            at = m.start() if m else -1
+        starts.append(at if at >= 0 else None)
+        after = at + 1 if at >= 0 else after
+    return starts
+
+
 def placed_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, ord, start): where each of ``chunks`` (id, ord, text) begins in its text, whatever white space stands between
     its words there; null if it doesn't occur. A document's own chunks are brought to it."""
@@ -89,20 +110,34 @@ def placed_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, text, parts in zip(b.id.tolist(), b.text.tolist(), b.chunks.tolist(), strict=True):
-                after, starts = 0, []
-                for part in parts:
-                    at = (text or "").find(part, after)
-                    if at < 0:
-                        pattern = re.compile(r"\s+".join(map(re.escape, part.split())))
-                        m = pattern.search(text or "", after) or pattern.search(text or "")
-                        at = m.start() if m else -1
-                    starts.append(at if at >= 0 else None)
-                    after = at + 1 if at >= 0 else after
+                starts = places(text, parts)
                 yield pd.DataFrame({"id": i, "ord": range(len(starts)), "start": pd.Series(starts, dtype="Int64")})
 
     return docs.select("id", "text").join(held, "id").mapInPandas(place, f"id {docs.schema['id'].dataType.simpleString()}, ord long, start long")
 
 
+def sectioned_chunks(docs: DataFrame, cut: Callable[[str | None], list[str]]) -> DataFrame:
+    """(id, ord, start, title, section) of the chunks that ``cut`` makes of each text in ``docs`` (id, file, text): what
+    ``placed_chunks``, ``sections`` and ``titles`` say of them, for texts that are rows. Nothing is shuffled."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, text, given, name in b[["id", "text", "given", "name"]].itertuples(index=False, name=None):
+                found, parts = list(headings(text)), cut(text)
+                title = given or next((h for _, level, h in found if level == 1), name)
+                states = list(accumulate((heading_state(level, h) for _, level, h in found), join_headings))
+                at = [pos for pos, _, _ in found]
+                for n, start in enumerate(places(text, parts)):
+                    before = 0 if start is None else bisect_right(at, start)
+                    out.append((i, n, start, title, " > ".join(h for _, h in states[before - 1][1]) if before else ""))
+            made = pd.DataFrame(out, columns=["id", "ord", "start", "title", "section"])
+            yield made.astype({"start": "Int64"})
+
+    known = docs.where("id is not null").select("id", "text", *_given_and_name())
+    return known.mapInPandas(read, f"id {docs.schema['id'].dataType.simpleString()}, ord long, start long, title string, section string")
+
+
 # Fences. A state says where a stretch of lines leads: from outside, and from inside a fence of each character by its
 # length. A fence is closed by the first bare one of its character that is as long or longer, so what counts is
 # where the length of such lines reaches a new maximum. None is outside, [character, length] inside.

@@ -101,11 +101,7 @@ def heading_stacks(spark, sf):
 def sectioned_chunks(spark, sf):
     """Every chunk of a document with its place, its document's title and the headings that it stands under."""
     docs = retrieval.spread(tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("file"), "text"))
-    placed = lines.placed_chunks(docs, chunking.chunk(docs.select("id", "text"), "id"))
-    empty = [F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading")]
-    events = lines.heading_rows(docs).unionByName(placed.where("start is not null").select("id", F.col("start").alias("pos"), *empty))
-    under = lines.sections(events).where("level is null").select("id", F.col("pos").alias("start"), "section").distinct()
-    return placed.join(under, ["id", "start"], "left").join(lines.titles(docs), "id").select(F.col("id").alias("doc_id"), "ord", "start", "title", F.coalesce("section", F.lit("")).alias("section"))
+    return lines.sectioned_chunks(docs, chunking.prose_chunks).select(F.col("id").alias("doc_id"), "ord", "start", "title", "section")
 
 
 def fenced_shares(spark, sf):
