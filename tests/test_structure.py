@@ -188,3 +188,14 @@ def test_recency_takes_the_newest_confident_hit(spark):
     df = spark.createDataFrame(rows, "query_id long, pos long, verdict string, superseded_by string, score double, indexed_at long")
     r = arms.stale_trust(df, 0.5).first()
     assert (r.n, r.plain, r.recency, r.trusted, r.coverage) == (2, 0.5, 1.0, 0.0, 0.5)
+
+
+def test_packing_many_small_groups_and_one_without_a_name(spark):
+    rows = [(g if g else None, o, (g * 7 + o * 13) % 40) for g in range(1500) for o in range(1 + g % 4)] + [(None, o, 9) for o in range(1, 50)]
+    got = structure.packed(spark.createDataFrame(rows, "g long, o long, s long").repartition(5), "g", "o", "s", 50)
+    want, used, batch, last = [], 0, -1, "none"
+    for g, o, s in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        used, batch = (s, 0) if g != last else (used + s, batch) if used + s <= 50 else (s, batch + 1)
+        want.append((g, o, batch))
+        last = g
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -91,30 +92,40 @@ def packed(rows: DataFrame, by: str, order: str, size: str, most: int, joint: in
     """(by, order, batch): rows packed in order into batches of ``most`` in all; ``joint`` is paid between two rows.
 
     A row over ``most`` has a batch of its own; a null size is 0. Rows are sorted by ranges and cut into segments of
-    FOLD rows, each of which is turned into a small map from the open batch before it to the one behind it. Only these
-    maps are chained, group by group; then every segment is packed behind what the chain has left open for it.
+    FOLD rows. A group that is one segment inside a task is packed as it is; segments of the others are turned into
+    small maps from the open batch before them to the one behind. Only these maps are chained, group by group; then
+    every segment is packed behind what the chain has left open for it.
     """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, order)}
     ranged = rows.select(F.col(by).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("s")).repartitionByRange("g", "o")
     ranged = ranged.sortWithinPartitions("g", "o").withColumn("part", F.spark_partition_id())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seq = [], 0
+        group, held_o, held_s, seq, nth, first, part = None, [], [], 0, 0, True, 0
 
-        def segment() -> pd.DataFrame:
-            sizes = np.array([r.s for r in held], dtype=np.int64)
-            top, fill, more = _pack_map(np.cumsum(sizes + joint), sizes, most)
-            row = {"g": held[0].g, "part": held[0].part, "seq": seq, "o": [r.o for r in held], "s": sizes, "top": top, "fill": fill, "more": more}
-            return pd.DataFrame([row]).astype({"g": object})
+        def segment(whole: bool) -> tuple:
+            sizes = np.array(held_s, dtype=np.int64)
+            top, fill, more = ([], [], []) if whole else _pack_map(np.cumsum(sizes + joint), sizes, most)
+            return group, part, seq, held_o, sizes, top, fill, more, whole
 
         for b in batches:
-            for r in b.astype({"g": object}).itertuples(index=False):
-                if held and (len(held) >= FOLD or (r.g != held[0].g and not (pd.isna(r.g) and pd.isna(held[0].g)))):
-                    yield segment()
-                    held, seq = [], seq + 1
-                held.append(r)
-        if held:
-            yield segment()
+            out, part = [], int(b.part.iloc[0]) if len(b) else part
+            groups, orders, sizes = b.g.astype(object).tolist(), b.o.tolist(), b.s.tolist()
+            codes = pd.factorize(b.g, use_na_sentinel=False)[0]
+            for x, y in pairwise([*np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(b)]).tolist(), len(b)]):
+                if held_o and groups[x] != group and not (pd.isna(groups[x]) and pd.isna(group)):
+                    out.append(segment(nth == 0 and not first))
+                    held_o, held_s, seq, nth, first = [], [], seq + 1, 0, False
+                group = groups[x]
+                while x < y:
+                    if len(held_o) >= FOLD:
+                        out.append(segment(False))
+                        held_o, held_s, seq, nth = [], [], seq + 1, nth + 1
+                    to = min(y, x + FOLD - len(held_o))
+                    held_o, held_s, x = held_o + orders[x:to], held_s + sizes[x:to], to
+            yield pd.DataFrame(out, columns=columns).astype({"g": object})
+        if held_o:
+            yield pd.DataFrame([segment(False)], columns=columns).astype({"g": object})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         used, batch, out = most + 1, -1, []  # the first row opens a batch
@@ -126,15 +137,21 @@ def packed(rows: DataFrame, by: str, order: str, size: str, most: int, joint: in
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                sizes = np.asarray(r.s, dtype=np.int64)
-                starts = _pack_starts(np.cumsum(sizes + joint), sizes, most, r.used)
-                batch = r.open + np.searchsorted(starts, np.arange(len(sizes)), side="right")
-                yield pd.DataFrame({by: pd.Series([r.g] * len(sizes), dtype=object), order: pd.Series(list(r.o), dtype=object), "batch": batch})
-
-    segments = stored(ranged.mapInPandas(cut, f"g {kinds[by]}, part int, seq long, o array<{kinds[order]}>, s array<long>, top array<long>, fill array<long>, more array<long>"))
-    opened = segments.select("g", "part", "seq", "top", "fill", "more").groupBy("g").applyInPandas(chain, "part int, seq long, used long, open long")
-    return segments.select("g", "part", "seq", "o", "s").join(opened, ["part", "seq"]).mapInPandas(numbered, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, batch long")
+            groups, orders, numbers = [], [], [np.zeros(0, dtype=np.int64)]
+            for g, o, s, used, before in zip(b.g.astype(object), b.o, b.s, b.used.tolist(), b.open.tolist(), strict=True):
+                sizes = np.asarray(s, dtype=np.int64)
+                starts = _pack_starts(np.cumsum(sizes + joint), sizes, most, used)
+                numbers.append(before + np.searchsorted(starts, np.arange(len(sizes)), side="right"))
+                groups += [g] * len(sizes)
+                orders += list(o)
+            yield pd.DataFrame({by: pd.Series(groups, dtype=object), order: pd.Series(orders, dtype=object), "batch": np.concatenate(numbers)})
+
+    columns = ["g", "part", "seq", "o", "s", "top", "fill", "more", "whole"]
+    segments = stored(ranged.mapInPandas(cut, f"g {kinds[by]}, part int, seq long, o array<{kinds[order]}>, s array<long>, top array<long>, fill array<long>, more array<long>, whole boolean"))
+    opened = segments.where("not whole").select("g", "part", "seq", "top", "fill", "more").groupBy("g").applyInPandas(chain, "part int, seq long, used long, open long")
+    chained = segments.where("not whole").select("g", "part", "seq", "o", "s").join(opened, ["part", "seq"]).select("g", "o", "s", "used", "open")
+    alone = segments.where("whole").select("g", "o", "s", F.lit(most + 1).cast("long").alias("used"), F.lit(-1).cast("long").alias("open"))
+    return alone.unionByName(chained).mapInPandas(numbered, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, batch long")
 
 
 def kind_of(file: Column) -> Column:
