@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import chunking
 from tidemark.functions import chunking
 from tidemark.operators import evaluation, lines, resampling, scan
 from tidemark.sources import files
@@ -183,7 +182,7 @@ def test_cluster_bootstrap_draws_whole_clusters(spark):
 
 def test_sectioned_chunks_of_rows_are_what_the_scan_gives(spark):
     text = "---\ntitle: 'Given'\n---\n# One\n\n" + "word " * 300 + "\n\n## Two\n\nshort\n\n# Three\n\n" + "other " * 200
-    rows = [(1, "a/b.md", text), (2, "c.md", text[24:]), (3, "d/e.md", None), (4, None, "no heading\n\nat all"), (5, "f.md", "x\n### Deep\n" + "word\n" * 400 + "\n## Up\nend"), (None, "g.md", "# Lost")]
+    rows = [(1, "a/b.md", text), (2, "c.md", text[23:]), (3, "d/e.md", None), (4, None, "no heading\n\nat all"), (5, "f.md", "x\n### Deep\n" + "word\n" * 400 + "\n## Up\nend"), (None, "g.md", "# Lost")]
     docs = spark.createDataFrame(rows, "id long, file string, text string")
     placed = lines.placed_chunks(docs, chunking.chunk(docs.select("id", "text"), "id"))
     empty = [F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading")]
