@@ -34,7 +34,7 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, prepare, compare, columns
     ``pairs`` (rep, id) must be written or cheap, as it is read more than once; ``texts`` is (id, text). columns
     are long.
     """
-    chunked = dealt(pairs)
+    chunked = stored(dealt(pairs))  # it is read twice
     # Only texts of pairs are shuffled, and once: both joins read the same exchange.
     named = pairs.select("id").union(pairs.select("rep"))
     some = maybe_in(texts.select("id", "text"), "id", key_filter(named, "id")).repartition("id")
