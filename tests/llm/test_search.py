@@ -357,3 +357,37 @@ def test_decontamination_in_blocks_and_empty(spark, monkeypatch):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
     assert decontamination.contaminated(frame(spark, []), items).count() == 0
     assert decontamination.drop_contaminated(docs, items).count() == 0
+
+
+def test_texts_that_meet_by_chance_are_not_candidates():
+    rng = np.random.default_rng(6)
+    n, bases = 400, np.array([0, 1 << 9], dtype=np.uint64)
+    ids, values = np.arange(n, dtype=np.int64), np.repeat(rng.permutation(2**20)[: n // 2].astype(np.uint64) << np.uint64(12), 2)
+    checks = rng.integers(0, 2**32, (n, 4), dtype=np.uint32)
+    checks[1:20:2] = checks[0:20:2] ^ np.uint32(1)  # ten pairs are alike, the others only meet
+    for large in (False, True):
+        values = np.where(ids < 100, bases[0], bases[1]) if large else values
+        told = simhash.bucket_pairs(ids, values, ids, checks, np.full(n, 50, dtype=np.int32), 0, 0, 0, 0, near_only=True)[2]
+        assert set(told.tolist()) >= set(range(20)) and (len(told) == n if large else set(told.tolist()) == set(range(20)))
+
+
+def test_counts_of_shared_shingles_drop_no_similar_pair_and_most_others():
+    rng = np.random.default_rng(8)
+    made, n = {}, 60
+    for parts in (32, simhash.PARTS):  # so many were counted before
+        held, sets = np.zeros((n, parts), dtype=np.uint8), []
+        rng = np.random.default_rng(8)
+        base = rng.integers(0, 2**63, 160)
+        for i in range(n):
+            kept = base[rng.random(160) < (0.97 if i < 10 else 0.86)]
+            sets.append((set(kept.tolist()), len(kept) + (0 if i < 10 else 3)))
+            np.add.at(held[i], kept % parts, 1)
+        sizes, ids = np.array([m for _, m in sets], dtype=np.int32), np.arange(n, dtype=np.int64)
+        rep, other, _ = simhash.bucket_pairs(ids, np.zeros(n, dtype=np.uint64), ids, np.zeros((n, 4), dtype=np.uint32), sizes, 0, 0, 0, n, held=held)
+        made[parts] = set(zip(rep.tolist(), other.tolist(), strict=True))
+        similar = {(a, b) for b in range(n) for a in range(b) if 1.8 * len(sets[a][0] & sets[b][0]) >= 0.8 * (sets[a][1] + sets[b][1])}
+        assert similar and similar <= made[parts]
+    assert len(made[simhash.PARTS]) < len(made[32]) / 2
+    full = np.full((n, simhash.PARTS), simhash.MOST_HELD, dtype=np.uint8)  # a full count leaves room for any number
+    rep, _, _ = simhash.bucket_pairs(ids, np.zeros(n, dtype=np.uint64), ids, np.zeros((n, 4), dtype=np.uint32), np.full(n, 10**6, dtype=np.int32), 0, 0, 0, n, held=full)
+    assert len(rep) == n * (n - 1) // 2

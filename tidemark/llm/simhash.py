@@ -142,11 +142,13 @@ SHORT = 7
 #: Texts with one set of shingles from which they are dealt to several tasks.
 HOT_ROWS = 4096
 #: Rows of a segment that a group of ``segment_pairs`` should have, and points that it sorts at once.
-GROUP_ROWS, POINTS = 1 << 17, 1 << 23
+GROUP_ROWS, POINTS = 1 << 18, 1 << 23
+#: Members of a point up to which all its pairs are looked at to tell who can have a near copy.
+POINT_PAIRS = 32
 #: So many times as many members of a point are representatives when a round ends as when it begins.
 RANKS = 8
-#: Parts of the shingles' hashes in which shared ones are counted.
-PARTS = 32
+#: Parts of the shingles' hashes in which shared ones are counted; a count of MOST_HELD stands for any higher one too.
+PARTS, MOST_HELD = 128, 255
 #: Rows packed for ``segment_pairs`` at once.
 PACK = 1 << 14
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(SEGMENTS * SEGMENT_BITS // 64)], dtype=np.uint64)
@@ -176,7 +178,7 @@ def wide_bits(hashes: np.ndarray) -> bytes:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks: np.ndarray, sizes: np.ndarray, head: int, head_bits: int, lo: int, hi: int, similarity: float = 0.8, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks: np.ndarray, sizes: np.ndarray, head: int, head_bits: int, lo: int, hi: int, similarity: float = 0.8, held: np.ndarray | None = None, near_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (rep, id) of one group, and the ids of buckets that have pairs left.
 
     Each value enumerates its ball of radius 1 as far as the points begin with the head_bits of ``head``. The
@@ -184,15 +186,34 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks
     Pairs that differ in over CHECK_DISTANCE of their ``checks``, bits of the next segments, are left out, and those
     whose ``sizes`` alone keep them under the similarity, or whose ``held`` do: counts of shingles by parts of their
     hashes, of which a pair shares the lesser of each at most. With lo = hi = 0 only buckets of several labels are told.
+    With ``near_only`` the ids told are those with a pair of two labels, compared or not, that would not be left out;
+    members of a point with over POINT_PAIRS are told without a look at their pairs. Unrelated texts often meet at a
+    point where there are many texts; those are not told.
     """
     order = np.argsort(ids, kind="stable")
-    held = (sizes[:, None] if held is None else held)[order]
+    held = None if held is None else held[order]
     ids, values, labels, checks, sizes = ids[order], values[order], labels[order], checks[order], sizes[order].astype(np.int64)
     tail, n = SEGMENT_BITS - head_bits, len(ids)
     low, row = values & np.uint64((1 << tail) - 1), np.arange(n, dtype=np.uint64)
     own = (values >> np.uint64(tail)) == head
     parts = 1 << max(0, (n * (tail + 1) // POINTS).bit_length())
     pairs, still = [], np.zeros(n, dtype=bool)
+
+    def likely(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        other = (labels[a] != labels[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
+        a, b = a[other], b[other]
+        near = np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1) <= CHECK_DISTANCE * 32 * CHECK_SEGMENTS
+        return a[near], b[near]
+
+    def fits(made: np.ndarray) -> np.ndarray:
+        if held is None:
+            return made
+        room = []
+        for x in np.split(made, range(PACK, len(made), PACK)):
+            least = np.minimum(held[x // n], held[x % n])
+            room.append(np.where((least == MOST_HELD).any(axis=1), np.inf, least.sum(axis=1, dtype=np.int64)))
+        return made[(1 + similarity) * np.concatenate(room) >= similarity * (sizes[made // n] + sizes[made % n]) - 1e-6]
+
     for part in range(parts):
         some = []
         for points, rows in [(low, row)] + [(low[own] ^ np.uint64(1 << b), row[own]) for b in range(tail)]:
@@ -216,13 +237,21 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks
             left = left[rank[left] > k]
             if not len(left):
                 break
-            a, b = member[start[left] + k], member[left]
-            other = (labels[a] != labels[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
-            a, b = a[other], b[other]
-            near = np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1) <= CHECK_DISTANCE * 32 * CHECK_SEGMENTS
-            made = np.unique((a * n + b)[near])
-            shared = [np.minimum(held[x // n], held[x % n]).sum(axis=1) for x in np.split(made, range(PACK, len(made), PACK))]
-            pairs.append(made[(1 + similarity) * np.concatenate(shared) >= similarity * (sizes[made // n] + sizes[made % n]) - 1e-6])
+            a, b = likely(member[start[left] + k], member[left])
+            pairs.append(fits(np.unique(a * n + b)))
+        if near_only:
+            large = np.diff(np.r_[starts, len(member)])[np.searchsorted(starts, start)] > POINT_PAIRS
+            differ = np.isin(start, start[labels[member] != labels[member[start]]])
+            still[member[large & differ]] = True
+            left = np.flatnonzero(differ & ~large)
+            for k in range(1, POINT_PAIRS):
+                left = left[left + k < len(member)]
+                left = left[start[left + k] == start[left]]
+                if not len(left):
+                    break
+                a, b = likely(member[left], member[left + k])
+                still[a] = still[b] = True
+            continue
         late = np.flatnonzero(rank >= hi)
         late = late[labels[member[late]] != labels[member[start[late] + hi]]]
         still[member[np.isin(start, start[late])]] = True
@@ -231,17 +260,23 @@ def bucket_pairs(ids: np.ndarray, values: np.ndarray, labels: np.ndarray, checks
 
 
 def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool = False, similarity: float = 0.8) -> DataFrame:
-    """(rep, id, more) of ``rows`` (id, wide, label, n, held): the pairs of ``bucket_pairs`` in all segments; where more is
-    true, an id whose bucket has pairs left. With ``star`` only the least rep of each id in a group is returned.
+    """(rep, id, more) of ``rows`` (id, wide, n, and label and held as far as there are): the pairs of ``bucket_pairs`` in
+    all segments; where more is true, an id whose bucket has pairs left, or that has a likely pair if lo = 0. With
+    ``star`` only the least rep of each id in a group is returned. Without labels each row has one of its own.
 
-    A group is a segment and the first head_bits of its points; rows come packed, so a group is a few arrays.
+    A group is a segment and the first head_bits of its points; rows come packed, so a group is a few arrays. held is
+    a list of part << 8 | count.
     """
-    tail = SEGMENT_BITS - head_bits
+    tail, has = SEGMENT_BITS - head_bits, set(rows.columns)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            ids, labels, sizes = b.id.to_numpy(np.int64), b.label.to_numpy(np.int64), b.n.to_numpy(np.int32)
-            held = np.stack(b.held.to_numpy()).astype("<i4")
+            ids, sizes = b.id.to_numpy(np.int64), b.n.to_numpy(np.int32)
+            labels = b.label.to_numpy(np.int64) if "label" in has else ids[:0]
+            held = np.zeros((len(b) if "held" in has else 0, PARTS), dtype=np.uint8)
+            if len(held):
+                coded = np.concatenate(b.held.to_numpy()).astype(np.int64)
+                held[np.repeat(np.arange(len(b)), [len(x) for x in b.held]), coded >> 8] = coded & 255
             wide = np.frombuffer(b"".join(b.wide), dtype="<u4").reshape(-1, SEGMENTS)
             for s in range(SEGMENTS):
                 values, made = np.ascontiguousarray(wide[:, s]), []
@@ -249,7 +284,8 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
                 for head in range(1 << head_bits):
                     near = np.bitwise_count((values >> np.uint32(tail)) ^ np.uint32(head)) <= 1
                     if near.any():
-                        made.append((s << head_bits | head, ids[near].tobytes(), values[near].tobytes(), labels[near].tobytes(), after[near].tobytes(), sizes[near].tobytes(), held[near].tobytes()))
+                        more = [x[near].tobytes() if len(x) else b"" for x in (labels, held)]
+                        made.append((s << head_bits | head, ids[near].tobytes(), values[near].tobytes(), more[0], after[near].tobytes(), sizes[near].tobytes(), more[1]))
                 yield pd.DataFrame(made, columns=["grp", "ids", "vals", "labels", "checks", "sizes", "held"])
 
         kept, size = [], 0
@@ -263,12 +299,12 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(grp: int, parts: list[tuple]) -> pd.DataFrame:
-            ids, vals, labels, checks, sizes, held = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<i8", "<u4", "<i8", "<u4", "<i4", "<i4"), strict=True))
-            held = held.reshape(len(ids), -1)
-            rep, other, still = bucket_pairs(ids, vals.astype(np.uint64), labels, checks.reshape(-1, CHECK_SEGMENTS), sizes, grp & ((1 << head_bits) - 1), head_bits, lo, hi, similarity, held)
+            ids, vals, labels, checks, sizes, held = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*parts, strict=True), ("<i8", "<u4", "<i8", "<u4", "<i4", "<u1"), strict=True))
+            labels, held = labels if "label" in has else ids, held.reshape(-1, PARTS) if "held" in has else None
+            rep, other, still = bucket_pairs(ids, vals.astype(np.uint64), labels, checks.reshape(-1, CHECK_SEGMENTS), sizes, grp & ((1 << head_bits) - 1), head_bits, lo, hi, similarity, held, near_only=star or hi == 0)
             if star:
                 order = np.lexsort((rep, other))
-                rep, other, still = rep[order], other[order], still[:0]
+                rep, other = rep[order], other[order]
                 first = np.r_[True, other[1:] != other[:-1]][: len(other)]
                 rep, other = rep[first], other[first]
             return pd.DataFrame({"rep": np.r_[rep, still], "id": np.r_[other, still], "more": np.r_[np.zeros(len(rep), dtype=bool), np.ones(len(still), dtype=bool)]})
@@ -284,7 +320,7 @@ def segment_pairs(rows: DataFrame, head_bits: int, lo: int, hi: int, star: bool
         if parts:
             yield out(current, parts)
 
-    groups = rows.select("id", "wide", "label", "n", "held").mapInPandas(packed, "grp int, ids binary, vals binary, labels binary, checks binary, sizes binary, held binary")
+    groups = rows.select("id", "wide", "n", *(c for c in ("label", "held") if c in has)).mapInPandas(packed, "grp int, ids binary, vals binary, labels binary, checks binary, sizes binary, held binary")
     return groups.repartition(SEGMENTS << head_bits, "grp").sortWithinPartitions("grp").mapInPandas(match, "rep long, id long, more boolean")
 
 
@@ -298,8 +334,9 @@ def short_pairs(sketched: DataFrame) -> DataFrame:
 
 
 def held_shingles(texts: DataFrame, ids: DataFrame, hashes) -> DataFrame:
-    """(id, held): how many shingles of each of the ``ids`` (id) the text (id, text) of another of them has too, by
-    PARTS parts of the shingles. Only shingles and counts are shuffled, not pairs."""
+    """(id, held, n_held): how many shingles of each of the ``ids`` (id) the text (id, text) of another of them has too:
+    in each of PARTS parts of the shingles that has any, as part << 8 | count up to MOST_HELD, and in all. Only shingles
+    and counts are shuffled, not pairs."""
 
     def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -308,8 +345,10 @@ def held_shingles(texts: DataFrame, ids: DataFrame, hashes) -> DataFrame:
 
     some = stored(maybe_in(texts, "id", key_filter(ids, "id")).join(ids, "id", "left_semi").mapInPandas(exploded, "h long, id long"))
     alone = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    both = some.select("id", "h", F.lit(1).alias("n")).union(alone.select("id", "h", F.lit(-1))).withColumn("part", F.pmod("h", F.lit(PARTS)))
-    return both.groupBy("id").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("part") == i, F.col("n"))), F.lit(0)).cast("int") for i in range(PARTS)]).alias("held"))
+    both = some.select("id", "h", F.lit(1).alias("n")).union(alone.select("id", "h", F.lit(-1)))
+    counts = both.groupBy("id", F.pmod("h", F.lit(PARTS)).alias("part")).agg(F.sum("n").alias("n")).where("n > 0")
+    coded = (F.col("part") * 256 + F.least("n", F.lit(MOST_HELD))).cast("int")
+    return counts.groupBy("id").agg(F.collect_list(coded).alias("held"), F.sum("n").alias("n_held"))
 
 
 def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -359,39 +398,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         "cast(conv(hex(substring(wide, i * 8 + 1, 8)), 16, -10) as bigint) ^ cast(conv(hex(substring(rep_wide, i * 8 + 1, 8)), 16, -10) as bigint)))"
     )
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(F.col("doc_id").cast("long").alias("id"), "text")
-    sketched = stored(some.select("id", sketch("text").alias("s")).select("id", "s.*", F.col("id").alias("label")))
-    rows = sketched.where(F.col("n") > SHORT).drop("keys").withColumn("held", F.array("n"))
+    sketched = stored(some.select("id", sketch("text").alias("s")).select("id", "s.*"))
+    rows = sketched.where(F.col("n") > SHORT).drop("keys")
     wides, reps = rows.select("id", "wide", "n"), rows.select(F.col("id").alias("rep"), F.col("wide").alias("rep_wide"), F.col("n").alias("rep_n"))
     head_bits = max(2, (rows.count() // GROUP_ROWS).bit_length())
     most = F.when((F.col("n") >= LONG_TEXT) & (F.col("rep_n") >= LONG_TEXT), LONG_DISTANCE).otherwise(WIDE_DISTANCE) * (SEGMENTS * SEGMENT_BITS)
     alike = (F.col("n") >= similarity * F.col("rep_n")) & (F.col("rep_n") >= similarity * F.col("n"))
 
-    def verified(met: DataFrame) -> DataFrame:
-        chunked = dealt(met)
-        heads = chunked.select("rep", "chunk").distinct().join(reps, "rep")
-        close = chunked.join(wides, "id").join(heads, ["rep", "chunk"]).where(alike & (apart <= most)).select("rep", "id")
-        return stored(verified_pairs(stored(close), some, prepare, compare, []))
+    def among(of: DataFrame, ids: DataFrame) -> DataFrame:
+        return maybe_in(of, "id", key_filter(ids, "id")).join(ids, "id", "left_semi")
 
     def labelled(of: DataFrame) -> DataFrame:
         names = groups.select(F.col("node").alias("id"), "component")
-        return stored(of.select("id", "wide", "n", "held").join(names, "id", "left").select("id", "wide", "n", "held", F.coalesce("component", "id").alias("label")))
+        return stored(of.drop("label").join(names, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
 
     # First every text with the least id at any of its points: large groups of copies are in one component then.
-    compared = stored(segment_pairs(rows, head_bits, 0, 1, star=True, similarity=similarity).groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id"))
-    links = verified(compared).union(stored(verified_pairs(stored(short_pairs(sketched)), some, prepare, compare, [])))
+    found = stored(segment_pairs(rows, head_bits, 0, 1, star=True, similarity=similarity))
+    compared = stored(found.where("not more").groupBy("id").agg(F.min("rep").alias("rep")).select("rep", "id"))
+    chunked = dealt(compared)
+    heads = chunked.select("rep", "chunk").distinct().join(reps, "rep")
+    close = stored(chunked.join(wides, "id").join(heads, ["rep", "chunk"]).where(alike & (apart <= most)).select("rep", "id"))
+    links = stored(verified_pairs(close, some, prepare, compare, [])).union(stored(verified_pairs(stored(short_pairs(sketched)), some, prepare, compare, [])))
     groups = connected_components(links.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     # Whoever can meet in a later round; texts that can't be like any of these go before ranks are counted.
-    rows = labelled(rows)
-    left = stored(segment_pairs(rows, head_bits, 0, 0).select("id").distinct())
+    rows = labelled(among(rows, stored(found.where("more").select("id").distinct())))
+    left = stored(segment_pairs(rows, head_bits, 0, 0, similarity=similarity).select("id").distinct())
     held = held_shingles(some, left, prepare)
-    rows = stored(rows.drop("held").join(held, "id").where(F.aggregate("held", F.lit(0), lambda x, y: x + y) >= similarity * F.col("n") - 1e-6))
+    rows = stored(rows.join(held, "id").where(F.col("n_held") >= similarity * F.col("n") - 1e-6).drop("n_held"))
     lo, hi = 0, 1
     while not left.isEmpty():
         found = stored(segment_pairs(rows, head_bits, lo, hi, similarity=similarity))
         met = stored(found.where("not more").select("rep", "id").distinct().join(compared, ["rep", "id"], "left_anti"))
         if not met.isEmpty():
             compared = compared.union(met)
-            groups = joined_groups(groups, verified(met))
+            # The counts of shared shingles tell more than the bits, so all of these are compared.
+            groups = joined_groups(groups, stored(verified_pairs(met, some, prepare, compare, [])))
         left = stored(found.where("more").select("id").distinct())
         rows = labelled(rows.join(left, "id", "left_semi"))
         lo, hi = hi, hi * RANKS
