@@ -391,3 +391,12 @@ def test_counts_of_shared_shingles_drop_no_similar_pair_and_most_others():
     full = np.full((n, simhash.PARTS), simhash.MOST_HELD, dtype=np.uint8)  # a full count leaves room for any number
     rep, _, _ = simhash.bucket_pairs(ids, np.zeros(n, dtype=np.uint64), ids, np.zeros((n, 4), dtype=np.uint32), np.full(n, 10**6, dtype=np.int32), 0, 0, 0, n, held=full)
     assert len(rep) == n * (n - 1) // 2
+
+
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    texts = ["", " \t", "a b a", "É a\x0bB\nb", "x" * 500 + " a " + "yz " * 200, "a b a"]
+    whole = [substring_dedup.word_hashes(t).tolist() for t in texts]
+    monkeypatch.setattr(substring_dedup, "HASH_BYTES", 16)
+    assert whole == [substring_dedup.word_hashes(t).tolist() for t in texts]
+    pairs = {(w, h) for t, hs in zip(texts, whole, strict=True) for w, h in zip(simhash.words(t), hs, strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})

@@ -19,17 +19,17 @@ when no two texts are left at a key.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from xxhash import xxh64_intdigest
 
 from tidemark.llm.common import key_filter, maybe_in, ready_workers, stored
 from tidemark.llm.passages import verified_pairs
-from tidemark.llm.simhash import jaccard, words
+from tidemark.llm.simhash import jaccard
 
 #: Words of a token, least words of a passage, similarity of the token sets.
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
@@ -47,30 +47,54 @@ REFINED_BY, REFINED_KEYS = 4, 8
 #: So many times as many texts of a key are representatives when a round ends as when it begins.
 RANKS = 8
 _FIRST, _GOLD = 2, np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 18
+#: Bytes of a text whose words are hashed at once.
+HASH_BYTES = 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(_FIRST + REFINED_BY * REFINED_KEYS)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """The hashes of words, of which REMEMBERED are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        made = xxh64_intdigest(word)
-        if len(self) < REMEMBERED and len(word) < 32:
-            self[word] = made
-        return made
-
-
-_hash_of = _Hashes()
-
-
-def token_hashes(found: list[bytes]) -> np.ndarray:
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_OF_BYTE = np.random.default_rng(42).integers(1, 2**64, 256, dtype=np.uint64)
+_STEP = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2^64
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _STEP and of its inverse, n of each."""
+    if len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        made = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, dtype=np.uint64)]) for x in (_STEP, pow(_STEP, -1, 2**64))]
+        if size > 2 * HASH_BYTES:
+            return made[0][:n], made[1][:n]
+        _powers[:] = made
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each of ``words(text)``: sums of powers over its bytes, cut out of sums over the whole text."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    edges = np.diff(np.r_[True, _SPACE[data], True].view(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    out, at = np.zeros(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + HASH_BYTES, side="right")))
+        last = ends[to - 1]
+        power, inverse = _powers_to(int(last - first))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_OF_BYTE[data[first:last]] * power)])
+        a, b = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = (sums[b] - sums[a]) * inverse[a]
+        at = to
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def token_hashes(text: str | None) -> np.ndarray:
     """A hash of each run of SHINGLE words, from the words' own; none if they are fewer."""
-    n = len(found) - SHINGLE + 1
+    each = word_hashes(text)
+    n = len(each) - SHINGLE + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
-    each = np.fromiter(map(_hash_of.__getitem__, found), dtype=np.uint64, count=len(found))
     total = np.zeros(n, dtype=np.uint64)
     for j in range(SHINGLE):
         total = total * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
@@ -135,7 +159,7 @@ def passage_keys(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]
 
     Texts are laid one after the other with a zero between them: it is less than any token, so no window crosses.
     """
-    hashed = [h if len(h) > LEAST_WORDS - SHINGLE else h[:0] for h in (token_hashes(words(t)) for t in texts)]
+    hashed = [h if len(h) > LEAST_WORDS - SHINGLE else h[:0] for h in (token_hashes(t) for t in texts)]
     zero = np.zeros(1, dtype=np.uint64)
     starts = np.cumsum([0] + [len(h) + 1 for h in hashed])
     out_keys, out_texts, out_spots = [], [], []
@@ -198,17 +222,23 @@ def stretch_keys(hashes: np.ndarray, alone: np.ndarray) -> np.ndarray:
 
 def refined_keys(text: str | None, keys: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all stretches around the spots of a text, whatever their keys were, and the spots they are of."""
-    made = [(spot, stretch_keys(h, h[:0])) for spot, h in stretches(token_hashes(words(text)), spots)]
+    made = [(spot, stretch_keys(h, h[:0])) for spot, h in stretches(token_hashes(text), spots)]
     return np.concatenate([np.zeros(0, dtype=np.uint64), *(k for _, k in made)]).view(np.int64), np.repeat(np.array([x for x, _ in made], dtype=np.int64), [len(k) for _, k in made])
 
 
 class Tokens:
-    """A text's token hashes in order, and sorted for look-ups."""
+    """A text's token hashes in order, and sorted for look-ups, where there are any."""
 
     def __init__(self, text: str | None):
-        self.hashes = token_hashes(words(text))
-        self.order = np.argsort(self.hashes, kind="stable")
-        self.sorted = self.hashes[self.order]
+        self.hashes = token_hashes(text)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.hashes)
+
+    @cached_property
+    def sorted(self) -> np.ndarray:
+        return self.hashes[self.order]
 
     def has(self, some: np.ndarray) -> np.ndarray:
         if not len(self.sorted):
@@ -282,7 +312,7 @@ def _refined(state: DataFrame, texts: DataFrame) -> DataFrame:
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *x) for i, text, spots in zip(b.id.tolist(), b.text.tolist(), b.spots.tolist(), strict=True) for x in stretches(token_hashes(words(text)), np.array(spots, dtype=np.int64))]
+            rows = [(i, *x) for i, text, spots in zip(b.id.tolist(), b.text.tolist(), b.spots.tolist(), strict=True) for x in stretches(token_hashes(text), np.array(spots, dtype=np.int64))]
             yield pd.DataFrame([(i, spot, h.view(np.int64)) for i, spot, h in rows], columns=["id", "spot", "tokens"])
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
