@@ -28,11 +28,11 @@ def dealt(pairs: DataFrame) -> DataFrame:
     return pairs.join(hot, "rep", "left").select("rep", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).alias("chunk"), "id")
 
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, prepare, compare, columns: list[str]) -> DataFrame:
+def verified_pairs(pairs: DataFrame, texts: DataFrame, prepare, compare, columns: list[str], prepare_all=None) -> DataFrame:
     """Rows (rep, id, *columns) for each tuple of ``compare(prepare(id's text), prepare(rep's text))``.
 
     ``pairs`` (rep, id) must be written or cheap, as it is read more than once; ``texts`` is (id, text). columns
-    are long.
+    are long. ``prepare_all`` does for a list of texts in order what ``prepare`` does for one.
     """
     chunked = stored(dealt(pairs))  # it is read twice
     # Only texts of pairs are shuffled, and once: both joins read the same exchange.
@@ -48,13 +48,15 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, prepare, compare, columns
         current, rep = None, None  # a group may go on in the next batch; its rep comes first
         for b in batches:
             out: list[tuple] = []
-            for r, chunk, i, text in zip(b.rep.tolist(), b.chunk.tolist(), b.id.tolist(), b.text.tolist(), strict=True):
+            texts = b.text.tolist()
+            made = prepare_all(texts) if prepare_all else texts
+            for r, chunk, i, x in zip(b.rep.tolist(), b.chunk.tolist(), b.id.tolist(), made, strict=True):
                 if pd.isna(i):
                     if current is None or current[0] != r:
-                        rep = prepare(text)
+                        rep = x if prepare_all else prepare(x)
                     current = (r, chunk)
                 elif current == (r, chunk):
-                    out += [(r, int(i), *found) for found in compare(prepare(text), rep)]
+                    out += [(r, int(i), *found) for found in compare(x if prepare_all else prepare(x), rep)]
             yield pd.DataFrame(out, columns=["rep", "id", *columns]).astype("int64")
 
     return dealt_out.mapInPandas(check, ", ".join(f"{c} long" for c in ["rep", "id", *columns]))

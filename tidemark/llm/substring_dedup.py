@@ -18,7 +18,7 @@ when no two texts are left at a key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -30,7 +30,6 @@ from xxhash import xxh64_intdigest
 
 from tidemark.llm.common import key_filter, maybe_in, ready_workers, stored
 from tidemark.llm.passages import verified_pairs
-from tidemark.llm.simhash import jaccard, words
 
 #: Words of a token, least words of a passage, similarity of the token sets.
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
@@ -48,34 +47,45 @@ REFINED_BY, REFINED_KEYS = 4, 8
 #: So many times as many texts of a key are representatives when a round ends as when it begins.
 RANKS = 8
 _FIRST, _GOLD = 2, np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 18
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(_FIRST + REFINED_BY * REFINED_KEYS)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """The hashes of words, of which REMEMBERED are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        made = xxh64_intdigest(word)
-        if len(self) < REMEMBERED and len(word) < 32:
-            self[word] = made
-        return made
-
-
-_hash_of = _Hashes()
-
-
-def token_hashes(found: list[bytes]) -> np.ndarray:
-    """A hash of each run of SHINGLE words, from the words' own; none if they are fewer."""
-    n = len(found) - SHINGLE + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.uint64)
-    each = np.fromiter(map(_hash_of.__getitem__, found), dtype=np.uint64, count=len(found))
-    total = np.zeros(n, dtype=np.uint64)
+#: Bytes that part words, and what is left of 8 bytes in which a word has so many.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LEFT = np.array([2 ** (8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Bytes of a word that are read 8 at a time for all words of a batch at once; longer words are hashed alone.
+LONG_WORD = 64
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of ``data``, and where it begins: 8 bytes of all words are mixed in at once."""
+    padded = np.frombuffer(data + b" " * 16, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(_BLANK[padded], prepend=True))
+    begins, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each byte on
+    out = sizes.astype(np.uint64) * _GOLD
+    some = np.arange(len(begins))
+    for at in range(0, LONG_WORD, 8):
+        some = some[sizes[some] > at]
+        if not len(some):
+            break
+        mixed = (out[some] ^ (eights[begins[some] + at] & _LEFT[np.minimum(sizes[some] - at, 8)])) * np.uint64(0xBF58476D1CE4E5B9)
+        out[some] = mixed ^ (mixed >> np.uint64(32))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxh64_intdigest(data[begins[i] : begins[i] + sizes[i]])
+    return out, begins
+
+
+def token_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text a hash of each run of SHINGLE words, from the words' own; none if they are fewer."""
+    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    each, begins = word_hashes(b" ".join(coded).lower())
+    bounds = np.searchsorted(begins, np.cumsum([0] + [len(c) + 1 for c in coded]))
+    total = np.zeros(max(0, len(each) - SHINGLE + 1), dtype=np.uint64)
     for j in range(SHINGLE):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
-    return total ^ (total >> np.uint64(32))
+        total = total * np.uint64(0x9E3779B97F4A7C15) + each[j : j + len(total)]
+    total ^= total >> np.uint64(32)
+    return [total[a : max(a, b - SHINGLE + 1)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def remixed(hashes: np.ndarray, k) -> np.ndarray:
@@ -94,6 +104,18 @@ def _sliding(op, values: np.ndarray, size: int) -> np.ndarray:
     return op(out[..., :n], out[..., size - width : size - width + n])
 
 
+def nearest(values: np.ndarray, less) -> np.ndarray:
+    """The nearest place before each whose value is ``less`` than its own; -1 if none is. All that look go on at once
+    from the place they have come to, to the one that this has come to."""
+    to = np.arange(-1, len(values) - 1)
+    some = np.flatnonzero(to >= 0)
+    while len(some):
+        some = some[~less(values[to[some]], values[some])]
+        to[some] = to[to[some]]
+        some = some[to[some] >= 0]
+    return to
+
+
 def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All compact windows of ``least`` tokens and more as arrays l, c, r in order of c; of equal values the first
     is less.
@@ -107,15 +129,10 @@ def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
         return (np.zeros(0, dtype=np.int64),) * 3
     low = np.concatenate([np.zeros(least - 1, dtype=values.dtype), _sliding(np.minimum, values, least), np.zeros(least - 1, dtype=values.dtype)])
     owners = np.flatnonzero(values <= _sliding(np.maximum, low, least))
-    at, own = owners.tolist(), values[owners].tolist()
-    right, left, stack = [n] * len(at), [-1] * len(at), []
-    for i, v in enumerate(own):
-        while stack and own[stack[-1]] > v:
-            right[stack.pop()] = at[i]
-        if stack:
-            left[i] = at[stack[-1]]
-        stack.append(i)
-    begin, end = np.array(left, dtype=np.int64) + 1, np.array(right, dtype=np.int64) - 1
+    own = values[owners]
+    left, right = nearest(own, np.less_equal), len(own) - 1 - nearest(own[::-1], np.less)[::-1]
+    begin = np.where(left < 0, 0, owners[left] + 1)
+    end = np.where(right == len(own), n, owners[np.minimum(right, len(own) - 1)]) - 1
     wide = end - begin + 1 >= least
     return begin[wide], owners[wide], end[wide]
 
@@ -136,13 +153,15 @@ def passage_keys(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]
 
     Texts are laid one after the other with a zero between them: it is less than any token, so no window crosses.
     """
-    hashed = [h if len(h) > LEAST_WORDS - SHINGLE else h[:0] for h in (token_hashes(words(t)) for t in texts)]
-    zero = np.zeros(1, dtype=np.uint64)
+    hashed = [h if len(h) > LEAST_WORDS - SHINGLE else h[:0] for h in token_hashes(texts)]
     starts = np.cumsum([0] + [len(h) + 1 for h in hashed])
+    laid = np.concatenate([x for h in hashed for x in (h, np.zeros(1, dtype=np.uint64))] or [np.zeros(1, dtype=np.uint64)])
     out_keys, out_texts, out_spots = [], [], []
     runs = []
     for k in range(_FIRST):
-        runs.append(signature_runs(np.concatenate([x for h in hashed for x in (np.maximum(remixed(h, k), np.uint64(1)), zero)] or [zero]), RUN))
+        values = np.maximum(remixed(laid, k), np.uint64(1))
+        values[starts[1:] - 1] = 0
+        runs.append(signature_runs(values, RUN))
     for a, b in PAIRS:
         (begin_a, low_a, place_a), (begin_b, low_b, _) = runs[a], runs[b]
         joined = np.union1d(begin_a, begin_b)
@@ -199,44 +218,80 @@ def stretch_keys(hashes: np.ndarray, alone: np.ndarray) -> np.ndarray:
 
 def refined_keys(text: str | None, keys: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all stretches around the spots of a text, whatever their keys were, and the spots they are of."""
-    made = [(spot, stretch_keys(h, h[:0])) for spot, h in stretches(token_hashes(words(text)), spots)]
+    made = [(spot, stretch_keys(h, h[:0])) for spot, h in stretches(token_hashes([text])[0], spots)]
     return np.concatenate([np.zeros(0, dtype=np.uint64), *(k for _, k in made)]).view(np.int64), np.repeat(np.array([x for x, _ in made], dtype=np.int64), [len(k) for _, k in made])
 
 
 class Tokens:
-    """A text's token hashes in order, and sorted for look-ups, where there are any."""
+    """A text's token hashes in order, and what look-ups need, made where there are any."""
 
-    def __init__(self, text: str | None):
-        self.hashes = token_hashes(words(text))
+    def __init__(self, text: str | None, hashes: np.ndarray | None = None):
+        self.hashes = token_hashes([text])[0] if hashes is None else hashes
 
     @cached_property
-    def order(self) -> np.ndarray:
-        return np.argsort(self.hashes)
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places in order of their hashes, the hashes in that order, and whether each is the first of its value."""
+        order = np.argsort(self.hashes, kind="stable")
+        hashes = self.hashes[order]
+        first = np.ones(len(hashes), dtype=bool)
+        first[1:] = hashes[1:] != hashes[:-1]
+        return order, hashes, first
 
     @cached_property
-    def sorted(self) -> np.ndarray:
-        return self.hashes[self.order]
+    def before(self) -> np.ndarray:
+        """The place of the same token before each; -1 if there is none."""
+        order, _, first = self._sorted
+        out = np.full(len(order), -1)
+        again = (~first).nonzero()[0]
+        out[order[again]] = order[again - 1]
+        return out
+
+    @cached_property
+    def distinct(self) -> np.ndarray:
+        """The distinct hashes in order."""
+        _, hashes, first = self._sorted
+        return hashes[first]
+
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """Each token's place in ``distinct``."""
+        order, _, first = self._sorted
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = np.cumsum(first) - 1
+        return out
+
+    def numbered(self, some: np.ndarray) -> np.ndarray:
+        """The place in ``distinct`` of each of ``some``; their number for hashes that aren't there."""
+        n = len(self.distinct)
+        if not n:
+            return np.zeros(len(some), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.distinct, some), n - 1)
+        return np.where(self.distinct[at] == some, at, n)
+
+    def n_distinct(self, a: int, b: int) -> int:
+        """How many distinct tokens a to b are."""
+        return int(np.count_nonzero(self.before[a : b + 1] < a))
+
+
+def tokens_of(texts: Iterable[str | None]) -> Iterator[Tokens]:
+    return (Tokens(None, h) for part in batched(texts) for h in token_hashes(part))
 
-    def has(self, some: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.zeros(len(some), dtype=bool)
-        return self.sorted[np.minimum(np.searchsorted(self.sorted, some), len(self.sorted) - 1)] == some
 
-    def places(self, some: np.ndarray) -> np.ndarray:
-        """Where any of the distinct hashes ``some`` stands, in order."""
-        lo, hi = np.searchsorted(self.sorted, some, side="left"), np.searchsorted(self.sorted, some, side="right")
-        times = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        return np.sort(self.order[at])
+def _alike(x: Tokens, y: Tokens, own: np.ndarray, a: int, b: int, c: int, d: int) -> bool:
+    """Whether the sets of tokens a to b of x, whose numbers in y are ``own``, and c to d of y are similar."""
+    held = np.zeros(len(y.distinct) + 1, dtype=bool)
+    held[own[a : b + 1]] = True
+    both = int(np.count_nonzero(held[y.numbers[c : d + 1]] & (y.before[c : d + 1] < c)))
+    return both / (x.n_distinct(a, b) + y.n_distinct(c, d) - both) >= SIMILARITY
 
 
-def _grown(x: Tokens, y: Tokens, a: int, b: int, c: int, d: int, least: int) -> tuple[int, int, int, int] | None:
+def _grown(x: Tokens, y: Tokens, own: np.ndarray, a: int, b: int, c: int, d: int, least: int) -> tuple[int, int, int, int] | None:
     """Tokens a to b of x and c to d of y, both with as many more in front and behind as make ``least``, if they are
     similar then: an edit near an end of a passage leaves the tokens there without a match."""
     more = max(0, least - (b - a + 1), least - (d - c + 1))
     for front in range(more + 1):
         e, f, g, h = a - front, b + more - front, c - front, d + more - front
-        if min(e, g) >= 0 and f < len(x.hashes) and h < len(y.hashes) and jaccard(np.unique(x.hashes[e : f + 1]), np.unique(y.hashes[g : h + 1])) >= SIMILARITY:
+        if min(e, g) >= 0 and f < len(x.hashes) and h < len(y.hashes) and _alike(x, y, own, e, f, g, h):
             return e, f, g, h
     return None
 
@@ -245,32 +300,36 @@ def matched_passages(x: Tokens, y: Tokens) -> list[tuple[int, int, int, int]]:
     """(start, end, start, end) in words of passages of x and of y that are near-equal."""
     least, out = LEAST_WORDS - SHINGLE + 1, []
     floor = SIMILARITY * least  # tokens that a passage of the least length shares
-    shared = np.flatnonzero(y.has(x.hashes))
+    if min(len(x.hashes), len(y.hashes)) < least:
+        return out
+    own = y.numbered(x.hashes)
+    shared = np.flatnonzero(own < len(y.distinct))
 
     def runs(where: np.ndarray, gap: int) -> list[tuple[int, int]]:
+        """First and last of each run of ``floor`` places or more."""
         if len(where) < floor:
             return []
-        cut = np.flatnonzero(where[1:] - where[:-1] > gap + 1)
-        return list(zip([int(where[0]), *where[cut + 1].tolist()], [*where[cut].tolist(), int(where[-1])], strict=True))
+        cut = (where[1:] - where[:-1] > gap + 1).nonzero()[0]
+        ends = zip([int(where[0]), *where[cut + 1].tolist()], [*where[cut].tolist(), int(where[-1])], strict=True)
+        return [(a, b) for a, b in ends if b - a + 1 >= floor]
 
     def search(where: np.ndarray, level: int) -> None:
         for a, b in runs(where, GAPS[level]):
-            if b - a + 1 < floor:
-                continue
-            own = np.unique(x.hashes[a : b + 1])
-            for c, d in runs(y.places(own), GAPS[0]):
-                if d - c + 1 >= floor and (found := _grown(x, y, a, b, c, d, least)):
+            held = np.zeros(len(y.distinct) + 1, dtype=bool)
+            held[own[a : b + 1]] = True
+            for c, d in runs(held[y.numbers].nonzero()[0], GAPS[0]):
+                if found := _grown(x, y, own, a, b, c, d, least):
                     out.append((found[0], found[1] + SHINGLE, found[2], found[3] + SHINGLE))
                     break
             else:
                 if level + 1 < len(GAPS):
-                    search(where[(where >= a) & (where <= b)], level + 1)
+                    search(where[slice(*np.searchsorted(where, [a, b + 1]))], level + 1)
 
     search(shared, 0)
     return out
 
 
-def batched(texts: pd.Series) -> Iterator[list[str | None]]:
+def batched(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     """Texts in parts of about PART_CHARS, one long text alone."""
     part, size = [], 0
     for t in texts:
@@ -289,7 +348,8 @@ def _refined(state: DataFrame, texts: DataFrame) -> DataFrame:
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *x) for i, text, spots in zip(b.id.tolist(), b.text.tolist(), b.spots.tolist(), strict=True) for x in stretches(token_hashes(words(text)), np.array(spots, dtype=np.int64))]
+            hashed = (h for part in batched(b.text) for h in token_hashes(part))
+            rows = [(i, *x) for i, h, spots in zip(b.id.tolist(), hashed, b.spots.tolist(), strict=True) for x in stretches(h, np.array(spots, dtype=np.int64))]
             yield pd.DataFrame([(i, spot, h.view(np.int64)) for i, spot, h in rows], columns=["id", "spot", "tokens"])
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,9 +369,9 @@ def _refined(state: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (key, id, spot) whose key another document has."""
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    return keyed.join(shared, "key")
+    """The rows of ``keyed`` (key, id, spot) whose key another document has, and the least identifier there (low)."""
+    key = W.partitionBy("key")
+    return keyed.withColumns({"low": F.min("id").over(key), "high": F.max("id").over(key)}).where("low <> high").select("key", "id", "spot", "low")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -333,21 +393,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "keys", "spots"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    made = stored(texts.mapInPandas(keys, "id long, keys array<long>, spots array<long>"))
+    made = texts.mapInPandas(keys, "id long, keys array<long>, spots array<long>")
     keyed = made.select("id", F.explode(F.arrays_zip("keys", "spots")).alias("k")).select(F.col("k.keys").alias("key"), "id", F.col("k.spots").alias("spot"))
     state = stored(_shared(keyed))
     compared = found = None
     reps, refined = 1, False
     while True:
         if reps == 1:
-            firsts = state.groupBy("key").agg(F.min("id").alias("rep"))
+            met = state.withColumnRenamed("low", "rep")
         else:
             ranked = state.select("key", "id").distinct().withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id")))
             firsts = ranked.where(F.col("rank") <= reps).select("key", F.col("id").alias("rep"))
-        met = stored(state.join(firsts, "key").where("id >= rep"))
+            met = stored(state.drop("low").join(firsts, "key").where("id >= rep"))
         pairs = met.where("id > rep").select("rep", "id").distinct()
         new = stored(pairs if compared is None else pairs.join(compared, ["rep", "id"], "left_anti"))
-        some = stored(verified_pairs(new, texts, Tokens, matched_passages, ["start_word", "end_word", "rep_start", "rep_end"]))
+        some = stored(verified_pairs(new, texts, Tokens, matched_passages, ["start_word", "end_word", "rep_start", "rep_end"], tokens_of))
         # Done at a key: its representatives, and texts that share a passage there with one of them.
         place = F.shiftright("spot", 32)
         here = (place >= F.col("start_word")) & (place < F.col("end_word"))
@@ -357,13 +417,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         # After the first round only passages around the places that were left are new.
         found = some if found is None else stored(found.union(covered.select(*some.columns)).distinct())
         compared = new if compared is None else compared.union(new)
-        left = stored(_shared(stored(state.join(done, ["key", "id"], "left_anti"))))
+        left = stored(_shared(state.drop("low").join(done, ["key", "id"], "left_anti")))
         if left.isEmpty():
             break
         if refined:
             reps *= RANKS
         else:
-            left, refined = stored(_shared(stored(_refined(left, texts)))), True
+            left, refined = stored(_shared(_refined(left, texts))), True
         state = left
     own = found.select("rep", F.col("rep").alias("id"), F.col("rep_start").alias("start_word"), F.col("rep_end").alias("end_word"), "rep_start", "rep_end").distinct()
     both = found.withColumn("is_rep", F.lit(False)).unionByName(own.withColumn("is_rep", F.lit(True)))
