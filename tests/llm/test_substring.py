@@ -4,7 +4,7 @@ import random
 
 from test_search import frame, prose
 
-from tidemark.llm import common, simhash, substring_dedup
+from tidemark.llm import common, passages, simhash, substring_dedup
 
 
 def test_words_of_a_batch_are_hashed_together():
@@ -30,3 +30,27 @@ def test_first_keys_are_shuffled_once(spark, monkeypatch):
     text = " ".join(prose(rng, 80, 10**6))
     assert substring_dedup.repeated_passages(frame(spark, [(i, text) for i in range(3)])).count() == 3
     assert "MapInPandas" in plans[0] and "key" in plans[0] and plans[0].count("Exchange hashpartitioning(key") == 1 and "Join" not in plans[0]
+
+
+def test_places_in_found_passages_look_for_no_partner(spark, monkeypatch):
+    """Texts share both ends with the least identifier; only a middle that is edited too much is left, and no pair of
+    texts is compared again for keys at places that the ends hold."""
+    rng = random.Random(19)
+    front, middle, back = prose(rng, 90, 10**6), prose(rng, 60, 10**6), prose(rng, 90, 10**6)
+    rows = []
+    for i in range(48):
+        own = [w if rng.random() > 0.07 else f"own{i}x{j}" for j, w in enumerate(middle)]
+        rows.append((i, " ".join(front + own + back)))
+    counts = []
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return passages.verified_pairs(pairs, *rest)
+
+    monkeypatch.setattr(substring_dedup, "verified_pairs", counted)
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert all(set(range(90)) | set(range(150, 240)) <= held[i] for i, _ in rows)
+    assert sum(counts[1:]) < 30  # 49 where all places look

@@ -12,8 +12,9 @@ be edited more often at that similarity.
 A key's texts are matched with its least identifier first, and every match is verified on the whole texts: the
 passages' token sets must have the required similarity. Where a text's place with that key is in no passage that it
 shares with the identifier, it goes on to further rounds with the texts that are left. Their keys are refined by
-the min-hashes of more functions around the place, so texts that only share a common line part, and rounds end
-when no two texts are left at a key.
+the min-hashes of more functions around the place, so texts that only share a common line part. A place that a
+found passage holds looks for no further representative, but stays one for the others; rounds end when no two texts
+are left at a key where one looks.
 """
 
 from __future__ import annotations
@@ -199,27 +200,42 @@ def stretches(hashes: np.ndarray, spots: np.ndarray) -> list[tuple[int, np.ndarr
     return out
 
 
-def stretch_keys(hashes: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """REFINED_KEYS keys or more of a stretch: the least hashes, by REFINED_BY functions, of each of its passages of the
-    least length; without those that have more tokens of ``alone`` than similar passages of as many tokens can."""
+def stretch_keys(stretch: list[np.ndarray], alone: np.ndarray) -> list[np.ndarray]:
+    """REFINED_KEYS keys or more of each stretch: the least hashes, by REFINED_BY functions, of each of its passages of
+    the least length; without those that have more tokens of ``alone`` than similar passages of as many tokens can."""
     least = LEAST_WORDS - SHINGLE + 1
-    once = np.zeros(len(hashes), dtype=np.int64)
-    once[np.unique(hashes, return_index=True)[1]] = 1  # a token that repeats counts once
-    own = np.r_[0, np.cumsum(once * np.isin(hashes, alone))]
-    fits = own[least:] - own[:-least] <= (1 - SIMILARITY) / (1 + SIMILARITY) * least
-    low = _sliding(np.minimum, remixed(hashes[None], np.arange(_FIRST, len(_MIX))[:, None]), least)
-    low = low.reshape(REFINED_KEYS, REFINED_BY, -1)[:, :, fits]
-    made = np.arange(1, REFINED_KEYS + 1, dtype=np.uint64)[:, None] * _GOLD
+    laid = np.concatenate([np.zeros(0, dtype=np.uint64), *stretch])
+    owner = np.repeat(np.arange(len(stretch)), [len(h) for h in stretch])
+    if len(laid) < least:
+        return [laid[:0]] * len(stretch)
+    order = np.lexsort((laid, owner))  # a token that repeats counts once, where it is first
+    again = np.flatnonzero((laid[order[1:]] == laid[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])) + 1
+    once = np.isin(laid, alone).astype(np.int64)
+    once[order[again]] = 0
+    own = np.r_[0, np.cumsum(once)]
+    own = own[least:] - own[:-least]
+    begins = np.flatnonzero((owner[least - 1 :] == owner[: len(own)]) & (own <= (1 - SIMILARITY) / (1 + SIMILARITY) * least))
+    made = np.repeat(np.arange(1, REFINED_KEYS + 1, dtype=np.uint64)[:, None] * _GOLD, len(begins), axis=1)
     for j in range(REFINED_BY):
-        made = (made ^ low[:, j]) * _GOLD
+        low = _sliding(np.minimum, remixed(laid[None], np.arange(_FIRST + j, len(_MIX), REFINED_BY)[:, None]), least)[:, begins]
+        made = (made ^ low) * _GOLD
         made = made ^ (made >> np.uint64(29))
-    return np.unique(made)
+    # Neighbours mostly share a key; the rest of what repeats goes with the sort.
+    new = np.ones(made.shape, dtype=bool)
+    new[:, 1:] = (made[:, 1:] != made[:, :-1]) | (owner[begins[1:]] != owner[begins[:-1]])
+    keys, of = made[new], np.broadcast_to(owner[begins], made.shape)[new]
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+    return np.split(keys[first], np.searchsorted(of[first], np.arange(1, len(stretch)))) if stretch else []
 
 
 def refined_keys(text: str | None, keys: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all stretches around the spots of a text, whatever their keys were, and the spots they are of."""
-    made = [(spot, stretch_keys(h, h[:0])) for spot, h in stretches(token_hashes([text])[0], spots)]
-    return np.concatenate([np.zeros(0, dtype=np.uint64), *(k for _, k in made)]).view(np.int64), np.repeat(np.array([x for x, _ in made], dtype=np.int64), [len(k) for _, k in made])
+    around = stretches(token_hashes([text])[0], spots)
+    made = stretch_keys([h for _, h in around], np.zeros(0, dtype=np.uint64))
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *made]).view(np.int64), np.repeat(np.array([x for x, _ in around], dtype=np.int64), [len(k) for k in made])
 
 
 class Tokens:
@@ -343,35 +359,51 @@ def batched(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
 
 
 def _refined(state: DataFrame, texts: DataFrame) -> DataFrame:
-    """``state`` (key, id, spot) with refined keys; texts of its documents are read once more. Tokens that no other of
-    these documents has around its places are told first: an edited passage has too many of them to be like any."""
+    """``state`` (key, id, spot, looks) with refined keys; texts of its documents are read once more. Tokens that no
+    other of these documents has around its places are told first: an edited passage has too many of them to be like
+    any. Places that look have stretches of their own, so no other place stands for them."""
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hashed = (h for part in batched(b.text) for h in token_hashes(part))
-            rows = [(i, *x) for i, h, spots in zip(b.id.tolist(), hashed, b.spots.tolist(), strict=True) for x in stretches(h, np.array(spots, dtype=np.int64))]
-            yield pd.DataFrame([(i, spot, h.view(np.int64)) for i, spot, h in rows], columns=["id", "spot", "tokens"])
+            rows = [(i, looks, *x) for i, looks, h, spots in zip(b.id.tolist(), b.looks.tolist(), hashed, b.spots.tolist(), strict=True) for x in stretches(h, np.array(spots, dtype=np.int64))]
+            yield pd.DataFrame([(i, looks, spot, h.view(np.int64)) for i, looks, spot, h in rows], columns=["id", "looks", "spot", "tokens"])
 
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros(0, dtype=np.int64)
         for b in batches:
-            keys = [stretch_keys(np.asarray(h).view(np.uint64), np.asarray(none if x is None else x, dtype=np.int64).view(np.uint64)).view(np.int64) for h, x in zip(b.tokens, b.alone, strict=True)]
+            # A token that one document has alone is in no other's stretch.
+            alone = np.concatenate([none, *(x for x in b.alone if x is not None)]).astype(np.int64).view(np.uint64)
+            keys = stretch_keys([np.asarray(h).view(np.uint64) for h in b.tokens], alone)
             times = [len(k) for k in keys]
-            yield pd.DataFrame({"key": np.concatenate([none, *keys]), "id": np.repeat(b.id.to_numpy(), times), "spot": np.repeat(b.spot.to_numpy(), times)})
+            made = {c: np.repeat(b[c].to_numpy(), times) for c in ("id", "spot", "looks")}
+            yield pd.DataFrame({"key": np.concatenate([none, *(k.view(np.int64) for k in keys)]), **made})
 
     # What is gathered by id is a part of the document's own places and tokens.
-    held = state.groupBy("id").agg(F.collect_set("spot").alias("spots"))
+    held = state.groupBy("id", "looks").agg(F.collect_set("spot").alias("spots"))
     some = maybe_in(texts, "id", key_filter(state.select("id"), "id"))
-    parts = stored(held.join(some, "id").mapInPandas(around, "id long, spot long, tokens array<long>"))
+    parts = stored(held.join(some, "id").mapInPandas(around, "id long, looks boolean, spot long, tokens array<long>"))
     tokens = parts.select("id", F.explode("tokens").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("high"))
     alone = tokens.where("id = high").groupBy("id").agg(F.collect_list("h").alias("alone"))
-    return parts.join(alone, "id", "left").mapInPandas(refine, "key long, id long, spot long")
+    return parts.join(alone, "id", "left").mapInPandas(refine, "key long, id long, spot long, looks boolean")
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (key, id, spot) whose key another document has, and the least identifier there (low)."""
+def _shared(keyed: DataFrame, looked: bool = True) -> DataFrame:
+    """The rows of ``keyed`` (key, id, spot, looks) whose key another document has too and, if ``looked``, where one
+    looks, and the least identifier there (low)."""
     key = W.partitionBy("key")
-    return keyed.withColumns({"low": F.min("id").over(key), "high": F.max("id").over(key)}).where("low <> high").select("key", "id", "spot", "low")
+    met = keyed.withColumns({"low": F.min("id").over(key), "high": F.max("id").over(key), "any": F.max("looks").over(key)})
+    return met.where("low <> high and any" if looked else "low <> high").drop("high", "any")
+
+
+def _looking(left: DataFrame, found: DataFrame) -> DataFrame:
+    """``left`` (key, id, spot) and whether the place is in none of the ``found`` occurrences (looks)."""
+    own = found.select("id", "start_word", "end_word").union(found.select("rep", "rep_start", "rep_end")).distinct()
+    own = own.withColumnRenamed("id", "_id")
+    left = left.withColumn("place", F.shiftright("spot", 32))
+    inside = (F.col("id") == F.col("_id")) & (F.col("place") >= F.col("start_word")) & (F.col("place") < F.col("end_word"))
+    parts = [left.join(own, inside, how).withColumn("looks", F.lit(how == "left_anti")) for how in ("left_anti", "left_semi")]
+    return parts[0].union(parts[1]).drop("place")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -394,30 +426,44 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     made = texts.mapInPandas(keys, "id long, keys array<long>, spots array<long>")
-    keyed = made.select("id", F.explode(F.arrays_zip("keys", "spots")).alias("k")).select(F.col("k.keys").alias("key"), "id", F.col("k.spots").alias("spot"))
+    keyed = made.select("id", F.explode(F.arrays_zip("keys", "spots")).alias("k")).select(F.col("k.keys").alias("key"), "id", F.col("k.spots").alias("spot"), F.lit(True).alias("looks"))
+    bounds = ["start_word", "end_word", "rep_start", "rep_end"]
+    place = F.shiftright("spot", 32)
     state = stored(_shared(keyed))
     compared = found = None
     reps, refined = 1, False
     while True:
         if reps == 1:
-            met = state.withColumnRenamed("low", "rep")
+            met = state.where("id > low").select("key", "id", "spot", F.col("low").alias("rep"))
+            pairs = met.select("rep", "id").distinct()
         else:
-            ranked = state.select("key", "id").distinct().withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id")))
-            firsts = ranked.where(F.col("rank") <= reps).select("key", F.col("id").alias("rep"))
-            met = stored(state.drop("low").join(firsts, "key").where("id >= rep"))
-        pairs = met.where("id > rep").select("rep", "id").distinct()
+            # Of two places one has to look; a row has the representatives that it meets, so a pair is made once.
+            ranked = state.withColumn("rank", F.dense_rank().over(W.partitionBy("key").orderBy("id")))
+            firsts = ranked.where(F.col("rank") <= reps).groupBy("key").agg(F.collect_set("id").alias("reps"), F.collect_set(F.when(F.col("looks"), F.col("id"))).alias("looking"))
+            met = ranked.join(firsts, "key").withColumn("reps", F.filter(F.when(F.col("looks"), F.col("reps")).otherwise(F.col("looking")), lambda r: r < F.col("id")))
+            met = stored(met.select("key", "id", "spot", "rank", "reps"))
+            pairs = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("reps"))).alias("reps")).select(F.explode("reps").alias("rep"), "id")
         new = stored(pairs if compared is None else pairs.join(compared, ["rep", "id"], "left_anti"))
-        some = stored(verified_pairs(new, texts, Tokens, matched_passages, ["start_word", "end_word", "rep_start", "rep_end"], tokens_of))
-        # Done at a key: its representatives, and texts that share a passage there with one of them.
-        place = F.shiftright("spot", 32)
-        here = (place >= F.col("start_word")) & (place < F.col("end_word"))
+        some = stored(verified_pairs(new, texts, Tokens, matched_passages, bounds, tokens_of))
         every = some if found is None else found.union(some)
-        covered = met.join(every, ["rep", "id"]).where(here)
-        done = covered.select("key", "id").union(met.where("id = rep").select("key", "id")).distinct()
+        # Done at a key: its representatives, and texts that share a passage there with one of them.
+        if reps == 1:
+            # A row of the pair's passages meets all its keys; a key has one representative, so it is told there.
+            held = every.groupBy("rep", "id").agg(F.collect_list(F.struct(*bounds)).alias("here"))
+            told = met.join(held, ["rep", "id"], "left").withColumn("here", F.filter("here", lambda p: (place >= p["start_word"]) & (place < p["end_word"])))
+            told = told if found is None else stored(told)
+            covered = told.select("rep", "id", F.explode("here").alias("p")).select("rep", "id", "p.*")
+            told = told.withColumn("done", F.max(F.coalesce(F.size("here"), F.lit(0)) > 0).over(W.partitionBy("rep", "id", "key")))
+            left = told.where("not done").select("key", "id", "spot")
+        else:
+            here = (place >= F.col("start_word")) & (place < F.col("end_word")) & F.array_contains("reps", F.col("rep"))
+            covered = stored(met.where(F.size("reps") > 0).join(every, "id").where(here).select("key", "rep", "id", *bounds).distinct())
+            left = met.where(F.col("rank") > reps).join(covered, ["key", "id"], "left_anti").select("key", "id", "spot")
         # After the first round only passages around the places that were left are new.
         found = some if found is None else stored(found.union(covered.select(*some.columns)).distinct())
         compared = new if compared is None else compared.union(new)
-        left = stored(_shared(state.drop("low").join(done, ["key", "id"], "left_anti")))
+        # Refined keys bring places of other keys together, so until then none is left out.
+        left = stored(_shared(_looking(stored(left), found), looked=refined))
         if left.isEmpty():
             break
         if refined:
