@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, governance, resampling
@@ -144,8 +145,17 @@ def sign_flip_p(spark, sf):
     return resampling.sign_flip(_sql(spark, sf, DELTAS), ["event_type"], "unit", "delta").select("event_type", F.round("p", 6).alias("p"))
 
 
+def _ordered_deltas(spark, sf):
+    """The rows of DELTAS, their sums made in the order of event_id, as SQL on one thread does: a mean that is zero but
+    for rounding has the sign that this order gives it, and not one that hangs on how a table is split."""
+    rows = _sql(spark, sf, "SELECT event_type, user_id AS unit, event_id, CAST(event_id % 7 AS DOUBLE) - 3 + CASE WHEN event_type = 'click' THEN 0.2 ELSE 0 END AS x FROM {events}")
+    order = W.partitionBy("event_type", "unit").orderBy("event_id")
+    summed = rows.withColumn("n", F.row_number().over(order)).withColumn("total", F.sum("x").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return summed.groupBy("event_type", "unit").agg((F.max_by("total", "n") / F.nullif(F.count("x"), F.lit(0))).alias("delta"))
+
+
 def sign_test(spark, sf):
-    return resampling.sign_test(_sql(spark, sf, DELTAS), ["event_type"], "delta").select("event_type", "ups", "downs", F.round("p", 6).alias("p"))
+    return resampling.sign_test(_ordered_deltas(spark, sf), ["event_type"], "delta").select("event_type", "ups", "downs", F.round("p", 6).alias("p"))
 
 
 def wilcoxon_signed_rank(spark, sf):
@@ -164,7 +174,7 @@ def partial_correlations(spark, sf):
 def promotion_gate(spark, sf):
     """The reasons for which a candidate isn't promoted: event types stand for corpora."""
     units = _sql(spark, sf, DELTAS)
-    p = resampling.sign_test(units, ["event_type"], "delta").select(F.col("event_type").alias("name"), "p")
+    p = resampling.sign_test(_ordered_deltas(spark, sf), ["event_type"], "delta").select(F.col("event_type").alias("name"), "p")
     deltas = units.groupBy("event_type").agg(F.avg("delta").alias("delta")).join(evaluation.holm(p).select(F.col("name").alias("event_type"), "adjusted"), "event_type").withColumnRenamed("event_type", "corpus")
     macro = resampling.bootstrap(units.groupBy("unit").agg(F.avg("delta").alias("delta")).withColumn("all", F.lit(1)), ["all"], "unit", "delta")
     return resampling.promotion_failures(deltas, macro)
