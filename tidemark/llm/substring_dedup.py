@@ -389,11 +389,13 @@ def _refined(state: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _shared(keyed: DataFrame, looked: bool = True) -> DataFrame:
-    """The rows of ``keyed`` (key, id, spot, looks) whose key another document has too and, if ``looked``, where one
+    """The rows of ``keyed`` (key, id, spot, and looks for ``looked``) whose key another document has too and, if ``looked``, where one
     looks, and the least identifier there (low)."""
     key = W.partitionBy("key")
-    met = keyed.withColumns({"low": F.min("id").over(key), "high": F.max("id").over(key), "any": F.max("looks").over(key)})
-    return met.where("low <> high and any" if looked else "low <> high").drop("high", "any")
+    met = keyed.withColumns({"low": F.min("id").over(key), "high": F.max("id").over(key)})
+    if not looked:
+        return met.where("low <> high").drop("high")
+    return met.withColumn("any", F.max("looks").over(key)).where("low <> high and any").drop("high", "any")
 
 
 def _looking(left: DataFrame, found: DataFrame) -> DataFrame:
@@ -426,10 +428,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     made = texts.mapInPandas(keys, "id long, keys array<long>, spots array<long>")
-    keyed = made.select("id", F.explode(F.arrays_zip("keys", "spots")).alias("k")).select(F.col("k.keys").alias("key"), "id", F.col("k.spots").alias("spot"), F.lit(True).alias("looks"))
+    keyed = made.select("id", F.explode(F.arrays_zip("keys", "spots")).alias("k")).select(F.col("k.keys").alias("key"), "id", F.col("k.spots").alias("spot"))
+    keyed = keyed.withColumn("spot", F.shiftleft(F.shiftright("spot", 32), 32))  # the place is enough, and packs better
     bounds = ["start_word", "end_word", "rep_start", "rep_end"]
     place = F.shiftright("spot", 32)
-    state = stored(_shared(keyed))
+    state = stored(_shared(keyed, looked=False))
     compared = found = None
     reps, refined = 1, False
     while True:
